@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
