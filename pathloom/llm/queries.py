@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.bpe import op2_bpe
+from pathloom.llm.mixing import OP4_SQL, op4_mixing
 from pathloom.llm.simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op4_mixing": op4_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
