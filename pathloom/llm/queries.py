@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.mixing import OP4_SQL, op4_mixing
 from pathloom.llm.simhash import op1_simhash
+from pathloom.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
