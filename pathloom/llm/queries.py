@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.mixing import OP4_SQL, op4_mixing
+from pathloom.llm.pii import op5_pii
 from pathloom.llm.simhash import op1_simhash
 from pathloom.llm.toxicity import op3_toxicity
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
