@@ -10,6 +10,7 @@ from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.mixing import OP4_SQL, op4_mixing
 from pathloom.llm.pii import op5_pii
 from pathloom.llm.simhash import op1_simhash
+from pathloom.llm.syncmers import op7_syncmers
 from pathloom.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
+    "op7_syncmers": op7_syncmers,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
