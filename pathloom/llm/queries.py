@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.mixing import OP4_SQL, op4_mixing
+from pathloom.llm.mtree import OP8_SQL, op8_topk
 from pathloom.llm.pii import op5_pii
 from pathloom.llm.simhash import op1_simhash
 from pathloom.llm.syncmers import op7_syncmers
@@ -20,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op7_syncmers": op7_syncmers,
+    "op8_topk": op8_topk,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
+    "op8_topk": OP8_SQL,
 }
