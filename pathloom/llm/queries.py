@@ -10,6 +10,7 @@ from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.mixing import OP4_SQL, op4_mixing
 from pathloom.llm.mtree import OP8_SQL, op8_topk
 from pathloom.llm.pii import op5_pii
+from pathloom.llm.repair import op9_repair
 from pathloom.llm.repeats import op10_repeats
 from pathloom.llm.simhash import op1_simhash
 from pathloom.llm.syncmers import op7_syncmers
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_syncmers": op7_syncmers,
     "op8_topk": op8_topk,
+    "op9_repair": op9_repair,
     "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
