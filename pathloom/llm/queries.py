@@ -15,6 +15,7 @@ from pathloom.llm.repeats import op10_repeats
 from pathloom.llm.simhash import op1_simhash
 from pathloom.llm.syncmers import op7_syncmers
 from pathloom.llm.toxicity import op3_toxicity
+from pathloom.llm.wordpiece import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
+    "op6_token_counts": op6_token_counts,
     "op7_syncmers": op7_syncmers,
     "op8_topk": op8_topk,
     "op9_repair": op9_repair,

@@ -176,12 +176,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fp.join(nodes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The documents, one of each near-duplicate group: the row of the group's smallest key (of equal rows with that key, one).
 
     Columns stay as they are. Rows with a null key go only where their group holds a key.
     """
-    groups = near_duplicates(docs, text, key).select(key, "component").distinct()
+    groups = near_duplicates(docs, text, key, shingle).select(key, "component").distinct()
     first = groups.where(F.col(key).eqNullSafe(F.col("component"))).select(key)
     k = fresh(docs, "key")
     kept = docs.join(first.withColumnRenamed(key, k), docs[key].eqNullSafe(F.col(k)), "left_semi")
