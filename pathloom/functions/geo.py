@@ -29,8 +29,10 @@ def wrapped(lon: Column) -> Column:
 def country_code(c: Column) -> Column:
     """One code for the known names of a country; other names in lower case; null for none."""
     t = trimmed(F.lower(c))
-    names = F.create_map(*(F.lit(x) for code, ns in dims.COUNTRY_NAMES.items() for n in ns for x in (n, code)))
-    return F.when(t != "", F.coalesce(F.try_element_at(names, t), t))
+    out = F.when(t == "", F.lit(None).cast("string"))
+    for code, names in dims.COUNTRY_NAMES.items():
+        out = out.when(t.isin(names), F.lit(code))
+    return out.otherwise(t)
 
 
 def same_country(a: Column, b: Column) -> Column:

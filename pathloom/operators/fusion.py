@@ -12,37 +12,33 @@ from pathloom.functions import geo
 from pathloom.functions import text as t
 from pathloom.sources import dims
 
-CANDIDATE = "struct<source: string, city: string, country: string, lat: double, lon: double, confidence: string, precision: string, evidence: array<string>>"
+CANDIDATE = "struct<source: string, city: string, country: string, lat: double, lon: double, confidence: string, precision: string, cc: string, evidence: array<string>>"
 WEAK, STRONG = ("geoip", "provider"), ("reverse_dns", "combined")
 
 
 def _candidate(source, city, country, lat, lon, confidence, evidence, precision="city") -> Column:
     return F.struct(
         F.lit(source).alias("source"), city.alias("city"), country.alias("country"), lat.alias("lat"), lon.alias("lon"),
-        F.lit(confidence).alias("confidence"), F.lit(precision).alias("precision"), F.array(evidence).alias("evidence"),
+        F.lit(confidence).alias("confidence"), F.lit(precision).alias("precision"), geo.country_code(country).alias("cc"), F.array(evidence).alias("evidence"),
     ).cast(CANDIDATE)
 
 
 def alias_matches(alias: str, host: Column, tokens: Column) -> Column:
-    """Whether a place's alias is a token, ends one (4 letters or more), or lies within the host name (5 or more)."""
-    forms = list(dict.fromkeys((alias, alias.replace("-", ""))))
+    """Whether a place's alias is a token, ends one (4 letters or more), or lies within the host name (5 or more).
+
+    tokens: one text with a space before and after each token; so every test is a plain search in a text.
+    """
     hit = F.lit(False)
-    for a in forms:
-        hit = hit | F.array_contains(tokens, F.lit(a))
-        if len(alias) >= 4:
-            hit = hit | F.exists(tokens, _ends(a))
+    for a in dict.fromkeys((alias, alias.replace("-", ""))):
+        hit = hit | F.contains(tokens, F.lit(f"{a} " if len(alias) >= 4 else f" {a} "))
         if len(alias) >= 5:
             hit = hit | F.contains(host, F.lit(a))
     return hit
 
 
-def _ends(a: str):
-    return lambda x: F.endswith(x, F.lit(a))
-
-
 def host_city(host: Column) -> Column:
     """(ord, alias) of the first city hint whose alias the host name matches, in table order; null if none."""
-    tokens, flat = t.host_tokens(host), t.compact(F.lower(host))
+    tokens, flat = F.concat(F.lit(" "), F.array_join(t.host_tokens(host), " "), F.lit(" ")), t.compact(F.lower(host))
     out = F.when(F.lit(False), F.struct(F.lit(0).alias("ord"), F.lit("").alias("alias")))
     for i, c in enumerate(dims.CITIES):
         for a in c[4].split():
@@ -66,11 +62,9 @@ def from_provider() -> Column:
     city, country = F.col("city"), F.col("country")
     whole = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.coalesce(city, F.lit("")) != "")
     given = _candidate("provider", city, F.coalesce(country, F.lit("Unknown")), F.col("latitude"), F.col("longitude"), "high", F.lit("provider supplied hop coordinates"))
-    out = F.when(whole, given)
-    for c in dims.CITIES:
-        same = (F.lower(city) == c[0].lower()) & F.coalesce((country == "") | (F.lower(country) == c[1].lower()), F.lit(True))
-        out = out.when(same, _candidate("provider", F.lit(c[0]), F.lit(c[1]), F.lit(c[2]), F.lit(c[3]), "medium", F.lit("provider supplied hop city/country")))
-    return out
+    at = (F.array_position(F.array(*(F.lit(c[0].lower()) for c in dims.CITIES)), F.lower(city)) - 1).cast("int")
+    known = (at >= 0) & F.coalesce((country == "") | (F.lower(country) == F.lower(_hint(at, 1))), F.lit(True))
+    return F.when(whole, given).when(known, _candidate("provider", *(_hint(at, i) for i in range(4)), "medium", F.lit("provider supplied hop city/country")))
 
 
 def from_geoip() -> Column:
@@ -80,12 +74,12 @@ def from_geoip() -> Column:
 
 def with_district(c: Column) -> Column:
     """A Hong Kong district becomes Hong Kong."""
-    hit = geo.same_country(c["country"], F.lit("HK")) & F.coalesce(geo.city_name(c["city"]).isin(dims.HONG_KONG_DISTRICTS), F.lit(False))
+    hit = F.coalesce(c["cc"] == "hk", F.lit(False)) & F.coalesce(geo.city_name(c["city"]).isin(dims.HONG_KONG_DISTRICTS), F.lit(False))
     said = F.concat(c["city"], F.lit(" normalized to Hong Kong metro for route readability"))
     hk = dims.CITIES[3]
     moved = F.struct(
         c["source"].alias("source"), F.lit(hk[0]).alias("city"), F.lit(hk[1]).alias("country"), F.lit(hk[2]).alias("lat"), F.lit(hk[3]).alias("lon"),
-        c["confidence"].alias("confidence"), F.when(c["precision"] == "exact", "city").otherwise(c["precision"]).alias("precision"), F.array_append(c["evidence"], said).alias("evidence"),
+        c["confidence"].alias("confidence"), F.when(c["precision"] == "exact", "city").otherwise(c["precision"]).alias("precision"), F.lit("hk").alias("cc"), F.array_append(c["evidence"], said).alias("evidence"),
     ).cast(CANDIDATE)
     return F.when(hit, moved).otherwise(c)
 
@@ -93,11 +87,11 @@ def with_district(c: Column) -> Column:
 def downgraded(c: Column, src_metro: Column, rtt: Column) -> Column:
     """Public evidence within the source's own metropolitan area at low latency says no more than the area."""
     label, country, lat, lon, limit = (F.get(F.array(*(F.lit(m[i]) for m in dims.METROS)), src_metro) for i in (1, 2, 3, 4, 6))
-    hit = F.coalesce(c["source"].isin(*WEAK) & rtt.isNotNull() & (src_metro == geo.metro_index(c["city"], c["country"], c["lat"], c["lon"])) & (rtt <= limit), F.lit(False))
+    hit = F.coalesce(src_metro.isNotNull() & rtt.isNotNull() & (rtt <= limit) & c["source"].isin(*WEAK) & (src_metro == geo.metro_index(c["city"], c["cc"], c["lat"], c["lon"])), F.lit(False))
     said = F.concat(F.lit("Public geolocation is inside the same low-latency "), label, F.lit("; downgraded to metro-level estimate"))
     moved = F.struct(
         c["source"].alias("source"), label.alias("city"), country.alias("country"), lat.alias("lat"), lon.alias("lon"), F.lit("medium").alias("confidence"),
-        F.lit("metro").alias("precision"), F.array_append(c["evidence"], said).alias("evidence"),
+        F.lit("metro").alias("precision"), F.lower(country).alias("cc"), F.array_append(c["evidence"], said).alias("evidence"),
     ).cast(CANDIDATE)
     return F.when(hit, moved).otherwise(c)
 
@@ -116,7 +110,7 @@ def conflicts(c: Column, all_: Column) -> Column:
 
     def against(s: Column) -> Column:
         far = distance(c, s)
-        return s["source"].isin(*STRONG) & (far >= 120) & (~geo.same_country(c["country"], s["country"]) | (far > 320))
+        return s["source"].isin(*STRONG) & (far >= 120) & (~F.coalesce(c["cc"] == s["cc"], F.lit(False)) | (far > 320))
 
     return c["source"].isin(*WEAK) & F.exists(all_, against)
 
@@ -134,7 +128,7 @@ def base_score(c: Column) -> Column:
 def agreement(c: Column, i: Column, all_: Column) -> Column:
     """Support of the other candidates, by place in the array: two equal ones support each other."""
     others = F.filter(F.transform(all_, lambda o, j: F.struct(j.alias("j"), o.alias("o"))), lambda x: x["j"] != i)
-    one = lambda x: F.when(distance(c, x["o"]) < 90, 12).when(geo.same_country(c["country"], x["o"]["country"]), 4).otherwise(0)
+    one = lambda x: F.when(distance(c, x["o"]) < 90, 12).when(c["cc"] == x["o"]["cc"], 4).otherwise(0)
     return F.aggregate(others, F.lit(0), lambda a, x: a + one(x))
 
 
@@ -181,7 +175,7 @@ def chosen(hops: DataFrame) -> DataFrame:
     agree = F.coalesce((distance(rev, gip) < 90) | (F.lower(rev["city"]) == F.lower(gip["city"])), F.lit(False))
     combined = F.struct(
         F.lit("combined").alias("source"), rev["city"].alias("city"), rev["country"].alias("country"), rev["lat"].alias("lat"), rev["lon"].alias("lon"),
-        F.lit("high").alias("confidence"), rev["precision"].alias("precision"), F.concat(rev["evidence"], gip["evidence"]).alias("evidence"),
+        F.lit("high").alias("confidence"), rev["precision"].alias("precision"), rev["cc"].alias("cc"), F.concat(rev["evidence"], gip["evidence"]).alias("evidence"),
     ).cast(CANDIDATE)
     best = F.get("filtered", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
     return hops.withColumn("location", F.when(agree, combined).otherwise(best)).drop("rev", "gip")
