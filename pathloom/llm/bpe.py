@@ -26,7 +26,7 @@ from pathloom.llm.common import table
 CHUNK = 32_768
 OVERLAP = 1_024
 #: Words whose ids a task remembers; beyond it forgets them all.
-REMEMBER = 300_000
+REMEMBER = 60_000
 OUT_BYTES = 8 << 20
 _ODD = re.compile(r" \s| \Z")
 
@@ -38,6 +38,14 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=2)
+def _words(path: str) -> list[bytes]:
+    """The raw bytes of each id; ids that the file leaves out have none."""
+    with open(path, "rb") as f:
+        words = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [words.get(i, b"") for i in range(max(words, default=-1) + 1)]
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -204,19 +212,14 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     return short.union(long).withColumnRenamed("key", key)
 
 
-def decode(ids: DataFrame, column: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(ids: DataFrame, column: str = "ids", path: str | None = None) -> DataFrame:
     """The table with `column` replaced by the raw bytes that its ids stand for, named `decoded`; null and empty give no bytes."""
-    if path is None or pattern is None:
-        own_path, own_pattern = _vocabulary()
-        path, pattern = path or own_path, pattern or own_pattern
+    path = path or _vocabulary()[0]
     at = ids.columns.index(column)
     schema = ", ".join("decoded binary" if i == at else f"`{c}` {t}" for i, (c, t) in enumerate(ids.dtypes))
 
     def run(batches):
-        enc = _encoding(path, pattern)
-        words = [b""] * enc.n_vocab
-        for word, i in enc._mergeable_ranks.items():
-            words[i] = word
+        words = _words(path)
         for b in batches:
             a = 0
             while a < b.num_rows:

@@ -29,6 +29,8 @@ BUCKETS = 1 << 22
 THRESHOLD = 0.3
 MEMBERS = 3
 PIECE = 1 << 20
+#: Tokens whose features a task remembers; beyond it forgets them all.
+REMEMBER = 60_000
 
 
 def tokens(text: str | None) -> set[str]:
@@ -98,6 +100,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = set()
             for t in tokens(text):
                 if (f := known.get(t)) is None:
+                    if len(known) > REMEMBER:
+                        known.clear()
                     f = known[t] = features(t)
                 found.update(f)
             at = pos if y else unl
@@ -143,6 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 got = set()
                 for t in tokens(x):
                     if (f := known.get(t)) is None:
+                        if len(known) > REMEMBER:
+                            known.clear()
                         f = known[t] = [columns[i] for i in features(t) if i in columns]
                     got.update(f)
                 out.append(sorted(got))
@@ -178,7 +184,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
                     f = known.get(t)
                     if f is None:
                         f = tuple(columns[i] for i in features(t) if i in columns)
-                        if len(known) > 500_000:
+                        if len(known) > REMEMBER:
                             known.clear()
                         if len(t) <= 40:
                             known[t] = f
