@@ -155,6 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             yield pd.DataFrame({"positive": b["positive"], "found": out})
 
     seen = sample.mapInPandas(found, "positive boolean, found array<int>").toPandas()
+    # In an order of their own, however they came in, so that a rerun fits the same.
+    found_, mark = [x.tolist() for x in seen["found"]], seen["positive"].tolist()
+    seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (mark[i], found_[i]))]
     positive = seen["positive"].to_numpy(bool)
     lengths = seen["found"].map(len).to_numpy()
     cols = np.concatenate([np.asarray(x, np.int64) for x in seen["found"]]) if lengths.sum() else np.zeros(0, np.int64)
