@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import table
+from pathloom.llm.common import table, text_batches
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -205,6 +205,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     if path is None or pattern is None:
         own_path, own_pattern = _vocabulary()
         path, pattern = path or own_path, pattern or own_pattern
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     short = _encoded(rows.where(F.char_length("text") <= chunk), path, pattern)
     pieces = _encoded(_stitched(rows.where(F.char_length("text") > chunk), pattern, chunk, overlap), path, pattern)

@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand texts to Python in batches of `rows` rows, unless the session has its own setting.
+
+    The default, 10,000 rows, is meant for narrow rows: of texts, several such batches at once are most of an executor's
+    memory outside the heap. The setting holds for the session, as it is read when a job starts.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     return next(x for x in (f"__{stem}_{next(_names)}" for _ in itertools.count()) if x not in df.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import word_encoder
-from pathloom.llm.common import parts_for_bytes, shared_folder, table
+from pathloom.llm.common import parts_for_bytes, shared_folder, table, text_batches
 from pathloom.llm.ranges import range_bounds, range_of
 
 END = 0
@@ -183,6 +183,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
+    text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     parts = parts_for_bytes(rows, "body", 16)
     rows = rows.withColumn("range", range_of(F.col("key"), range_bounds(rows, "key", parts)))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import LocalSets, checkpointed, components, fresh, table
+from pathloom.llm.common import LocalSets, checkpointed, components, fresh, table, text_batches
 
 SEED = 42
 #: Rows of one cell that a task compares with each other; larger cells are dealt out as pairs of tiles.
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             fp = np.fromiter((simhash(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
+    text_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 

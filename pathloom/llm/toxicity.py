@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import fresh, table
+from pathloom.llm.common import fresh, table, text_batches
 
 #: Rows to fit on: about so many confirmed and so many unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -119,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     With no labels or no toxic ones the model gives 0 throughout. What reaches the driver is the sample's selected features:
     POSITIVES + UNLABELLED rows of at most FEATURES, and as many feature counts.
     """
+    text_batches(docs.sparkSession)
     n, y, q = labels.where("toxic is not null").agg(F.count("*"), F.coalesce(F.avg(F.col("toxic").cast("double")), F.lit(0.0)), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     total = docs.count()
     if not n or not q or not total:
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     seen = sample.mapInPandas(found, "positive boolean, found array<int>").toPandas()
     # In an order of their own, however they came in, so that a rerun fits the same.
-    found_, mark = [x.tolist() for x in seen["found"]], seen["positive"].tolist()
+    found_, mark = [list(x) for x in seen["found"]], seen["positive"].tolist()
     seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (mark[i], found_[i]))]
     positive = seen["positive"].to_numpy(bool)
     lengths = seen["found"].map(len).to_numpy()
@@ -172,6 +173,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     Null and empty texts have a score as well, that of a text without features; each row is scored on its text alone, so
     repeated rows agree. A column of the same name is replaced. An empty table stays empty.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop(name)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])

@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import table
+from pathloom.llm.common import table, text_batches
 
 END = "</w>"
-REMEMBER = 500_000
+REMEMBER = 60_000
 
 
 class Automaton:
@@ -150,6 +150,7 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
                 tokens.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["key", "n_words", "n_tokens"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
     return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, n_words long, n_tokens long").withColumnRenamed("key", key)
 
