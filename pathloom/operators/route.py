@@ -114,9 +114,12 @@ def listed(values: Column, more: str, otherwise: Column) -> Column:
 
 
 def loss_label(loss: Column) -> Column:
-    """A percentage with a decimal only where it has one; exact ties of the binary value go up."""
-    exact = F.round(loss.cast("decimal(38,20)"), 1).cast("decimal(20,1)").cast("string")
-    return F.when(loss % 1 == 0, F.concat(loss.cast("long").cast("string"), F.lit("%"))).otherwise(F.concat(exact, F.lit("%")))
+    """A percentage with a decimal only where it has one; the binary value is rounded, and its exact ties go up."""
+    # From 1/16 on, 2^56 times the fraction is whole. Below, 0.1 begins at the double next to 0.05, which is above it.
+    tenths = F.shiftright(((loss - F.floor(loss)) * float(1 << 56)).cast("long") * 10 + (1 << 55), 56)
+    tenths = F.floor(loss) * 10 + F.when(loss >= 0.0625, tenths).otherwise((loss >= 0.05).cast("long"))
+    exact = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.concat(F.when(loss % 1 == 0, loss.cast("long").cast("string")).otherwise(exact), F.lit("%"))
 
 
 def metric_label(rtt: Column, loss: Column, status: Column) -> Column:
