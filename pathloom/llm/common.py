@@ -57,6 +57,17 @@ def parts_for_bytes(df: DataFrame, col: str, mb: int) -> int:
     return max(shuffle_partitions(df.sparkSession), -(-int(total) // (mb << 20)), 1)
 
 
+def word_runs(data: bytes, size: int):
+    """The words of data in runs of about `size` bytes, so a huge text never becomes one list of words."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + size)
+        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+            end = min([x for x in (data.find(c, end) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")) if x >= 0], default=len(data))
+        yield data[at:end].split()
+        at = end
+
+
 class LocalSets:
     """Disjoint sets over 0..n-1 fed with arrays of pairs; the label of a set is its smallest member."""
 

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import LocalSets, checkpointed, components, fresh, table, text_batches
+from pathloom.llm.common import LocalSets, checkpointed, components, fresh, table, text_batches, word_runs
+from pathloom.llm.near import marked, similar_links
 
 SEED = 42
 #: Rows of one cell that a task compares with each other; larger cells are dealt out as pairs of tiles.
@@ -28,17 +29,6 @@ PIECE = 1 << 20
 EVEN = 0x5555555555555555
 
 
-def _word_runs(data: bytes, size: int):
-    """The words of data in runs of about `size` bytes, so a huge text never becomes one list of words."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + size)
-        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-            end = min([x for x in (data.find(c, end) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")) if x >= 0], default=len(data))
-        yield data[at:end].split()
-        at = end
-
-
 def simhash(text: str | None, n: int = 4) -> int:
     """The fingerprint of a text: words are runs of bytes other than ASCII white space, A-Z in lower case; null is empty.
 
@@ -52,7 +42,7 @@ def simhash(text: str | None, n: int = 4) -> int:
         ones[:] += bits.sum(axis=0, dtype=np.int64)
         total += len(hashes)
 
-    for words in _word_runs((text or "").encode().lower(), PIECE):
+    for words in word_runs((text or "").encode().lower(), PIECE):
         words = tail + words
         if len(words) >= n:
             joined = b" ".join(words)
@@ -180,13 +170,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The documents, one of each near-duplicate group: the row of the group's smallest key (of equal rows with that key, one).
 
-    Columns stay as they are. Rows with a null key go only where their group holds a key.
+    Columns stay as they are. Near duplicates here are texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
+    and groups are what links between them reach; texts without words are alike.
     """
-    groups = near_duplicates(docs, text, key, shingle).select(key, "component").distinct()
-    first = groups.where(F.col(key).eqNullSafe(F.col("component"))).select(key)
+    text_batches(docs.sparkSession)
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    marks = checkpointed(marked(rows, shingle))
+    marks = marks.join(components(similar_links(rows, marks, shingle)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     k = fresh(docs, "key")
-    kept = docs.join(first.withColumnRenamed(key, k), docs[key].eqNullSafe(F.col(k)), "left_semi")
-    return kept.dropDuplicates([key]) if docs.columns else kept
+    first = marks.groupBy("root").agg(F.min("key").alias(k)).select(k)
+    return docs.join(first, docs[key].eqNullSafe(F.col(k)), "left_semi").dropDuplicates([key])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
