@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The documents, one of each near-duplicate group: the row of the group's smallest key (of equal rows with that key, one).
 
-    Columns stay as they are. Near duplicates here are texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
+    Rows are told apart by key and text, so rows that share a key but not a group, or have none, stand for themselves; a row
+    without a key is the last of its group. Columns stay as they are. Near duplicates here are texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
     and groups are what links between them reach; texts without words are alike.
     """
     text_batches(docs.sparkSession)
@@ -178,9 +179,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"))
     marks = checkpointed(marked(rows, shingle))
     marks = marks.join(components(similar_links(rows, marks, shingle)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    k = fresh(docs, "key")
-    first = marks.groupBy("root").agg(F.min("key").alias(k)).select(k)
-    return docs.join(first, docs[key].eqNullSafe(F.col(k)), "left_semi").dropDuplicates([key])
+    k, t, tag = fresh(docs, "key"), fresh(docs, "tag"), fresh(docs, "own_tag")
+    first = marks.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "tag")).alias("first"))
+    first = first.select(F.col("first.key").alias(k), F.col("first.tag").alias(t))
+    tagged = docs.withColumn(tag, F.xxhash64(body))
+    kept = tagged.join(first, tagged[key].eqNullSafe(F.col(k)) & (F.col(tag) == F.col(t)), "left_semi")
+    return kept.dropDuplicates([key, tag]).drop(tag)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

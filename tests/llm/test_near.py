@@ -47,3 +47,12 @@ def test_one_of_each_group_by_brute_force(spark):
             root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in sh.keep_one(df).collect()) == sorted(set(root))
+
+
+def test_rows_without_a_key_and_keys_of_several_groups(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (4, text("c")), (7, text("d")), (7, text("e")), (5, text("e")), (7, text("f")), (7, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sh.keep_one(df)
+    want = [(None, text("a")), (None, text("b")), (4, text("c")), (7, text("d")), (5, text("e")), (7, text("f"))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.columns == df.columns
