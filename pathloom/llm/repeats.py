@@ -8,6 +8,10 @@ windows are sorted as suffixes, neighbours with common prefixes make intervals,
 An interval is a maximal repeat if what stands left of its occurrences differs, or lies outside the segment. Each of its
 occurrences but the earliest is covered by an earlier equal string.
 
+An anchor with more than HOT contents, such as a line that many documents have with other text around it, is not sorted in one
+task: each of its windows of `least` bytes goes on by itself, to where the digest of the whole window says, and all but the
+earliest of equal windows are covered. Equal windows of one task fold before they move.
+
 Tables of segments move as binary columns, a block for each pair of tasks; parts grow in number with the input, and copies
 within a batch are folded before they move.
 """
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +30,11 @@ from pathloom.llm.common import parts_for_bytes, table
 
 LEAST, GRAM = 100, 32
 BLOCK = 8 << 20
+#: Contents of one anchor above which its windows are dealt out one by one; WIDE marks such segments in their count of windows.
+HOT, WIDE = 4096, np.uint16(1 << 15)
 SEGMENT = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("home", "<u4"), ("windows", "<u2")])
 COVER = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("end", "<u4"), ("home", "<u4")])
-KIND_COVER, KIND_SEGMENT, KIND_TEXT = 0, 1, 2
+KIND_COVER, KIND_SEGMENT, KIND_TEXT, KIND_WINDOW = 0, 1, 2, 3
 MOVED = "part int, kind int, rows binary, bytes binary"
 NAMES, TYPES = ["part", "kind", "rows", "bytes"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 _BYTE = np.random.default_rng(100).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,13 +184,34 @@ def _gathered(t: pa.Table, kind: int, dtype: np.dtype) -> tuple[np.ndarray, np.n
     return (np.concatenate(rows) if rows else np.zeros(0, dtype)), np.frombuffer(b"".join(raw), np.uint8)
 
 
-def _match(t: pa.Table) -> pa.Table:
+def _match(hot: int):
     """Folds equal segments of a part; those that share their anchor with other contents go to their documents for their bytes."""
-    rows, cover = folded(_gathered(t, KIND_SEGMENT, SEGMENT)[0])
-    more = rows["bucket"][1:] == rows["bucket"][:-1]
-    rows = rows[np.r_[more, False] | np.r_[False, more]] if len(rows) else rows
-    cover = merged(np.concatenate([cover, _gathered(t, KIND_COVER, COVER)[0]]))
-    return _table([*dealt(rows, rows["home"], KIND_SEGMENT), *dealt(cover, cover["home"], KIND_COVER)])
+
+    def run(t: pa.Table) -> pa.Table:
+        rows, cover = folded(_gathered(t, KIND_SEGMENT, SEGMENT)[0])
+        first = np.flatnonzero(np.r_[True, rows["bucket"][1:] != rows["bucket"][:-1]]) if len(rows) else np.zeros(0, int)
+        size = np.diff(np.r_[first, len(rows)])
+        size = np.repeat(size, size)
+        rows["windows"][size > hot] |= WIDE
+        rows = rows[size > 1]
+        cover = merged(np.concatenate([cover, _gathered(t, KIND_COVER, COVER)[0]]))
+        return _table([*dealt(rows, rows["home"], KIND_SEGMENT), *dealt(cover, cover["home"], KIND_COVER)])
+
+    return run
+
+
+def single_windows(rows: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The windows of segments that begin at data[begin], each as a segment whose bucket and content are its 128-bit digest."""
+    counts = rows["windows"].astype(np.int64)
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.repeat(rows, counts)
+    out["start"] += offset.astype(np.uint32)
+    out["windows"] = 1
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh128_digest
+    own = b"".join(digest(view[p : p + LEAST]) for p in (np.repeat(begin, counts) + offset).tolist())
+    halves = np.frombuffer(own, "<u8").reshape(-1, 2)
+    out["bucket"], out["content"] = halves[:, 0], halves[:, 1]
+    return out
 
 
 def _fetch(parts: int):
@@ -198,6 +226,15 @@ def _fetch(parts: int):
             # Rows of one document and text may repeat: each stands for all.
             keys = list(zip(rows["doc"].tolist(), rows["tag"].tolist()))
             begin = np.fromiter((at[k] for k in keys), np.int64, len(keys)) + rows["start"]
+            wide = rows["windows"] >= WIDE
+            if wide.any():
+                apart = rows[wide]
+                apart["windows"] ^= WIDE
+                windows, cover = folded(single_windows(apart, data, begin[wide]))
+                out += dealt(windows, (windows["bucket"] % np.uint64(parts)).astype(np.int64), KIND_WINDOW)
+                out += dealt(cover, cover["home"], KIND_COVER)
+                rows, begin = rows[~wide], begin[~wide]
+        if len(rows):
             lengths = rows["windows"].astype(np.int64) + LEAST - 1
             raw = np.concatenate([data[b : b + n] for b, n in zip(begin.tolist(), lengths.tolist())])
             out += dealt(rows, (rows["bucket"] % np.uint64(parts)).astype(np.int64), KIND_TEXT, raw, lengths)
@@ -280,9 +317,9 @@ def maximal_repeats(rows: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, n
 
 
 def _repeats(t: pa.Table) -> pa.Table:
-    """Covers from the maximal repeats of a part's segments: every occurrence but the earliest."""
+    """Covers from the maximal repeats of a part's segments, and from its single windows: every occurrence but the earliest."""
     rows, data = _gathered(t, KIND_TEXT, SEGMENT)
-    found = [_gathered(t, KIND_COVER, COVER)[0]]
+    found = [_gathered(t, KIND_COVER, COVER)[0], folded(_gathered(t, KIND_WINDOW, SEGMENT)[0])[1]]
     if len(rows):
         for length, segment, offset in maximal_repeats(rows, data):
             own = rows[segment]
@@ -316,7 +353,7 @@ def _cut(docs: pa.Table, t: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept) of every row: its bytes without those that a string of LEAST bytes covers which
     also starts earlier, in a smaller key or further to the front of the same text.
 
@@ -328,7 +365,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     parts = parts_for_bytes(rows, "body", 8)
     rows = rows.select(F.coalesce("own", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("body", F.col("own").isNull()).alias("tag"), "body")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "tag"), F.lit(parts)).cast("int"))
-    moved = rows.mapInArrow(_scan(parts), MOVED).groupBy("part").applyInArrow(_match, MOVED)
+    moved = rows.mapInArrow(_scan(parts), MOVED).groupBy("part").applyInArrow(_match(hot), MOVED)
     by_part = rows.groupBy("part")
     moved = by_part.cogroup(moved.groupBy("part")).applyInArrow(_fetch(parts), MOVED).groupBy("part").applyInArrow(_repeats, MOVED)
     out = by_part.cogroup(moved.groupBy("part")).applyInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")

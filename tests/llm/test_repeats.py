@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from pathloom.llm import repeats as rp
@@ -65,3 +67,29 @@ def test_stack_scan_gives_nested_maximal_repeats():
 def test_covers_merge():
     c = np.array([(1, 0, 5, 9, 0), (1, 0, 0, 5, 0), (2, 0, 1, 3, 0), (1, 0, 20, 30, 0), (1, 0, 21, 22, 0), (1, 0, 29, 31, 0)], rp.COVER)
     assert [(int(r["doc"]), int(r["start"]), int(r["end"])) for r in rp.merged(c)] == [(1, 0, 9), (1, 20, 31), (2, 1, 3)]
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_match_the_definition(spark, hot):
+    docs = made(random.Random(12))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rp.without_repeats(df, hot=hot).collect()}
+    assert got == slow({i: t.encode() for i, t in docs.items()})
+
+
+def test_a_line_of_many_documents_spreads_over_the_parts():
+    rng, line, n, parts = random.Random(4), "".join(random.Random(2).choices("abcdefgh ", k=60)), 600, 8
+    around = lambda: "".join(rng.choices("ijklmnop", k=90))
+    texts = [around() + line + around() for _ in range(n)]
+    docs = pa.table({"doc": list(range(n)), "tag": [0] * n, "part": pa.array([i % parts for i in range(n)], pa.int32()), "body": texts})
+
+    def by_part(tables):
+        t = pa.concat_tables(tables)
+        return [t.filter(pc.equal(t["part"], p)) for p in range(parts)]
+
+    moved = by_part([pa.Table.from_batches(rp._scan(parts)(docs.to_batches()))])
+    moved = by_part([rp._match(100)(t) for t in moved])
+    moved = by_part([rp._fetch(parts)(docs.filter(pc.equal(docs["part"], p)), t) for p, t in enumerate(moved)])
+    windows = [len(rp._gathered(t, rp.KIND_WINDOW, rp.SEGMENT)[0]) for t in moved]
+    assert min(windows) > n and max(windows) < 1.2 * min(windows)
+    assert max(len(rp._gathered(t, rp.KIND_TEXT, rp.SEGMENT)[0]) for t in moved) < n / parts
