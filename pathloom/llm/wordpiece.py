@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 
 import pyarrow as pa
 import regex
@@ -107,12 +108,12 @@ def counter(path: str, remember: int = REMEMBER):
         return sum(automaton.count("".join(map(table_.__getitem__, m.group().encode()))) for m in pattern.finditer(s))
 
     def count(text: str) -> int:
-        # Words never span white space, and lower case looks at no more than the word.
+        # The vocabulary's reading: composed (NFC), lower case. Words never span white space, and neither step looks beyond one.
         total = 0
         for w in text.split():
             n = known.get(w)
             if n is None:
-                n = part(w.lower())
+                n = part(unicodedata.normalize("NFC", w).lower())
                 if len(known) > remember:
                     known.clear()
                 if len(w) <= 40:

@@ -1,5 +1,6 @@
 import json
 import random
+import unicodedata
 
 import public_tokenizers
 import regex
@@ -44,3 +45,12 @@ def test_whole_texts(spark):
         assert got[i] == (len((t or "").split()), sum(greedy("".join(table[b] for b in w.encode()), pieces) for w in words))
     assert got[len(texts) - 1] == (600_000, 600_000)
     assert wp.token_counts(docs.limit(0)).count() == 0
+
+
+def test_decomposed_text_counts_as_composed(spark):
+    texts = ["schönes Öl, café crème À BIENTÔT", "naïve Zoë naïve", "한국어 漢字"]
+    docs = spark.createDataFrame([(i, unicodedata.normalize(form, t)) for i, t in enumerate(texts) for form in ("NFC", "NFD")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, r.n_tokens) for r in wp.token_counts(docs).collect()}
+    assert len(got) == len(texts)
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        assert "NFC" in json.dumps(json.load(f)["normalizer"])
