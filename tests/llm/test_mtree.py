@@ -26,22 +26,33 @@ def slow(rows, k=5):
 def test_matches_brute_force(spark, monkeypatch):
     rows = made()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim string").repartition(3)
-    for shard, block in ((8_192, 2_048), (100, 7)):
-        monkeypatch.setattr(mt, "SHARD", shard)
+    for page, block in ((1_024, 4_096), (40, 7)):
         monkeypatch.setattr(mt, "BLOCK", block)
-        got = mt.top_k(df, df.where("vec_id % 50 = 0")).collect()
+        got = mt.top_k(df, df.where("vec_id % 50 = 0"), page=page).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == slow(rows)
     assert mt.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert mt.top_k(df, df.limit(0)).count() == 0
 
 
-def test_bounds_save_distances():
+def test_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.25, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = mt.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(50, 1, 1, 32768), (50, 2, 2, 32768), (50, 3, 1, 16384), (50, 4, 2, 16384)]
+    import duckdb
+
+    t = df.toPandas()
+    sql = duckdb.sql(mt.OP8_SQL.replace("FROM embeddings", "FROM t")).fetchall()
+    assert len(t) == 6 and sorted(sql) == [(50, 1, 1, 32768), (50, 2, 2, 32768), (50, 3, 1, 16384), (50, 4, 2, 16384)]
+
+
+def test_parent_distances_save_products():
     rng = np.random.default_rng(1)
-    centres = rng.integers(-300, 300, (20, 6))
-    points = centres[rng.integers(0, 20, 4000)] + rng.integers(-3, 4, (4000, 6))
-    tree = {}
-    for p in mt.build(np.arange(4000), points, 6):
-        shape = (-1, 6) if p["leaf"] else (-1, 7)
-        tree[p["page"]] = p | {"points": np.frombuffer(p["points"], "<i8" if p["leaf"] else "<f8").reshape(shape)}
-    scores = points @ points[0]
-    best, took = mt.search(tree, 0, points[0], 5)
-    assert [s for s, _ in best] == sorted(np.delete(scores, 0), reverse=True)[:5] and took < 1000
+    points = np.column_stack([rng.integers(-300, 300, 4000), rng.integers(-3, 4, (4000, 5))])
+    tree = mt.Tree(float((points**2).sum(axis=1).max()), {6: points[:1]})
+    near = tree.to_pivots(6, points, True)[:, 0]
+    q = points[7:8]
+    scores = (points @ q[0])[np.arange(4000) != 7]
+    fifth = np.sort(scores)[-5]
+    found, took = mt.page_answers(np.arange(4000), near, points, np.array([7]), tree.to_pivots(6, q, False)[:, 0], tree.reach(q, np.array([float(fifth)])), q, 5)
+    assert np.concatenate(found)[:, 2].tolist() == np.sort(scores)[::-1][:5].tolist() and took < 4000
