@@ -52,6 +52,20 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def space_cuts(text: str) -> list[str]:
+    """The parts of a text between the spaces before which no pre-token goes on: those that something other than white space
+    follows. All parts but the first belong after a space."""
+    if not _ODD.search(text):
+        return text.split(" ")
+    out: list[str] = []
+    for p in text.split(" "):
+        if out and (not p or p[0].isspace()):
+            out[-1] += " " + p
+        else:
+            out.append(p)
+    return out
+
+
 def word_encoder(one: Callable[[str], list[int]], remember: int = REMEMBER) -> Callable[[str], bytes]:
     """Encodes texts word by word with `one`, remembering words; exact, as a pre-token never spans the place before a space
     that something other than white space follows."""
@@ -60,19 +74,8 @@ def word_encoder(one: Callable[[str], list[int]], remember: int = REMEMBER) -> C
     def ids(s: str) -> bytes:
         return np.array(one(s), "<u4").tobytes()
 
-    def cuts(text: str) -> list[str]:
-        if not _ODD.search(text):
-            return text.split(" ")
-        out: list[str] = []
-        for p in text.split(" "):
-            if out and (not p or p[0].isspace()):
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
-
     def encode(text: str) -> bytes:
-        first, *rest = cuts(text)
+        first, *rest = space_cuts(text)
         if len(known) > remember:
             known.clear()
         out = [known.get(p) for p in rest]

@@ -5,8 +5,8 @@ id, are one sequence. Frequent pairs of symbols are replaced by new symbols, aga
 rest of the sequence, and how many ids each rule expands to. With running sums over those lengths any stretch of ids can be
 found and expanded without the rest.
 
-File format: a folder of Parquet files with a row for each block, in ascending order: range int, block long, docs long,
-tokens long, data binary. data, all little-endian: the magic b"RPR1"; unsigned 32-bit: base (symbols below are ids), rules r,
+File format: a folder of Parquet files, part-00000 and on, in ascending order of the documents' keys, with a row for each block:
+file int, block long, docs long, tokens long, before long (ids of the file's earlier blocks), data binary. data, all little-endian: the magic b"RPR1"; unsigned 32-bit: base (symbols below are ids), rules r,
 sequence length n, documents d; r pairs of 32-bit symbols; r 32-bit expansion lengths; n 32-bit symbols; d 64-bit keys; d
 64-bit token counts.
 """
@@ -17,66 +17,88 @@ import functools
 import json
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import word_encoder
+from pathloom.llm.bpe import space_cuts
 from pathloom.llm.common import parts_for_bytes, shared_folder, table, text_batches
-from pathloom.llm.ranges import range_bounds, range_of
 
 END = 0
+#: Words whose ids a task remembers, about 100 MB; beyond it forgets them all.
+REMEMBER = 400_000
+# Fixed value: the pre-token pattern of byte-level vocabularies.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A block takes further documents until it holds so many ids.
 BLOCK_TOKENS = 1 << 20
-ROUNDS, LEAST, EACH = 12, 16, 512
+#: Least count of a pair, pairs of a round, and the share by which a round must shorten the sequence for another to follow.
+LEAST, EACH, GAIN = 16, 512, 0.02
+#: So many files at most; a file is written as it is read, so its size is no task's memory.
+MOST_FILES = 100_000
 MAGIC = b"RPR1"
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST, each: int = EACH) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence): the grammar of ids below base. Each round counts all neighbours, and replaces the most frequent pairs,
-    at most `each`, of which none shares a symbol's side with another, left to right."""
+def _frequent(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur `least` times or more, most frequent first, and their counts."""
+    pair = np.sort(pair)
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    count = np.diff(np.r_[first, len(pair)])
+    often = np.flatnonzero(count >= least)
+    often = often[np.argsort(-count[often], kind="stable")]
+    return pair[first[often]], count[often]
+
+
+def _slots(pair: np.ndarray) -> np.ndarray:
+    """A slot of a table of 2^16 for each pair."""
+    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.intp)
+
+
+def _chosen(pair: np.ndarray, count: np.ndarray, each: int) -> np.ndarray:
+    """The first pairs of which none shares a symbol's side or a slot with another, at most `each`: they can't overlap in the
+    sequence, but for a symbol with itself. What is left out comes in a later round."""
+    out, lefts, rights, slots = [], set(), set(), set()
+    for p, slot in zip(pair.tolist(), _slots(pair).tolist()):
+        a, b = p >> 32, p & 0xFFFFFFFF
+        if a not in rights and b not in lefts and (a != b or a not in lefts) and slot not in slots:
+            out.append(p)
+            lefts.add(a)
+            rights.add(b)
+            slots.add(slot)
+            if len(out) == each:
+                break
+    return np.array(out, np.int64)
+
+
+def compress(ids: np.ndarray, base: int, least: int = LEAST, each: int = EACH, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, sequence): the grammar of ids below base. Each round counts all neighbours by one sort and replaces the most
+    frequent pairs, at most `each`, left to right. It ends when no pair occurs `least` times or a round has shortened the
+    sequence by less than the share `gain`, which is when it costs more than it saves."""
     seq, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
+        before = len(seq)
         pair = (seq[:-1] << 32) | seq[1:]
-        # Only buckets of hashed pairs that could hold a frequent one are counted pair by pair.
-        bucket = ((pair * 0x9E3779B1) >> 13) & 0xFFFFF
-        often = np.bincount(bucket, minlength=1 << 20)
-        cut = max(least, int(np.partition(often, -each)[-each]))
-        kind, count = np.unique(pair[often[bucket] >= cut], return_counts=True)
-        keep = count >= least
-        kind, count = kind[keep], count[keep]
-        chosen, lefts, rights = [], set(), set()
-        for i in np.argsort(-count, kind="stable").tolist():
-            a, b = int(kind[i]) >> 32, int(kind[i]) & 0xFFFFFFFF
-            # Two pairs overlap in the sequence only where one's right symbol is the other's left symbol.
-            if a not in rights and b not in lefts and (a != b or a not in lefts):
-                chosen.append((a, b))
-                lefts.add(a)
-                rights.add(b)
-            if len(chosen) == each:
-                break
-        if not chosen:
+        new = _chosen(*_frequent(pair, least), each)
+        if not len(new):
             break
-        new = np.array(chosen, np.int64)
-        key = (new[:, 0] << 32) | new[:, 1]
-        order = np.argsort(key)
-        at = np.searchsorted(key[order], pair)
-        at[at == len(key)] = 0
-        hit = key[order][at] == pair
+        known, number = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64)
+        known[_slots(new)], number[_slots(new)] = new, base + len(rules) + np.arange(len(new))
+        slot = _slots(pair)
+        place = np.flatnonzero(known[slot] == pair)
         # A run of hits one after the other, as of one symbol with itself, is taken every second time.
-        place = np.flatnonzero(hit)
-        begin = np.r_[True, np.diff(place) > 1] if len(place) else np.zeros(0, bool)
-        first = np.maximum.accumulate(np.where(begin, place, 0)) if len(place) else place
+        begin = np.r_[True, np.diff(place) > 1]
+        first = np.maximum.accumulate(np.where(begin, place, 0))
         place = place[(place - first) % 2 == 0]
-        seq[place] = base + len(rules) + order[at[place]]
+        seq[place] = number[slot[place]]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
-        seq, rules = seq[stay], np.concatenate([rules, new])
+        seq, rules = seq[stay], np.concatenate([rules, np.column_stack([new >> 32, new & 0xFFFFFFFF])])
+        if before - len(seq) < gain * before:
+            break
     return rules, seq
 
 
@@ -157,18 +179,57 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable bytes for themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[Callable[[str], bytes], int]:
+    """Encodes a text as the library does, and the size of its vocabulary.
+
+    The library's model merges one pre-token at a time; each distinct word is handed to it once, cut into pre-tokens by
+    the vocabulary's pattern. Files of another kind (other normalizer or pre-tokenizer) go through the library whole.
+    """
     t = _tokenizer(path)
     with open(path) as f:
-        special = [x["content"] for x in json.load(f)["added_tokens"]]
-    by_word = word_encoder(lambda s: t.encode(s, add_special_tokens=False).ids)
+        config = json.load(f)
+    special, before = [x["content"] for x in config["added_tokens"]], config["pre_tokenizer"] or {}
+    plain = config["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if not plain:
+        return (lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()), t.get_vocab_size(with_added_tokens=True)
+    merge, letters, pieces = t.model.tokenize, _byte_letters(), regex.compile(PIECES)
+    known: dict[str, bytes] = {}
+
+    def piece(s: str) -> bytes:
+        return array("I", [x.id for x in merge((s if s.isascii() else s.encode().decode("latin-1")).translate(letters))]).tobytes()
+
+    marks = functools.lru_cache(4_096)(piece)
+
+    def word(s: str) -> bytes:
+        """The ids of a word with the space before it."""
+        if s.isalpha():
+            return piece(" " + s)
+        first, *rest = pieces.findall(" " + s)
+        return b"".join((known.get(first[1:]) or piece(first), *(marks(p) if len(p) < 4 else piece(p) for p in rest)))
 
     def encode(text: str) -> bytes:
         # A special token's string in a text may lie across words.
         if any(s in text for s in special):
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return by_word(text)
+        if len(known) > REMEMBER:
+            known.clear()
+        first, *rest = space_cuts(text)
+        new = set(rest).difference(known)
+        for s in new:
+            known[s] = word(s)
+        out = b"".join((*map(piece, pieces.findall(first)), *map(known.__getitem__, rest)))
+        for s in new:
+            if len(s) > 40:
+                del known[s]
+        return out
 
     return encode, t.get_vocab_size(with_added_tokens=True)
 
@@ -176,17 +237,19 @@ def _encoder(path: str) -> tuple[Callable[[str], bytes], int]:
 def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", path: str | None = None, end: int = END) -> None:
     """Write the ids of every whole text, each closed by the end id, in ascending order of the keys, in this module's format.
 
-    Keys are longs; null keys come first, as the least long. Null is the empty text, which is its end id alone. Rows that share
-    a key are in the order of their texts. An empty table gives a folder without blocks. Other columns are ignored.
+    Keys are longs; null keys come first, as the least long. Null is the empty text, which is its end id alone. Very long texts
+    are one document of one block, however many ids they have. Rows that share a key are in the order of their texts' hashes.
+    An empty table gives a folder without blocks. Other columns are ignored, whatever their names.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    parts = parts_for_bytes(rows, "body", 16)
-    rows = rows.withColumn("range", range_of(F.col("key"), range_bounds(rows, "key", parts)))
+    rows = rows.withColumn("tag", F.xxhash64("body"))
+    # Ranges in order, so the files are: partition i writes file i.
+    ordered = rows.repartitionByRange(min(parts_for_bytes(rows, "body", 16), MOST_FILES), "key", "tag").sortWithinPartitions("key", "tag", "body")
+    ordered = ordered.select(F.spark_partition_id().alias("file"), "key", "body")
 
     def run(batches):
         encode, base = _encoder(path)
@@ -194,25 +257,20 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
         keys: list[int] = []
         counts: list[int] = []
         held: list[bytes] = []
-        here, block, tokens = -1, 0, 0
+        file, block, before, tokens = 0, 0, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal block, tokens
+            nonlocal block, before, tokens
             if keys:
                 data = pack(keys, counts, np.frombuffer(b"".join(held), "<u4"), base)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([here], pa.int32()), pa.array([block], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([data], pa.binary())],
-                    ["range", "block", "docs", "tokens", "data"],
-                )
-                block, tokens = block + 1, 0
+                numbers = [pa.array([x], pa.int64()) for x in (block, len(keys), tokens, before)]
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), *numbers, pa.array([data], pa.binary())], ["file", "block", "docs", "tokens", "before", "data"])
+                block, before, tokens = block + 1, before + tokens, 0
                 for x in (keys, counts, held):
                     x.clear()
 
         for b in batches:
-            for r, k, body in zip(b.column("range").to_pylist(), b.column("key").to_pylist(), b.column("body")):
-                if r != here:
-                    yield from flush()
-                    here, block = r, 0
+            for file, k, body in zip(b.column("file").to_pylist(), b.column("key").to_pylist(), b.column("body")):
                 ids = encode(body.as_py()) + closing
                 keys.append(k)
                 counts.append(len(ids) // 4)
@@ -222,18 +280,17 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
                     yield from flush()
         yield from flush()
 
-    ordered = rows.repartition(parts, "range").sortWithinPartitions("range", "key", "body")
-    ordered.mapInArrow(run, "range int, block long, docs long, tokens long, data binary").write.mode("overwrite").parquet(folder)
+    text_batches(docs.sparkSession)
+    ordered.mapInArrow(run, "file int, block long, docs long, tokens long, before long, data binary").write.mode("overwrite").parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(key, start, n_tokens, ids): every document of a folder, start being how many ids lie before it; ids as binary."""
     blocks = spark.read.parquet(folder)
-    ranges = blocks.groupBy("range").agg(F.sum("tokens").alias("n"))
-    # One row for each range, of which there are MOST_RANGES at most.
-    ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before_range"))
-    places = blocks.select("range", "block", (F.sum("tokens").over(Window.partitionBy("range").orderBy("block")) - F.col("tokens")).alias("before")).join(ranges, "range")
-    placed = blocks.join(places.select("range", "block", (F.col("before") + F.col("before_range")).alias("start")), ["range", "block"]).select("start", "data")
+    files = blocks.groupBy("file").agg(F.sum("tokens").alias("n"))
+    # A row for each file, of which there are MOST_FILES at most: one task sums them up, and every task may hold them.
+    files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before_file"))
+    placed = blocks.join(F.broadcast(files), "file").select((F.col("before_file") + F.col("before")).alias("start"), "data")
 
     def run(batches):
         for b in batches:

@@ -47,3 +47,14 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     rp.write_ids(docs, str(tmp_path / "none"))
     assert rp.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_ascend(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rp, "parts_for_bytes", lambda *a: 4)
+    docs = spark.range(500).selectExpr("(id * 37) % 500 as doc_id", "repeat(concat('w', id, ' '), 20) as text").repartition(7)
+    rp.write_ids(docs, str(tmp_path / "ids"))
+    keys = []
+    for f in sorted((tmp_path / "ids").glob("part-*.parquet")):
+        for b in sorted(spark.read.parquet(str(f)).collect(), key=lambda r: r.block):
+            keys.append([k for k, _ in rp.Block(bytes(b.data)).documents()])
+    assert len(keys) > 2 and [k for x in keys for k in x] == list(range(500))
