@@ -56,3 +56,26 @@ def test_rows_without_a_key_and_keys_of_several_groups(spark):
     got = sh.keep_one(df)
     want = [(None, text("a")), (None, text("b")), (4, text("c")), (7, text("d")), (5, text("e")), (7, text("f"))]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.columns == df.columns
+
+
+def test_a_large_group_of_half_alike_texts(spark, monkeypatch):
+    """Many texts that meet in the same cells, most pairs below the limit: links are exact, and in tiles as well."""
+    rng, base = random.Random(4), [f"w{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, rng.choice([1, 2, 3]))) for _ in range(70)]
+    sets, root = [slow_set(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if likeness(sets[i], sets[j]) >= 0.8:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 3 < len(set(root)) < 65
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for tile in (512, 16):
+        monkeypatch.setattr(near, "TILE", tile)
+        assert sorted(r.doc_id for r in sh.keep_one(df).collect()) == sorted(set(root))
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(near, "WIDE", 7)
+    rng = random.Random(6)
+    own = [sorted(rng.sample(range(60), rng.randint(0, 30))) for _ in range(20)]
+    got = near.shared([near.np.array(x, near.np.int64) for x in own])
+    assert all(got[i, j] == len(set(own[i]) & set(own[j])) for i in range(20) for j in range(20) if i != j)
