@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MINUTE_MS, HOUR_MS, PER_MINUTE, PER_HOUR = 60_000, 3_600_000, 8, 80
@@ -48,21 +49,28 @@ def limited(requests: DataFrame) -> DataFrame:
     return rows.repartition("client").sortWithinPartitions("client", "ts_ms", "seq").mapInPandas(run, OUT)
 
 
-def limited_stream(requests: DataFrame) -> DataFrame:
-    """The same on a stream; a client's state goes an hour after its last request."""
+def limited_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The same on a stream. Rows of one micro-batch count in the order of their times, and rows that come more than `delay`
+    behind the latest time are late and are dropped.
+
+    A client's state goes when the watermark has passed the end of both its windows: a client without state then is let in as
+    one with ended windows would be. Time is that of the requests, so a replayed log gives what it gave when it was written.
+    A client's rows of one micro-batch, of two longs each, are sorted together; maxFilesPerTrigger bounds them.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         now = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "seq"])
+        rows = pd.concat([b[["client", "seq", "ts_ms"]] for b in batches]).sort_values(["ts_ms", "seq"])
         said = []
         for ts in rows["ts_ms"].tolist():
             now, ok = admit(now, ts)
             said.append(ok)
         state.update(now)
-        state.setTimeoutDuration(HOUR_MS)
-        yield rows[["client", "seq", "ts_ms"]].assign(allowed=said)
+        state.setTimeoutTimestamp(max(now[1], now[3], state.getCurrentWatermarkMs()) + 1)
+        yield rows.assign(allowed=said)
 
-    return requests.select("client", "seq", "ts_ms").groupBy("client").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.select("client", "seq", "ts_ms", F.timestamp_millis("ts_ms").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("client").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -69,12 +69,12 @@ def test_streams_agree_with_batch(spark, tmp_path):
     events = replay.batch(spark, str(tmp_path / "log"))
     assert events.count() == 120
     q = ev.upsert_stream(replay.stream(spark, str(tmp_path / "log"), 1), str(tmp_path / "state"), str(tmp_path / "checkpoint"))
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
     assert last == 2 and hops(spark.read.parquet(str(tmp_path / "state" / f"version={last}"))) == hops(ev.upserted(events))
     asked = replay.stream(spark, str(tmp_path / "log"), 100).select(F.col("session_id").alias("client"), "seq", (F.col("ts_ms") / 20).cast("long").alias("ts_ms"))
     q = limits.limited_stream(asked).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "limits")).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     batch = limits.limited(events.select(F.col("session_id").alias("client"), "seq", (F.col("ts_ms") / 20).cast("long").alias("ts_ms")))
     key = lambda df: sorted((r.seq, r.allowed) for r in df.collect())
     assert key(spark.table("limited")) == key(batch) and not all(a for _, a in key(batch))
