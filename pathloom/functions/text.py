@@ -58,6 +58,15 @@ def normal_asn(s: C) -> C:
     return F.when(t == "AS???", t).when(is_digits(t, 10), F.concat(F.lit("AS"), t)).otherwise(asn_of(t))
 
 
+def stated_asn(s: C) -> C:
+    """The same of a measurement's own text, which may write the mark of an unknown network in any case."""
+    return F.when(F.upper(trimmed(s)) == "AS???", F.lit("AS???")).otherwise(normal_asn(s))
+
+
+def without_trailing_slashes(s: C) -> C:
+    return F.regexp_replace(s, r"/+\z", "")
+
+
 def without_asn_prefix(s: C) -> C:
     return or_null(trimmed(F.regexp_replace(s, r"^\s*[Aa][Ss][0-9]+ \s*", "")))
 

@@ -29,7 +29,7 @@ def raw_hops(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines to hops; lines that aren't hops go. All other columns stay."""
     shape = r"^([0-9]+)[.)]?\s+(.+)$"
     out = lines.where(F.col(line).rlike(shape)).withColumns({"hop_number": F.regexp_extract(line, shape, 1).try_cast("int"), "rest": F.regexp_extract(line, shape, 2)})
-    out = out.withColumn("tokens", t.words(F.col("rest"))).withColumn("own_asn", t.normal_asn(F.get("tokens", F.lit(0))))
+    out = out.withColumn("tokens", t.words(F.col("rest"))).withColumn("own_asn", t.stated_asn(F.get("tokens", F.lit(0))))
     out = out.withColumn("tokens", F.when(F.col("own_asn").isNotNull(), F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1)))).otherwise(F.col("tokens")))
     stars = F.size(F.filter("tokens", lambda x: x == "*"))
     out = out.withColumn("waiting", F.contains(F.col("rest"), F.lit("(waiting for reply)")) | (stars >= 2))
@@ -53,91 +53,169 @@ def raw_hops(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.drop("rest", "tokens", "own_asn", "waiting", "at")
 
 
-def _kind(v: str) -> str:
-    return f"schema_of_variant({v})"
+def _get(v: str, path: str) -> str:
+    return f"try_variant_get({v}, '$.{path}', 'variant')"
+
+
+def _object(v: str, path: str) -> str:
+    """What lies at the path as a map, if it is an object."""
+    return f"try_variant_get({v}, '$.{path}', 'map<string, variant>')"
 
 
 def _number(v: str) -> str:
     """A finite number, from a number only."""
-    kinds = "('BIGINT', 'DOUBLE', 'FLOAT')"
-    return f"case when {_kind(v)} in {kinds} or startswith({_kind(v)}, 'DECIMAL') then try_variant_get({v}, '$', 'double') end"
+    return f"case when rlike(schema_of_variant({v}), '^(BIGINT|DOUBLE|FLOAT|DECIMAL)') then try_variant_get({v}, '$', 'double') end"
+
+
+_SPACE = r"' \t\n\r\u000b\u000c'"
 
 
 def _string(v: str) -> str:
     """A text that isn't blank, trimmed, from a text only."""
-    return rf"case when {_kind(v)} = 'STRING' then nullif(regexp_replace(try_variant_get({v}, '$', 'string'), r'^\s+|\s+$', ''), '') end"
+    return f"case when schema_of_variant({v}) = 'STRING' then nullif(trim(both {_SPACE} from try_variant_get({v}, '$', 'string')), '') end"
 
 
 def _lenient(v: str) -> str:
-    """A number, or a text that reads as one."""
-    text = rf"regexp_replace(try_variant_get({v}, '$', 'string'), r'^\s+|\s*%?\s*$', '')"
-    return f"coalesce({_number(v)}, case when {_kind(v)} = 'STRING' then case when {text} = '' then 0D when {text} rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then try_cast({text} as double) end end)"
-
+    """A number, or a text that reads as one; one per cent sign at its end is dropped, and nothing else reads as 0."""
+    text = rf"trim(both {_SPACE} from regexp_replace(try_variant_get({v}, '$', 'string'), '%\\z', ''))"
+    read = rf"case when {text} = '' then 0D when {text} rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then try_cast({text} as double) end"
+    return f"case when schema_of_variant({v}) = 'STRING' then {read} else {_number(v)} end"
 
-def _get(v: str, path: str) -> str:
-    return f"try_variant_get({v}, '$.{path}', 'variant')"
 
+def _first(kind, *values: str) -> str:
+    return f"coalesce({', '.join(kind(v) for v in values)}, null)"
 
-def _first(kind, v: str, *keys: str) -> str:
-    return "coalesce(" + ", ".join(kind(_get(v, k)) for k in keys) + ", null)"
 
-
-def _asn(v: str) -> str:
-    """A network number from a number, digits, a text with "AS", or the mark of an unknown network."""
-    s = _string(v)
+def _plain_asn(v: str) -> str:
+    """A network number from a positive number, a text with "AS", digits, or the mark of an unknown network."""
+    said = _string(v)
     return (
-        f"coalesce(case when {_kind(v)} = 'BIGINT' then concat('AS', try_variant_get({v}, '$', 'bigint')) end, case when {s} = 'AS???' then 'AS???'"
-        rf" when {s} rlike '^[0-9]{{1,10}}$' then concat('AS', {s}) else concat('AS', nullif(regexp_extract({s}, r'(?<![A-Za-z0-9])[Aa][Ss]\s*([0-9]+)', 1), '')) end)"
+        f"case when schema_of_variant({v}) = 'STRING' then case when upper({said}) = 'AS???' then 'AS???' else coalesce("
+        rf"concat('AS', nullif(regexp_extract({said}, '(?<![A-Za-z0-9])[Aa][Ss]\\s*([0-9]+)', 1), '')), case when {said} rlike '^[0-9]{{1,10}}$' then concat('AS', {said}) end) end"
+        f" when {_number(v)} > 0 then concat('AS', cast(cast(floor({_number(v)}) as decimal(38, 0)) as string)) end"
     )
 
 
-ASN_KEYS = ["asn", "resolvedAsn", "as", "network.asn", "network.number", "as.asn", "as.id", "as.id.value", "as.number", "location.asn"]
+def _inner(v: str) -> str:
+    """What an object says of a network: the first of asn, number, id, value that is there and isn't null."""
+    return f"case when {v} is not null then coalesce(" + ", ".join(f"case when not is_variant_null({_get(v, k)}) then {_get(v, k)} end" for k in ("asn", "number", "id", "value")) + ") end"
+
+
+# The keys of a hop by field, in the order in which they are asked.
+ASN_KEYS = ("asn", "as", "asNumber", "autonomousSystem", "resolvedAsn", "resolvedASN")
+AS_NAME_KEYS = ("asName", "networkName", "autonomousSystemName", "owner")
+INNER_NAME_KEYS = ("name", "description", "owner")
+PLACE_OBJECTS = ("location", "geo", "geoip", "geolocation")
+CITY_KEYS, PLACE_CITY_KEYS = ("city", "resolvedCity"), ("city", "name")
+COUNTRY_KEYS, PLACE_COUNTRY_KEYS = ("country", "countryCode", "resolvedCountry"), ("country", "countryCode", "country_code")
+LATITUDE_KEYS, LONGITUDE_KEYS = ("latitude", "lat"), ("longitude", "lon", "lng")
+RTT_KEYS = ("rtt", "avg", "mean", "latency", "last")
+ADDRESS_KEYS, HOST_KEYS = ("resolvedAddress", "ip", "address"), ("resolvedHostname", "hostname", "host", "name")
+LISTED_ADDRESS_KEYS, LISTED_HOST_KEYS = ("ip", "resolvedAddress", "address"), ("hostname", "resolvedHostname", "host", "name")
+SENT_KEYS, LAST_KEYS = ("sent", "snt", "total", "count", "packets"), ("last", "lastRtt", "current")
+BEST_KEYS, WORST_KEYS = ("best", "min", "minimum"), ("worst", "max", "maximum")
+STATS_JITTER_KEYS, JITTER_KEYS = ("jitter", "jitterAvg", "stdev", "stddev"), ("jitter", "jAvg", "stDev", "stdev", "stddev")
+
+
+class _Record:
+    """Values of an object column that lies next to others: each key's value becomes a column of its own, looked up once."""
+
+    def __init__(self, name: str):
+        self.name, self.used = name, {}
+
+    def __call__(self, *keys: str) -> list[str]:
+        return [self.used.setdefault(k, f"{self.name}_{len(self.used)}") for k in keys]
+
+    def columns(self) -> dict[str, Column]:
+        return {c: F.expr(f"{self.name}['{k}']") for k, c in self.used.items()}
 
 
 def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Hops of JSON payloads, one row each; the other columns stay.
 
     A payload's result, if it is an object, stands for it. Its hops come from a non-empty array hops, else from an array
-    result, else from the text rawOutput, else there are none. Fields are the first of several keys that has the right kind.
+    result, else from the text rawOutput, else there are none. Fields are the first of several keys that has the right kind;
+    of the places within a hop the first that is an object counts alone.
     """
     keep = [c for c in payloads.columns if c != column]
     v = payloads.withColumn("v", F.try_parse_json(column))
-    v = v.withColumn("v", F.expr(f"case when startswith({_kind(_get('v', 'result'))}, 'OBJECT') then {_get('v', 'result')} else v end"))
-    v = v.withColumns({"hops": F.expr("try_variant_get(v, '$.hops', 'array<variant>')"), "results": F.expr("try_variant_get(v, '$.result', 'array<variant>')"), "raw": F.expr(f"case when {_kind(_get('v', 'rawOutput'))} = 'STRING' then try_variant_get(v, '$.rawOutput', 'string') end")})
+    v = v.withColumn("v", F.expr("if(try_variant_get(v, '$.result', 'map<string, variant>') is null, v, try_variant_get(v, '$.result', 'variant'))"))
+    v = v.withColumns({"hops": F.expr("try_variant_get(v, '$.hops', 'array<variant>')"), "results": F.expr("try_variant_get(v, '$.result', 'array<variant>')"), "raw": F.expr("try_variant_get(v, '$.rawOutput', 'variant')")})
     structured = F.coalesce(F.size("hops"), F.lit(0)) > 0
-    branch = F.when(structured, 1).when(F.col("results").isNotNull(), 2).otherwise(3)
-    v = v.withColumn("branch", branch)
+    v = v.withColumn("branch", F.when(structured, 1).when(F.col("results").isNotNull(), 2).otherwise(3))
     rows = v.where("branch < 3").select(*keep, "branch", F.posexplode(F.expr("if(branch = 1, hops, results)")).alias("i", "h"))
-    h = "h"
-    where = [f"{p}{k}" for p in ("", "location.", "geo.", "geoip.", "geolocation.") for k in ("{}",)]
-    place = lambda kind, *ks: _first(kind, h, *(w.format(k) for w in where for k in ks))
-    timing = "try_variant_get(h, '$.timings', 'array<variant>')"
-    rtts = f"filter(transform({timing}, x -> {_number(_get('x', 'rtt'))}), x -> x is not null)"
-    mean = f"case when size({rtts}) > 0 then aggregate({rtts}, 0D, (a, x) -> a + x) / size({rtts}) end"
-    rtt = f"round(coalesce({_first(_number, h, 'rtt', 'avg', 'mean', 'latency', 'last', 'stats.avg')}, {mean}))"
-    pick = lambda one, two: F.expr(f"if(branch = 1, {one}, {two})")
-    counted, last, best, worst = ("sent", "snt", "total", "count", "packets"), ("last", "lastRtt", "current"), ("best", "min", "minimum"), ("worst", "max", "maximum")
-    both = lambda ks: pick(_first(_lenient, h, *(f"stats.{k}" for k in ks)), _first(_lenient, h, *ks))
-    out = rows.select(
-        *keep, (F.col("i") + 1).alias("hop_seq"),
-        pick("i + 1", f"coalesce(cast({_number(_get(h, 'hop'))} as int), i + 1)").alias("hop_number"),
-        F.expr("coalesce(" + ", ".join(_asn(_get(h, k)) for k in ASN_KEYS) + ")").alias("asn"),
-        F.expr(_first(_string, h, "asName", "network.name", "network.asName", "as.name", "as.org")).alias("as_name"),
-        pick(_first(_string, h, "resolvedAddress", "ip", "address"), _first(_string, h, "ip", "resolvedAddress", "address")).alias("ip"),
-        pick(_first(_string, h, "resolvedHostname", "hostname", "host", "name"), _first(_string, h, "hostname", "resolvedHostname", "host", "name")).alias("hostname"),
-        F.expr(place(_string, "city")).alias("city"), F.expr(place(_string, "country", "countryCode")).alias("country"),
-        F.expr(place(_lenient, "latitude", "lat")).alias("latitude"), F.expr(place(_lenient, "longitude", "lng", "lon")).alias("longitude"),
-        F.expr(rtt).alias("rtt_ms"), both(counted).alias("sent"), both(last).alias("last_ms"), both(best).alias("best_ms"), both(worst).alias("worst_ms"),
-        pick(f"coalesce(round({_first(_number, h, 'stats.jAvg', 'stats.stDev')}), {_first(_lenient, h, 'stats.jitter', 'stats.stdev', 'stats.stddev')})", _first(_lenient, h, "jitter", "jAvg", "stDev", "stdev", "stddev")).alias("jitter_ms"),
-        pick(_lenient(_get(h, "stats.loss")), _first(_number, h, "loss", "packetLoss")).alias("packet_loss_percent"),
-    )
-    out = out.withColumns({"asn": F.coalesce("asn", inferred_asn(F.col("ip"), F.col("hostname"))), "status": hop_status(F.col("rtt_ms"), F.col("packet_loss_percent")), "sent": F.col("sent").cast("long")})
-    text = raw_hops(raw_lines(v.where("branch = 3 and raw is not null").select(*keep, "raw")))
+
+    # Each object is looked up once, then each of its keys once, then the fields are read from those columns.
+    objects = {
+        "hop": "try_variant_get(h, '$', 'map<string, variant>')", "stats": _object("h", "stats"), "network": _object("h", "network"),
+        "system": f"coalesce({_object('h', 'as')}, {_object('h', 'autonomousSystem')})", "place": f"coalesce({', '.join(_object('h', k) for k in PLACE_OBJECTS)})",
+        "rtts": f"filter(transform(try_variant_get(h, '$.timings', 'array<variant>'), x -> {_number(_get('x', 'rtt'))}), x -> x is not null)",
+    }
+    hop, stats, network, system, place = (_Record(n) for n in ("hop", "stats", "network", "system", "place"))
+    # What may name the network is itself, or what an object there says of it, two levels deep.
+    named = [*hop(*ASN_KEYS), *network("asn", "number"), *system("asn", "number", "id")]
+    deeper = [{f"{x}_in": F.expr(_inner(x)) for x in named}, {f"{x}_in_in": F.expr(_inner(f"{x}_in")) for x in named}]
+    asn = [_plain_asn(x + level) for x in named for level in ("", "_in", "_in_in")]
+    pick = lambda one, two: f"if(branch = 1, {one}, {two})"
+    both = lambda keys: pick(_first(_lenient, *stats(*keys)), _first(_lenient, *hop(*keys)))
+    mean = "case when size(rtts) > 0 then aggregate(rtts, 0D, (a, x) -> a + x) / size(rtts) end"
+    fields = {
+        "hop_number": pick("i + 1", f"coalesce(cast({_number(hop('hop')[0])} as int), i + 1)"), "asn": f"coalesce({', '.join(asn)})",
+        "as_name": _first(_string, *hop(*AS_NAME_KEYS), *network(*INNER_NAME_KEYS), *system(*INNER_NAME_KEYS)),
+        "ip": pick(_first(_string, *hop(*ADDRESS_KEYS)), _first(_string, *hop(*LISTED_ADDRESS_KEYS))),
+        "hostname": pick(_first(_string, *hop(*HOST_KEYS)), _first(_string, *hop(*LISTED_HOST_KEYS))),
+        "city": _first(_string, *hop(*CITY_KEYS), *place(*PLACE_CITY_KEYS)), "country": _first(_string, *hop(*COUNTRY_KEYS), *place(*PLACE_COUNTRY_KEYS)),
+        "latitude": _first(_lenient, *hop(*LATITUDE_KEYS), *place(*LATITUDE_KEYS)), "longitude": _first(_lenient, *hop(*LONGITUDE_KEYS), *place(*LONGITUDE_KEYS)),
+        "rtt_ms": f"round(coalesce({_first(_number, *hop(*RTT_KEYS), *stats('avg'))}, {mean}))", "sent": f"cast({both(SENT_KEYS)} as bigint)", "last_ms": both(LAST_KEYS), "best_ms": both(BEST_KEYS), "worst_ms": both(WORST_KEYS),
+        "jitter_ms": pick(f"coalesce(round({_first(_number, *stats('jAvg', 'stDev'))}), {_first(_lenient, *stats(*STATS_JITTER_KEYS))})", _first(_lenient, *hop(*JITTER_KEYS))),
+        "packet_loss_percent": pick(_lenient(stats("loss")[0]), _first(_number, *hop("loss", "packetLoss"))),
+    }
+    out = rows.withColumns({k: F.expr(x) for k, x in objects.items()})
+    out = out.withColumns({k: x for record in (hop, stats, network, system, place) for k, x in record.columns().items()})
+    for level in deeper:
+        out = out.withColumns(level)
+    out = out.select(*keep, (F.col("i") + 1).alias("hop_seq"), *(F.expr(x).alias(k) for k, x in fields.items()))
+    out = out.withColumns({"asn": F.coalesce("asn", inferred_asn(F.col("ip"), F.col("hostname"))), "status": hop_status(F.col("rtt_ms"), F.col("packet_loss_percent"))})
+    said = v.where("branch = 3").select(*keep, F.expr("case when schema_of_variant(raw) = 'STRING' then try_variant_get(raw, '$', 'string') end").alias("raw"))
+    text = raw_hops(raw_lines(said.where("raw is not null")))
     return out.unionByName(text.withColumn("hop_seq", F.col("line_no") + 1).drop("raw", "line", "line_no"), allowMissingColumns=True)
 
 
+FAILED = "The measurement provider returned a failed result."
+NOTE = "Measured from a nearby network probe. Not a direct trace from your device."
+
+
 def failure_message(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """payloads with column failure: why a failed measurement failed."""
-    v = payloads.withColumn("v", F.try_parse_json(column))
-    said = _first(_string, "v", "rawOutput", "error", "message")
-    return v.withColumn("failure", F.expr(f"case when {_string(_get('v', 'status'))} = 'failed' then coalesce({said}, 'The measurement failed.') end")).drop("v")
+    """payloads with column failure: why a failed measurement failed. A payload's result, if it is an object, stands for it."""
+    r = F.expr("coalesce(try_variant_get(v, '$.result', 'map<string, variant>'), try_variant_get(v, '$', 'map<string, variant>'))")
+    v = payloads.withColumn("v", F.try_parse_json(column)).withColumn("r", r)
+    said = _first(_string, *(f"r['{k}']" for k in ("rawOutput", "error", "message")))
+    return v.withColumn("failure", F.expr(f"case when {_string("r['status']")} = 'failed' then coalesce({said}, '{FAILED}') end")).drop("v", "r")
+
+
+def json_sources(results: DataFrame, column: str = "payload") -> DataFrame:
+    """results with struct source: the provider, and what the first result's probe says of itself, by kind, as it stands."""
+    p = "try_variant_get(v, '$.probe', 'map<string, variant>')"
+    text = lambda k: f"case when schema_of_variant(p['{k}']) = 'STRING' then try_variant_get(p['{k}'], '$', 'string') end"
+    fields = [f"'globalping' as provider, {text('id')} as probe_id, {text('city')} as city, {text('country')} as country", f"{_plain_asn("p['asn']")} as asn"]
+    fields += [f"{_number(f"p['{k}']")} as {k}" for k in ("latitude", "longitude")]
+    v = results.withColumn("v", F.try_parse_json(column)).withColumn("p", F.expr(p))
+    return v.withColumn("source", F.expr(f"struct({', '.join(fields)}, '{NOTE}' as note)")).drop("v", "p")
+
+
+def applied(measurements: DataFrame, results: DataFrame, hops: DataFrame, confidence: DataFrame, key: str = "measurement_id") -> DataFrame:
+    """measurements with source, hops and confidence as the provider's result has them; those without a result stay as they are.
+
+    results has (key, payload), hops the decoded hops, confidence (key, confidence) of measurements with hops.
+    """
+    fields = F.struct(*(c for c in hops.columns if c != key))
+    lists = hops.groupBy(key).agg(F.array_sort(F.collect_list(fields), lambda a, b: a["hop_seq"] - b["hop_seq"]).alias("new_hops"))
+    new = json_sources(results).select(key, F.col("source").alias("new_source")).join(lists, key, "left").join(confidence.select(key, F.col("confidence").alias("new_confidence")), key, "left")
+    out = measurements.join(new, key, "left")
+    took = F.col("new_source").isNotNull()
+    mine = lambda c: F.col(c) if c in measurements.columns else F.lit(None)
+    none = F.expr("slice(new_hops, 1, 0)")
+    return out.withColumns({
+        "source": F.when(took, F.col("new_source")).otherwise(mine("source")), "hops": F.when(took, F.coalesce("new_hops", none)).otherwise(mine("hops")),
+        "confidence": F.when(took, F.coalesce("new_confidence", F.lit("low"))).otherwise(mine("confidence")),
+    }).drop("new_source", "new_hops", "new_confidence")

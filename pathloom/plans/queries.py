@@ -122,14 +122,32 @@ def raw_hop_decode(spark, sf_dir):
 
 @query
 def json_hop_decode(spark, sf_dir):
-    """JSON payloads of all measurements, in two shapes, decoded."""
+    """JSON payloads of all measurements, in two shapes, decoded. Hops take turns in the keys that a field may have."""
     h = adapters.hops(spark, sf_dir)
-    one = F.to_json(F.struct(F.col("ip").alias("resolvedAddress"), F.col("hostname").alias("resolvedHostname"), F.struct("city", "country", "latitude", "longitude").alias("location"), F.struct(F.col("asn").alias("asn")).alias("network"), F.struct(F.col("rtt_ms").alias("avg"), F.col("packet_loss_percent").alias("loss"), F.col("jitter_ms").alias("jAvg")).alias("stats")))
-    two = F.to_json(F.struct(F.col("hop_number").alias("hop"), "ip", F.col("hostname").alias("host"), F.col("city"), F.col("country"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), F.col("asn"), F.col("rtt_ms").alias("rtt"), F.col("packet_loss_percent").alias("packetLoss"), F.col("jitter_ms").alias("jitter")))
+    turn = lambda n: (F.col("hop_seq") + F.col(M).cast("long")) % n
+
+    def spread(value: str, *keys: str) -> list:
+        return [F.when(turn(len(keys)) == i, F.col(value)).alias(k) for i, k in enumerate(keys)]
+
+    def inner(value, place: str):
+        return F.when(value, F.struct(*spread("city", *decode.PLACE_CITY_KEYS), *spread("country", *decode.PLACE_COUNTRY_KEYS), *spread("latitude", *decode.LATITUDE_KEYS), *spread("longitude", *decode.LONGITUDE_KEYS))).alias(place)
+
+    places = [inner(turn(4) == i, k) for i, k in enumerate(decode.PLACE_OBJECTS)]
+    asn = F.col("asn")
+    deep = [
+        F.when(turn(4) == 0, F.struct(asn.alias("asn"))).alias("network"), F.when(turn(4) == 1, F.struct(F.struct(asn.alias("value")).alias("id"))).alias("as"),
+        F.when(turn(4) == 2, F.struct(asn.alias("number"))).alias("autonomousSystem"), F.when(turn(4) == 3, F.lower("asn")).alias("resolvedASN"),
+    ]
+    stats = F.struct(F.col("rtt_ms").alias("avg"), F.col("packet_loss_percent").alias("loss"), *spread("jitter_ms", "jAvg", "stDev", *decode.STATS_JITTER_KEYS)).alias("stats")
+    one = F.to_json(F.struct(*spread("ip", *decode.ADDRESS_KEYS), *spread("hostname", *decode.HOST_KEYS), *places, *deep, stats))
+    two = F.to_json(F.struct(
+        F.col("hop_number").alias("hop"), *spread("ip", *decode.LISTED_ADDRESS_KEYS), *spread("hostname", *decode.LISTED_HOST_KEYS), *spread("city", *decode.CITY_KEYS), *spread("country", *decode.COUNTRY_KEYS),
+        *spread("latitude", *decode.LATITUDE_KEYS), *spread("longitude", *decode.LONGITUDE_KEYS), *spread("asn", *decode.ASN_KEYS), *spread("rtt_ms", *decode.RTT_KEYS), *spread("packet_loss_percent", "loss", "packetLoss"), *spread("jitter_ms", *decode.JITTER_KEYS),
+    ))
     list_ = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop_seq", c.alias("j")))), lambda x: x["j"]), ",")
     odd = F.col(M).cast("long") % 2 == 1
-    p = h.groupBy(M).agg(list_(one).alias("one"), list_(two).alias("two"))
-    p = p.select(M, F.when(odd, F.concat(F.lit('{"result":{"hops":['), "one", F.lit("]}}"))).otherwise(F.concat(F.lit('{"hops":[],"result":['), "two", F.lit("]}"))).alias("payload"))
+    p = h.groupBy(M).agg(list_(F.when(odd, one).otherwise(two)).alias("hops"))
+    p = p.select(M, F.when(odd, F.concat(F.lit('{"result":{"hops":['), "hops", F.lit("]}}"))).otherwise(F.concat(F.lit('{"hops":[],"result":['), "hops", F.lit("]}"))).alias("payload"))
     return decode.json_hops(p).select(M, "hop_seq", "hop_number", "asn", "ip", "hostname", "city", "country", "latitude", "longitude", "rtt_ms", "jitter_ms", "packet_loss_percent", "status")
 
 

@@ -46,7 +46,34 @@ def test_json_shapes(spark):
     assert (got[3, 1].ip, got[3, 1].rtt_ms) == ("8.8.8.8", 5.0)
     assert sorted({k for k, _ in got}) == [0, 1, 2, 3]
     said = spark.createDataFrame([('{"status":"failed","error":" no "}',), ('{"status":"failed"}',), ('{"status":"ok","error":"x"}',)], "payload string")
-    assert [r.failure for r in decode.failure_message(said).collect()] == ["no", "The measurement failed.", None]
+    assert [r.failure for r in decode.failure_message(said).collect()] == ["no", decode.FAILED, None]
+
+
+def test_json_keys_and_levels(spark):
+    hops = [
+        {"asNumber": 7, "owner": "O", "resolvedCity": "C", "resolvedCountry": "X", "lon": 5, "lng": 7},
+        {"autonomousSystem": "AS12 x", "geo": {"name": "N", "country_code": "NC"}, "stats": {"jitterAvg": "1.5"}},
+        {"location": {"country": "LC"}, "geo": {"city": "never"}, "autonomousSystem": {"id": 9, "description": "D"}},
+        {"asn": 0, "as": -3, "resolvedASN": 64500.9, "location": 3, "geoip": {"lat": "1.25", "lng": "2%"}},
+        {"asn": " as??? ", "networkName": " ", "autonomousSystemName": " S "},
+        {"as": {"number": {"value": "AS 77"}}, "network": {"owner": "W"}}, 5, {"asn": {"asn": None, "number": "x", "id": 4}},
+    ]
+    df = spark.createDataFrame([(json.dumps({"hops": hops}),)], "payload string")
+    got = {r.hop_seq: r for r in decode.json_hops(df).collect()}
+    assert [got[i].asn for i in range(1, 9)] == ["AS7", "AS12", "AS9", "AS64500", "AS???", "AS77", None, None]
+    assert [got[i].as_name for i in range(1, 7)] == ["O", None, "D", None, "S", "W"]
+    assert [(got[i].city, got[i].country) for i in range(1, 4)] == [("C", "X"), ("N", "NC"), (None, "LC")]
+    assert (got[1].longitude, got[2].jitter_ms, got[4].latitude, got[4].longitude, got[7].status) == (5.0, 1.5, 1.25, 2.0, "timeout")
+
+
+def test_sources_and_applied_results(spark):
+    payload = json.dumps({"probe": {"id": "p", "city": "Seoul", "country": "KR", "asn": 4766, "latitude": 37.5, "longitude": "127"}, "result": {"hops": [{"ip": "1.1.1.1"}]}})
+    results = spark.createDataFrame([("a", payload)], "measurement_id string, payload string")
+    s = decode.json_sources(results).first().source
+    assert (s.provider, s.probe_id, s.city, s.asn, s.latitude, s.longitude, s.note) == ("globalping", "p", "Seoul", "AS4766", 37.5, None, decode.NOTE)
+    out = decode.applied(spark.createDataFrame([("a", "x"), ("b", "y")], "measurement_id string, target string"), results, decode.json_hops(results), spark.createDataFrame([("a", "high")], "measurement_id string, confidence string"))
+    got = {r.measurement_id: r for r in out.collect()}
+    assert got["a"].source.city == "Seoul" and [h.ip for h in got["a"].hops] == ["1.1.1.1"] and got["a"].confidence == "high" and got["b"].source is None and got["b"].target == "y"
 
 
 def fuse(spark, host, rtt, own, geo, src):
