@@ -14,6 +14,7 @@ sequence length n, documents d; r pairs of 32-bit symbols; r 32-bit expansion le
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import struct
 import uuid
@@ -37,9 +38,11 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: A block takes further documents until it holds so many ids.
 BLOCK_TOKENS = 1 << 20
 #: Least count of a pair, pairs of a round, and the share by which a round must shorten the sequence for another to follow.
-LEAST, EACH, GAIN = 16, 512, 0.02
+LEAST, EACH, GAIN = 16, 2_048, 0.03
 #: So many files at most; a file is written as it is read, so its size is no task's memory.
 MOST_FILES = 100_000
+#: Ids that the rules of a block may stand for in all, to be expanded at once.
+FLAT = 1 << 22
 MAGIC = b"RPR1"
 
 
@@ -123,6 +126,24 @@ def expand(rules: np.ndarray, seq: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, start): what each rule stands for, one after the other, and where each begins."""
+    start = np.cumsum(lengths) - lengths
+    out = np.empty(int(lengths.sum()), np.uint32)
+    for i, ((a, b), at) in enumerate(zip(rules.tolist(), start.tolist())):
+        end = at + int(lengths[i])
+        for x in (a, b):
+            if x < base:
+                out[at] = x
+                at += 1
+            else:
+                own, begin = int(lengths[x - base]), int(start[x - base])
+                out[at : at + own] = out[begin : begin + own]
+                at += own
+        assert at == end
+    return out, start
+
+
 def pack(keys: list[int], counts: list[int], ids: np.ndarray, base: int) -> bytes:
     rules, seq = compress(ids, base)
     head = MAGIC + struct.pack("<4I", base, len(rules), len(seq), len(keys))
@@ -151,13 +172,34 @@ class Block:
         self.keys, self.counts = take("<i8", d), take("<i8", d)
         self.ends = np.cumsum(np.where(self.seq >= self.base, self.lengths[np.where(self.seq >= self.base, self.seq - self.base, 0)] if r else 1, 1))
 
+        # All rules' expansions are kept where they are small, as they are but where long stretches repeat.
+        self.flat = expansions(self.rules, self.lengths, self.base) if self.lengths.sum() <= FLAT else None
+
+    def _expanded(self, a: int, b: int) -> np.ndarray:
+        """What symbols a to b of the sequence stand for."""
+        seq = self.seq[a:b]
+        if self.flat is None:
+            return expand(self.rules, seq, self.base)
+        ids, begin = self.flat
+        big = seq >= self.base
+        place = np.where(big, seq - self.base, 0)
+        width = np.where(big, self.lengths[place], 1) if len(ids) else np.ones(len(seq), np.int64)
+        end = np.cumsum(width)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
+        out[end[~big] - 1] = seq[~big]
+        if big.any():
+            width, end, place = width[big], end[big], place[big]
+            step = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+            out[np.repeat(end - width, width) + step] = ids[np.repeat(begin[place], width) + step]
+        return out
+
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, from the symbols that cover them."""
         if stop <= start:
             return np.zeros(0, np.int64)
         a, b = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, stop, "left")) + 1
         skip = start - (int(self.ends[a - 1]) if a else 0)
-        return expand(self.rules, self.seq[a:b], self.base)[skip : skip + stop - start]
+        return self._expanded(a, b)[skip : skip + stop - start]
 
     def documents(self, about: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
         """(key, ids) of each document, expanding about so many ids at a time."""
@@ -280,8 +322,16 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
                     yield from flush()
         yield from flush()
 
+    def without_cycles(batches):
+        # Millions of small objects, none of them in cycles, which the collector would look for all the time.
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
     text_batches(docs.sparkSession)
-    ordered.mapInArrow(run, "file int, block long, docs long, tokens long, before long, data binary").write.mode("overwrite").parquet(folder)
+    ordered.mapInArrow(without_cycles, "file int, block long, docs long, tokens long, before long, data binary").write.mode("overwrite").parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
