@@ -2,8 +2,8 @@
 
 Every window of `least` bytes has an anchor, its smallest hashed substring of GRAM bytes, the leftmost of equals. Equal windows
 have equal anchors, so suffixes that share `least` bytes meet where their anchors are dealt to, whatever documents they are in.
-Runs of windows with one anchor travel as one segment. Equal segments are found by their hashes: of each kind the earliest
-goes on, and the others are repeats of it. Segments whose anchor occurs with other contents have their bytes fetched; their
+Runs of windows with one anchor travel as one segment. Equal segments are found by the hash of their anchor and a 128-bit digest
+of all their bytes: of each kind the earliest goes on, and the others are repeats of it. Segments whose anchor occurs with other contents have their bytes fetched; their
 windows are sorted as suffixes, neighbours with common prefixes make intervals, and a stack scan gives the nested intervals.
 An interval is a maximal repeat if what stands left of its occurrences differs, or lies outside the segment. Each of its
 occurrences but the earliest is covered by an earlier equal string.
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import parts_for_bytes, table
 
 LEAST, GRAM = 100, 32
-BLOCK = 8 << 20
+BLOCK = 1 << 20
 #: Contents of one anchor above which its windows are dealt out one by one; WIDE marks such segments in their count of windows.
 HOT, WIDE = 4096, np.uint16(1 << 15)
-SEGMENT = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("home", "<u4"), ("windows", "<u2")])
+SEGMENT = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("home", "<u4"), ("windows", "<u2")])
 COVER = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("end", "<u4"), ("home", "<u4")])
 KIND_COVER, KIND_SEGMENT, KIND_TEXT, KIND_WINDOW = 0, 1, 2, 3
 MOVED = "part int, kind int, rows binary, bytes binary"
@@ -53,11 +53,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, start in data, windows, bucket, content) of the segments of texts data[bounds[i]:bounds[i + 1]]."""
+    """(text number, start in data, windows, bucket, digest) of the segments of texts data[bounds[i]:bounds[i + 1]]."""
     wide = LEAST - GRAM + 1
     h = gram_hashes(data) if len(data) >= LEAST else np.zeros(0, np.uint64)
     if len(h) < wide:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
     # The high bits order by hash, the low ones by place.
     m, width = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64), 1
     while width * 2 <= wide:
@@ -69,17 +69,19 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = np.flatnonzero(np.arange(len(anchor)) + LEAST <= bounds[1:][text[: len(anchor)]])
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
     text, anchor = text[at], anchor[at]
     cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(at)]
     start, windows = at[first], last - first
-    end = start + windows + LEAST - 1 - GRAM
-    content = windows.astype(np.uint64)
-    for i, place in enumerate((start, start + GRAM, start + 2 * GRAM, np.minimum(start + 3 * GRAM, end), np.minimum(start + 4 * GRAM, end), end)):
-        content = (content ^ h[place]) * _STEP[i % 5]
-        content ^= content >> np.uint64(31)
-    return text[first], start, windows, h[anchor[first]], content
+    return text[first], start, windows, h[anchor[first]], digests(data, start, windows + LEAST - 1)
+
+
+def digests(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The 128-bit digests of stretches of data, as two columns. Stretches with one digest are taken to hold the same bytes."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh128_digest
+    own = b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), (start + lengths).tolist())])
+    return np.frombuffer(own, "<u8").reshape(-1, 2)
 
 
 def merged(cover: np.ndarray) -> np.ndarray:
@@ -99,10 +101,16 @@ def merged(cover: np.ndarray) -> np.ndarray:
 
 
 def folded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal segments the earliest each, in order of bucket and content; and the covers of the others."""
-    rows = rows[np.lexsort((rows["start"], rows["tag"], rows["doc"], rows["content"], rows["bucket"]))]
-    first = np.r_[True, (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["content"][1:] != rows["content"][:-1])] if len(rows) else np.zeros(0, bool)
-    again = rows[~first]
+    """Of equal segments the earliest each, in order of bucket and content; and the covers of the others. The same stretch of
+    rows that share key and text is no copy of itself."""
+    rows = rows[np.lexsort((rows["start"], rows["tag"], rows["doc"], rows["more"], rows["content"], rows["bucket"]))]
+    first = np.ones(len(rows), bool)
+    for i, c in enumerate(("bucket", "content", "more")):
+        differs = rows[c][1:] != rows[c][:-1]
+        first[1:] = differs if not i else first[1:] | differs
+    head = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+    own = (rows["doc"] == head["doc"]) & (rows["tag"] == head["tag"]) & (rows["start"] == head["start"])
+    again = rows[~own]
     cover = np.zeros(len(again), COVER)
     for c in ("doc", "tag", "start", "home"):
         cover[c] = again[c]
@@ -165,7 +173,7 @@ def _scan(parts: int):
                 text, start, windows, bucket, content = segments(data[lo:hi], np.clip(bounds[i : j + 1], lo, hi) - lo)
                 rows = np.zeros(len(text), SEGMENT)
                 text = text + i
-                rows["bucket"], rows["content"], rows["windows"] = bucket, content, windows
+                rows["bucket"], rows["content"], rows["more"], rows["windows"] = bucket, content[:, 0], content[:, 1], windows
                 rows["doc"], rows["tag"], rows["home"], rows["start"] = doc[text], tag[text], home[text], start + lo - bounds[text]
                 made.append(rows)
             rows, cover = folded(np.concatenate(made)) if made else (np.zeros(0, SEGMENT), np.zeros(0, COVER))
@@ -207,10 +215,8 @@ def single_windows(rows: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.
     out = np.repeat(rows, counts)
     out["start"] += offset.astype(np.uint32)
     out["windows"] = 1
-    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh128_digest
-    own = b"".join(digest(view[p : p + LEAST]) for p in (np.repeat(begin, counts) + offset).tolist())
-    halves = np.frombuffer(own, "<u8").reshape(-1, 2)
-    out["bucket"], out["content"] = halves[:, 0], halves[:, 1]
+    halves = digests(data, np.repeat(begin, counts) + offset, np.full(len(out), LEAST))
+    out["bucket"], out["content"], out["more"] = halves[:, 0], halves[:, 1], 0
     return out
 
 

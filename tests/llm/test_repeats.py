@@ -93,3 +93,29 @@ def test_a_line_of_many_documents_spreads_over_the_parts():
     windows = [len(rp._gathered(t, rp.KIND_WINDOW, rp.SEGMENT)[0]) for t in moved]
     assert min(windows) > n and max(windows) < 1.2 * min(windows)
     assert max(len(rp._gathered(t, rp.KIND_TEXT, rp.SEGMENT)[0]) for t in moved) < n / parts
+
+
+def test_equal_rows_are_no_copies_of_each_other(spark):
+    long = "".join(chr(97 + i % 23) + str(i) for i in range(200))
+    df = spark.createDataFrame([(2, long), (2, long), (3, long + "!"), (1, "short")], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_removed, len(r.kept)) for r in rp.without_repeats(df).collect())
+    n = len(long)
+    assert got == [(1, 0, 5), (2, 0, n), (2, 0, n), (3, n, 1)]
+
+
+def test_clashing_anchor_hashes_cut_nothing_wrong(spark, monkeypatch):
+    """With one hash for all anchors every segment meets every other; only equal bytes are removed."""
+    monkeypatch.setattr(rp, "gram_hashes", lambda data: np.zeros(max(0, len(data) - rp.GRAM + 1), np.uint64))
+    rows = np.zeros(3, rp.SEGMENT)
+    rows["bucket"], rows["content"], rows["more"], rows["doc"] = 1, 7, [1, 2, 1], [1, 2, 3]
+    first, cover = rp.folded(rows)
+    assert len(first) == 2 and cover["doc"].tolist() == [3]
+    docs = {k: t.encode() for k, t in list(made(random.Random(3)).items())[:25]}
+    data, bounds = np.frombuffer(b"".join(docs.values()), np.uint8), np.cumsum([0, *map(len, docs.values())])
+    text, start, windows, bucket, digest = rp.segments(data, bounds)
+    assert not bucket.any() and (windows == 1).all()
+    rows = np.zeros(len(text), rp.SEGMENT)
+    rows["content"], rows["more"], rows["doc"], rows["start"], rows["windows"] = digest[:, 0], digest[:, 1], text, start - bounds[text], 1
+    gone = {(int(c["doc"]), i) for c in rp.merged(rp.folded(rows)[1]) for i in range(int(c["start"]), int(c["end"]))}
+    want = slow(dict(enumerate(docs.values())))
+    assert all(sum(d == k for d, _ in gone) == want[k][1] for k in want)
