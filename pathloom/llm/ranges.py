@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 #: So many ranges at most: what the driver and each plan hold of a key's order.
-MOST_RANGES = 16_384
+MOST_RANGES = 65_536
 _STEP = 128
 
 

@@ -1,9 +1,11 @@
-"""Document fingerprints from closed syncmers. DataFrame functions only.
-
-Texts are cut into units, runs of up to UNIT characters that aren't white space. A k-mer is K units; its inner substrings are
-windows of S units, each with a hash. A k-mer is an anchor if the smallest inner hash is that of its first or last window:
-a choice that looks at nothing but the k-mer. The fingerprint is the SKETCH smallest distinct anchor hashes in hex, so it can
-be compared for likeness; anchors() has all of them with their positions.
+"""Document fingerprints from closed syncmers, matched by position. DataFrame functions only.
+
+Texts are cut into units where their characters say so: a unit ends after 0, 5, the letter o or a character beyond ASCII, and
+before white space, so an insertion moves no unit but its own. A k-mer is K units; its inner substrings are windows of S units,
+each with a hash. A k-mer is an anchor if the smallest inner hash is that of its first or last window: a choice that looks at
+nothing but the k-mer. Each anchor makes a mark of its hash and its distance to the anchor before it, so marks match where anchors
+agree and stand alike. The fingerprint is all marks in the order of the text, 8 hex digits each: nothing is left out, and it is
+about as long as the text. Likeness is Dice's coefficient over the distinct marks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import fresh, parts_for_bytes, table
 from pathloom.llm.ranges import range_bounds, range_of
 
-UNIT, K, S, SKETCH = 6, 5, 2, 96
+K, S = 5, 2
+#: A unit: up to a character that ends it, or up to white space.
+UNIT = r"[^\so05\x{80}-\x{10FFFF}]++[^\s]?|[^\s]"
 
 
 def _anchors(text: str) -> str:
@@ -23,7 +27,7 @@ def _anchors(text: str) -> str:
     first = " and ".join(f"x <= w[i + {j}]" for j in range(1, inner))
     last = " and ".join(f"w[i + {inner - 1}] <= w[i + {j}]" for j in range(0, inner - 1))
     kmer = ", ".join(f"w[p + {j}]" for j in range(inner))
-    units = f"transform(regexp_extract_all({text}, r'[^\\s]{{1,{UNIT}}}', 0), u -> xxhash64(u))"
+    units = f"transform(regexp_extract_all({text}, r'{UNIT}', 0), u -> xxhash64(u))"
     # array(...)[0] binds a value to a name, so that it is computed once.
     window = ", ".join(["x", *(f"h[i + {j}]" for j in range(1, S))])
     windows = f"transform(slice(h, 1, size(h) - {S - 1}), (x, i) -> xxhash64({window}))"
@@ -40,21 +44,22 @@ def anchors(text: str) -> Column:
     return F.expr(_anchors(f"coalesce(cast(`{text}` as string), '')"))
 
 
-def fingerprint(text: Column | str) -> Column:
-    """The smallest SKETCH distinct anchor hashes, ascending, each as 16 hex digits; empty for a text without units."""
-    name = text if isinstance(text, str) else None
-    assert name, "a column's name"
-    hashes = f"slice(array_sort(array_distinct(transform({_anchors(f'`{name}`')}, a -> a.hash))), 1, {SKETCH})"
-    return F.expr(f"array_join(transform({hashes}, x -> lpad(hex(x), 16, '0')), '')")
+def marks(text: str) -> Column:
+    """The marks of a text column, in order: array of int, none negative."""
+    own = "if(i = 0, -1, x.pos - a[i - 1].pos)"
+    return F.expr(f"transform(array({_anchors(f'`{text}`')}), a -> transform(a, (x, i) -> cast(pmod(xxhash64(x.hash, {own}), 2147483647) as int)))[0]")
+
+
+def fingerprint(own: str) -> Column:
+    """The fingerprint of a column of marks; empty for a text without units."""
+    return F.expr(f"array_join(transform({own}, x -> lpad(hex(x), 8, '0')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness of two fingerprint columns, 0 to 1: of the SKETCH smallest hashes of both, what share both have, as Dice's
-    coefficient. Two empty fingerprints are alike, an empty one is like no other."""
-    cut = "transform(sequence(0, length({0}) div 16 - 1), i -> substring({0}, i * 16 + 1, 16))"
-    both = f"transform(array(struct({cut.format(a)} as x, {cut.format(b)} as y)), s -> struct(s.x as x, s.y as y, slice(array_sort(array_union(s.x, s.y)), 1, {SKETCH}) as u))[0]"
-    share = "transform(array(size(array_intersect(array_intersect(s.u, s.x), s.y)) / size(s.u)), j -> 2 * j / (1 + j))[0]"
-    return F.expr(f"case when {a} = {b} then 1D when {a} = '' or {b} = '' then 0D else transform(array({both}), s -> {share})[0] end")
+    """Likeness of two columns of marks, 0 to 1: twice what both have by what each has. Two without marks are alike, one
+    without is like no other."""
+    share = f"2D * size(array_intersect({a}, {b})) / (size(array_distinct({a})) + size(array_distinct({b})))"
+    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D else {share} end")
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str], parts: int) -> DataFrame:
@@ -88,19 +93,21 @@ def compared(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document, the
-    first document following the last. Null is the empty text. Rows with the same key are in the order of their texts; an
-    empty table gives an empty result; other columns are ignored, whatever their names.
+    first document following the last. Null is the empty text, and very long texts are as any. Rows with the same key, repeated
+    rows among them, are in the order of their texts; an empty table gives an empty result; other columns are ignored, whatever
+    their names.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     parts = parts_for_bytes(rows, "body", 16)
-    rows = with_next(rows.withColumn("fp", fingerprint("body")), "key", ["body", "fp"], parts)
+    rows = with_next(rows.withColumn("own", marks("body")), "key", ["body", "own"], parts)
     n = F.char_length("body")
     quarter = F.floor(n / 4).cast("int")
-    rows = rows.select("key", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(body, 1, char_length(body) - char_length(body) div 4)"), F.substring(F.col("next_body"), F.lit(1), quarter)).alias("edited"), "fp", "next_fp")
-    rows = rows.withColumn("edited_fp", fingerprint("edited")).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    edited = F.concat(F.expr("substring(body, 1, char_length(body) - char_length(body) div 4)"), F.substring(F.col("next_body"), F.lit(1), quarter))
+    rows = rows.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    rows = rows.withColumn("changed", marks("edited")).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     return rows.select(
-        F.col("key").alias(key), "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"),
-        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+        F.col("key").alias(key), "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"),
+        likeness("own", "changed").alias("near_edited"), likeness("own", "next_own").alias("near_next"),
     )
 
 
