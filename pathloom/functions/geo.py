@@ -59,23 +59,11 @@ def near_on_map(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.hypot(lat1 - lat2, lon1 - lon2) < 0.7
 
 
-# Cities that count as part of a metropolitan area.
-METRO_CITIES = {
-    "seoul-metro": [
-        "seoul", "incheon", "bucheon", "gimpo", "gwangmyeong", "anyang", "gwacheon", "gunpo", "uiwang", "suwon", "seongnam", "bundang", "hanam", "guri",
-        "namyangju", "yongin", "goyang", "paju", "uijeongbu",
-    ],
-    "tokyo-metro": ["tokyo", "yokohama", "kawasaki", "saitama", "chiba"],
-    "hong-kong-metro": ["hong kong", "hongkong", "kowloon", "wan chai", "central", "tsuen wan", "new territories"],
-    "frankfurt-metro": ["frankfurt", "karlsruhe", "rüsselsheim", "ruesselsheim", "offenbach", "mainz", "wiesbaden"],
-}
-
-
 def metro_index(city: Column, country: Column, lat: Column, lon: Column) -> Column:
     """The number of the first metropolitan area of the country that lists the city or is near enough; null if none."""
     out = F.when(F.lit(False), F.lit(0))
     for i, (key, _, cc, y, x, radius, _) in enumerate(dims.METROS):
-        listed = F.coalesce(city_name(city).isin(METRO_CITIES[key]), F.lit(False))
+        listed = F.coalesce(city_name(city).isin(dims.METRO_CITIES[key]), F.lit(False))
         near = F.coalesce(haversine(lat, lon, F.lit(y), F.lit(x)) <= radius, F.lit(False))
         out = out.when(same_country(country, F.lit(cc)) & (listed | near), F.lit(i))
     return out

@@ -1,10 +1,13 @@
 """Location fusion: candidates from all evidence of a hop, checked, scored, and the best chosen.
 
-A hop's candidates are one array of at most four, so everything about them is array functions within the row: no shuffle.
+A hop has four candidates at most, each in a column of its own, so everything about them is plain expressions within the row.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,48 +26,50 @@ def _candidate(source, city, country, lat, lon, confidence, evidence, precision=
     ).cast(CANDIDATE)
 
 
-def alias_matches(alias: str, host: Column, tokens: Column) -> Column:
-    """Whether a place's alias is a token, ends one (4 letters or more), or lies within the host name (5 or more).
-
-    tokens: one text with a space before and after each token; so every test is a plain search in a text.
-    """
-    hit = F.lit(False)
-    for a in dict.fromkeys((alias, alias.replace("-", ""))):
-        hit = hit | F.contains(tokens, F.lit(f"{a} " if len(alias) >= 4 else f" {a} "))
-        if len(alias) >= 5:
-            hit = hit | F.contains(host, F.lit(a))
-    return hit
+def _alias_table() -> Column:
+    """Array of (ord, alias, token, part) in match order: the text that an alias shows as among a host's tokens, whole or, from 4
+    letters on, at a token's end; and from 5 letters on also anywhere within the name."""
+    rows = []
+    for i, c in enumerate(dims.CITIES):
+        for a in c[4]:
+            for form in dict.fromkeys((a, a.replace("-", ""))):
+                token, part = F.lit(f"{form} " if len(a) >= 4 else f" {form} "), F.lit(form if len(a) >= 5 else None).cast("string")
+                rows.append(F.struct(F.lit(i).alias("ord"), F.lit(a).alias("alias"), token.alias("token"), part.alias("part")))
+    return F.array(*rows)
 
 
 def host_city(host: Column) -> Column:
-    """(ord, alias) of the first city hint whose alias the host name matches, in table order; null if none."""
-    tokens, flat = F.concat(F.lit(" "), F.array_join(t.host_tokens(host), " "), F.lit(" ")), t.compact(F.lower(host))
-    out = F.when(F.lit(False), F.struct(F.lit(0).alias("ord"), F.lit("").alias("alias")))
-    for i, c in enumerate(dims.CITIES):
-        for a in c[4].split():
-            out = out.when(alias_matches(a, flat, tokens), F.struct(F.lit(i).alias("ord"), F.lit(a).alias("alias")))
-    return out
+    """(ord, alias, …) of the first city hint whose alias the host name matches, in table order; null if none."""
+    # A space before and after each token, so that every test is a plain search in a text.
+    names = F.struct(F.concat(F.lit(" "), F.array_join(t.host_tokens(host), " "), F.lit(" ")).alias("tokens"), t.compact(F.lower(host)).alias("flat"))
+    first = lambda n: F.get(F.filter(_alias_table(), lambda a: F.contains(n["tokens"], a["token"]) | F.coalesce(F.contains(n["flat"], a["part"]), F.lit(False))), F.lit(0))
+    return F.when(host.isNotNull(), F.get(F.transform(F.array(names), first), F.lit(0)))
 
 
-def _hint(at: Column, field: int) -> Column:
-    return F.get(F.array(*(F.lit(c[field]) for c in dims.CITIES)), at)
+def matched_hosts(rows: DataFrame, host: str, out: str) -> DataFrame:
+    """rows of distinct host names with struct `out`: the place and alias of the first city hint that the name matches."""
+    rows = rows.withColumn("__m", host_city(F.col(host)))
+    places = F.broadcast(dims.cities(rows.sparkSession))  # a fixed table of 21 rows
+    rows = rows.join(places.select(*(F.col(c).alias(f"__{c}") for c in places.columns)), F.col("__m.ord") == F.col("__ord"), "left")
+    place = F.struct(F.col("__city").alias("city"), F.col("__country").alias("country"), F.col("__latitude").alias("lat"), F.col("__longitude").alias("lon"), F.col("__m.alias").alias("alias"))
+    return rows.withColumn(out, F.when(F.col("__m").isNotNull(), place)).drop("__m", *(f"__{c}" for c in places.columns))
 
 
 def from_host(host: str, match: str) -> Column:
-    """A candidate from a host name and its host_city match column."""
+    """A candidate from a host name and its struct of matched_hosts."""
     m = F.col(match)
     said = F.concat(F.lit('reverse DNS matched "'), m["alias"], F.lit('" in '), F.col(host))
-    return F.when(m.isNotNull(), _candidate("reverse_dns", *(_hint(m["ord"], i) for i in range(4)), "high", said))
+    return F.when(m.isNotNull(), _candidate("reverse_dns", m["city"], m["country"], m["lat"], m["lon"], "high", said))
 
 
 def from_provider() -> Column:
-    """From the hop's own place: with coordinates as given; else its city in the table, where the country code agrees if given."""
-    city, country = F.col("city"), F.col("country")
+    """From the hop's own place: with coordinates as given; else its city in the table (struct known), where the country code
+    agrees if given."""
+    city, country, k = F.col("city"), F.col("country"), F.col("known")
     whole = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.coalesce(city, F.lit("")) != "")
     given = _candidate("provider", city, F.coalesce(country, F.lit("Unknown")), F.col("latitude"), F.col("longitude"), "high", F.lit("provider supplied hop coordinates"))
-    at = (F.array_position(F.array(*(F.lit(c[0].lower()) for c in dims.CITIES)), F.lower(city)) - 1).cast("int")
-    known = (at >= 0) & F.coalesce((country == "") | (F.lower(country) == F.lower(_hint(at, 1))), F.lit(True))
-    return F.when(whole, given).when(known, _candidate("provider", *(_hint(at, i) for i in range(4)), "medium", F.lit("provider supplied hop city/country")))
+    agrees = k.isNotNull() & F.coalesce((country == "") | (F.lower(country) == F.lower(k["country"])), F.lit(True))
+    return F.when(whole, given).when(agrees, _candidate("provider", k["city"], k["country"], k["lat"], k["lon"], "medium", F.lit("provider supplied hop city/country")))
 
 
 def from_geoip() -> Column:
@@ -105,16 +110,6 @@ def distance(a: Column, b: Column) -> Column:
     return geo.haversine(a["lat"], a["lon"], b["lat"], b["lon"])
 
 
-def conflicts(c: Column, all_: Column) -> Column:
-    """Weak evidence that lies elsewhere than some strong evidence."""
-
-    def against(s: Column) -> Column:
-        far = distance(c, s)
-        return s["source"].isin(*STRONG) & (far >= 120) & (~F.coalesce(c["cc"] == s["cc"], F.lit(False)) | (far > 320))
-
-    return c["source"].isin(*WEAK) & F.exists(all_, against)
-
-
 def rtt_support(far: Column, rtt: Column) -> Column:
     return F.when(far.isNull() | rtt.isNull() | (rtt <= 0), 0).when((far < 120) & (rtt <= 12), 12).when((far < 900) & (rtt <= 28), 8).when((far < 2800) & (rtt <= 75), 5).otherwise(0)
 
@@ -125,15 +120,9 @@ def base_score(c: Column) -> Column:
     return confidence + source
 
 
-def agreement(c: Column, i: Column, all_: Column) -> Column:
-    """Support of the other candidates, by place in the array: two equal ones support each other."""
-    others = F.filter(F.transform(all_, lambda o, j: F.struct(j.alias("j"), o.alias("o"))), lambda x: x["j"] != i)
-    one = lambda x: F.when(distance(c, x["o"]) < 90, 12).when(c["cc"] == x["o"]["cc"], 4).otherwise(0)
-    return F.aggregate(others, F.lit(0), lambda a, x: a + one(x))
-
-
 def looked_up(hops: DataFrame, ip_geo: DataFrame, ptr: DataFrame | None = None) -> DataFrame:
-    """hops with the geo record of their address and, where they have no host name, the one of the ptr table.
+    """hops with the geo record of their address and, where they have no host name, the one of the ptr table; and with the city
+    hints of both host names, m_host and m_geo, each name matched once.
 
     Both tables have a row for an address at most; how they are joined is left to their sizes.
     """
@@ -141,55 +130,99 @@ def looked_up(hops: DataFrame, ip_geo: DataFrame, ptr: DataFrame | None = None)
         names = ptr.select(F.col("ip").alias("ptr_ip"), F.col("hostname").alias("ptr_hostname"))
         hops = hops.join(names, F.when(hops["hostname"].isNull(), hops["ip"]) == F.col("ptr_ip"), "left")
         hops = hops.withColumn("hostname", F.coalesce("hostname", "ptr_hostname")).drop("ptr_ip", "ptr_hostname")
-    return hops.join(ip_geo, "ip", "left")
+    hosts = matched_hosts(hops.select(F.col("hostname").alias("__host")).where(F.col("__host").isNotNull()).distinct(), "__host", "m_host")
+    hops = hops.join(hosts, F.col("hostname") == F.col("__host"), "left").drop("__host")
+    return hops.join(matched_hosts(ip_geo, "geo_hostname", "m_geo"), "ip", "left")
+
+
+#: The four slots of a hop's candidates, in order, and which of them are weak or strong evidence.
+SLOTS = {"c0": "provider", "c1": "reverse_dns", "c2": "reverse_dns", "c3": "geoip"}
+WEAK_SLOTS, STRONG_SLOTS = ([c for c, source in SLOTS.items() if source in kind] for kind in (WEAK, STRONG))
 
 
 def candidates(hops: DataFrame) -> DataFrame:
-    """hops (with geo_ and src_ columns) with array candidates: provider, host name, the geo record's host name, geo record."""
-    hops = hops.withColumns({"m_host": host_city(F.col("hostname")), "m_geo": host_city(F.col("geo_hostname"))})
-    every = F.array(from_provider(), from_host("hostname", "m_host"), from_host("geo_hostname", "m_geo"), from_geoip())
-    return hops.withColumn("candidates", F.array_compact(every)).drop("m_host", "m_geo")
+    """hops (with geo_ and src_ columns) with a column for each slot: the candidate of the hop's own place, of its host name,
+    of the geo record's host name and of the geo record, or null. Host names that looked_up has not matched are matched here.
+    """
+    for host, out in (("hostname", "m_host"), ("geo_hostname", "m_geo")):
+        hops = hops if out in hops.columns else matched_hosts(hops, host, out)
+    places = dims.cities(hops.sparkSession)
+    known = F.struct("city", "country", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    places = F.broadcast(places.select(F.lower("city").alias("__city"), known.alias("known")))  # a fixed table of 21 rows
+    hops = hops.join(places, F.lower("city") == F.col("__city"), "left").drop("__city")
+    found = dict(zip(SLOTS, (from_provider(), from_host("hostname", "m_host"), from_host("geo_hostname", "m_geo"), from_geoip())))
+    return hops.withColumns(found).drop("m_host", "m_geo", "known")
 
 
 def checked(hops: DataFrame) -> DataFrame:
-    """candidates with arrays sane (districts, areas, latency) and filtered (without conflicts), in order."""
+    """candidates moved to their district or area, with a flag kept_ for each slot: it is there, its distance from the source is
+    plausible at the latency (sane_), and it lies nowhere else than strong evidence, if it is weak.
+
+    Each distance is worked out once: far_ from the source, and one for each pair of slots.
+    """
     source = F.when(F.col("src_latitude").isNotNull() & F.col("src_longitude").isNotNull() & F.col("src_city").isNotNull() & F.col("src_country").isNotNull(), F.struct(F.col("src_latitude").alias("lat"), F.col("src_longitude").alias("lon")))
     hops = hops.withColumn("src", source).withColumn("src_metro", F.when(F.col("src").isNotNull(), geo.metro_index(F.col("src_city"), F.col("src_country"), F.col("src_latitude"), F.col("src_longitude"))))
-    hops = hops.withColumn("sane", F.transform("candidates", with_district))
-    hops = hops.withColumn("sane", F.transform("sane", lambda c: downgraded(c, F.col("src_metro"), F.col("rtt_ms"))))
-    hops = hops.withColumn("sane", F.filter("sane", lambda c: sane(distance(c, F.col("src")), F.col("rtt_ms"))))
-    return hops.withColumn("filtered", F.filter("sane", lambda c: ~F.coalesce(conflicts(c, F.col("sane")), F.lit(False))))
+    hops = hops.withColumns({c: F.when(F.col(c).isNotNull(), with_district(F.col(c))) for c in SLOTS})
+    hops = hops.withColumns({c: F.when(F.col(c).isNotNull(), downgraded(F.col(c), F.col("src_metro"), F.col("rtt_ms"))) for c in WEAK_SLOTS})
+    hops = hops.withColumns({f"far_{c}": distance(F.col(c), F.col("src")) for c in SLOTS} | {f"far_{a}{b}": distance(F.col(a), F.col(b)) for a, b in itertools.combinations(SLOTS, 2)})
+    hops = hops.withColumns({f"sane_{c}": F.col(c).isNotNull() & sane(F.col(f"far_{c}"), F.col("rtt_ms")) for c in SLOTS})
+
+    def against(weak: str, strong: str) -> Column:
+        far = F.col("far_" + "".join(sorted((weak, strong))))
+        return F.coalesce(F.col(f"sane_{strong}") & (far >= 120) & (~F.coalesce(F.col(weak)["cc"] == F.col(strong)["cc"], F.lit(False)) | (far > 320)), F.lit(False))
+
+    conflict = {w: functools.reduce(Column.__or__, (against(w, s) for s in STRONG_SLOTS)) for w in WEAK_SLOTS}
+    return hops.withColumns({f"kept_{c}": F.col(f"sane_{c}") & ~conflict[c] if c in conflict else F.col(f"sane_{c}") for c in SLOTS})
 
 
 def scored(hops: DataFrame) -> DataFrame:
-    """checked with array scores, one for each of filtered."""
-    score = lambda c, i: base_score(c) + agreement(c, i, F.col("filtered")) + rtt_support(distance(c, F.col("src")), F.col("rtt_ms"))
-    return hops.withColumn("scores", F.transform("filtered", score))
+    """checked with score_ for each slot, null where it isn't kept. Kept candidates support each other, also two equal ones."""
+
+    def support(c: str, other: str) -> Column:
+        near = F.col("far_" + "".join(sorted((c, other)))) < 90
+        return F.when(F.col(f"kept_{other}"), F.when(near, 12).when(F.col(c)["cc"] == F.col(other)["cc"], 4).otherwise(0)).otherwise(0)
+
+    def score(c: str) -> Column:
+        total = base_score(F.col(c)) + rtt_support(F.col(f"far_{c}"), F.col("rtt_ms"))
+        return F.when(F.col(f"kept_{c}"), functools.reduce(Column.__add__, (support(c, o) for o in SLOTS if o != c), total))
+
+    return hops.withColumns({f"score_{c}": score(c) for c in SLOTS})
+
+
+def kept(hops: DataFrame) -> Column:
+    """Array of (candidate, score) of the slots that are kept, in order."""
+    return F.array_compact(F.array(*(F.when(F.col(f"kept_{c}"), F.struct(F.col(c).alias("candidate"), F.col(f"score_{c}").alias("score"))) for c in SLOTS)))
 
 
 def chosen(hops: DataFrame) -> DataFrame:
     """scored with struct location: combined evidence if host name and geo record agree, else the first of the best scores."""
-    first = lambda s: F.get(F.filter("filtered", lambda c: c["source"] == s), F.lit(0))
-    hops = hops.withColumns({"rev": first("reverse_dns"), "gip": first("geoip")})
+    rev, gip = F.when(F.col("kept_c1"), F.col("c1")).when(F.col("kept_c2"), F.col("c2")), F.when(F.col("kept_c3"), F.col("c3"))
+    hops = hops.withColumns({"rev": rev, "gip": gip, "far_rev": F.when(F.col("kept_c1"), F.col("far_c1c3")).otherwise(F.col("far_c2c3"))})
     rev, gip = F.col("rev"), F.col("gip")
-    agree = F.coalesce((distance(rev, gip) < 90) | (F.lower(rev["city"]) == F.lower(gip["city"])), F.lit(False))
+    agree = rev.isNotNull() & gip.isNotNull() & F.coalesce((F.col("far_rev") < 90) | (F.lower(rev["city"]) == F.lower(gip["city"])), F.lit(False))
     combined = F.struct(
         F.lit("combined").alias("source"), rev["city"].alias("city"), rev["country"].alias("country"), rev["lat"].alias("lat"), rev["lon"].alias("lon"),
         F.lit("high").alias("confidence"), rev["precision"].alias("precision"), rev["cc"].alias("cc"), F.concat(rev["evidence"], gip["evidence"]).alias("evidence"),
     ).cast(CANDIDATE)
-    best = F.get("filtered", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
-    return hops.withColumn("location", F.when(agree, combined).otherwise(best)).drop("rev", "gip")
+    most, best = F.greatest(*(f"score_{c}" for c in SLOTS)), F.when(agree, combined)
+    for c in SLOTS:
+        best = best.when(F.col(f"score_{c}") == most, F.col(c))
+    return hops.withColumn("location", best).drop("rev", "gip", "far_rev")
 
 
 def enriched(hops: DataFrame) -> DataFrame:
-    """hops (with geo_ and src_ columns) with the chosen location in place of their own; without one the own place stays, as unknown."""
+    """hops (with geo_ and src_ columns) with the chosen location in place of their own; without one the own place stays, as
+    unknown. Network number and name are the hop's own, else those of its geo record."""
+    own = [c for c in hops.columns if c not in ("m_host", "m_geo")]
     out = chosen(scored(checked(candidates(hops))))
     l = F.col("location")  # noqa: E741
     has = l.isNotNull()
-    return out.withColumns({
+    new = {
+        "asn": F.coalesce("asn", "geo_asn"), "as_name": F.coalesce("as_name", "geo_as_name"),
         "city": F.when(has, l["city"]).otherwise(F.col("city")), "country": F.when(has, l["country"]).otherwise(F.col("country")),
         "latitude": F.when(has, l["lat"]).otherwise(F.col("latitude")), "longitude": F.when(has, l["lon"]).otherwise(F.col("longitude")),
         "location_confidence": F.when(has, l["confidence"]).otherwise("low"), "location_source": F.when(has, l["source"]).otherwise("unknown"),
         "location_precision": F.when(has, l["precision"]).otherwise("unknown"),
         "location_evidence": F.when(has, l["evidence"]).otherwise(F.array(F.lit("No reliable city-level evidence found"))),
-    }).drop("location", "candidates", "sane", "filtered", "scores", "src", "src_metro")
+    }
+    return out.withColumns(new).select(*own, *(c for c in new if c not in own))

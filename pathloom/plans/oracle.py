@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.functions.geo import METRO_CITIES
+from pathloom.sources.dims import METRO_CITIES
 from pathloom.functions.net import ASN_RULES, ERRORS, NOT_LOOKED_UP
 from pathloom.operators.report import CAP_NOTICE, NOTICES
 from pathloom.sources import dims
@@ -20,7 +20,7 @@ def city(field: int, at: str) -> str:
     return f"{values([c[field] for c in dims.CITIES])}[{at} + 1]"
 
 
-FIRST_ALIAS = values([c[4].split()[0] for c in dims.CITIES])
+FIRST_ALIAS = values([c[4][0] for c in dims.CITIES])
 NETWORKS = "(VALUES " + ", ".join(f"({text(a)}, {text(n)}, {text(c)})" for a, n, c in dims.NETWORKS) + ") AS n(asn, name, country)"
 
 HOPS = f"""line AS (
@@ -47,11 +47,17 @@ SOURCES = f"""sources AS (
 EVENTS = """ev AS (
   SELECT user_id AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, epoch_us(ts) // 1000 AS ts_ms,
     CASE event_type WHEN 'signup' THEN 'measurement_started' WHEN 'view' THEN 'hop_result' WHEN 'click' THEN 'metric_update' WHEN 'purchase' THEN 'measurement_finished' WHEN 'error' THEN 'error' END AS type,
-    k % 8 + 1 AS hop_number, CASE WHEN k % 4 <> 0 THEN value END AS rtt_ms, CASE WHEN k % 3 <> 0 THEN 'h' || k END AS hostname
+    k % 8 + 1 AS hop_number, CASE WHEN k % 4 <> 0 THEN value END AS rtt_ms, CASE WHEN k % 3 <> 0 THEN 'h' || k END AS hostname,
+    CASE WHEN k % 5 <> 0 THEN value / 2 END AS jitter_ms, CASE WHEN k % 7 <> 0 THEN CAST(k % 100 AS DOUBLE) END AS packet_loss_percent, CASE WHEN k % 2 = 0 THEN 'AS' || k END AS asn,
+    CASE WHEN k % 11 <> 0 THEN ['ok', 'slow', 'loss', 'timeout'][k % 4 + 1] END AS status, value, k
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)
 )"""
 
 
+EVENT_FIELDS = ["asn", "hostname", "rtt_ms", "jitter_ms", "packet_loss_percent", "status"]
+LATEST = "max_by({0}, seq) FILTER ({1}) AS {0}"
+
+
 def octet(ip: str, i: int) -> str:
     return f"CAST(split_part({ip}, '.', {i}) AS BIGINT)"
 
@@ -120,7 +126,7 @@ ENDPOINTS = f"""ends AS (
   FROM sources s LEFT JOIN (SELECT measurement_id, max_by(latitude, hop_seq) AS dst_lat, max_by(longitude, hop_seq) AS dst_lon FROM hops WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1) d
     ON s.measurement_id = d.measurement_id
 )"""
-ALIASES = "(VALUES " + ", ".join(f"({i}, {j}, {text(a)})" for i, c in enumerate(dims.CITIES) for j, a in enumerate(c[4].split())) + ") AS a(city_ord, alias_ord, alias)"
+ALIASES = "(VALUES " + ", ".join(f"({i}, {j}, {text(a)})" for i, c in enumerate(dims.CITIES) for j, a in enumerate(c[4])) + ") AS a(city_ord, alias_ord, alias)"
 
 
 def host_match(hosts: str) -> str:
@@ -139,7 +145,7 @@ FUSION = f"""WITH {HOPS}, {SOURCES}, pub AS (
   SELECT ip, CAST({octet("ip", 1)} + {octet("ip", 2)} + {octet("ip", 3)} + {octet("ip", 4)} AS INT) % 21 AS loc FROM (SELECT DISTINCT ip FROM hops WHERE ip IS NOT NULL) WHERE NOT {within(number("ip"), NOT_LOOKED_UP)}
 ), geo AS (
   SELECT ip, {city(0, "loc")} AS geo_city, {city(1, "loc")} AS geo_country, {city(2, "loc")} + 0.25::DOUBLE AS geo_lat, {city(3, "loc")} - 0.25::DOUBLE AS geo_lon,
-    'geo-' || {FIRST_ALIAS}[(loc + 1) % 21 + 1] || '.example.org' AS geo_hostname FROM pub
+    'geo-' || {FIRST_ALIAS}[(loc + 1) % 21 + 1] || '.example.org' AS geo_hostname, CASE WHEN loc % 3 <> 0 THEN 'AS' || (2000 + loc) END AS geo_asn, CASE WHEN loc % 3 <> 1 THEN 'Geo network ' || loc END AS geo_as_name FROM pub
 ), hosts AS (
   SELECT DISTINCT hostname FROM hops WHERE hostname IS NOT NULL UNION SELECT DISTINCT geo_hostname FROM geo
 ), {host_match("hosts")}, base AS (
@@ -230,10 +236,10 @@ ORACLE_SQL: dict[str, str] = {
       JOIN scored a ON a.measurement_id = f.measurement_id AND a.hop_seq = f.hop_seq AND a.ord = f.r JOIN scored b ON b.measurement_id = f.measurement_id AND b.hop_seq = f.hop_seq AND b.ord = f.g
       WHERE {haversine("a.lat", "a.lon", "b.lat", "b.lon")} < 90 OR lower(a.city) = lower(b.city)), best AS (
       SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY measurement_id, hop_seq ORDER BY score DESC, ord) = 1)
-      SELECT h.measurement_id, h.hop_seq, coalesce(c.city, b.city, h.city) AS city, coalesce(c.country, b.country, h.country) AS country, round(coalesce(c.lat, b.lat, h.latitude), 6) AS latitude, round(coalesce(c.lon, b.lon, h.longitude), 6) AS longitude,
+      SELECT h.measurement_id, h.hop_seq, coalesce(CASE WHEN h.hop_seq % 2 = 0 THEN h.asn END, g.geo_asn) AS asn, g.geo_as_name AS as_name, coalesce(c.city, b.city, h.city) AS city, coalesce(c.country, b.country, h.country) AS country, round(coalesce(c.lat, b.lat, h.latitude), 6) AS latitude, round(coalesce(c.lon, b.lon, h.longitude), 6) AS longitude,
       CASE WHEN c.city IS NOT NULL THEN 'high' WHEN b.city IS NOT NULL THEN b.confidence ELSE 'low' END AS location_confidence, CASE WHEN c.city IS NOT NULL THEN 'combined' WHEN b.city IS NOT NULL THEN b.source ELSE 'unknown' END AS location_source,
       coalesce(c.precision, b.precision, 'unknown') AS location_precision, coalesce(c.evidence, b.evidence, 'No reliable city-level evidence found') AS evidence
-      FROM hops h LEFT JOIN comb c ON c.measurement_id = h.measurement_id AND c.hop_seq = h.hop_seq LEFT JOIN best b ON b.measurement_id = h.measurement_id AND b.hop_seq = h.hop_seq""",
+      FROM hops h LEFT JOIN geo g ON h.ip = g.ip LEFT JOIN comb c ON c.measurement_id = h.measurement_id AND c.hop_seq = h.hop_seq LEFT JOIN best b ON b.measurement_id = h.measurement_id AND b.hop_seq = h.hop_seq""",
     "network_lookup": f"WITH {HOPS} SELECT g.asn, name, country, n_hops FROM (SELECT asn, count(*) AS n_hops FROM hops GROUP BY 1) g LEFT JOIN {NETWORKS} ON g.asn = n.asn",
     "as_islands": f"WITH {HOPS}, {SEGMENTS} SELECT measurement_id, segment, asn, name, place, n_hops, status FROM segments",
     "endpoints": f"WITH {HOPS}, {SOURCES}, {ENDPOINTS} SELECT * FROM ends",
@@ -258,18 +264,29 @@ ORACLE_SQL: dict[str, str] = {
     "command_lines": f"""WITH o AS (SELECT *, o_orderkey % 2 = 0 AS mtr, o_orderkey % 3 AS pr, 'h' || o_custkey || '.net' AS t FROM orders), l AS (SELECT o_orderkey, [CASE WHEN mtr THEN '$ mtr -rwc 16 -z ' || t ELSE '$ traceout ' || t END,
       'provider  ' || CASE pr WHEN 0 THEN 'Globalping API' WHEN 1 THEN 'Demo provider' ELSE 'Measurement provider' END || CASE WHEN mtr AND pr = 0 THEN ' - API packet cap 16' ELSE '' END, {text(NOTICES[0])}, {text(NOTICES[1])}] || CASE WHEN mtr AND pr = 0 THEN [{text(CAP_NOTICE)}] ELSE [] END AS ls FROM o)
       SELECT o_orderkey, CAST(i AS INT) AS line_no, ls[i + 1] AS line FROM l, range(5) AS r(i) WHERE i < len(ls)""",
-    "hop_upsert": f"WITH {EVENTS} SELECT session_id, hop_number, max_by(rtt_ms, seq) FILTER (rtt_ms IS NOT NULL) AS rtt_ms, max_by(hostname, seq) FILTER (hostname IS NOT NULL) AS hostname FROM ev WHERE type = 'hop_result' GROUP BY 1, 2",
+    "hop_upsert": f"WITH {EVENTS} SELECT session_id, hop_number, {', '.join(LATEST.format(c, f'{c} IS NOT NULL') for c in EVENT_FIELDS)} FROM ev WHERE type = 'hop_result' GROUP BY 1, 2",
     "event_reduce": f"""WITH {EVENTS}, l AS (SELECT *, coalesce(max(seq) FILTER (type IN ('measurement_started', 'measurement_finished')) OVER (PARTITION BY session_id), 0) AS last FROM ev),
-      r AS (SELECT *, min(seq) FILTER (type = 'hop_result') OVER (PARTITION BY session_id, hop_number) AS first FROM l WHERE seq > last AND type IN ('hop_result', 'metric_update'))
-      SELECT session_id, hop_number, max_by(rtt_ms, seq) FILTER (rtt_ms IS NOT NULL) AS rtt_ms, max_by(hostname, seq) FILTER (hostname IS NOT NULL AND type = 'hop_result') AS hostname FROM r WHERE seq >= first GROUP BY 1, 2""",
+      a AS (SELECT session_id, seq, type, hop_number, {', '.join(EVENT_FIELDS)} FROM l WHERE seq > last AND type IN ('hop_result', 'metric_update')
+        UNION ALL SELECT session_id, seq, 'hop_result', CAST(i AS INT), NULL, CASE WHEN k % 3 <> i % 3 THEN 'p' || i END, value + i, NULL, NULL, 'ok' FROM l, range(1, 4) AS x(i) WHERE seq = last AND i <= k % 4),
+      r AS (SELECT *, min(seq) FILTER (type = 'hop_result') OVER (PARTITION BY session_id, hop_number) AS first FROM a)
+      SELECT session_id, hop_number, {', '.join(LATEST.format(c, f"{c} IS NOT NULL" + ("" if c in ('rtt_ms', 'jitter_ms', 'packet_loss_percent', 'status') else " AND type = 'hop_result'")) for c in EVENT_FIELDS)} FROM r WHERE seq >= first GROUP BY 1, 2""",
     "session_status": f"""WITH {EVENTS}, s AS (SELECT session_id, max_by(type, seq) FILTER (type IN ('measurement_started', 'measurement_finished', 'error')) AS t, min(ts_ms) AS created_ms, max(ts_ms) FILTER (type IN ('measurement_finished', 'error')) AS ended, count(*) AS n_events FROM ev GROUP BY 1)
       SELECT session_id, CASE t WHEN 'measurement_started' THEN 'running' WHEN 'measurement_finished' THEN 'finished' WHEN 'error' THEN 'error' ELSE 'starting' END AS status, created_ms, least(created_ms + 900000, ended + 120000) AS expires_ms, n_events FROM s""",
     "session_cap": f"WITH {EVENTS} SELECT session_id, min(ts_ms) AS created_ms FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 500",
     "latest_result": f"WITH {EVENTS} SELECT session_id, max(seq) AS seq, max_by(type, seq) AS type, max_by(ts_ms, seq) AS ts_ms FROM ev WHERE type IN ('measurement_started', 'measurement_finished') GROUP BY 1",
     "new_hops": f"""WITH {EVENTS}, s AS (SELECT session_id, seq AS poll, hop_number AS n, coalesce(max(hop_number) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM ev)
       SELECT session_id, poll, CAST(i AS INT) AS hop_seq FROM s, range(1, 9) AS r(i) WHERE i > seen AND i <= n""",
-    "failover": f"""WITH {EVENTS}, b AS (SELECT session_id, bool_or(type = 'error') AS bad, count(*) AS n FROM ev GROUP BY 1)
-      SELECT session_id, CASE WHEN session_id % 2 = 0 AND NOT bad THEN 'live' ELSE 'demo' END AS source, CASE WHEN session_id % 2 = 0 AND NOT bad THEN n ELSE 1 END AS n_events FROM b""",
+    "failover": f"""WITH {EVENTS}, demo AS (SELECT c_custkey AS session_id, CAST(n AS INT) AS seq, CASE n WHEN 1 THEN 'measurement_started' WHEN 2 THEN CASE WHEN c_custkey % 7 = 0 THEN 'error' ELSE 'hop_result' END ELSE 'measurement_finished' END AS type FROM customer, range(1, 4) AS r(n)),
+      a AS (SELECT session_id, min(seq) FILTER (type = 'error') AS failed, max(seq) AS last FROM ev GROUP BY 1), b AS (SELECT session_id, min(seq) FILTER (type = 'error') AS failed, max(seq) AS last FROM demo GROUP BY 1),
+      gone AS (SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.failed - 1, 0) AS shift, b.session_id IS NULL OR b.failed IS NOT NULL AS lost, coalesce(b.failed - 1, b.last, 0) AS own FROM a FULL JOIN b ON a.session_id = b.session_id WHERE a.session_id IS NULL OR a.failed IS NOT NULL)
+      SELECT ev.session_id, CAST(seq AS INT) AS seq, 'live' AS source, type, NULL::VARCHAR AS message FROM ev JOIN a ON ev.session_id = a.session_id WHERE failed IS NULL OR seq < failed
+      UNION ALL SELECT demo.session_id, CAST(seq + shift AS INT), 'demo', type, NULL FROM demo JOIN gone ON demo.session_id = gone.session_id JOIN b ON demo.session_id = b.session_id WHERE failed IS NULL OR seq < failed
+      UNION ALL SELECT session_id, CAST(shift + own + 1 AS INT), 'demo', 'error', 'Measurement is temporarily unavailable. Please try again later.' FROM gone WHERE lost""",
+    "rate_limit": f"""WITH RECURSIVE {EVENTS}, n AS (SELECT session_id AS client, seq, ts_ms, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS i FROM ev),
+      s AS (SELECT client, seq, ts_ms, i, true AS allowed, 1 AS m, ts_ms + 60000 AS mr, 1 AS h, ts_ms + 3600000 AS hr FROM n WHERE i = 1
+        UNION ALL SELECT n.client, n.seq, n.ts_ms, n.i, x.m < 8 AND x.h < 80, x.m + CAST(x.m < 8 AND x.h < 80 AS INT), x.mr, x.h + CAST(x.m < 8 AND x.h < 80 AS INT), x.hr FROM n JOIN s p ON n.client = p.client AND n.i = p.i + 1,
+        LATERAL (SELECT CASE WHEN p.mr < n.ts_ms THEN 0 ELSE p.m END AS m, CASE WHEN p.mr < n.ts_ms THEN n.ts_ms + 60000 ELSE p.mr END AS mr, CASE WHEN p.hr < n.ts_ms THEN 0 ELSE p.h END AS h, CASE WHEN p.hr < n.ts_ms THEN n.ts_ms + 3600000 ELSE p.hr END AS hr) x)
+      SELECT client, seq, ts_ms, allowed FROM s""",
     "demo_hops": f"""WITH {DEMO} SELECT measurement_id, hop_number, CASE WHEN n = 5 THEN CASE WHEN contains(target, 'google') THEN 'AS15169' WHEN target = '1.1.1.1' THEN 'AS13335' ELSE 'AS8560' END ELSE ['AS???', 'AS???', 'AS64512', 'AS3356'][n] END AS asn,
       CASE WHEN n = 5 THEN 'edge.' || target ELSE ['nearby-probe.local', 'edge-gateway.net', 'regional-exchange.net', 'transit-backbone.example'][n] END AS hostname,
       CASE WHEN n = 5 THEN CASE WHEN target = '1.1.1.1' THEN target ELSE '192.0.2.80' END ELSE ['10.18.0.1', '172.18.42.1', '203.0.113.14', '198.51.100.35'][n] END AS ip,

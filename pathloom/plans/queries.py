@@ -174,7 +174,7 @@ def zoom_and_color(spark, sf_dir):
 def city_from_hostname(spark, sf_dir):
     h = adapters.hops(spark, sf_dir).select("hostname").where("hostname is not null").distinct()
     m = F.col("m")
-    return h.withColumn("m", fusion.host_city(F.col("hostname"))).select("hostname", fusion._hint(m["ord"], 0).alias("city"), m["alias"].alias("alias"))
+    return fusion.matched_hosts(h, "hostname", "m").select("hostname", m["city"].alias("city"), m["alias"].alias("alias"))
 
 
 @query
@@ -197,14 +197,19 @@ def metro_match(spark, sf_dir):
 def candidate_scores(spark, sf_dir):
     """Scores of all candidates that are left after the checks of latency and conflict."""
     s = fusion.scored(fusion.checked(fusion.candidates(_with_sources(spark, sf_dir))))
-    z = F.arrays_zip(F.transform("filtered", lambda c: c["source"]).alias("source"), F.transform("filtered", lambda c: c["city"]).alias("city"), F.transform("filtered", lambda c: c["precision"]).alias("precision"), F.col("scores").alias("score"))
-    return s.select(M, "hop_seq", F.posexplode(z).alias("i", "z")).select(M, "hop_seq", (F.col("i") + 1).alias("ord"), "z.source", "z.city", "z.precision", "z.score")
+    left = s.select(M, "hop_seq", F.posexplode(fusion.kept(s)).alias("i", "z"))
+    return left.select(M, "hop_seq", (F.col("i") + 1).alias("ord"), "z.candidate.source", "z.candidate.city", "z.candidate.precision", "z.score")
 
 
 @query
 def enriched_hops(spark, sf_dir):
-    out = fusion.enriched(_with_sources(spark, sf_dir))
-    return out.select(M, "hop_seq", "city", "country", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "location_confidence", "location_source", "location_precision", F.array_join("location_evidence", "; ").alias("evidence"))
+    """Every hop with its best location. Every second one is taken to have no network number of its own."""
+    hops = _with_sources(spark, sf_dir).withColumn("asn", F.when(F.col("hop_seq") % 2 == 0, F.col("asn")))
+    out = fusion.enriched(hops)
+    return out.select(
+        M, "hop_seq", "asn", "as_name", "city", "country", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"),
+        "location_confidence", "location_source", "location_precision", F.array_join("location_evidence", "; ").alias("evidence"),
+    )
 
 
 @query
@@ -322,10 +327,12 @@ def new_hops(spark, sf_dir):
 
 @query
 def failover(spark, sf_dir):
-    """Live sessions without an error, and synthetic ones in place of the others."""
-    live = adapters.events(spark, sf_dir).select("session_id", "seq", "type").withColumn("source", F.lit("live"))
-    synthetic_ = live.select("session_id").distinct().select("session_id", F.lit(1).alias("seq"), F.lit("measurement_started").alias("type"), F.lit("demo").alias("source"))
-    return ev.failed_over(live.where(F.col("session_id") % 2 == 0), synthetic_).groupBy("session_id", "source").agg(F.count("*").alias("n_events"))
+    """The logs of all sessions of the events and of all customers: live where there are live events, synthetic else or after
+    an error, and every seventh customer's synthetic source fails too."""
+    live = adapters.events(spark, sf_dir).select("session_id", "seq", "type")
+    fails = F.when(F.col("session_id") % 7 == 0, "error").otherwise("hop_result")
+    n = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seq"))
+    return ev.failed_over(live, n.withColumn("type", F.when(F.col("seq") == 1, "measurement_started").when(F.col("seq") == 2, fails).otherwise("measurement_finished")))
 
 
 @query

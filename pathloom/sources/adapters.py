@@ -36,7 +36,7 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat_ws(".", F.lit("203.0"), s % 200, p % 250))
         .when(kind == 4, F.concat_ws(".", F.lit("82.165"), s % 200, p % 250))
     )
-    host = F.when(p % 5 != 0, F.concat(F.lit("ae1-"), _pick(p % 21, [c[4].split()[0] for c in dims.CITIES]), (s % 9).cast("string"), F.lit(".core.example.net")))
+    host = F.when(p % 5 != 0, F.concat(F.lit("ae1-"), _pick(p % 21, [c[4][0] for c in dims.CITIES]), (s % 9).cast("string"), F.lit(".core.example.net")))
     asn = F.when(s % 10 == 8, F.lit("AS???")).when(s % 10 == 9, F.concat(F.lit("AS"), (1000 + s).cast("string"))).otherwise(_pick(s % 10, [n[0] for n in dims.NETWORKS] * 2))
     located = (place < 21) & (F.col("l_linestatus") == "F")
     rtt = F.when(p % 11 != 0, F.col("l_quantity") * 4)
@@ -70,12 +70,13 @@ def ip_geo(hops_: DataFrame) -> DataFrame:
     return ips.select(
         "ip", _pick(at, [c[0] for c in dims.CITIES]).alias("geo_city"), _pick(at, [c[1] for c in dims.CITIES]).alias("geo_country"),
         (_pick(at, [c[2] for c in dims.CITIES]) + 0.25).alias("geo_latitude"), (_pick(at, [c[3] for c in dims.CITIES]) - 0.25).alias("geo_longitude"),
-        F.concat(F.lit("geo-"), _pick((at + 1) % 21, [c[4].split()[0] for c in dims.CITIES]), F.lit(".example.org")).alias("geo_hostname"),
+        F.concat(F.lit("geo-"), _pick((at + 1) % 21, [c[4][0] for c in dims.CITIES]), F.lit(".example.org")).alias("geo_hostname"),
+        F.when(at % 3 != 0, F.concat(F.lit("AS"), (2000 + at).cast("string"))).alias("geo_asn"), F.when(at % 3 != 1, F.concat(F.lit("Geo network "), at.cast("string"))).alias("geo_as_name"),
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session events: (session_id, seq, ts_ms, type, hop_number, rtt_ms, hostname)."""
+    """Session events: (session_id, seq, ts_ms, type, hop_number, some hop fields, hops): started and finished ones carry a list."""
     e = table(spark, sf_dir, "events")
     kind = F.create_map(*(F.lit(x) for x in ("signup", "measurement_started", "view", "hop_result", "click", "metric_update", "purchase", "measurement_finished", "error", "error")))
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
@@ -83,9 +84,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("session_id"), seq.alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.element_at(kind, F.col("event_type")).alias("type"),
         (k % 8 + 1).alias("hop_number"), F.when(k % 4 != 0, F.col("value")).alias("rtt_ms"), F.when(k % 3 != 0, F.concat(F.lit("h"), k.cast("string"))).alias("hostname"),
+        F.when(k % 5 != 0, F.col("value") / 2).alias("jitter_ms"), F.when(k % 7 != 0, (k % 100).cast("double")).alias("packet_loss_percent"),
+        F.when(k % 2 == 0, F.concat(F.lit("AS"), k.cast("string"))).alias("asn"), F.when(k % 11 != 0, _pick(k % 4, ("ok", "slow", "loss", "timeout"))).alias("status"),
+        F.when(F.col("event_type").isin("signup", "purchase"), F.slice(F.array(*(_listed_hop(i, k) for i in (1, 2, 3))), 1, k % 4)).alias("hops"),
     )
 
 
+def _listed_hop(i: int, k):
+    return F.struct(F.lit(i).alias("hop_number"), (F.col("value") + i).alias("rtt_ms"), F.when(k % 3 != i % 3, F.lit(f"p{i}")).alias("hostname"), F.lit("ok").alias("status"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(client, ts_ms, seq) of the rate limiter."""
     return events(spark, sf_dir).select(F.col("session_id").alias("client"), "ts_ms", "seq")

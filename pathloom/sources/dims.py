@@ -6,27 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 # City hints in match order: city, country, latitude, longitude, aliases in match order.
 CITIES = [
-    ("Seoul", "KR", 37.5665, 126.978, "seoul sel icn"),
-    ("Tokyo", "JP", 35.6762, 139.6503, "tokyo tyo nrt hnd jtha"),
-    ("Osaka", "JP", 34.6937, 135.5023, "osaka osa kix"),
-    ("Hong Kong", "HK", 22.3193, 114.1694, "hongkong hong-kong hkg hkth"),
-    ("Taipei", "TW", 25.033, 121.5654, "taipei tpe"),
-    ("Singapore", "SG", 1.3521, 103.8198, "singapore sin sgp"),
-    ("Sydney", "AU", -33.8688, 151.2093, "sydney syd ksyd"),
-    ("Melbourne", "AU", -37.8136, 144.9631, "melbourne mel"),
-    ("Frankfurt", "DE", 50.1109, 8.6821, "frankfurt fra rhr kae"),
-    ("Amsterdam", "NL", 52.3676, 4.9041, "amsterdam ams"),
-    ("London", "GB", 51.5072, -0.1276, "london lon lhr lgw ulhc"),
-    ("Paris", "FR", 48.8566, 2.3522, "paris par cdg"),
-    ("Warsaw", "PL", 52.2297, 21.0122, "warsaw waw"),
-    ("New York", "US", 40.7128, -74.006, "newyork new-york nyc jfk ewr"),
-    ("Ashburn", "US", 39.0438, -77.4874, "ashburn iad iad1"),
-    ("Chicago", "US", 41.8781, -87.6298, "chicago chi ord"),
-    ("Dallas", "US", 32.7767, -96.797, "dallas dfw dal"),
-    ("Los Angeles", "US", 34.0522, -118.2437, "losangeles los-angeles lax"),
-    ("San Jose", "US", 37.3382, -121.8863, "sanjose san-jose sjc"),
-    ("San Francisco", "US", 37.7749, -122.4194, "sanfrancisco san-francisco sfo"),
-    ("Seattle", "US", 47.6062, -122.3321, "seattle sea"),
+    ("Seoul", "KR", 37.5665, 126.978, ("seoul", "sel", "icn")),
+    ("Tokyo", "JP", 35.6762, 139.6503, ("tokyo", "tyo", "nrt", "hnd", "jtha")),
+    ("Osaka", "JP", 34.6937, 135.5023, ("osaka", "osa", "kix")),
+    ("Hong Kong", "HK", 22.3193, 114.1694, ("hongkong", "hong-kong", "hkg", "hkth")),
+    ("Taipei", "TW", 25.033, 121.5654, ("taipei", "tpe")),
+    ("Singapore", "SG", 1.3521, 103.8198, ("singapore", "sin", "sgp")),
+    ("Sydney", "AU", -33.8688, 151.2093, ("sydney", "syd", "ksyd")),
+    ("Melbourne", "AU", -37.8136, 144.9631, ("melbourne", "mel")),
+    ("Frankfurt", "DE", 50.1109, 8.6821, ("frankfurt", "fra", "rhr", "kae")),
+    ("Amsterdam", "NL", 52.3676, 4.9041, ("amsterdam", "ams")),
+    ("London", "GB", 51.5072, -0.1276, ("london", "lon", "lhr", "lgw", "ulhc")),
+    ("Paris", "FR", 48.8566, 2.3522, ("paris", "par", "cdg")),
+    ("Warsaw", "PL", 52.2297, 21.0122, ("warsaw", "waw")),
+    ("New York", "US", 40.7128, -74.006, ("newyork", "new-york", "nyc", "jfk", "ewr")),
+    ("Ashburn", "US", 39.0438, -77.4874, ("ashburn", "iad", "iad1")),
+    ("Chicago", "US", 41.8781, -87.6298, ("chicago", "chi", "ord")),
+    ("Dallas", "US", 32.7767, -96.797, ("dallas", "dfw", "dal")),
+    ("Los Angeles", "US", 34.0522, -118.2437, ("losangeles", "los-angeles", "lax")),
+    ("San Jose", "US", 37.3382, -121.8863, ("sanjose", "san-jose", "sjc")),
+    ("San Francisco", "US", 37.7749, -122.4194, ("sanfrancisco", "san-francisco", "sfo")),
+    ("Seattle", "US", 47.6062, -122.3321, ("seattle", "sea")),
 ]
 # Metropolitan areas in match order: key, label, country, latitude, longitude, radius in km, latency in ms.
 METROS = [
@@ -35,6 +35,16 @@ METROS = [
     ("hong-kong-metro", "Hong Kong", "HK", 22.3193, 114.1694, 45.0, 18.0),
     ("frankfurt-metro", "Frankfurt metro", "DE", 50.1109, 8.6821, 95.0, 24.0),
 ]
+# Cities that count as part of a metropolitan area.
+METRO_CITIES = {
+    "seoul-metro": [
+        "seoul", "incheon", "bucheon", "gimpo", "gwangmyeong", "anyang", "gwacheon", "gunpo", "uiwang", "suwon", "seongnam", "bundang", "hanam", "guri",
+        "namyangju", "yongin", "goyang", "paju", "uijeongbu",
+    ],
+    "tokyo-metro": ["tokyo", "yokohama", "kawasaki", "saitama", "chiba"],
+    "hong-kong-metro": ["hong kong", "hongkong", "kowloon", "wan chai", "central", "tsuen wan", "new territories"],
+    "frankfurt-metro": ["frankfurt", "karlsruhe", "rüsselsheim", "ruesselsheim", "offenbach", "mainz", "wiesbaden"],
+}
 # Districts that count as Hong Kong.
 HONG_KONG_DISTRICTS = ["wan chai", "central", "kowloon", "tsuen wan", "new territories"]
 # Networks: number, name, country.
@@ -88,7 +98,7 @@ def cities(spark: SparkSession) -> DataFrame:
 
 
 def city_aliases(spark: SparkSession) -> DataFrame:
-    rows = [(i, j, a) for i, c in enumerate(CITIES) for j, a in enumerate(c[4].split())]
+    rows = [(i, j, a) for i, c in enumerate(CITIES) for j, a in enumerate(c[4])]
     return spark.createDataFrame(rows, "city_ord int, alias_ord int, alias string")
 
 

@@ -1,24 +1,42 @@
-"""Event logs as streams: folders of text files with server-sent events or JSON lines."""
+"""Event logs as streams and tables: folders of JSON lines or of server-sent events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT = "session_id long, seq int, ts_ms long, type string, hop_number int, rtt_ms double, hostname string"
+from pathloom.streaming.events import HOP, HOP_TYPES
+
+EVENT = "session_id long, seq int, ts_ms long, type string, hop_number int, " + ", ".join(f"{k} {t}" for k, t in HOP_TYPES.items()) + f", hops array<{HOP}>, message string"
 TYPES = ("measurement_started", "hop_result", "metric_update", "measurement_finished", "error")
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Events of JSON text lines; lines that are no event of a known type go."""
+    """Events of JSON texts; texts that are no event of a known type go."""
     out = lines.select(F.from_json(column, EVENT).alias("e")).select("e.*")
     return out.where(F.col("type").isin(*TYPES))
 
 
+def frame_data(frames: DataFrame, column: str = "value") -> DataFrame:
+    """frames with column value: the data of a server-sent event, its data lines joined; comments and other fields go."""
+    lines = F.filter(F.split(column, r"\r?\n"), lambda x: F.startswith(x, F.lit("data:")))
+    return frames.withColumn("value", F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")).where("value <> ''")
+
+
 def stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """The events of a folder of JSON lines as a stream, files in the order they come."""
+    """The events of a folder of JSON lines as a stream, files in the order they come: those that are there are replayed, then
+    new ones are followed. `where("session_id = …")` is one session's subscription."""
     return parsed(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder))
 
 
 def batch(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(spark.read.text(folder))
+
+
+def sse_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """The events of a folder of server-sent event texts, frames set apart by blank lines, as a stream."""
+    return parsed(frame_data(spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("lineSep", "\n\n").text(folder)))
+
+
+def sse_batch(spark: SparkSession, folder: str) -> DataFrame:
+    return parsed(frame_data(spark.read.option("lineSep", "\n\n").text(folder)))

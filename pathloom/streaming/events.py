@@ -1,15 +1,32 @@
-"""Event logs: replay, keyed upserts, sessions. Batch by windows and aggregates; streams by the same functions on micro-batches."""
+"""Event logs: replay, keyed upserts, sessions, failover. What is an aggregate here is one on a stream as well."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 S = "session_id"
 REPLACING = ("measurement_started", "measurement_finished")
 ENDING = ("measurement_finished", "error")
 TTL_MS, ENDED_TTL_MS, MOST_SESSIONS = 900_000, 120_000, 500
-FIELDS = ("rtt_ms", "hostname")
+SAFE_ERROR = "Measurement is temporarily unavailable. Please try again later."
+#: The fields of a hop besides its number, and those that a metric update carries.
+HOP_TYPES = {
+    "asn": "string", "as_name": "string", "ip": "string", "hostname": "string", "city": "string", "country": "string", "latitude": "double", "longitude": "double",
+    "location_confidence": "string", "location_source": "string", "location_precision": "string", "location_evidence": "array<string>",
+    "rtt_ms": "double", "sent": "long", "last_ms": "double", "best_ms": "double", "worst_ms": "double", "jitter_ms": "double", "packet_loss_percent": "double", "status": "string",
+}
+METRICS = ("rtt_ms", "jitter_ms", "packet_loss_percent", "status")
+HOP = "struct<hop_number: int, " + ", ".join(f"{k}: {t}" for k, t in HOP_TYPES.items()) + ">"
+
+
+def fields(events: DataFrame) -> list[str]:
+    """The hop fields that the events have."""
+    return [c for c in HOP_TYPES if c in events.columns]
 
 
 def sse_frames(events: DataFrame) -> DataFrame:
@@ -18,29 +35,50 @@ def sse_frames(events: DataFrame) -> DataFrame:
     return events.withColumn("frame", F.concat(F.lit("event: "), F.col("type"), F.lit("\ndata: "), payload, F.lit("\n\n")))
 
 
-def since_replacing(events: DataFrame) -> DataFrame:
-    """Events after the last one of their session that replaces the hop list, which starts out empty."""
-    w = Window.partitionBy(S)
-    last = F.max(F.when(F.col("type").isin(*REPLACING), F.col("seq"))).over(w)
-    return events.withColumn("last", F.coalesce(last, F.lit(0))).where(F.col("seq") > F.col("last")).drop("last")
+def _latest(c: str, where: Column) -> Column:
+    """(seq, value) of the last event that passes `where` and has the field."""
+    return F.max(F.when(where & F.col(c).isNotNull(), F.struct(F.col("seq").alias("seq"), F.col(c).alias("value"))))
 
 
 def upserted(events: DataFrame) -> DataFrame:
-    """(session_id, hop_number, fields): hops as hop_result events leave them; a later event overwrites with what it has."""
-    rows = events.where(F.col("type") == "hop_result")
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return rows.groupBy(S, "hop_number").agg(*(latest(c) for c in FIELDS))
+    """(session_id, hop_number, fields): hops as hop_result events leave them; a later event overwrites with what it has.
+
+    On a stream this is Spark's own keyed state, a row for each hop: write it in update mode, and each micro-batch gives the
+    hops that it has changed.
+    """
+    rows, own = events.where(F.col("type") == "hop_result"), fields(events)
+    out = rows.groupBy(S, "hop_number").agg(*(_latest(c, F.lit(True)).alias(c) for c in own))
+    return out.select(S, "hop_number", *(F.col(f"{c}.value").alias(c) for c in own))
 
 
 def reduced(events: DataFrame) -> DataFrame:
-    """(session_id, hop_number, fields): hops as all events leave them. A metric update of a hop not yet known has no effect."""
-    rows = since_replacing(events).where(F.col("type").isin("hop_result", "metric_update"))
-    first = F.min(F.when(F.col("type") == "hop_result", F.col("seq"))).over(Window.partitionBy(S, "hop_number"))
-    rows = rows.withColumn("first", first).where(F.col("seq") >= F.col("first"))
-    # A metric update carries measurements only.
-    rows = rows.withColumn("hostname", F.when(F.col("type") == "hop_result", F.col("hostname")))
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return rows.groupBy(S, "hop_number").agg(*(latest(c) for c in FIELDS))
+    """(session_id, hop_number, fields): hops as all events leave them.
+
+    A started or finished event replaces the list with that of its payload (column hops, where there is one; numbers within
+    a list are distinct). hop_result adds a hop or overwrites its fields with what it has; metric_update does so with METRICS
+    of a hop that is there by then, and has no effect on others. Events are combined before they move, session by session and
+    hop by hop.
+    """
+    own = fields(events)
+    listed = F.col("hops") if "hops" in events.columns else F.lit(None).cast(f"array<{HOP}>")
+    replacing = events.where(F.col("type").isin(*REPLACING)).groupBy(S).agg(F.max("seq").alias("last"), F.max_by(listed, "seq").alias("list"))
+    inside = [f.name for f in replacing.schema["list"].dataType.elementType.fields]
+    first = replacing.select(S, F.col("last").alias("seq"), F.inline("list"))
+    first = first.select(S, "seq", F.lit("hop_result").alias("type"), "hop_number", *(F.col(c).cast(HOP_TYPES[c]).alias(c) if c in inside else F.lit(None).cast(HOP_TYPES[c]).alias(c) for c in own))
+    later = events.where(F.col("type").isin("hop_result", "metric_update")).join(replacing.select(S, "last"), S, "left").where(F.col("seq") > F.coalesce("last", F.lit(0)))
+    rows = later.select(S, "seq", "type", "hop_number", *own).unionByName(first)
+    hop, metric = F.col("type") == "hop_result", F.col("type") == "metric_update"
+    out = rows.groupBy(S, "hop_number").agg(
+        F.min(F.when(hop, F.col("seq"))).alias("first"), *(_latest(c, hop).alias(c) for c in own), *(_latest(c, metric).alias(f"{c}_metric") for c in own if c in METRICS),
+    )
+
+    def value(c: str) -> Column:
+        if c not in METRICS:
+            return F.col(f"{c}.value")
+        newer = (F.col(f"{c}_metric.seq") > F.col("first")) & (F.col(f"{c}_metric.seq") > F.coalesce(f"{c}.seq", F.lit(0)))
+        return F.when(newer, F.col(f"{c}_metric.value")).otherwise(F.col(f"{c}.value"))
+
+    return out.where(F.col("first").isNotNull()).select(S, "hop_number", *(value(c).alias(c) for c in own))
 
 
 def statuses(events: DataFrame) -> DataFrame:
@@ -68,9 +106,25 @@ def capped(sessions: DataFrame, most: int = MOST_SESSIONS) -> DataFrame:
 
 
 def failed_over(live: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """The live events of each session, or the synthetic ones where there are no live ones or an error is among them."""
-    good = live.groupBy(S).agg(F.max(F.col("type") == "error").alias("bad")).where(~F.col("bad")).select(S)
-    return live.join(good, S, "left_semi").unionByName(synthetic.join(good, S, "left_anti"))
+    """(session_id, seq, source, type, message): the log of each session when a live source gives way to a synthetic one.
+
+    Both have (session_id, seq, type); an event of type error stands for a source that fails there. The log keeps what the live
+    source gave before it failed; then come the synthetic events, as they do for sessions without live ones. Where the
+    synthetic source fails too, or has nothing, one event with a safe message ends the log.
+    """
+    def source(events: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        ends = events.groupBy(S).agg(F.min(F.when(F.col("type") == "error", F.col("seq"))).alias("failed"), F.max("seq").alias("last"))
+        kept = events.join(ends, S).where(F.col("failed").isNull() | (F.col("seq") < F.col("failed"))).select(S, "seq", F.lit(name).alias("source"), "type")
+        return kept, ends.select(S, F.col("failed").isNotNull().alias(f"{name}_failed"), F.coalesce(F.col("failed") - 1, "last").alias(f"{name}_last"))
+
+    first, live_ends = source(live, "live")
+    second, demo_ends = source(synthetic, "demo")
+    both = live_ends.join(demo_ends, S, "full").where(F.col("live_failed").isNull() | F.col("live_failed"))
+    after = both.select(S, F.coalesce("live_last", F.lit(0)).alias("shift"), (F.coalesce("live_last", F.lit(0)) + F.coalesce("demo_last", F.lit(0))).alias("end"), F.coalesce("demo_failed", F.lit(True)).alias("lost"))
+    second = second.join(after, S).select(S, (F.col("seq") + F.col("shift")).alias("seq"), "source", "type")
+    safe = after.where("lost").select(S, (F.col("end") + 1).alias("seq"), F.lit("demo").alias("source"), F.lit("error").alias("type"))
+    out = first.unionByName(second).unionByName(safe)
+    return out.withColumn("seq", F.col("seq").cast("int")).withColumn("message", F.when(F.col("type") == "error", F.lit(SAFE_ERROR)))
 
 
 def new_hops(polls: DataFrame) -> DataFrame:
@@ -85,23 +139,33 @@ def last_attempt(events: DataFrame) -> DataFrame:
     return events.withColumn("most", F.max("attempt").over(Window.partitionBy(S))).where(F.col("attempt") == F.col("most")).drop("most")
 
 
-def upsert_stream(stream: DataFrame, folder: str, checkpoint: str):
-    """Keep the table at folder as upserted() over all events of a stream: the state so far is read, merged and written as a
-    new version in each micro-batch; a version is whole before the marker names it, so a lost batch is written again."""
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        batch = batch.where(F.col("type") == "hop_result").select(S, "seq", "type", "hop_number", *FIELDS)
-        parts = []
-        if number > 0:
-            old = spark.read.parquet(f"{folder}/version={number - 1}")
-            parts.append(old)
-        latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-        every = batch
-        for p in parts:
-            for c in FIELDS:
-                every = every.unionByName(p.select(S, F.col(f"{c}_seq").alias("seq"), "hop_number", c), allowMissingColumns=True)
-        out = every.groupBy(S, "hop_number").agg(*(latest(c).alias(c) for c in FIELDS), *(F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{c}_seq") for c in FIELDS))
-        out.write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+SESSION_STATE = "status string, status_seq long, created_ms long, ended_ms long, n_events long"
+SESSION_OUT = "session_id long, status string, created_ms long, expires_ms long, n_events long, expired boolean"
+
+
+def session_stream(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Sessions of a stream of (session_id, seq, ts_ms, type), as statuses() gives them, a row whenever events come in, and one
+    with expired true when the session's time is over by the watermark. Its state goes then; a later event begins a new one.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, status_seq, created, ended, n = state.get if state.exists else ("starting", -1, None, None, 0)
+        if not state.hasTimedOut:
+            for b in batches:
+                for seq, ts, kind in zip(b["seq"].tolist(), b["ts_ms"].tolist(), b["type"].tolist()):
+                    n, created = n + 1, ts if created is None else min(created, ts)
+                    now = {"measurement_started": "running", "measurement_finished": "finished", "error": "error"}.get(kind)
+                    if now and seq > status_seq:
+                        status, status_seq = now, seq
+                    if kind in ENDING:
+                        ended = ts if ended is None or pd.isna(ended) else max(ended, ts)
+        expires = created + TTL_MS if ended is None or pd.isna(ended) else min(created + TTL_MS, ended + ENDED_TTL_MS)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((status, status_seq, created, ended, n))
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"session_id": [key[0]], "status": [status], "created_ms": [created], "expires_ms": [expires], "n_events": [n], "expired": [state.hasTimedOut]})
+
+    timed = events.select(S, "seq", "ts_ms", "type", F.timestamp_millis("ts_ms").alias("at")).withWatermark("at", delay)
+    return timed.groupBy(S).applyInPandasWithState(run, SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import decode, fusion, report, route, summary
 from pathloom.sources import synthetic
 
-GEO = "geo_city string, geo_country string, geo_latitude double, geo_longitude double, geo_hostname string"
+GEO = "geo_city string, geo_country string, geo_latitude double, geo_longitude double, geo_hostname string, geo_asn string, geo_as_name string"
 SRC = "src_city string, src_country string, src_latitude double, src_longitude double"
 SEOUL, TOKYO, FRANKFURT = ("Seoul", "KR", 37.57, 126.98), ("Tokyo", "JP", 35.6762, 139.6503), ("Frankfurt", "DE", 50.1109, 8.6821)
 NONE = (None,) * 4
@@ -77,13 +77,13 @@ def test_sources_and_applied_results(spark):
 
 
 def fuse(spark, host, rtt, own, geo, src):
-    df = spark.createDataFrame([("m", 1, host, rtt, *own, *geo, None, *src)], f"measurement_id string, hop_seq int, hostname string, rtt_ms double, city string, country string, latitude double, longitude double, {GEO}, {SRC}")
+    df = spark.createDataFrame([("m", 1, None, None, host, rtt, *own, *geo, None, "AS15169", "Google", *src)], f"measurement_id string, hop_seq int, asn string, as_name string, hostname string, rtt_ms double, city string, country string, latitude double, longitude double, {GEO}, {SRC}")
     return fusion.enriched(df).first()
 
 
 def test_fusion(spark):
     r = fuse(spark, "edge.example.net", 22.0, SEOUL, TOKYO, NONE)
-    assert (r.city, r.country, r.location_confidence, r.location_source) == ("Seoul", "KR", "high", "provider")
+    assert (r.city, r.country, r.location_confidence, r.location_source) == ("Seoul", "KR", "high", "provider") and (r.asn, r.as_name) == ("AS15169", "Google")
     r = fuse(spark, "nrt-edge.example.net", 18.0, NONE, TOKYO, NONE)
     assert (r.city, r.location_confidence, r.location_source) == ("Tokyo", "high", "combined") and len(r.location_evidence) == 2
     r = fuse(spark, None, 8.0, SEOUL, TOKYO, SEOUL)
@@ -101,7 +101,7 @@ def test_fusion(spark):
 
 def test_host_cities(spark):
     df = spark.createDataFrame([("ae1.iad2.net",), ("xe-0.losangeles-core.net",), ("mysel.net",), ("hongkonggate.x",), ("KSYD7.x",), (None,)], "h string")
-    assert [r[0] for r in df.select(fusion._hint(fusion.host_city(F.col("h"))["ord"], 0)).collect()] == ["Ashburn", "Los Angeles", None, "Hong Kong", "Sydney", None]
+    assert [r[0] for r in fusion.matched_hosts(df, "h", "m").select("m.city").collect()] == ["Ashburn", "Los Angeles", None, "Hong Kong", "Sydney", None]
 
 
 def test_confidence(spark):
