@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from pathloom.functions.text import trimmed
 from pathloom.sources import dims
@@ -56,19 +52,35 @@ def is_blocked(ip: Column) -> Column:
     return F.coalesce(_within(ip, dims.BLOCKED_V4), F.lit(True))
 
 
-@F.pandas_udf(BooleanType())
-def is_blocked_v6(ip: pd.Series) -> pd.Series:
+def v6_groups(ip: Column) -> Column:
+    """The eight numbers of an IPv6 address, which may end in an IPv4 address or a zone; null for anything else."""
+    own = F.regexp_replace(F.lower(ip), "%[^%/]+$", "")
+    tail = F.regexp_extract(own, r":((?:[0-9]{1,3}\.){3}[0-9]{1,3})$", 1)
+    n = ip_number(tail)
+    own = F.when(tail == "", own).when(n.isNotNull(), F.concat(F.regexp_replace(own, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536))))
+    halves = F.split(own, "::", -1)
+    parts = lambda h: F.when(h == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(h, ":", -1))
+    left, right = parts(F.get(halves, F.lit(0))), parts(F.get(halves, F.lit(1)))
+    short = 8 - F.size(left) - F.size(right)
+    groups = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (short > 0), F.concat(left, F.array_repeat(F.lit("0"), short), right))
+    return F.when((F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def is_blocked_v6(ip: Column) -> Column:
     """Whether an IPv6 address is blocked; null if the text isn't one."""
-    ranges = [ipaddress.ip_network(c) for c in dims.BLOCKED_V6]
 
-    def one(x: str | None) -> bool | None:
-        try:
-            a = ipaddress.IPv6Address(x)
-        except (ValueError, TypeError):
-            return None
-        return any(a in r for r in ranges)
+    def within(g: Column) -> Column:
+        hit = F.lit(False)
+        for low, bits in map(dims.v6_range, dims.BLOCKED_V6):
+            inside = F.lit(True)
+            for i in range(-(-bits // 16)):
+                mask = 0xFFFF ^ ((1 << max(0, 16 * (i + 1) - bits)) - 1)
+                inside = inside & (g[i].bitwiseAND(F.lit(mask)) == low[i])
+            hit = hit | inside
+        return F.when(g.isNotNull(), hit)
 
-    return ip.map(one)
+    # Bound to a name, so that the groups are worked out once.
+    return F.get(F.transform(F.array(v6_groups(ip)), within), F.lit(0))
 
 
 # Networks by parts of the host name and beginnings of the address, first match wins.
@@ -132,5 +144,13 @@ def normal_target(s: Column) -> tuple[Column, Column]:
     return F.when(error.isNull(), t), error
 
 
+MODE_ERROR = "Mode must be traceout or mtr."
+
+
 def normal_mode(s: Column) -> Column:
     return F.when(s.isin("traceout", "mtr"), s)
+
+
+def mode_error(s: Column) -> Column:
+    """Why a mode is refused; null if it isn't."""
+    return F.when(~F.coalesce(s.isin("traceout", "mtr"), F.lit(False)), MODE_ERROR)

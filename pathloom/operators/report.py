@@ -80,6 +80,23 @@ def source_badge(provider: Column, city: Column, country: Column) -> Column:
     return F.concat_ws(" · ", provider, t.or_null(t.joined(", ", city, country)))
 
 
+# What is shown in place of a report, and next to a measurement.
+NO_OUTPUT = "no completed route output"
+COLLECTING = "Collecting route data from a nearby measurement probe."
+READY = " hops are ready for inspection."
+IDLE = "Install-free browser experience. Not a direct trace from your device."
+
+
+def empty_line(error: Column) -> Column:
+    """The one line of a report without hops."""
+    return F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("error  "), error)).otherwise(NO_OUTPUT)
+
+
+def status_message(status: Column, error: Column, hop_count: Column) -> Column:
+    out = F.when(F.coalesce(error, F.lit("")) != "", error).when(status.isin("starting", "running"), COLLECTING)
+    return out.when(status == "finished", F.concat(hop_count.cast("string"), F.lit(READY))).otherwise(IDLE)
+
+
 def finished(measurements: DataFrame) -> DataFrame:
     """Measurements that are reported: those that have finished and have hops."""
     return measurements.where((F.col("status") == "finished") & (F.col("n_hops") > 0))

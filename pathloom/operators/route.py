@@ -189,7 +189,17 @@ def marker_color(status: Column) -> Column:
     return F.when(status.isin("loss", "timeout"), "#ff756c").when(status == "slow", "#f6c65b").when(status == "target", "#8f88ff").otherwise("#5ee7ff")
 
 
+def role_label(role: Column) -> Column:
+    return F.when(role == "source", "SRC").when(role == "target", "DST")
+
+
+def source_label(city: Column, country: Column) -> Column:
+    """Where a measurement's probe is, for the badge."""
+    return F.coalesce(t.or_null(t.joined(", ", city, geo.country_label(country))), F.lit("Nearby probe"))
+
+
 def view_keys(points: DataFrame) -> DataFrame:
-    """(measurement_id, view_key): what a drawn route depends on, as text."""
-    part = F.concat_ws(":", "role", F.round("latitude", 4).cast("decimal(10,4)"), F.round("longitude", 4).cast("decimal(10,4)"), "status")
+    """(measurement_id, view_key): what a drawn route depends on, as text: role, coordinates to four places, label."""
+    place = lambda c: F.round(c, 4).cast("decimal(10,4)").cast("string")
+    part = F.concat("role", F.lit(":"), place("latitude"), F.lit(","), place("longitude"), F.lit(":"), F.coalesce("label", F.lit("undefined")))
     return points.groupBy(M).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", part.alias("part")))), lambda x: x["part"]), "|").alias("view_key"))

@@ -208,7 +208,11 @@ ORACLE_SQL: dict[str, str] = {
       e AS (SELECT *, CASE WHEN contains(t, '/') OR contains(t, ';') THEN {text(ERRORS['url'])} WHEN regexp_full_match(t, '[0-9.]+') THEN CASE WHEN starts_with(t, '10.') THEN {text(ERRORS['public'])} END
         WHEN regexp_full_match(t, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?[.])+[a-z]{{2,63}}') THEN CASE WHEN {' OR '.join(f"ends_with(t, {text(s)})" for s in dims.RESERVED_SUFFIXES)} THEN {text(ERRORS['public'])} END ELSE {text(ERRORS['invalid'])} END AS error FROM l)
       SELECT page_id, raw, CASE WHEN error IS NULL THEN t END AS target, error FROM e""",
-    "mode_validation": "SELECT event_id, CASE event_type WHEN 'view' THEN 'mtr' WHEN 'click' THEN 'traceout' END AS mode FROM events",
+    "mode_validation": "SELECT event_id, CASE event_type WHEN 'view' THEN 'mtr' WHEN 'click' THEN 'traceout' END AS mode, CASE WHEN event_type NOT IN ('view', 'click') THEN 'Mode must be traceout or mtr.' END AS error FROM events",
+    "page_texts": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'It failed.' WHEN page_id % 4 < 2 THEN 'Collecting route data from a nearby measurement probe.' WHEN page_id % 4 = 2 THEN page_id || ' hops are ready for inspection.' ELSE 'Install-free browser experience. Not a direct trace from your device.' END AS message,
+      CASE WHEN page_id % 5 = 0 THEN 'error  It failed.' ELSE 'no completed route output' END AS empty_line, CASE page_id % 3 WHEN 0 THEN 'SRC' WHEN 2 THEN 'DST' END AS role, CASE page_id % 4 WHEN 0 THEN 'Seoul, KR' WHEN 1 THEN 'DE' WHEN 2 THEN 'Seoul, Peru' ELSE 'Nearby probe' END AS source, rtrim(url, '/') AS address FROM pages""",
+    "ipv6_targets": """SELECT p_partkey, replace(['fe80::{}', 'fd00:{}::1', '2001:db8::{}', '2606:4700::{}', '::ffff:10.0.0.1', '64:ff9b::{}', '100::{}', '1:2:3:4:5:6:7:{}', '1:2:3:4:5:6:{}', 'ff02::{}', '::{}:1', '12345::{}'][p_partkey % 12 + 1], '{}', format('{:x}', p_partkey * 7 % 65536)) AS raw,
+      [true, true, true, false, true, true, true, false, NULL, true, false, NULL][p_partkey % 12 + 1] AS blocked FROM part""",
     "ipv4_scan": r"""WITH m AS (SELECT doc_id, list_filter(regexp_extract_all(text, '([0-9][0-9.]*)', 1), lambda x: regexp_full_match(x, '[0-9]{1,3}([.][0-9]{1,3}){3}')
         AND list_max(list_transform(string_split(x, '.'), lambda o: coalesce(TRY_CAST(o AS INT), 999))) <= 255) AS c FROM documents) SELECT doc_id, c[1] AS ip FROM m WHERE len(c) > 0""",
     "rtt_scan": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CAST(3 AS INT) AS n, q + q + (q + 0.25::DOUBLE) AS total, round((q + q + (q + 0.25::DOUBLE)) / 3) AS rtt_ms

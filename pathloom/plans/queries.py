@@ -86,7 +86,33 @@ def target_validation(spark, sf_dir):
 def mode_validation(spark, sf_dir):
     e = adapters.table(spark, sf_dir, "events")
     mode = F.when(F.col("event_type") == "view", "mtr").when(F.col("event_type") == "click", "traceout").otherwise(F.col("event_type"))
-    return e.select("event_id", net.normal_mode(mode).alias("mode"))
+    return e.select("event_id", net.normal_mode(mode).alias("mode"), net.mode_error(mode).alias("error"))
+
+
+@query
+def page_texts(spark, sf_dir):
+    """Short texts of the interface, one of each for every page: messages, labels, addresses without their last slashes."""
+    p = adapters.table(spark, sf_dir, "pages").select("page_id", "url")
+    i = F.col("page_id")
+    status = F.get(F.array(*map(F.lit, ("starting", "running", "finished", "idle"))), (i % 4).cast("int"))
+    error, role = F.when(i % 5 == 0, "It failed."), F.get(F.array(*map(F.lit, ("source", "transit", "target"))), (i % 3).cast("int"))
+    city, country = F.when(i % 2 == 0, "Seoul"), F.get(F.array(*map(F.lit, ("South Korea", "germany", "Peru", ""))), (i % 4).cast("int"))
+    slashed = F.concat("url", F.repeat(F.lit("/"), (i % 3).cast("int")))
+    return p.select(
+        "page_id", report.status_message(status, error, i).alias("message"), report.empty_line(error).alias("empty_line"), route.role_label(role).alias("role"),
+        route.source_label(city, country).alias("source"), t.without_trailing_slashes(slashed).alias("address"),
+    )
+
+
+@query
+def ipv6_targets(spark, sf_dir):
+    """Made IPv6 addresses of all parts, and whether they are blocked."""
+    p = adapters.table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    g = lambda m: F.lower(F.hex(k * m % 65536))
+    forms = ["fe80::{}", "fd00:{}::1", "2001:db8::{}", "2606:4700::{}", "::ffff:10.0.0.1", "64:ff9b::{}", "100::{}", "1:2:3:4:5:6:7:{}", "1:2:3:4:5:6:{}", "ff02::{}", "::{}:1", "12345::{}"]
+    raw = F.get(F.array(*(F.replace(F.lit(f), F.lit("{}"), g(7)) for f in forms)), (k % len(forms)).cast("int"))
+    return p.select("p_partkey", raw.alias("raw"), net.is_blocked_v6(raw).alias("blocked"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_address
+
 from pyspark.sql import DataFrame, SparkSession
 
 # City hints in match order: city, country, latitude, longitude, aliases in match order.
@@ -92,6 +94,12 @@ def v4_range(cidr: str) -> tuple[int, int]:
     return low, low + size - 1
 
 
+def v6_range(cidr: str) -> tuple[list[int], int]:
+    """The eight groups of a range's first address, and its prefix length."""
+    base, bits = cidr.split("/")
+    return [int.from_bytes(ip_address(base).packed[i : i + 2]) for i in range(0, 16, 2)], int(bits)
+
+
 def cities(spark: SparkSession) -> DataFrame:
     """(ord, city, country, latitude, longitude), ord from 0 in match order."""
     return spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(CITIES)], "ord int, city string, country string, latitude double, longitude double")
