@@ -20,6 +20,7 @@ import struct
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: A block takes further documents until it holds so many ids.
 BLOCK_TOKENS = 1 << 20
 #: Least count of a pair, pairs of a round, and the share by which a round must shorten the sequence for another to follow.
-LEAST, EACH, GAIN = 16, 2_048, 0.03
+LEAST, EACH, GAIN = 16, 4_096, 0.05
 #: So many files at most; a file is written as it is read, so its size is no task's memory.
 MOST_FILES = 100_000
 #: Ids that the rules of a block may stand for in all, to be expanded at once.
@@ -245,15 +246,20 @@ def _encoder(path: str) -> tuple[Callable[[str], bytes], int]:
     merge, letters, pieces = t.model.tokenize, _byte_letters(), regex.compile(PIECES)
     known: dict[str, bytes] = {}
 
+    space, number = letters[0x20], attrgetter("id")
+
+    def merged(letters_: str) -> bytes:
+        return array("I", map(number, merge(letters_))).tobytes()
+
     def piece(s: str) -> bytes:
-        return array("I", [x.id for x in merge((s if s.isascii() else s.encode().decode("latin-1")).translate(letters))]).tobytes()
+        return merged((s if s.isascii() else s.encode().decode("latin-1")).translate(letters))
 
     marks = functools.lru_cache(4_096)(piece)
 
     def word(s: str) -> bytes:
         """The ids of a word with the space before it."""
         if s.isalpha():
-            return piece(" " + s)
+            return merged(space + s) if s.isascii() else piece(" " + s)
         first, *rest = pieces.findall(" " + s)
         return b"".join((known.get(first[1:]) or piece(first), *(marks(p) if len(p) < 4 else piece(p) for p in rest)))
 
@@ -348,7 +354,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 rows: list[tuple[int, int, int, bytes]] = []
                 size = 0
                 for k, ids in Block(data.as_py()).documents():
-                    rows.append((k, start, len(ids), ids.astype("<u4").tobytes()))
+                    rows.append((k, start, len(ids), ids.astype("<u4", copy=False).tobytes()))
                     start += len(ids)
                     size += len(rows[-1][3])
                     if size > 8 << 20:
