@@ -1,10 +1,12 @@
 """Personal data: candidate spans, boosted trees over format and context, calibrated thresholds. DataFrame functions only.
 
 Four base kinds (email, ip, card, phone) are found by pattern and checked. Generators with high recall propose further spans,
-which may overlap: runs of digits, tokens that look like keys, addresses written with "at". Boosted trees score them. They
-are fitted on counts of feature combinations over a bounded sample of rows, where a candidate counts as personal if it
-overlaps a checked base span or a well-known key format. Of the rows kept apart for it, the lowest score with the wanted
-precision is the threshold. What passes and overlaps no base span is added as kind "other". Base spans always stay.
+which may overlap: runs of digits, tokens that look like keys, addresses written with "at". Boosted trees score them by format
+and context. Their labels come from elsewhere: a candidate of a text is personal if a check says so (it overlaps a base span, with
+its checksum or ranges, or has a well-known key format), and each sampled text gets one sentence planted whose span is known to be
+personal or not. Other candidates of the texts have no label and aren't used. Of the rows kept apart for it, each generator gets a
+monotone calibration, and its threshold is the lowest score from which on the wanted share is personal. What passes and overlaps
+no base span is added by its generator's kind. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import table
+from pathloom.llm.common import fresh, table
 
-KINDS = ("email", "ip", "card", "phone", "other")
+BASE = ("email", "ip", "card", "phone")
+#: Kinds of added spans, by generator.
+ADDED = ("number", "key", "address")
+KINDS = (*BASE, *ADDED)
 # The contract's patterns, written so that each run of characters is entered once and never given back.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 DIGITS = r"(?<![A-Za-z0-9+(])\+?\(?[0-9](?:[\x20().,:/-]{0,2}+[0-9]){6,}+"
-KEYLIKE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_+/-]{14,}+"
-SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[(\[.](?:dot|DOT)?[)\]]?\x20?[A-Za-z0-9-]{1,64})++"
+KEYLIKE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{14,}+"
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?[(\[.](?:dot|DOT)?[)\]]?\x20?[A-Za-z0-9-]++)++"
 KNOWN_KEY = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})$"
 #: Context words before a candidate, by class.
 CONTEXT = {1: r"(?:token|password|passwd|pwd|secret|key|auth)", 2: r"(?:phone|tel|fax|mobile|call|whatsapp)", 3: r"(?:card|visa|iban|account|ssn|passport)", 4: r"(?:ip|host|server|addr)", 5: r"(?:version|isbn|issn|section|chapter|page|doi|year)"}
@@ -34,7 +39,7 @@ PRECISION = 0.95
 ROUNDS = 24
 RATE = 0.3
 #: Features and how many values each has; the sample's counts have at most their product of rows.
-FEATURES = {"generator": 3, "digits": 5, "letters": 4, "marks": 4, "context": 6, "lead": 4, "mixed": 2}
+FEATURES = {"generator": 3, "digits": 5, "letters": 4, "marks": 4, "context": 6, "lead": 4, "mixed": 2, "dot": 2}
 
 SPAN = "array<struct<start: int, end: int, s: string>>"
 
@@ -89,7 +94,8 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
         least(c.m, 3) as marks,
         case {context} else 0 end as context,
         case when startswith(c.x.s, '+') then 1 when startswith(c.x.s, '(') then 2 when rlike(c.x.s, '^[A-Z]') then 3 else 0 end as lead,
-        cast(rlike(c.x.s, '[A-Za-z][0-9].*[A-Za-z][0-9]') as int) as mixed))[0])"""
+        cast(rlike(c.x.s, '[A-Za-z][0-9].*[A-Za-z][0-9]') as int) as mixed,
+        cast(rlike(c.x.s, r'(?i)[(\\[]dot[)\\]]') as int) as dot))[0])"""
     return out.withColumn("raw", raw).withColumn("proposed", F.expr(features)).drop("p0", "p1", "p2", "raw")
 
 
@@ -140,37 +146,87 @@ def _apply(tree: tuple, f: tuple[int, ...]) -> float:
 
 
 def threshold(rows: list[tuple[tuple[int, ...], int, float]], trees: list[tuple], precision: float = PRECISION) -> float:
-    """The lowest score from which on the rows kept apart have the precision; infinite if no score has."""
+    """The lowest score from which on the rows kept apart, calibrated, have the precision; infinite if no score has.
+
+    The calibration is the monotone step function of the score that fits the labels best: neighbours that fall are pooled.
+    """
     by: dict[float, list[float]] = {}
     for f, y, w in rows:
         s = by.setdefault(sum(_apply(t, f) for t in trees), [0.0, 0.0])
         s[0] += w * y
         s[1] += w
+    pools: list[list[float]] = []  # lowest score, weight of label 1, weight
+    for s in sorted(by):
+        pools.append([s, *by[s]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, good, all_ = pools.pop()
+            pools[-1] = [pools[-1][0], pools[-1][1] + good, pools[-1][2] + all_]
     best, good, all_ = math.inf, 0.0, 0.0
-    for s in sorted(by, reverse=True):
-        good, all_ = good + by[s][0], all_ + by[s][1]
-        if good >= precision * all_:
+    for s, g, n in reversed(pools):
+        good, all_ = good + g, all_ + n
+        if good >= precision * all_ and 2 * g >= n:
             best = s
     return best
 
 
-def fitted(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> tuple[list[tuple], float]:
-    """Trees and threshold from about `rows` rows of base_spans' docs; none of either class gives a threshold out of reach."""
-    total = docs.count()
+#: A sentence to plant: what stands before the span, the span, and whether it is personal. {h} is 64 hex digits of the text,
+#: {d} its decimal digits; the pieces are SQL.
+PLANTED = [
+    ("'password='", "substring({h}, 1, 12 + {k})", 1), ("'token = \"'", "substring({h}, 1, 24 + 2 * {k})", 1), ("'my secret: '", "concat(upper(substring({h}, 1, 8)), 'q', substring({h}, 9, 8 + {k}))", 1),
+    ("'auth key sk-'", "concat('Zq', substring({h}, 1, 20 + {k}))", 1), ("'use '", "concat('AKIA', translate(upper(substring({h}, 1, 16)), '-', 'X'))", 1),
+    ("'call me on '", "concat('0', substring({d}, 1, 3), ' ', substring({d}, 4, 3), ' ', substring({d}, 7, 4))", 1), ("'tel: '", "concat('(', substring({d}, 1, 3), ') ', substring({d}, 4, 3), '-', substring({d}, 7, 4))", 1),
+    ("'mobile '", "substring({d}, 1, 9 + {k} % 4)", 1), ("'ssn '", "concat(substring({d}, 1, 3), '-', substring({d}, 4, 2), '-', substring({d}, 6, 4))", 1), ("'account no. '", "substring({d}, 1, 9 + {k} % 8)", 1),
+    ("'write to '", "concat('me', substring({h}, 1, 4), ' (at) host', substring({h}, 5, 3), ' (dot) org')", 1), ("'mail '", "concat('x.', substring({h}, 1, 5), ' [at] ', 'site', substring({h}, 5, 2), ' [dot] net')", 1),
+    ("'ask '", "concat(translate(substring({h}, 1, 4), '0123456789', 'ghijklmnop'), '.', translate(substring({h}, 5, 3 + {k}), '0123456789', 'ghijklmnop'), ' (at) ', translate(substring({h}, 16, 6), '0123456789', 'ghijklmnop'), ' (dot) com')", 1),
+    ("'id '", "concat('AKIA', upper(translate(substring({h}, 1, 16), '01234567', 'GHIJKLMN')))", 1), ("'AWS '", "concat('AKIA', upper(translate(substring({h}, 1, 16), '0123', 'GHIJ')))", 1),
+    ("'we '", "concat(translate(substring({h}, 1, 5), '0123456789', 'ghijklmnop'), ' (at) ', translate(substring({h}, 9, 5), '0123456789', 'ghijklmnop'), '.', 'And')", 0),
+    ("'commit '", "substring({h}, 1, 40)", 0), ("'the version '", "concat(substring({d}, 1, 2), '.', substring({d}, 3, 2), '.', substring({d}, 5, 4), '.', substring({d}, 9, 3 + {k} % 3))", 0),
+    ("'isbn '", "concat('978-', substring({d}, 1, 1), '-', substring({d}, 2, 2), '-', substring({d}, 4, 6), '-', substring({d}, 10, 1))", 0),
+    ("'on '", "concat('20', substring({d}, 1, 2), '-1', substring({d}, 3, 1), '-', substring({d}, 4, 2), ' 1', substring({d}, 6, 1), ':', substring({d}, 7, 2))", 0),
+    ("'see page '", "concat('the-long-way-', substring({d}, 1, 4))", 0), ("'a total of '", "concat(substring({d}, 1, 2), ',', substring({d}, 3, 3), ',', substring({d}, 6, 3))", 0),
+    ("'in section '", "concat(substring({d}, 1, 3), '.', substring({d}, 4, 3), '.', substring({d}, 7, 3))", 0), ("'they '", "concat('look (at) this.', 'then')", 0), ("'file '", "concat('img_', substring({d}, 1, 8), '-final-copy')", 0),
+    ("'the sum '", "substring({d}, 1, 8 + {k} % 6)", 0),
+]
+
+
+def planted(docs: DataFrame, text: str) -> DataFrame:
+    """docs with one sentence of PLANTED added to the text: at and until are its span's code points, personal says what it is."""
+    docs = docs.withColumn("h", F.sha2(text, 256)).withColumn("d", F.translate("h", "abcdef", "718293"))
+    k, n = "(ascii(h) % 8)", len(PLANTED)
+    each = lambda i: "element_at(array(" + ", ".join(p[i].format(h="h", d="d", k=k) for p in PLANTED) + "), turn)"
+    docs = docs.withColumn("turn", F.expr(f"cast(pmod(xxhash64(h), {n}) + 1 as int)"))
+    docs = docs.withColumns({"lead": F.expr(each(0)), "said": F.expr(each(1)), "personal": F.expr(f"element_at(array({', '.join(str(p[2]) for p in PLANTED)}), turn)")})
+    docs = docs.withColumn("at", F.char_length(text) + 1 + F.char_length("lead")).withColumn("until", F.col("at") + F.char_length("said"))
+    return docs.withColumn(text, F.concat(F.col(text), F.lit(" "), F.col("lead"), F.col("said"), F.lit('" and so on'))).drop("h", "d", "turn", "lead", "said")
+
+
+Model = tuple[list[tuple], list[float]]
+
+
+def labelled(docs: DataFrame, text: str) -> DataFrame:
+    """The features of the candidates with a label (personal) in planted docs, with column apart of the document."""
+    inside = "(x.start < until and at < x.end)"
+    label = f"case when {inside} then personal when {OVERLAPS} or rlike(x.s, r'{KNOWN_KEY}') then 1 end"
+    seen = candidates(base_spans(docs, text), text).select("apart", F.explode(F.expr(f"filter(transform(proposed, x -> struct(x as x, {label} as y)), c -> c.y is not null)")).alias("c"))
+    return seen.select("apart", *(F.col(f"c.x.{n}").alias(n) for n in FEATURES), F.col("c.y").alias("y"))
+
+
+def fitted(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> Model:
+    """Trees, and a threshold for each generator, from about `rows` rows; without both classes no threshold is in reach."""
+    total, none = docs.count(), ([], [math.inf] * len(ADDED))
     if not total:
-        return [], math.inf
-    hashed = F.pmod(F.xxhash64(F.lit("pii"), F.substring(text, 1, 200), F.char_length(text)), F.lit(1 << 20))
+        return none
+    hashed = F.pmod(F.xxhash64(F.lit("pii"), F.col(text)), F.lit(1 << 20))
     few = docs.where(hashed < int(min(1.0, rows / total) * (1 << 20)) + 1).select(text, (hashed % 3 == 0).alias("apart"))
-    seen = candidates(base_spans(few, text), text).select("apart", F.explode(F.expr(f"transform(proposed, x -> struct(x as x, {OVERLAPS} or rlike(x.s, r'{KNOWN_KEY}') or (x.generator = 1 and x.context = 1) or x.generator = 2 as y))")).alias("c"))
-    counts = seen.groupBy("apart", *(F.col(f"c.x.{n}").alias(n) for n in FEATURES), F.col("c.y").alias("y")).agg(F.count("*").alias("n")).collect()
+    counts = labelled(planted(few, text), text).groupBy("apart", *FEATURES, "y").agg(F.count("*").alias("n")).collect()
     parts: dict[bool, list] = {True: [], False: []}
     for r in counts:
         parts[r["apart"]].append((tuple(r[n] for n in FEATURES), int(r["y"]), float(r["n"])))
     parts = {k: sorted(v) for k, v in parts.items()}
     if len({y for _, y, _ in parts[False]}) < 2:
-        return [], math.inf
-    trees = boost(parts[False])
-    return trees, threshold(parts[True], trees)
+        return none
+    trees, generator = boost(parts[False]), list(FEATURES).index("generator")
+    return trees, [threshold([r for r in parts[True] if r[0][generator] == g], trees) for g in range(len(ADDED))]
 
 
 def _score(trees: list[tuple]) -> str:
@@ -182,20 +238,22 @@ def _score(trees: list[tuple]) -> str:
     return " + ".join(f"if(x.{names[j]} <= {c}, {low(a)}, {low(b)})" for j, c, a, b in trees) or "0D"
 
 
-def find(docs: DataFrame, text: str = "text", model: tuple[list[tuple], float] | None = None) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """docs with column spans: array of (kind, start, end) by start and kind, code points, end exclusive.
 
-    Null and empty texts have no spans. Each row is searched on its whole text alone, so repeated rows agree; an empty table
-    stays empty. A column named spans is replaced; no other name clashes.
+    Null and empty texts have no spans, and very long ones are searched as any. Each row is searched on its whole text alone, so
+    repeated rows agree; an empty table stays empty. A column named spans is replaced; no other name clashes.
     """
     own = docs.drop("spans")
     rows = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     trees, least = model if model is not None else fitted(rows.select("body"), "body")
-    if math.isinf(least):
-        rows = base_spans(rows, "body").withColumn("others", F.expr(f"cast(array() as {SPAN})"))
+    if all(map(math.isinf, least)):
+        rows = base_spans(rows, "body").withColumns({c: F.expr(f"cast(array() as {SPAN})") for c in ADDED})
     else:
-        rows = candidates(base_spans(rows, "body"), "body").withColumn("others", F.expr(f"filter(proposed, x -> not {OVERLAPS} and {_score(trees)} >= {least!r}D)"))
-    every = ", ".join(f"transform({c}, x -> struct(x.start as start, {i} as ord, x.end as end))" for i, c in enumerate((*KINDS[:4], "others")))
+        passes = " ".join(f"when {g} then {'false' if math.isinf(x) else f'{_score(trees)} >= {x!r}D'}" for g, x in enumerate(least))
+        rows = candidates(base_spans(rows, "body"), "body").withColumn("added", F.expr(f"filter(proposed, x -> not {OVERLAPS} and case x.generator {passes} end)"))
+        rows = rows.withColumns({c: F.expr(f"filter(added, x -> x.generator = {g})") for g, c in enumerate(ADDED)})
+    every = ", ".join(f"transform({c}, x -> struct(x.start as start, {i} as ord, x.end as end))" for i, c in enumerate(KINDS))
     names = ", ".join(f"'{k}'" for k in KINDS)
     named = F.expr(f"transform(array_distinct(array_sort(concat({every}))), x -> struct(element_at(array({names}), x.ord + 1) as kind, x.start as start, x.end as end))")
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in own.columns), named.alias("spans"))
@@ -204,9 +262,11 @@ def find(docs: DataFrame, text: str = "text", model: tuple[list[tuple], float] |
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, and the length column, where there is one, set anew.
 
-    Of spans that overlap, the first stands for all. Null stays null.
+    Of spans that overlap, the first stands for all. Null stays null; repeated rows stay alike; an empty table stays empty; other
+    columns stay as they are, whatever their names.
     """
-    found = find(docs.withColumnsRenamed({"spans": "__own_spans"}), text)
+    own = fresh(docs, "spans")
+    found = find(docs.withColumnsRenamed({"spans": own}), text)
     new = F.expr(
         f"aggregate(spans, struct(0 as at, array('') as out), (a, x) -> if(x.end <= a.at, a, struct(x.end as at, concat(a.out, array(substring(`{text}`, a.at + 1, greatest(x.start - a.at, 0)),"
         f" if(x.start < a.at, '', concat('[', upper(x.kind), ']')))) as out)), a -> concat(array_join(a.out, ''), substring(`{text}`, a.at + 1)))"
@@ -214,13 +274,15 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
     out = found.withColumn(text, F.when(F.size("spans") > 0, new).otherwise(F.col(f"`{text}`")))
     if length in docs.columns:
         out = out.withColumn(length, F.when(F.size("spans") > 0, F.char_length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
-    return out.drop("spans").withColumnsRenamed({"__own_spans": "spans"}).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.drop("spans").withColumnsRenamed({own: "spans"}).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each base kind in every document, the digest of the base spans, and all spans."""
+    """Counts of each base kind and of added spans in every document, the digest of the base spans, and all spans."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
-    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS[:4]]
-    base = F.sha2(F.expr(joined.format("filter(spans, x -> x.kind <> 'other')")), 256)
-    return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
+    is_base = ", ".join(f"'{k}'" for k in BASE)
+    base = f"filter(spans, x -> x.kind in ({is_base}))"
+    added = F.expr(f"cast(size(filter(spans, x -> x.kind not in ({is_base}))) as bigint)").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
