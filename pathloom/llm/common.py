@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 
 import numpy as np
@@ -13,10 +14,12 @@ _names = itertools.count()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where the session names none (tests), one of this driver."""
+    """The folder that spark.checkpoint.dir names. Only a session within one process may go without: it gets one of its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

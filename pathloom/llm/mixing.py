@@ -83,14 +83,16 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "") -> DataFrame:
     """The rows of docs, each as often as it is taken; columns stay as they are.
 
-    Copies are dealt to the rows of a key in turn where keys repeat, so repeated rows are neither lost nor doubled.
+    Copies are dealt to the rows of a key in turn where keys repeat, in the order of their sizes and texts, so repeated rows are
+    neither lost nor doubled and reruns agree. Null and empty texts may be taken, very long ones count as any; an empty table
+    gives an empty result; other columns may have any names.
     """
     k, n, c = (fresh(docs, x) for x in ("key", "turn", "copies"))
     same = Window.partitionBy("key").orderBy("size", "copies")
     taken = mixed(docs, text, key, source, seed).select(F.col(key).alias("key"), "size", "copies").withColumn("turn", F.row_number().over(same))
     taken = taken.select(F.col("key").alias(k), F.col("turn").alias(n), F.col("copies").alias(c))
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    rows = docs.withColumn(n + "_", F.row_number().over(Window.partitionBy(key).orderBy(size)))
+    rows = docs.withColumn(n + "_", F.row_number().over(Window.partitionBy(key).orderBy(size, F.xxhash64(F.col(source).cast("string"), F.col(text).cast("string")))))
     out = rows.join(taken, rows[key].eqNullSafe(taken[k]) & (rows[n + "_"] == taken[n]))
     out = out.where(F.col(c) > 0).withColumn(c, F.explode(F.array_repeat(F.lit(1), F.col(c).cast("int"))))
     return out.select(*(F.col(f"`{x}`") for x in docs.columns))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import fresh, table, text_batches
+from pathloom.llm.common import checkpointed, fresh, table, text_batches
 
 #: Rows to fit on: about so many confirmed and so many unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -69,6 +69,18 @@ class Model:
         return float(np.mean(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
 
 
+def risk(z: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """(value, slope by z) of the non-negative risk of outputs z: p and u are the rows' shares of the positive and of the
+    unlabelled mean. Where the negative part is below zero the value holds none of it, and the slope is that of making it grow
+    again alone: the estimator's own step, without the positive part.
+    """
+    s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    loss = np.logaddexp(0, z)
+    negative, slope = u @ loss - prior * (p @ loss), (u - prior * p) * s
+    value = prior * (p @ np.logaddexp(0, -z)) + max(0.0, negative)
+    return float(value), prior * p * (s - 1) + slope if negative >= 0 else -slope
+
+
 def fit(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: float, width: int, steps: int = 400, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias from sparse ones at (rows, cols); positive marks the confirmed rows, the others are unlabelled."""
     rng = np.random.default_rng(seed)
@@ -79,12 +91,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: float,
     w, b = np.zeros(width), math.log(prior / (1 - prior))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], n) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        loss = np.logaddexp(0, z)
-        negative = u @ loss - prior * (p @ loss)
-        g = (u - prior * p) * s
-        g = prior * p * (s - 1) + (g if negative >= 0 else -g)
+        _, g = risk(np.bincount(rows, w[cols], n) + b, p, u, prior)
         grad = np.append(np.bincount(cols, g[rows], width) + 2e-4 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -127,10 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     prior = min(max(float(y), 0.001), 0.9)
     draw = F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(1 << 30))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), draw.alias("draw"))
-    toxic = labels.where((F.col("toxic") == 1) & (draw < int(min(1, POSITIVES / q) * (1 << 30)))).select(F.col(key).alias("key")).distinct().limit(2 * POSITIVES)
+    toxic = labels.where((F.col("toxic") == 1) & (draw < int(min(1, POSITIVES / q) * (1 << 30)))).select(F.col(key).alias("key"), draw.alias("turn")).distinct()
+    toxic = toxic.orderBy("turn", "key").limit(2 * POSITIVES).select("key")
     positive = rows.join(F.broadcast(toxic), "key").select("text", F.lit(True).alias("positive"))
     sample = rows.where(F.col("draw") < int(min(1, UNLABELLED / total) * (1 << 30))).select("text", F.lit(False).alias("positive"))
-    sample = positive.union(sample).repartition(8)
+    # Read twice: written once.
+    sample = checkpointed(positive.union(sample).repartition(8))
     counts = sample.mapInPandas(_counts, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     sizes = sample.groupBy().agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nu")).first()
     least = max(3, math.ceil(0.02 * sizes["np"]))

@@ -47,3 +47,34 @@ def test_risk_stays_non_negative():
     rows = np.flatnonzero(has)
     w, b = tx.fit(rows, np.zeros(len(rows), int), positive, 0.1, 1)
     assert w[0] > 2 and 1 / (1 + np.exp(-b)) < 0.3 <= 1 / (1 + np.exp(-b - w[0]))
+
+
+def test_risk_and_slope_against_plain_loops():
+    rng = np.random.default_rng(3)
+    for case in range(40):
+        n, prior = 12, 0.05 + 0.4 * rng.random()
+        positive = np.arange(n) < 5
+        p, u = positive / 5, ~positive / 7
+        z = rng.normal(0, 2, n) + (np.where(positive, 6, -6) if case % 2 else 0)
+        plus = sum(np.log1p(np.exp(-x)) for x in z[positive]) / 5
+        minus_p, minus_u = (sum(np.log1p(np.exp(x)) for x in z[m]) / m.sum() for m in (positive, ~positive))
+        negative = minus_u - prior * minus_p
+        value, slope = tx.risk(z, p, u, prior)
+        assert np.isclose(value, prior * plus + max(0, negative))
+        for i in range(n):
+            e = np.zeros(n)
+            e[i] = 1e-6
+            part = lambda x: (u @ np.logaddexp(0, x)) - prior * (p @ np.logaddexp(0, x))
+            whole = lambda x: prior * (p @ np.logaddexp(0, -x)) + part(x)
+            want = (whole(z + e) - whole(z - e)) / 2e-6 if negative >= 0 else -(part(z + e) - part(z - e)) / 2e-6
+            assert np.isclose(slope[i], want, atol=1e-6)
+
+
+def test_all_scores_against_brute_force(spark):
+    rows, labels = made(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic int")
+    model = tx.learnt(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for r in tx.scored(docs, model).collect():
+        found = sorted({model.columns[f] for t in (r.text or "").lower().split() for f in tx.features(t) if f in model.columns})
+        z = model.bias + np.array([sum(w[i] for i in found) for w in model.weights])
+        assert abs(r.score - np.mean(1 / (1 + np.exp(-z)))) < 1e-9
