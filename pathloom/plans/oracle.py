@@ -297,6 +297,63 @@ ORACLE_SQL: dict[str, str] = {
       CAST(base + plus AS DOUBLE) AS rtt_ms, CAST(jit AS DOUBLE) AS jitter_ms, CAST(CASE WHEN mtr THEN [0, 0, 1, 2, 0][n] ELSE 0 END AS DOUBLE) AS packet_loss_percent, CASE WHEN n = 4 THEN 'slow' ELSE 'ok' END AS status FROM demo""",
     "demo_metric_updates": f"WITH {DEMO} SELECT measurement_id, CAST(r AS INT) AS round, hop_number, CAST(base + plus + (r + n) % 3 * 3 AS DOUBLE) AS rtt_ms, CAST(jit + (r + n) % 3 AS DOUBLE) AS jitter_ms FROM demo, range(4) AS x(r) WHERE mtr",
 }
+_few = "CASE WHEN coalesce(len({0}), 0) = 0 THEN {2} WHEN len({0}) <= 2 THEN array_to_string({0}, ' / ') ELSE {0}[1] || ' +' || (len({0}) - 1) || '{1}' END"
+_near = "sqrt(pow({0}.lat - {1}.lat, 2) + pow({0}.lon - {1}.lon, 2)) < 0.7"
+_rank = "list_position(['ok', 'slow', 'loss', 'timeout'], {0})"
+#: Points of routes: groups of segments between the ends, sampled, labelled, and merged one after the other where they are near.
+ROUTE = f"""{HOPS}, {SOURCES}, {SEGMENTS}, {ENDPOINTS}, shown AS (
+  SELECT s.* FROM segments s JOIN ends e USING (measurement_id) WHERE asn <> 'AS???' AND place IS NOT NULL
+    AND NOT sqrt(pow(latitude - src_lat, 2) + pow(longitude - src_lon, 2)) < 0.7 AND NOT coalesce(sqrt(pow(latitude - dst_lat, 2) + pow(longitude - dst_lon, 2)) < 0.7, false)
+), fresh AS (
+  SELECT measurement_id, segment, CASE WHEN place = lag(place) OVER (PARTITION BY measurement_id ORDER BY segment) THEN 0 ELSE 1 END AS f FROM shown
+), grouped AS (
+  SELECT measurement_id, segment, sum(f) OVER (PARTITION BY measurement_id ORDER BY segment) AS g FROM fresh
+), own AS (
+  SELECT n.*, g, count(*) OVER (PARTITION BY n.measurement_id, g) AS n_in FROM numbered n JOIN grouped USING (measurement_id, segment)
+), asns AS (
+  SELECT measurement_id, g, list(asn ORDER BY seen) AS asns FROM (SELECT measurement_id, g, asn, min(hop_seq) AS seen FROM own WHERE asn <> 'AS???' GROUP BY ALL) GROUP BY 1, 2
+), names AS (
+  SELECT measurement_id, g, list(n_name ORDER BY seen) AS names FROM (SELECT measurement_id, g, n_name, min(hop_seq) AS seen FROM own WHERE n_name IS NOT NULL GROUP BY ALL) GROUP BY 1, 2
+), runs AS (
+  SELECT measurement_id, g, min(hop_number) AS a, max(hop_number) AS b, count(*) AS c FROM (
+    SELECT *, hop_number - row_number() OVER (PARTITION BY measurement_id, g ORDER BY hop_number) AS d FROM (SELECT DISTINCT measurement_id, g, hop_number FROM own)) GROUP BY measurement_id, g, d
+), ranges AS (
+  SELECT measurement_id, g, CASE WHEN sum(c) > 1 THEN 'Mapped hops ' ELSE 'Mapped hop ' END || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS mapped FROM runs GROUP BY 1, 2
+), firsts AS (
+  SELECT measurement_id, g, min_by(asn, hop_seq) AS asn, min_by(n_name, segment) AS name, min_by(place_city, hop_seq) AS c, min_by(place_country, hop_seq) AS k, min_by(latitude, hop_seq) AS lat, min_by(longitude, hop_seq) AS lon,
+    CAST(count(*) AS INT) AS n, max(rank) AS rank, max(hop_seq) AS last FROM own GROUP BY 1, 2
+), lasts AS (
+  SELECT o.measurement_id, o.g, nullif(concat_ws(' · ', CAST(CAST(round(o.rtt_ms) AS BIGINT) AS VARCHAR) || ' ms avg', CASE WHEN o.packet_loss_percent > 0 THEN {LOSS.format("o.packet_loss_percent")} || ' loss' END, CASE WHEN o.status <> 'ok' THEN o.status END), '') AS metric
+  FROM own o JOIN firsts f ON o.measurement_id = f.measurement_id AND o.g = f.g AND o.hop_seq = f.last
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY measurement_id) AS groups FROM firsts
+), kept AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.measurement_id ORDER BY c.g) AS i,
+    concat_ws(' · ', {_few.format("asns", " AS", "asn")}, {_few.format("names", " networks", "coalesce(name, 'Unknown network')")}, CASE WHEN lower(c) <> lower(k) AND lower(k) <> 'unknown' THEN c || ', ' || k ELSE coalesce(c, k, 'Estimated network region') END) AS label,
+    concat_ws(' · ', mapped, CASE WHEN n > 1 THEN n || ' hops' END, metric) AS sub_label, ['ok', 'slow', 'loss', 'timeout'][rank] AS status
+  FROM counted c LEFT JOIN asns USING (measurement_id, g) LEFT JOIN names USING (measurement_id, g) JOIN ranges USING (measurement_id, g) JOIN lasts USING (measurement_id, g)
+  WHERE groups <= 12 OR g IN (SELECT CAST(round(x / 11 * (groups - 1)) AS INT) + 1 FROM range(12) AS r(x))
+), points AS (
+  SELECT measurement_id, i, {{'lat': lat, 'lon': lon, 'label': label, 'sub': sub_label, 'n': n, 'status': status}} AS p FROM kept
+), merged AS (
+  SELECT measurement_id, i, [p] AS acc FROM points WHERE i = 1
+  UNION ALL SELECT x.measurement_id, x.i, CASE WHEN coalesce(hit, 0) > 0 THEN list_transform(acc, lambda c, j: CASE WHEN j = hit THEN {{'lat': c.lat, 'lon': c.lon, 'label': c.label, 'sub': concat_ws(' · ', nullif(c.sub, ''), nullif(p.sub, '')), 'n': c.n + p.n,
+      'status': CASE WHEN {_rank.format("p.status")} > {_rank.format("c.status")} THEN p.status ELSE c.status END}} ELSE c END) ELSE list_append(acc, p) END
+    FROM (SELECT q.measurement_id, q.i, q.p, m.acc, list_position(list_transform(m.acc, lambda c: {_near.format("c", "q.p")}), true) AS hit FROM merged m JOIN points q ON q.measurement_id = m.measurement_id AND q.i = m.i + 1) x
+), clusters AS (
+  SELECT measurement_id, max_by(acc, i) AS acc FROM merged GROUP BY 1
+), mids AS (
+  SELECT measurement_id, unnest(range(1, len(acc) + 1)) AS j, unnest(acc) AS p FROM clusters
+), route AS (
+  SELECT e.measurement_id, 1 AS sequence, 'source' AS role, src_lat AS latitude, src_lon AS longitude, CASE WHEN src_country IN ('Probe', 'Target') THEN src_city ELSE src_city || ' ' || src_country END AS label, NULL::VARCHAR AS sub_label, NULL::INT AS hop_count, 'source' AS status FROM ends e
+  UNION ALL SELECT measurement_id, CAST(j + 1 AS INT), 'transit', p.lat, p.lon, p.label, p.sub, CAST(p.n AS INT), p.status FROM mids
+  UNION ALL SELECT e.measurement_id, CAST(coalesce(len(acc), 0) + 2 AS INT), 'target', dst_lat, dst_lon, e.measurement_id, NULL, NULL, 'target' FROM ends e LEFT JOIN clusters c ON e.measurement_id = c.measurement_id WHERE dst_lat IS NOT NULL
+), wrapped AS (
+  SELECT * REPLACE (((longitude + 180) % 360 + 360) % 360 - 180 AS longitude) FROM route
+)"""
+ORACLE_SQL["route_points"] = f"WITH RECURSIVE {ROUTE} SELECT * FROM wrapped"
+_fixed = "CAST(CAST(round({0}, 4) AS DECIMAL(10, 4)) AS VARCHAR)"
+ORACLE_SQL["view_key"] = f"""WITH RECURSIVE {ROUTE} SELECT measurement_id, string_agg(role || ':' || {_fixed.format("latitude")} || ',' || {_fixed.format("longitude")} || ':' || coalesce(label, 'undefined'), '|' ORDER BY sequence) AS view_key FROM wrapped GROUP BY 1"""
 ORACLE_SQL["measurement_summary"] = f"""WITH {HOPS}, {SEGMENTS}, c AS (SELECT measurement_id, count(*) AS n_hops, count(*) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS n_located,
   count(*) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL AND location_confidence = 'high') AS n_high, round(avg(rtt_ms)) AS avg_rtt_ms, round(avg(packet_loss_percent)) AS avg_loss_percent FROM hops GROUP BY 1),
   n AS (SELECT measurement_id, count(*) AS n_segments FROM segments GROUP BY 1)
