@@ -28,11 +28,10 @@ def wrapped(lon: Column) -> Column:
 
 def country_code(c: Column) -> Column:
     """One code for the known names of a country; other names in lower case; null for none."""
-    t = trimmed(F.lower(c))
-    out = F.when(t == "", F.lit(None).cast("string"))
-    for code, names in dims.COUNTRY_NAMES.items():
-        out = out.when(t.isin(names), F.lit(code))
-    return out.otherwise(t)
+    t = F.nullif(trimmed(F.lower(c)), F.lit(""))
+    known = F.create_map(*(F.lit(x) for code, names in dims.COUNTRY_NAMES.items() for name in names for x in (name, code)))
+    # Bound to a name, so that the text is worked out once.
+    return F.get(F.transform(F.array(t), lambda x: F.coalesce(F.try_element_at(known, x), x)), F.lit(0))
 
 
 def same_country(a: Column, b: Column) -> Column:
@@ -61,12 +60,25 @@ def near_on_map(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def metro_index(city: Column, country: Column, lat: Column, lon: Column) -> Column:
     """The number of the first metropolitan area of the country that lists the city or is near enough; null if none."""
-    out = F.when(F.lit(False), F.lit(0))
-    for i, (key, _, cc, y, x, radius, _) in enumerate(dims.METROS):
-        listed = F.coalesce(city_name(city).isin(dims.METRO_CITIES[key]), F.lit(False))
-        near = F.coalesce(haversine(lat, lon, F.lit(y), F.lit(x)) <= radius, F.lit(False))
-        out = out.when(same_country(country, F.lit(cc)) & (listed | near), F.lit(i))
-    return out
+    return metro_of(city, country_code(country), lat, lon)
+
+
+def metro_of(city: Column, cc: Column, lat: Column, lon: Column) -> Column:
+    """metro_index of a country's code as country_code gives it."""
+    areas = F.array(*(
+        F.struct(F.lit(i).alias("i"), F.lit(cc_.lower()).alias("cc"), F.array(*map(F.lit, dims.METRO_CITIES[key])).alias("cities"), F.lit(y).alias("lat"), F.lit(x).alias("lon"), F.lit(radius).alias("radius"))
+        for i, (key, _, cc_, y, x, radius, _) in enumerate(dims.METROS)
+    ))
+    place = F.struct(city_name(city).alias("name"), cc.alias("cc"), lat.alias("lat"), lon.alias("lon"))
+
+    def first(p: Column) -> Column:
+        def within(a: Column) -> Column:
+            listed = F.coalesce(F.array_contains(a["cities"], p["name"]), F.lit(False))
+            return F.coalesce(p["cc"] == a["cc"], F.lit(False)) & (listed | F.coalesce(haversine(p["lat"], p["lon"], a["lat"], a["lon"]) <= a["radius"], F.lit(False)))
+
+        return F.get(F.filter(areas, within), F.lit(0))["i"]
+
+    return F.get(F.transform(F.array(place), first), F.lit(0))
 
 
 def minimum_zoom(width: Column) -> Column:

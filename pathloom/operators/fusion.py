@@ -92,7 +92,7 @@ def with_district(c: Column) -> Column:
 def downgraded(c: Column, src_metro: Column, rtt: Column) -> Column:
     """Public evidence within the source's own metropolitan area at low latency says no more than the area."""
     label, country, lat, lon, limit = (F.get(F.array(*(F.lit(m[i]) for m in dims.METROS)), src_metro) for i in (1, 2, 3, 4, 6))
-    hit = F.coalesce(src_metro.isNotNull() & rtt.isNotNull() & (rtt <= limit) & c["source"].isin(*WEAK) & (src_metro == geo.metro_index(c["city"], c["cc"], c["lat"], c["lon"])), F.lit(False))
+    hit = F.coalesce(src_metro.isNotNull() & rtt.isNotNull() & (rtt <= limit) & c["source"].isin(*WEAK) & (src_metro == geo.metro_of(c["city"], c["cc"], c["lat"], c["lon"])), F.lit(False))
     said = F.concat(F.lit("Public geolocation is inside the same low-latency "), label, F.lit("; downgraded to metro-level estimate"))
     moved = F.struct(
         c["source"].alias("source"), label.alias("city"), country.alias("country"), lat.alias("lat"), lon.alias("lon"), F.lit("medium").alias("confidence"),
