@@ -18,6 +18,7 @@ import gc
 import json
 import struct
 import uuid
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from operator import attrgetter
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import space_cuts
+from pathloom.llm.bpe import sized_batches, space_cuts
 from pathloom.llm.common import parts_for_bytes, shared_folder, table, text_batches
 
 END = 0
@@ -340,39 +341,47 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
     ordered.mapInArrow(without_cycles, "file int, block long, docs long, tokens long, before long, data binary").write.mode("overwrite").parquet(folder)
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, start, n_tokens, ids): every document of a folder, start being how many ids lie before it; ids as binary."""
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """(start, data): a folder's blocks, start being how many ids lie before one."""
     blocks = spark.read.parquet(folder)
     files = blocks.groupBy("file").agg(F.sum("tokens").alias("n"))
     # A row for each file, of which there are MOST_FILES at most: one task sums them up, and every task may hold them.
     files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before_file"))
-    placed = blocks.join(F.broadcast(files), "file").select((F.col("before_file") + F.col("before")).alias("start"), "data")
+    return blocks.join(F.broadcast(files), "file").select((F.col("before_file") + F.col("before")).alias("start"), "data")
+
+
+def _documents(batches) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key, start, ids) of every document of batches of placed blocks."""
+    for b in batches:
+        for start, data in zip(b.column("start").to_pylist(), b.column("data")):
+            for k, ids in Block(data.as_py()).documents():
+                yield k, start, ids.astype("<u4", copy=False)
+                start += len(ids)
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, start, n_tokens, ids): every document of a folder, start being how many ids lie before it; ids as binary."""
 
     def run(batches):
-        for b in batches:
-            for start, data in zip(b.column("start").to_pylist(), b.column("data")):
-                rows: list[tuple[int, int, int, bytes]] = []
-                size = 0
-                for k, ids in Block(data.as_py()).documents():
-                    rows.append((k, start, len(ids), ids.astype("<u4", copy=False).tobytes()))
-                    start += len(ids)
-                    size += len(rows[-1][3])
-                    if size > 8 << 20:
-                        yield _rows(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _rows(rows)
+        rows = ((4 * len(ids), (k, start, len(ids), ids.tobytes())) for k, start, ids in _documents(batches))
+        yield from sized_batches(rows, ["key", "start", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
-    return placed.mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return _placed(spark, folder).mapInArrow(run, "key long, start long, n_tokens long, ids binary")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows)), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "start", "n_tokens", "ids"])
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32): the same with the checksum of the ids' bytes in their place."""
+
+    def run(batches):
+        rows = ((32, (k, start, len(ids), zlib.crc32(np.ascontiguousarray(ids)))) for k, start, ids in _documents(batches))
+        yield from sized_batches(rows, ["key", "start", "n_tokens", "ids_crc32"], [pa.int64()] * 4)
+
+    return _placed(spark, folder).mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place and ids, as written to files in the shared folder and read back from them."""
+    """Every document's place and the checksum of its ids, as written to files in the shared folder and read back from them."""
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), folder)
-    ids = read_ids(spark, folder)
-    return ids.select(F.when(F.col("key") > -(1 << 63), F.col("key")).alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    read = read_checksums(spark, folder)
+    return read.select(F.when(F.col("key") > -(1 << 63), F.col("key")).alias("doc_id"), "start", "n_tokens", "ids_crc32")

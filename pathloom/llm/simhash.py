@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """(key, fingerprint, component): each row's fingerprint in hex and the smallest key that near-duplicate links reach.
 
     Null and empty texts have fingerprint zero and are linked like any other; equal rows share a component; an empty table
-    gives an empty result; other columns are ignored, whatever their names. Keys of null are kept, and are their component
+    gives an empty result; other columns are ignored, whatever their names. Very long texts are read in pieces. Keys of null are kept, and are their component
     only if all keys of the component are null.
     """
     fp = checkpointed(fingerprints(docs, text, key, shingle))

@@ -42,6 +42,7 @@ def test_files_hold_all_in_order(spark, tmp_path, monkeypatch):
         want.append((start, k, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
+    assert sorted((r.start, r.key, r.n_tokens, r.ids_crc32) for r in rp.read_checksums(spark, str(tmp_path / "ids")).collect()) == want
 
 
 def test_empty_table(spark, tmp_path):
