@@ -142,7 +142,7 @@ def test_points(spark):
     assert [(r.sequence, r.role, r.hop_count, r.longitude) for r in got] == [(1, "source", None, 0.0), (2, "transit", 2, 10.0), (3, "transit", 1, 11.0), (4, "target", None, -170.0)]
     assert got[1].status == "slow" and got[1].label.startswith("A · Unknown network · p, XX") and got[3].label == "example.com"
     assert got[1].sub_label == "Mapped hop 1 · 10 ms avg · slow · Mapped hop 2 · 10 ms avg"
-    assert route.view_keys(route.route_points(h, sources(spark))).first().view_key.startswith("source:-80.0000:0.0000:source|transit:")
+    assert route.view_keys(route.route_points(h, sources(spark))).first().view_key.startswith(f"source:-80.0000,0.0000:{got[0].label}|transit:")
 
 
 def test_reports(spark):
