@@ -33,8 +33,8 @@ from pathloom.llm.bpe import sized_batches, space_cuts
 from pathloom.llm.common import parts_for_bytes, shared_folder, table, text_batches
 
 END = 0
-#: Words whose ids a task remembers, about 100 MB; beyond it forgets them all.
-REMEMBER = 400_000
+#: Words whose ids a task remembers, about 250 MB; beyond it forgets them all.
+REMEMBER = 1_200_000
 # Fixed value: the pre-token pattern of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A block takes further documents until it holds so many ids.
