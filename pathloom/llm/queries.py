@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathloom.llm.audit import OP11_SQL, op11_filter_audit
 from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.mixing import OP4_SQL, op4_mixing
 from pathloom.llm.mtree import OP8_SQL, op8_topk
 from pathloom.llm.pii import op5_pii
 from pathloom.llm.repair import op9_repair
 from pathloom.llm.repeats import op10_repeats
+from pathloom.llm.resample import OP12_SQL, op12_resample
 from pathloom.llm.simhash import op1_simhash
+from pathloom.llm.superkmers import OP13_SQL, op13_superkmers
 from pathloom.llm.syncmers import op7_syncmers
 from pathloom.llm.toxicity import op3_toxicity
 from pathloom.llm.wordpiece import op6_token_counts
@@ -28,8 +31,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_repair": op9_repair,
     "op10_repeats": op10_repeats,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_resample": op12_resample,
+    "op13_superkmers": op13_superkmers,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op8_topk": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_resample": OP12_SQL,
+    "op13_superkmers": OP13_SQL,
 }
