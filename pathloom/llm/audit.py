@@ -51,8 +51,10 @@ def flagged(docs: DataFrame, text: str = "text", key: str = "doc_id", part: str
     c = F.regexp_count("body", F.lit("[A-Z]")) * 100 > F.length("body") * CAPITAL_PERCENT
     plain = rows.select("key", "part", "tag", F.unhex(F.sha2("body", 256)).alias("digest"), c.alias("c"), F.col("body").rlike(MARKS).alias("d"))
     plain = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("n"))
-    copied = plain.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    plain = plain.join(copied.select("digest", "first"), "digest", "left").withColumn("e", F.coalesce(F.col("first") < F.col("key"), F.lit(False)))
+    # The first of equal texts is found by its text and key, so that many copies of one text are many keys of the join.
+    first = plain.groupBy(F.col("digest").alias("__digest")).agg(F.min("key").alias("__first"))
+    plain = plain.join(first, (F.col("digest") == F.col("__digest")) & (F.col("key") == F.col("__first")), "left")
+    plain = plain.withColumn("e", F.col("key").isNotNull() & F.col("__first").isNull())
     counts = word_counts(rows).select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), "words", "kinds")
     both = plain.join(counts, plain["key"].eqNullSafe(counts["__key"]) & (plain["tag"] == counts["__tag"]), "left")
     words, kinds = F.coalesce("words", F.lit(0)), F.coalesce("kinds", F.lit(0))
