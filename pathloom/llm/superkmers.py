@@ -1,9 +1,9 @@
 """Repeated runs of words by super-k-mer partitioning: windows of LEAST words that occur more than once are found exactly.
 
 A window's minimiser is its run of GRAM words with the smallest hash, the leftmost of equals. Consecutive windows with one
-minimiser make a super-k-mer: its words, joined by spaces, travel as one packed string to the bucket of the minimiser. Equal
+minimiser make a super-k-mer: its words travel as one packed string to the bucket of the minimiser. Equal
 windows have equal minimisers at equal places, so they meet in one bucket, whatever documents they are in; there the windows of
-all strings are sorted as bytes, which counts them exactly.
+all strings are sorted, which counts them exactly.
 
 Runs of GRAM words that are frequent, as in a line that many documents have, would gather strings of unlike texts in one bucket.
 A pass over all texts counts minimisers by slots of their hash; a slot that holds many times its share ranks behind all others,
@@ -11,14 +11,17 @@ so that such a run is a window's minimiser only where the window has no other, w
 windows make equal strings, and a task sends an equal string twice at most while it remembers it: what it has seen before it
 covers itself.
 
-Strings move in blocks, one for each batch and part, compressed. Parts are groups, not partitions: their number grows with the
+Strings move in blocks, one for each batch and part: the words that occur in a block once, then every string's words as numbers,
+compressed. Parts are groups, not partitions: their number grows with the
 input, and Spark's sorted shuffle brings one after the other into memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,44 +40,54 @@ RUN, SORTED = 6 << 20, 4 << 20
 SLOTS, MOST_SLOTS, FREQUENT = 1 << 12, 1 << 20, 16
 #: Strings that a task remembers; beyond it forgets them all.
 REMEMBER = 200_000
-#: A super-k-mer: its document and first word, how many windows and bytes it has, and whether its sender has covered it.
-STRING = np.dtype([("bucket", "<u8"), ("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("bytes", "<u4"), ("windows", "u1"), ("covered", "?")])
+#: A super-k-mer: its document and first word, how many windows it has, and whether its sender has covered it.
+STRING = np.dtype([("bucket", "<u8"), ("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "u1"), ("covered", "?")])
 COVER = np.dtype([("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("words", "<u4")])
 KIND_STRING, KIND_COVER = 0, 1
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def pieces(texts: Iterable[tuple[int, int, bytes]], size: int) -> Iterator[list[tuple[int, int, int, list[bytes]]]]:
-    """Lists of (key, tag, number of the first word, words) of about `size` bytes in all. A longer text's pieces overlap, so that
-    each of its windows lies in exactly one."""
-    out, held = [], 0
+class Words:
+    """The words of some pieces of texts, as numbers of a vocabulary. A piece is (key, tag, number of its first word)."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.pieces: list[tuple[int, int, int]] = []
+        self.codes: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, key: int, tag: int, at: int, words: list[bytes], size: int) -> None:
+        self.pieces.append((key, tag, at))
+        self.codes.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.bytes += size
+
+
+def pieces(texts: Iterable[tuple[int, int, bytes]], size: int) -> Iterator[Words]:
+    """The words of texts (key, tag, body), for about `size` bytes at a time. A longer text's pieces overlap, so that each of its
+    windows lies in exactly one. Texts too short for a window are left out."""
+    out = Words()
     for key, tag, body in texts:
         at, tail = 0, []
         for run in word_runs(body, size):
-            if not run:
-                continue
             words = tail + run
-            out.append((key, tag, at, words))
-            held += min(len(body), size)
             more = len(words) - LEAST + 1
-            at, tail = (at + more, words[more:]) if more > 0 else (at, words)
-            if held >= size:
+            if more > 0:
+                out.add(key, tag, at, words, min(len(body), size))
+                at, words = at + more, words[more:]
+            tail = words
+            if out.bytes >= size:
                 yield out
-                out, held = [], 0
-    if out:
+                out = Words()
+    if out.bytes:
         yield out
 
 
-def super_runs(group: list[tuple[int, int, int, list[bytes]]], frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """(piece, first word within all words, windows, minimiser's hash) of the super-k-mers of a list of pieces. frequent: a flag
-    for each slot."""
-    sizes = np.array([len(p[3]) for p in group])
-    n = int(sizes.sum())
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
-    if n < LEAST:
-        return none
-    digest = xxhash.xxh64_intdigest
-    h, width = np.fromiter((digest(w) for p in group for w in p[3]), np.uint64, n), 1
+def super_runs(group: Words, frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(piece, first word within all words, windows, minimiser's hash) of the super-k-mers of some words, and each word's hash.
+    frequent: a flag for each slot."""
+    sizes = np.array([len(c) for c in group.codes])
+    own = np.fromiter(map(xxhash.xxh64_intdigest, group.numbers), np.uint64, len(group.numbers))[np.concatenate(group.codes)]
+    h, width = own, 1
     for step in _STEP:
         h = h[:-width] * step + h[width:]
         width *= 2
@@ -93,14 +106,12 @@ def super_runs(group: list[tuple[int, int, int, list[bytes]]], frequent: np.ndar
     if width < wide:
         m = np.minimum(m[: len(m) - (wide - width)], m[wide - width :])
     least = (m & np.uint64(0xFFFFFF)).astype(np.int64)
-    piece = np.repeat(np.arange(len(group)), sizes)
+    piece = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero(np.arange(len(least)) + LEAST <= np.cumsum(sizes)[piece[: len(least)]])
-    if not len(at):
-        return none
     least, piece = least[at], piece[at]
     cut = np.flatnonzero((least[1:] != least[:-1]) | (piece[1:] != piece[:-1])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(at)]
-    return piece[first], at[first], last - first, h[least[first]]
+    return piece[first], at[first], last - first, h[least[first]], own
 
 
 def _texts(batches) -> Iterator[tuple[int, int, bytes]]:
@@ -127,55 +138,77 @@ def frequent_slots(rows: DataFrame, slots: int) -> np.ndarray:
     return flags
 
 
+def stretches(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + lengths[i] - 1, one stretch after the other."""
+    return np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
+def packed(rows: np.ndarray, codes: np.ndarray, words: list[bytes]) -> bytes:
+    """A block: the words that occur, the rows by columns of bytes, and every string's words as numbers, by columns of bytes."""
+    if 8 * len(codes) < len(words):
+        own, inside = np.unique(codes, return_inverse=True)
+    else:
+        seen = np.zeros(len(words), bool)
+        seen[codes] = True
+        own = np.flatnonzero(seen)
+        inside = np.cumsum(seen)[codes] - 1
+    vocabulary, inside = b" ".join([words[i] for i in own.tolist()]), inside.astype("<u4")
+    width = 1 + (len(own) > 1 << 8) + (len(own) > 1 << 16) + (len(own) > 1 << 24)
+    head = np.array([len(rows), len(vocabulary), len(codes), width], "<u4").tobytes()
+    planes = inside.view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+    return zstandard.compress(head + vocabulary + rows.view(np.uint8).reshape(len(rows), -1).T.tobytes() + planes, 1)
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(rows, codes, words) of a block."""
+    data = zstandard.decompress(block)
+    n, size, length, width = np.frombuffer(data, "<u4", 4).tolist()
+    at = 16 + size
+    rows = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * STRING.itemsize, at).reshape(STRING.itemsize, n).T).view(STRING)[:, 0]
+    codes = np.zeros((length, 4), np.uint8)
+    codes[:, :width] = np.frombuffer(data, np.uint8, length * width, at + n * STRING.itemsize).reshape(width, length).T
+    return rows, codes.view("<u4")[:, 0], data[16:at].split(b" ")
+
+
 def _send(parts: int, frequent: np.ndarray):
     """Blocks of strings and covers, by part."""
 
+    def blocks(group: Words, known: dict[bytes, bool]) -> Iterator[tuple]:
+        piece, first, windows, bucket, own = super_runs(group, frequent)
+        codes, words, lengths = np.concatenate(group.codes), list(group.numbers), windows + LEAST - 1
+        base = np.cumsum([len(c) for c in group.codes]) - [len(c) for c in group.codes]
+        key, tag, at = (np.array(c, np.int64)[piece] for c in zip(*group.pieces))
+        rows = np.zeros(len(piece), STRING)
+        rows["bucket"], rows["key"], rows["tag"], rows["start"], rows["windows"] = bucket, key, tag, at + first - base[piece], windows
+        # A string's second coming says that there are two; what comes after that need not travel.
+        send, covered = np.ones(len(rows), bool), rows["covered"]
+        raw, digest = memoryview(own.tobytes()), xxhash.xxh128_digest
+        for i, (a, b) in enumerate(zip((8 * first).tolist(), (8 * (first + lengths)).tolist())):
+            twice = known.setdefault(s := digest(raw[a:b]), None)
+            if twice is None:
+                known[s] = False
+            else:
+                covered[i] = True
+                send[i] = not twice
+                known[s] = True
+        for kind, chosen, home in ((KIND_STRING, np.flatnonzero(send), bucket), (KIND_COVER, np.flatnonzero(covered), tag.view(np.uint64))):
+            part = (home[chosen] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, chosen = part[order], chosen[order]
+            for of in np.split(np.arange(len(chosen)), np.flatnonzero(np.diff(part)) + 1) if len(chosen) else []:
+                i = chosen[of]
+                if kind == KIND_STRING:
+                    block = packed(rows[i], codes[stretches(first[i], lengths[i])], words)
+                else:
+                    block = _covers(key[i], tag[i], rows["start"][i], lengths[i]).tobytes()
+                yield len(block), (int(part[of[0]]), kind, block)
+
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         known: dict[bytes, bool] = {}
         for group in pieces(_texts(batches), RUN):
-            piece, first, windows, bucket = super_runs(group, frequent)
-            if not len(piece):
-                continue
-            sizes = np.array([len(p[3]) for p in group])
-            base, where = np.cumsum(sizes) - sizes, []
-            # All words of the group, joined by spaces, and where each begins.
-            text = b" ".join(b" ".join(p[3]) for p in group)
-            begin = np.zeros(int(sizes.sum()) + 1, np.int64)
-            np.cumsum(np.fromiter((len(w) + 1 for p in group for w in p[3]), np.int64, len(begin) - 1), out=begin[1:])
-            a, b = begin[first].tolist(), (begin[first + windows + LEAST - 1] - 1).tolist()
-            rows = np.zeros(len(piece), STRING)
-            rows["bucket"], rows["windows"] = bucket, windows
-            for name, i in (("key", 0), ("tag", 1)):
-                rows[name] = np.array([p[i] for p in group], np.int64)[piece]
-            rows["start"] = np.array([p[2] for p in group], np.int64)[piece] + first - base[piece]
-            # True: a string that was sent twice. The second time it says that there are two.
             if len(known) > REMEMBER:
                 known.clear()
-            send, covered = np.ones(len(rows), bool), np.zeros(len(rows), bool)
-            digest = xxhash.xxh128_digest
-            for i, s in enumerate(map(digest, map(text.__getitem__, map(slice, a, b)))):
-                twice = known.get(s)
-                if twice is None:
-                    known[s] = False
-                else:
-                    covered[i] = True
-                    if twice:
-                        send[i] = False
-                    else:
-                        known[s] = True
-            rows["covered"], rows["bytes"] = covered, np.array(b) - np.array(a)
-            for kind, chosen, home in ((KIND_STRING, np.flatnonzero(send), bucket), (KIND_COVER, np.flatnonzero(covered), rows["tag"].view(np.uint64))):
-                part = (home[chosen] % np.uint64(parts)).astype(np.int64)
-                chosen = chosen[np.argsort(part, kind="stable")]
-                part = np.sort(part, kind="stable")
-                for block in np.split(np.arange(len(chosen)), np.flatnonzero(np.diff(part)) + 1) if len(chosen) else []:
-                    own = rows[chosen[block]]
-                    data = b"".join([text[a[i] : b[i]] for i in chosen[block].tolist()]) if kind == KIND_STRING else b""
-                    raw = own.tobytes() if kind == KIND_STRING else _covers(own["key"], own["tag"], own["start"], own["windows"].astype(np.int64) + LEAST - 1).tobytes()
-                    packed = squeeze(raw + data)
-                    where.append((len(packed), (int(part[block[0]]), kind, len(own), packed)))
-            yield from sized_batches(where, ["part", "kind", "n", "block"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+            yield from sized_batches(blocks(group, known), ["part", "kind", "block"], [pa.int32(), pa.int32(), pa.binary()])
 
     return run
 
@@ -186,29 +219,32 @@ def _covers(key, tag, start, words) -> np.ndarray:
     return out
 
 
-def repeated(rows: np.ndarray, strings: list[bytes]) -> np.ndarray:
-    """Covers of the windows that occur more than once among strings of one part; rows and strings are in one order. Strings that
-    their senders have covered need no cover, but make other windows repeated."""
+def repeated(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Covers of the windows that occur more than once among strings of one part, whose words are numbers in `codes`, string by
+    string. Strings that their senders have covered need no cover, but make other windows repeated."""
     out = [np.zeros(0, COVER)]
+    lengths = rows["windows"].astype(np.int64) + LEAST - 1
+    raw = memoryview(np.ascontiguousarray(codes, "<u4").tobytes())
+    end = 4 * np.cumsum(lengths)
+    begin, end = (end - 4 * lengths).tolist(), end.tolist()
     # Strings alone in their bucket are done: within one string no window occurs twice.
     order = np.argsort(rows["bucket"], kind="stable")
     edge = np.flatnonzero(np.r_[True, np.diff(rows["bucket"][order]) != 0, True])
-    held: list[tuple[bytes, list[int], bool]] = []
+    some = np.flatnonzero(np.diff(edge) > 1)
+    held: list[tuple[bytes, list[int]]] = []
     size = 0
-    for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        if end - begin < 2:
-            continue
+    for a, b in zip(edge[some].tolist(), edge[some + 1].tolist()):
         same: dict[bytes, list[int]] = {}
-        for i in order[begin:end].tolist():
-            same.setdefault(strings[i], []).append(i)
+        for i in order[a:b].tolist():
+            same.setdefault(bytes(raw[begin[i] : end[i]]), []).append(i)
         for s, of in same.items():
-            whole = len(of) > 1 or bool(rows["covered"][of[0]])
             left = [i for i in of if not rows["covered"][i]]
-            if whole and left:
+            if left and (len(of) > 1 or len(left) < len(of)):
                 own = rows[left]
-                out.append(_covers(own["key"], own["tag"], own["start"], own["windows"].astype(np.int64) + LEAST - 1))
+                out.append(_covers(own["key"], own["tag"], own["start"], lengths[left]))
+                left = []
             if len(same) > 1:
-                held.append((s, [] if whole else left, whole))
+                held.append((s, left))
                 size += len(s)
         if size >= SORTED:
             out.append(_sorted(rows, held))
@@ -218,31 +254,20 @@ def repeated(rows: np.ndarray, strings: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sorted(rows: np.ndarray, strings: list[tuple[bytes, list[int], bool]]) -> np.ndarray:
-    """Covers of repeated windows of distinct strings (bytes, rows that need a cover, whether it occurs more than once): all windows as sorted bytes."""
-    windows: list[bytes] = []
-    owner: list[int] = []
-    offset: list[int] = []
-    for k, (s, _, _) in enumerate(strings):
-        words = s.split(b" ")
-        begin = [0]
-        for w in words:
-            begin.append(begin[-1] + len(w) + 1)
-        n = len(words) - LEAST + 1
-        windows += [s[begin[j] : begin[j + LEAST] - 1] for j in range(n)]
-        owner += [k] * n
-        offset += range(n)
+def _sorted(rows: np.ndarray, strings: list[tuple[bytes, list[int]]]) -> np.ndarray:
+    """Covers of repeated windows of distinct strings (words as numbers of four bytes, rows that need a cover): all windows sorted."""
+    counts = np.array([len(s) // 4 - LEAST + 1 for s, _ in strings])
+    windows = [s[4 * j : 4 * (j + LEAST)] for (s, _), n in zip(strings, counts.tolist()) for j in range(n)]
+    owner = np.repeat(np.arange(len(strings)), counts)
+    offset = stretches(np.zeros(len(counts), np.int64), counts)
     order = sorted(range(len(windows)), key=windows.__getitem__)
-    equal = np.fromiter((windows[a] == windows[b] for a, b in zip(order, order[1:])), bool, max(0, len(order) - 1))
-    hit = np.zeros(len(order), bool)
-    hit[1:] |= equal
-    hit[:-1] |= equal
+    equal = np.fromiter((windows[a] == windows[b] for a, b in zip(order, order[1:])), bool, len(order) - 1)
     found = np.zeros(len(order), bool)
-    found[np.array(order, np.intp)[hit]] = True
+    found[order] = np.r_[equal, False] | np.r_[False, equal]
     at = np.flatnonzero(found)
     if not len(at):
         return np.zeros(0, COVER)
-    own, j = np.array(owner, np.intp)[at], np.array(offset, np.int64)[at]
+    own, j = owner[at], offset[at]
     begin = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (j[1:] != j[:-1] + 1)])
     last = np.r_[begin[1:], len(at)] - 1
     need = [strings[k][1] for k in own[begin].tolist()]
@@ -253,19 +278,16 @@ def _sorted(rows: np.ndarray, strings: list[tuple[bytes, list[int], bool]]) -> n
 
 def _match(t: pa.Table) -> pa.Table:
     """The covers of a part: those that senders know of, and those of its strings' repeated windows."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    rows, strings, covers = [np.zeros(0, STRING)], [], []
-    for kind, n, block in zip(t.column("kind").to_pylist(), t.column("n").to_pylist(), t.column("block")):
-        data = open_(block.as_py())
+    rows, codes, known = [np.zeros(0, STRING)], [np.zeros(0, np.uint32)], []
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    for kind, block in zip(t.column("kind").to_pylist(), t.column("block")):
         if kind == KIND_COVER:
-            covers.append(np.frombuffer(data, COVER, n))
+            known.append(np.frombuffer(block.as_py(), COVER))
             continue
-        own, at = np.frombuffer(data, STRING, n), n * STRING.itemsize
-        for size in own["bytes"].tolist():
-            strings.append(data[at : at + size])
-            at += size
+        own, inside, words = unpacked(block.as_py())
         rows.append(own)
-    cover = np.concatenate([*covers, repeated(np.concatenate(rows), strings)])
+        codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))[inside])
+    cover = np.concatenate([*known, repeated(np.concatenate(rows), np.concatenate(codes))])
     return pa.table({c: pa.array(cover[c].astype(np.int64)) for c in COVER.names})
 
 
@@ -274,7 +296,7 @@ def covers(rows: DataFrame, parts: int) -> DataFrame:
     slots = SLOTS
     while slots < min(FREQUENT * parts, MOST_SLOTS):
         slots *= 2
-    moved = rows.mapInArrow(_send(parts, frequent_slots(rows, slots)), "part int, kind int, n int, block binary")
+    moved = rows.mapInArrow(_send(parts, frequent_slots(rows, slots)), "part int, kind int, block binary")
     return moved.groupBy("part").applyInArrow(_match, "key long, tag long, start long, words long")
 
 
@@ -317,7 +339,8 @@ def without_repeated_windows(docs: DataFrame, text: str = "text", key: str = "do
     Keys are longs, and may be null. A null text has no words; texts of fewer than LEAST words stay as they are. Rows that repeat,
     or share a key, are documents of their own, so equal rows cover each other. Very long texts are read in overlapping pieces.
     An empty table gives an empty result; other columns are ignored, whatever their names. Texts of one key are told apart by a
-    64-bit hash, and a task takes strings of equal 128-bit digests as equal; between tasks the strings' bytes are compared.
+    64-bit hash, and a sending task takes strings of equal 128-bit digests of their words' hashes as equal; strings of different tasks
+    are compared word by word.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("own"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("body"))

@@ -42,12 +42,22 @@ def test_matches_the_definition(spark, monkeypatch, size, remember, memory):
 def test_frequent_minimisers_give_the_same_windows(spark):
     """A slot that counts as frequent only changes which run of words is a window's minimiser."""
     texts = [(i, i, t.encode()) for i, t in enumerate(filter(None, made(random.Random(14))))]
-    group = [p for pieces in sk.pieces(texts, 1 << 20) for p in pieces]
+    one, other = next(sk.pieces(texts, 1 << 20)), next(sk.pieces(texts[::-1], 1 << 20))
     for flags in (None, np.arange(64) % 3 == 0, np.ones(64, bool)):
-        piece, first, windows, _ = sk.super_runs(group, flags)
-        assert windows.sum() == sum(max(0, len(p[3]) - sk.LEAST + 1) for p in group) and windows.max() <= sk.LEAST - sk.GRAM + 1
-        again = sk.super_runs(group[::-1], flags)
-        assert Counter(windows.tolist()) == Counter(again[2].tolist())
+        windows, again = sk.super_runs(one, flags)[2], sk.super_runs(other, flags)[2]
+        assert windows.sum() == sum(max(0, len(t.split()) - sk.LEAST + 1) for _, _, t in texts) and windows.max() <= sk.LEAST - sk.GRAM + 1
+        assert Counter(windows.tolist()) == Counter(again.tolist())
+
+
+def test_blocks_hold_what_was_packed():
+    rng = np.random.default_rng(1)
+    for n_words in (1, 3, 300, 70_000):
+        words = [b"w%d" % i for i in range(n_words)]
+        codes = rng.integers(0, n_words, 5000).astype(np.uint32)
+        rows = np.zeros(40, sk.STRING)
+        rows["bucket"], rows["key"], rows["windows"], rows["covered"] = rng.integers(0, 1 << 62, 40), np.arange(40) - 20, np.arange(40), np.arange(40) % 2
+        own, inside, back = sk.unpacked(sk.packed(rows, codes, words))
+        assert (own == rows).all() and [back[i] for i in inside] == [words[i] for i in codes]
 
 
 def test_slots_of_a_common_line_are_frequent(spark):
