@@ -1,7 +1,7 @@
 """Repeated runs of words by super-k-mer partitioning: windows of LEAST words that occur more than once are found exactly.
 
 A window's minimiser is its run of GRAM words with the smallest hash, the leftmost of equals. Consecutive windows with one
-minimiser make a super-k-mer: its words travel as one packed string to the bucket of the minimiser. Equal
+minimiser make a super-k-mer: its words, joined by spaces, travel as one packed string to the bucket of the minimiser. Equal
 windows have equal minimisers at equal places, so they meet in one bucket, whatever documents they are in; there the windows of
 all strings are sorted, which counts them exactly.
 
@@ -11,8 +11,7 @@ so that such a run is a window's minimiser only where the window has no other, w
 windows make equal strings, and a task sends an equal string twice at most while it remembers it: what it has seen before it
 covers itself.
 
-Strings move in blocks, one for each batch and part: the words that occur in a block once, then every string's words as numbers,
-compressed. Parts are groups, not partitions: their number grows with the
+Strings move in blocks, one for each batch and part, compressed. Parts are groups, not partitions: their number grows with the
 input, and Spark's sorted shuffle brings one after the other into memory.
 """
 
@@ -21,7 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +32,20 @@ from pyspark.sql import functions as F
 from pathloom.llm.bpe import sized_batches
 from pathloom.llm.common import parts_for_bytes, table, text_batches, word_runs
 
-LEAST, GRAM = 35, 8
+LEAST, GRAM = 35, 4
+#: How hard blocks are compressed: they are three times the text and more.
+LEVEL = 5
 #: Bytes of text whose words are in memory at once, and of packed strings whose windows are.
 RUN, SORTED = 6 << 20, 4 << 20
 #: Least and most slots that minimisers are counted in; a slot of so many times the mean is frequent.
 SLOTS, MOST_SLOTS, FREQUENT = 1 << 12, 1 << 20, 16
 #: Strings that a task remembers; beyond it forgets them all.
 REMEMBER = 200_000
-#: A super-k-mer: its document and first word, how many windows it has, and whether its sender has covered it.
-STRING = np.dtype([("bucket", "<u8"), ("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "u1"), ("covered", "?")])
+#: A super-k-mer: its document and first word, how many windows and bytes it has, and whether its sender has covered it.
+STRING = np.dtype([("bucket", "<u8"), ("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("bytes", "<u4"), ("windows", "u1"), ("covered", "?")])
 COVER = np.dtype([("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("words", "<u4")])
 KIND_STRING, KIND_COVER = 0, 1
-_STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class Words:
@@ -83,11 +84,10 @@ def pieces(texts: Iterable[tuple[int, int, bytes]], size: int) -> Iterator[Words
 
 
 def super_runs(group: Words, frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """(piece, first word within all words, windows, minimiser's hash) of the super-k-mers of some words, and each word's hash.
-    frequent: a flag for each slot."""
+    """(piece, first word within all words, windows, minimiser's hash) of the super-k-mers of some words. frequent: a flag for
+    each slot."""
     sizes = np.array([len(c) for c in group.codes])
-    own = np.fromiter(map(xxhash.xxh64_intdigest, group.numbers), np.uint64, len(group.numbers))[np.concatenate(group.codes)]
-    h, width = own, 1
+    h, width = np.fromiter(map(xxhash.xxh64_intdigest, group.numbers), np.uint64, len(group.numbers))[np.concatenate(group.codes)], 1
     for step in _STEP:
         h = h[:-width] * step + h[width:]
         width *= 2
@@ -111,7 +111,7 @@ def super_runs(group: Words, frequent: np.ndarray | None) -> tuple[np.ndarray, .
     least, piece = least[at], piece[at]
     cut = np.flatnonzero((least[1:] != least[:-1]) | (piece[1:] != piece[:-1])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(at)]
-    return piece[first], at[first], last - first, h[least[first]], own
+    return piece[first], at[first], last - first, h[least[first]]
 
 
 def _texts(batches) -> Iterator[tuple[int, int, bytes]]:
@@ -138,53 +138,38 @@ def frequent_slots(rows: DataFrame, slots: int) -> np.ndarray:
     return flags
 
 
-def stretches(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers first[i] to first[i] + lengths[i] - 1, one stretch after the other."""
-    return np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+def packed(rows: np.ndarray, strings: bytes) -> bytes:
+    """A block of strings, one after the other, and their rows by columns of bytes."""
+    return zstandard.compress(len(rows).to_bytes(4, "little") + rows.view(np.uint8).reshape(len(rows), STRING.itemsize).T.tobytes() + strings, LEVEL)
 
 
-def packed(rows: np.ndarray, codes: np.ndarray, words: list[bytes]) -> bytes:
-    """A block: the words that occur, the rows by columns of bytes, and every string's words as numbers, by columns of bytes."""
-    if 8 * len(codes) < len(words):
-        own, inside = np.unique(codes, return_inverse=True)
-    else:
-        seen = np.zeros(len(words), bool)
-        seen[codes] = True
-        own = np.flatnonzero(seen)
-        inside = np.cumsum(seen)[codes] - 1
-    vocabulary, inside = b" ".join([words[i] for i in own.tolist()]), inside.astype("<u4")
-    width = 1 + (len(own) > 1 << 8) + (len(own) > 1 << 16) + (len(own) > 1 << 24)
-    head = np.array([len(rows), len(vocabulary), len(codes), width], "<u4").tobytes()
-    planes = inside.view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
-    return zstandard.compress(head + vocabulary + rows.view(np.uint8).reshape(len(rows), -1).T.tobytes() + planes, 1)
-
-
-def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(rows, codes, words) of a block."""
+def unpacked(block: bytes) -> tuple[np.ndarray, bytes]:
+    """(rows, strings) of a block."""
     data = zstandard.decompress(block)
-    n, size, length, width = np.frombuffer(data, "<u4", 4).tolist()
-    at = 16 + size
-    rows = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * STRING.itemsize, at).reshape(STRING.itemsize, n).T).view(STRING)[:, 0]
-    codes = np.zeros((length, 4), np.uint8)
-    codes[:, :width] = np.frombuffer(data, np.uint8, length * width, at + n * STRING.itemsize).reshape(width, length).T
-    return rows, codes.view("<u4")[:, 0], data[16:at].split(b" ")
+    n = int.from_bytes(data[:4], "little")
+    end = 4 + n * STRING.itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, end - 4, 4).reshape(STRING.itemsize, n).T).view(STRING)[:, 0], data[end:]
 
 
 def _send(parts: int, frequent: np.ndarray):
     """Blocks of strings and covers, by part."""
 
     def blocks(group: Words, known: dict[bytes, bool]) -> Iterator[tuple]:
-        piece, first, windows, bucket, own = super_runs(group, frequent)
-        codes, words, lengths = np.concatenate(group.codes), list(group.numbers), windows + LEAST - 1
+        piece, first, windows, bucket = super_runs(group, frequent)
+        codes, words = np.concatenate(group.codes), list(group.numbers)
+        # All words, joined by spaces, and where each begins.
+        text = b" ".join([words[i] for i in codes.tolist()])
+        begin = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))[codes] + 1)]
+        a, b = begin[first], begin[first + windows + LEAST - 1] - 1
         base = np.cumsum([len(c) for c in group.codes]) - [len(c) for c in group.codes]
         key, tag, at = (np.array(c, np.int64)[piece] for c in zip(*group.pieces))
         rows = np.zeros(len(piece), STRING)
-        rows["bucket"], rows["key"], rows["tag"], rows["start"], rows["windows"] = bucket, key, tag, at + first - base[piece], windows
+        rows["bucket"], rows["key"], rows["tag"], rows["start"], rows["windows"], rows["bytes"] = bucket, key, tag, at + first - base[piece], windows, b - a
         # A string's second coming says that there are two; what comes after that need not travel.
         send, covered = np.ones(len(rows), bool), rows["covered"]
-        raw, digest = memoryview(own.tobytes()), xxhash.xxh128_digest
-        for i, (a, b) in enumerate(zip((8 * first).tolist(), (8 * (first + lengths)).tolist())):
-            twice = known.setdefault(s := digest(raw[a:b]), None)
+        digest = xxhash.xxh128_digest
+        for i, s in enumerate(map(digest, map(text.__getitem__, map(slice, a.tolist(), b.tolist())))):
+            twice = known.setdefault(s, None)
             if twice is None:
                 known[s] = False
             else:
@@ -198,9 +183,9 @@ def _send(parts: int, frequent: np.ndarray):
             for of in np.split(np.arange(len(chosen)), np.flatnonzero(np.diff(part)) + 1) if len(chosen) else []:
                 i = chosen[of]
                 if kind == KIND_STRING:
-                    block = packed(rows[i], codes[stretches(first[i], lengths[i])], words)
+                    block = packed(rows[i], b"".join(map(text.__getitem__, map(slice, a[i].tolist(), b[i].tolist()))))
                 else:
-                    block = _covers(key[i], tag[i], rows["start"][i], lengths[i]).tobytes()
+                    block = _covers(key[i], tag[i], rows["start"][i], windows[i] + LEAST - 1).tobytes()
                 yield len(block), (int(part[of[0]]), kind, block)
 
     def run(batches):
@@ -219,14 +204,11 @@ def _covers(key, tag, start, words) -> np.ndarray:
     return out
 
 
-def repeated(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Covers of the windows that occur more than once among strings of one part, whose words are numbers in `codes`, string by
-    string. Strings that their senders have covered need no cover, but make other windows repeated."""
+def repeated(rows: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Covers of the windows that occur more than once among strings of one part; rows and strings are in one order. Strings that
+    their senders have covered need no cover, but make other windows repeated."""
     out = [np.zeros(0, COVER)]
     lengths = rows["windows"].astype(np.int64) + LEAST - 1
-    raw = memoryview(np.ascontiguousarray(codes, "<u4").tobytes())
-    end = 4 * np.cumsum(lengths)
-    begin, end = (end - 4 * lengths).tolist(), end.tolist()
     # Strings alone in their bucket are done: within one string no window occurs twice.
     order = np.argsort(rows["bucket"], kind="stable")
     edge = np.flatnonzero(np.r_[True, np.diff(rows["bucket"][order]) != 0, True])
@@ -236,7 +218,7 @@ def repeated(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
     for a, b in zip(edge[some].tolist(), edge[some + 1].tolist()):
         same: dict[bytes, list[int]] = {}
         for i in order[a:b].tolist():
-            same.setdefault(bytes(raw[begin[i] : end[i]]), []).append(i)
+            same.setdefault(strings[i], []).append(i)
         for s, of in same.items():
             left = [i for i in of if not rows["covered"][i]]
             if left and (len(of) > 1 or len(left) < len(of)):
@@ -254,12 +236,17 @@ def repeated(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _windows(s: bytes) -> list[bytes]:
+    """A string's windows, in order."""
+    begin = list(accumulate(map(len, s.split(b" ")), lambda at, n: at + n + 1, initial=0))
+    return [s[a : b - 1] for a, b in zip(begin, begin[LEAST:])]
+
+
 def _sorted(rows: np.ndarray, strings: list[tuple[bytes, list[int]]]) -> np.ndarray:
-    """Covers of repeated windows of distinct strings (words as numbers of four bytes, rows that need a cover): all windows sorted."""
-    counts = np.array([len(s) // 4 - LEAST + 1 for s, _ in strings])
-    windows = [s[4 * j : 4 * (j + LEAST)] for (s, _), n in zip(strings, counts.tolist()) for j in range(n)]
-    owner = np.repeat(np.arange(len(strings)), counts)
-    offset = stretches(np.zeros(len(counts), np.int64), counts)
+    """Covers of repeated windows of distinct strings (bytes, rows that need a cover): all windows sorted."""
+    each = [_windows(s) for s, _ in strings]
+    counts, windows = np.array(list(map(len, each))), list(chain.from_iterable(each))
+    owner, offset = np.repeat(np.arange(len(counts)), counts), np.concatenate([np.arange(n) for n in counts])
     order = sorted(range(len(windows)), key=windows.__getitem__)
     equal = np.fromiter((windows[a] == windows[b] for a, b in zip(order, order[1:])), bool, len(order) - 1)
     found = np.zeros(len(order), bool)
@@ -278,16 +265,16 @@ def _sorted(rows: np.ndarray, strings: list[tuple[bytes, list[int]]]) -> np.ndar
 
 def _match(t: pa.Table) -> pa.Table:
     """The covers of a part: those that senders know of, and those of its strings' repeated windows."""
-    rows, codes, known = [np.zeros(0, STRING)], [np.zeros(0, np.uint32)], []
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    rows, strings, known = [np.zeros(0, STRING)], [], []
     for kind, block in zip(t.column("kind").to_pylist(), t.column("block")):
         if kind == KIND_COVER:
             known.append(np.frombuffer(block.as_py(), COVER))
             continue
-        own, inside, words = unpacked(block.as_py())
+        own, data = unpacked(block.as_py())
+        end = np.cumsum(own["bytes"].astype(np.int64))
+        strings += map(data.__getitem__, map(slice, (end - own["bytes"]).tolist(), end.tolist()))
         rows.append(own)
-        codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))[inside])
-    cover = np.concatenate([*known, repeated(np.concatenate(rows), np.concatenate(codes))])
+    cover = np.concatenate([*known, repeated(np.concatenate(rows), strings)])
     return pa.table({c: pa.array(cover[c].astype(np.int64)) for c in COVER.names})
 
 
@@ -339,8 +326,8 @@ def without_repeated_windows(docs: DataFrame, text: str = "text", key: str = "do
     Keys are longs, and may be null. A null text has no words; texts of fewer than LEAST words stay as they are. Rows that repeat,
     or share a key, are documents of their own, so equal rows cover each other. Very long texts are read in overlapping pieces.
     An empty table gives an empty result; other columns are ignored, whatever their names. Texts of one key are told apart by a
-    64-bit hash, and a sending task takes strings of equal 128-bit digests of their words' hashes as equal; strings of different tasks
-    are compared word by word.
+    64-bit hash, and a sending task takes strings of equal 128-bit digests as equal; strings of different tasks are
+    compared byte by byte.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("own"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("body"))
