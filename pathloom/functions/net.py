@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,24 +12,40 @@ from pathloom.functions.text import trimmed
 from pathloom.sources import dims
 
 
+#: An IPv4 address; leading zeros may be there, as in other octets of up to three digits.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is bound to a name, so that it is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def octets(ip: Column) -> Column:
     """Four numbers, or null if the text is anything else."""
     return F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.transform(F.split(ip, r"\."), lambda x: x.cast("int")))
 
 
+def is_v4(ip: Column) -> Column:
+    return F.coalesce(ip.rlike(V4), F.lit(False))
+
+
 def ip_number(ip: Column) -> Column:
-    """An IPv4 address as a number; null for anything else."""
-    o = octets(ip)
-    return F.when(F.forall(o, lambda x: x <= 255), F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
+    """An IPv4 address as a number; null for anything else. Plain expressions only, which stay within generated code."""
+    a, b, c, d = (F.split_part(ip, F.lit("."), F.lit(i)).try_cast("long") for i in (1, 2, 3, 4))
+    return F.when(ip.rlike(V4), ((a * 256 + b) * 256 + c) * 256 + d)
 
 
-def _within(ip: Column, ranges: list[str]) -> Column:
-    n = ip_number(ip)
-    hit = F.lit(False)
-    for c in ranges:
-        low, high = dims.v4_range(c)
-        hit = hit | n.between(low, high)
-    return hit
+def _within(n: Column, ranges: list[str]) -> Column:
+    """Whether a number lies in one of the ranges, of which touching ones are one."""
+    spans: list[list[int]] = []
+    for low, high in sorted(map(dims.v4_range, ranges)):
+        if spans and low <= spans[-1][1] + 1:
+            spans[-1][1] = max(high, spans[-1][1])
+        else:
+            spans.append([low, high])
+    return functools.reduce(Column.__or__, (n.between(low, high) for low, high in spans))
 
 
 def is_private(ip: Column) -> Column:
@@ -44,26 +63,35 @@ NOT_LOOKED_UP = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169
 
 def is_public(ip: Column) -> Column:
     """Whether an address may be looked up; IPv6 may not."""
-    return F.coalesce(ip_number(ip).isNotNull() & ~_within(ip, NOT_LOOKED_UP), F.lit(False))
+    return F.coalesce(bound(ip_number(ip), lambda n: ~_within(n, NOT_LOOKED_UP)), F.lit(False))
 
 
 def is_blocked(ip: Column) -> Column:
     """Whether a target address is blocked; what isn't an IPv4 address is."""
-    return F.coalesce(_within(ip, dims.BLOCKED_V4), F.lit(True))
+    return F.coalesce(bound(ip_number(ip), lambda n: _within(n, dims.BLOCKED_V4)), F.lit(True))
 
 
 def v6_groups(ip: Column) -> Column:
     """The eight numbers of an IPv6 address, which may end in an IPv4 address or a zone; null for anything else."""
+    none = F.expr("cast(array() as array<string>)")
+    parts = lambda h: F.when(h == "", none).otherwise(F.split(h, ":", -1))
+
+    def plain(own: Column) -> Column:
+        """own with an IPv4 address at its end as two groups."""
+        tail = F.regexp_extract(own, r":((?:[0-9]{1,3}\.){3}[0-9]{1,3})$", 1)
+        two = lambda n: F.concat(F.regexp_replace(own, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536)))
+        return F.when(F.contains(own, F.lit(".")), bound(ip_number(tail), lambda n: F.when(n.isNotNull(), two(n)))).otherwise(own)
+
+    def groups(halves: Column) -> Column:
+        sides = F.struct(F.size(halves).alias("n"), parts(F.get(halves, F.lit(0))).alias("left"), parts(F.get(halves, F.lit(1))).alias("right"))
+        short = lambda s: 8 - F.size(s["left"]) - F.size(s["right"])
+        return bound(sides, lambda s: F.when(s["n"] == 1, s["left"]).when((s["n"] == 2) & (short(s) > 0), F.concat(s["left"], F.array_repeat(F.lit("0"), short(s)), s["right"])))
+
+    def numbers(g: Column) -> Column:
+        return F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")))
+
     own = F.regexp_replace(F.lower(ip), "%[^%/]+$", "")
-    tail = F.regexp_extract(own, r":((?:[0-9]{1,3}\.){3}[0-9]{1,3})$", 1)
-    n = ip_number(tail)
-    own = F.when(tail == "", own).when(n.isNotNull(), F.concat(F.regexp_replace(own, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536))))
-    halves = F.split(own, "::", -1)
-    parts = lambda h: F.when(h == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(h, ":", -1))
-    left, right = parts(F.get(halves, F.lit(0))), parts(F.get(halves, F.lit(1)))
-    short = 8 - F.size(left) - F.size(right)
-    groups = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (short > 0), F.concat(left, F.array_repeat(F.lit("0"), short), right))
-    return F.when((F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+    return bound(bound(F.split(bound(own, plain), "::", -1), groups), numbers)
 
 
 def is_blocked_v6(ip: Column) -> Column:
@@ -79,8 +107,7 @@ def is_blocked_v6(ip: Column) -> Column:
             hit = hit | inside
         return F.when(g.isNotNull(), hit)
 
-    # Bound to a name, so that the groups are worked out once.
-    return F.get(F.transform(F.array(v6_groups(ip)), within), F.lit(0))
+    return bound(v6_groups(ip), within)
 
 
 # Networks by parts of the host name and beginnings of the address, first match wins.
@@ -132,7 +159,7 @@ def is_reserved(s: Column) -> Column:
 def normal_target(s: Column) -> tuple[Column, Column]:
     """(target, error): the lower-case target, or why it is refused."""
     t = F.lower(trimmed(s))
-    v4, v6 = ip_number(t).isNotNull() & t.rlike(r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$"), F.contains(t, F.lit(":"))
+    v4, v6 = is_v4(t) & t.rlike(r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$"), F.contains(t, F.lit(":"))
     error = (
         F.when((F.length(t) == 0) | (F.length(t) > 253), ERRORS["length"])
         .when(F.contains(t, F.lit("/")) | t.rlike(UNSAFE), ERRORS["url"])

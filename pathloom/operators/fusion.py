@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
-from pathloom.functions import text as t
+from pathloom.operators.hosts import host_matches
 from pathloom.sources import dims
 
 CANDIDATE = "struct<source: string, city: string, country: string, lat: double, lon: double, confidence: string, precision: string, cc: string, evidence: array<string>>"
@@ -26,33 +26,20 @@ def _candidate(source, city, country, lat, lon, confidence, evidence, precision=
     ).cast(CANDIDATE)
 
 
-def _alias_table() -> Column:
-    """Array of (ord, alias, token, part) in match order: the text that an alias shows as among a host's tokens, whole or, from 4
-    letters on, at a token's end; and from 5 letters on also anywhere within the name."""
-    rows = []
-    for i, c in enumerate(dims.CITIES):
-        for a in c[4]:
-            for form in dict.fromkeys((a, a.replace("-", ""))):
-                token, part = F.lit(f"{form} " if len(a) >= 4 else f" {form} "), F.lit(form if len(a) >= 5 else None).cast("string")
-                rows.append(F.struct(F.lit(i).alias("ord"), F.lit(a).alias("alias"), token.alias("token"), part.alias("part")))
-    return F.array(*rows)
-
-
-def host_city(host: Column) -> Column:
-    """(ord, alias, …) of the first city hint whose alias the host name matches, in table order; null if none."""
-    # A space before and after each token, so that every test is a plain search in a text.
-    names = F.struct(F.concat(F.lit(" "), F.array_join(t.host_tokens(host), " "), F.lit(" ")).alias("tokens"), t.compact(F.lower(host)).alias("flat"))
-    first = lambda n: F.get(F.filter(_alias_table(), lambda a: F.contains(n["tokens"], a["token"]) | F.coalesce(F.contains(n["flat"], a["part"]), F.lit(False))), F.lit(0))
-    return F.when(host.isNotNull(), F.get(F.transform(F.array(names), first), F.lit(0)))
+def places_of_hosts(names: DataFrame, host: str, out: str, aliases: DataFrame | None = None, cities: DataFrame | None = None) -> DataFrame:
+    """(host, out) of the distinct names that an alias of a place matches: struct (city, country, lat, lon, alias) of the first place
+    and alias in their tables' order. The tables are the library's own unless given."""
+    spark = names.sparkSession
+    cities = (dims.cities(spark) if cities is None else cities).select(F.col("ord").alias("__ord"), "city", "country", "latitude", "longitude")
+    met = host_matches(names, host, dims.city_aliases(spark) if aliases is None else aliases)
+    place = F.struct("city", "country", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("match.alias").alias("alias"))
+    return met.join(cities, F.col("match.city_ord") == F.col("__ord")).select(host, place.alias(out))
 
 
 def matched_hosts(rows: DataFrame, host: str, out: str) -> DataFrame:
-    """rows of distinct host names with struct `out`: the place and alias of the first city hint that the name matches."""
-    rows = rows.withColumn("__m", host_city(F.col(host)))
-    places = F.broadcast(dims.cities(rows.sparkSession))  # a fixed table of 21 rows
-    rows = rows.join(places.select(*(F.col(c).alias(f"__{c}") for c in places.columns)), F.col("__m.ord") == F.col("__ord"), "left")
-    place = F.struct(F.col("__city").alias("city"), F.col("__country").alias("country"), F.col("__latitude").alias("lat"), F.col("__longitude").alias("lon"), F.col("__m.alias").alias("alias"))
-    return rows.withColumn(out, F.when(F.col("__m").isNotNull(), place)).drop("__m", *(f"__{c}" for c in places.columns))
+    """rows with struct `out` of places_of_hosts for their host name, or null; each distinct name is matched once."""
+    found = places_of_hosts(rows, host, out).withColumnRenamed(host, "__host")
+    return rows.join(found, F.col(host) == F.col("__host"), "left").drop("__host")
 
 
 def from_host(host: str, match: str) -> Column:
@@ -130,9 +117,7 @@ def looked_up(hops: DataFrame, ip_geo: DataFrame, ptr: DataFrame | None = None)
         names = ptr.select(F.col("ip").alias("ptr_ip"), F.col("hostname").alias("ptr_hostname"))
         hops = hops.join(names, F.when(hops["hostname"].isNull(), hops["ip"]) == F.col("ptr_ip"), "left")
         hops = hops.withColumn("hostname", F.coalesce("hostname", "ptr_hostname")).drop("ptr_ip", "ptr_hostname")
-    hosts = matched_hosts(hops.select(F.col("hostname").alias("__host")).where(F.col("__host").isNotNull()).distinct(), "__host", "m_host")
-    hops = hops.join(hosts, F.col("hostname") == F.col("__host"), "left").drop("__host")
-    return hops.join(matched_hosts(ip_geo, "geo_hostname", "m_geo"), "ip", "left")
+    return matched_hosts(hops, "hostname", "m_host").join(matched_hosts(ip_geo, "geo_hostname", "m_geo"), "ip", "left")
 
 
 #: The four slots of a hop's candidates, in order, and which of them are weak or strong evidence.

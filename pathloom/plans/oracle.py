@@ -202,6 +202,18 @@ ORACLE_SQL: dict[str, str] = {
     "blocked_by_range": f"WITH {HOPS} SELECT ip, cidr FROM (SELECT DISTINCT ip, {number('ip')} AS num FROM hops WHERE ip IS NOT NULL) JOIN (VALUES "
     + ", ".join("({}, {}, {})".format(text(c), *dims.v4_range(c)) for c in dims.BLOCKED_V4)
     + ") AS r(cidr, low, high) ON num BETWEEN low AND high",
+    # Block by block from the low end: the largest that begins there and fits.
+    "ranges_as_prefixes": f"""WITH RECURSIVE {HOPS}, spans AS (SELECT measurement_id, min({number('ip')}) AS low, max({number('ip')}) AS high FROM hops WHERE ip IS NOT NULL GROUP BY 1),
+      powers AS (SELECT k, 1::BIGINT << k AS size FROM (SELECT CAST(unnest(range(0, 33)) AS INT) AS k)),
+      walk AS (SELECT measurement_id, low, high, low AS pos, 0::BIGINT AS n, 32 AS shortest FROM spans
+        UNION ALL
+        SELECT w.measurement_id, low, high, pos + max(size), any_value(n) + 1, least(any_value(shortest), 32 - max(k)) FROM walk w JOIN powers ON pos % size = 0 AND pos + size - 1 <= high WHERE pos <= high GROUP BY w.measurement_id, low, high, pos)
+      SELECT measurement_id, low, high, n AS n_prefixes, high - low + 1 AS n_addresses, CAST(shortest AS INT) AS shortest FROM walk WHERE pos = high + 1""",
+    "longest_ranges": f"""WITH {HOPS}, a AS (SELECT DISTINCT ip, {number('ip')} AS n FROM hops WHERE ip IS NOT NULL), r AS (
+        SELECT DISTINCT ip || '/31' AS cidr, 31 AS bits, n >> 1 AS pos FROM a WHERE n % 4 = 0
+        UNION ALL SELECT DISTINCT regexp_replace(ip, '[0-9]+$', '0/24'), 24, n >> 8 FROM a WHERE n % 4 = 1
+        UNION ALL SELECT DISTINCT regexp_replace(ip, '[0-9]+[.][0-9]+$', '0.0/16'), 16, n >> 16 FROM a WHERE n % 4 = 2)
+      SELECT a.ip, coalesce(x.cidr, y.cidr, z.cidr) AS cidr FROM a LEFT JOIN r x ON x.bits = 31 AND x.pos = n >> 1 LEFT JOIN r y ON y.bits = 24 AND y.pos = n >> 8 LEFT JOIN r z ON z.bits = 16 AND z.pos = n >> 16""",
     "target_validation": f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, url FROM pages),
       r AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN ' ' || upper(host) || ' ' WHEN 2 THEN '10.0.2.1' WHEN 3 THEN '8.8.' || page_id % 200 || '.8' WHEN 4 THEN host || '.local' ELSE host || '; ls' END AS raw FROM h),
       l AS (SELECT *, lower(trim(raw)) AS t FROM r),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo, net
 from pathloom.functions import text as t
-from pathloom.operators import decode, fusion, report, route, summary
+from pathloom.operators import areas, decode, fusion, prefixes, report, route, summary
 from pathloom.sources import adapters, dims, synthetic
 from pathloom.streaming import events as ev
 from pathloom.streaming import limits
@@ -67,10 +67,30 @@ def ip_classes(spark, sf_dir):
 
 @query
 def blocked_by_range(spark, sf_dir):
-    """Addresses within a blocked range, by a range join with the fifteen rows of the range table."""
-    rows = adapters.hops(spark, sf_dir).select("ip", net.ip_number(F.col("ip")).alias("number")).where("number is not null").distinct()
-    # Fifteen rows, whatever the data.
-    return rows.join(F.broadcast(dims.blocked_ranges(spark)), F.col("number").between(F.col("low"), F.col("high"))).select("ip", "cidr")
+    """Addresses within a blocked range, by a prefix join."""
+    rows = adapters.hops(spark, sf_dir).select("ip")
+    return prefixes.prefix_matches(rows, "ip", prefixes.cidr_prefixes(dims.ranges(spark, dims.BLOCKED_V4))).select("ip", "cidr")
+
+
+@query
+def ranges_as_prefixes(spark, sf_dir):
+    """The prefixes that make up the span of addresses between each supplier's and its parts', and how many addresses they hold."""
+    n = net.ip_number(F.col("ip"))
+    spans = adapters.hops(spark, sf_dir).where(net.is_v4(F.col("ip"))).groupBy(M).agg(F.min(n).alias("low"), F.max(n).alias("high"))
+    each = prefixes.span_prefixes(spans)
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.col("bits"))
+    return each.groupBy(M, "low", "high").agg(F.count("*").alias("n_prefixes"), F.sum(size).alias("n_addresses"), F.min("bits").alias("shortest"))
+
+
+@query
+def longest_ranges(spark, sf_dir):
+    """Of ranges of three lengths about every address, the longest that some other measurement's hop gives."""
+    h = adapters.hops(spark, sf_dir).select("ip").where(net.is_v4(F.col("ip"))).distinct()
+    part = lambda i: F.split_part("ip", F.lit("."), F.lit(i))
+    even = net.ip_number(F.col("ip")) % 4
+    cidr = F.when(even == 0, F.concat("ip", F.lit("/31"))).when(even == 1, F.concat_ws(".", part(1), part(2), part(3), F.lit("0/24"))).when(even == 2, F.concat_ws(".", part(1), part(2), F.lit("0.0/16")))
+    table = prefixes.cidr_prefixes(h.select(cidr.alias("cidr")).where("cidr is not null").distinct())
+    return prefixes.longest_prefix(h, "ip", table).select("ip", "cidr")
 
 
 @query
@@ -112,7 +132,9 @@ def ipv6_targets(spark, sf_dir):
     g = lambda m: F.lower(F.hex(k * m % 65536))
     forms = ["fe80::{}", "fd00:{}::1", "2001:db8::{}", "2606:4700::{}", "::ffff:10.0.0.1", "64:ff9b::{}", "100::{}", "1:2:3:4:5:6:7:{}", "1:2:3:4:5:6:{}", "ff02::{}", "::{}:1", "12345::{}"]
     raw = F.get(F.array(*(F.replace(F.lit(f), F.lit("{}"), g(7)) for f in forms)), (k % len(forms)).cast("int"))
-    return p.select("p_partkey", raw.alias("raw"), net.is_blocked_v6(raw).alias("blocked"))
+    rows = p.select("p_partkey", raw.alias("raw"))
+    found = prefixes.longest_prefix(rows, "raw", prefixes.cidr_prefixes(dims.ranges(spark, dims.BLOCKED_V6)))
+    return found.select("p_partkey", "raw", F.when(prefixes.address_key(F.col("raw")).isNotNull(), F.col("cidr").isNotNull()).alias("blocked"))
 
 
 @query
@@ -214,9 +236,11 @@ def place_names(spark, sf_dir):
 
 @query
 def metro_match(spark, sf_dir):
+    """Places half a degree north of the hops', in metropolitan areas by a grid index."""
     h = adapters.hops(spark, sf_dir).select("city", "country", "latitude", "longitude").where("latitude is not null").distinct()
-    at = geo.metro_index(F.col("city"), F.col("country"), F.col("latitude") + 0.5, F.col("longitude"))
-    return h.select("city", F.get(F.array(*(F.lit(m[0]) for m in dims.METROS)), at).alias("metro"))
+    place = h.select("city", geo.city_name(F.col("city")).alias("name"), geo.country_code(F.col("country")).alias("cc"), (F.col("latitude") + 0.5).alias("latitude"), "longitude")
+    met = areas.area_matches(place, dims.areas(spark), dims.area_cities(spark)).drop("ord")
+    return place.join(met, ["name", "cc", "latitude", "longitude"], "left").select("city", F.col("area").alias("metro"))
 
 
 @query

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.net import NOT_LOOKED_UP, ip_number
 from pathloom.operators.decode import hop_status
+from pathloom.operators.prefixes import cidr_prefixes, outside
 from pathloom.sources import dims
 
 #: The full key of a line: the only order of an order's lines that has no ties.
@@ -63,14 +65,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ip_geo(hops_: DataFrame) -> DataFrame:
     """A lookup record for each distinct public address of the hops."""
-    from pathloom.functions.net import is_public, octets
-
-    ips = hops_.select("ip").where(is_public(F.col("ip"))).distinct()
-    at = F.aggregate(octets(F.col("ip")), F.lit(0), lambda a, x: a + x) % 21
+    ips = outside(hops_, "ip", cidr_prefixes(dims.ranges(hops_.sparkSession, NOT_LOOKED_UP)))
+    n = ip_number(F.col("ip"))
+    at = (F.shiftright(n, 24) + F.shiftright(n, 16) % 256 + F.shiftright(n, 8) % 256 + n % 256) % 21
     return ips.select(
         "ip", _pick(at, [c[0] for c in dims.CITIES]).alias("geo_city"), _pick(at, [c[1] for c in dims.CITIES]).alias("geo_country"),
         (_pick(at, [c[2] for c in dims.CITIES]) + 0.25).alias("geo_latitude"), (_pick(at, [c[3] for c in dims.CITIES]) - 0.25).alias("geo_longitude"),
-        F.concat(F.lit("geo-"), _pick((at + 1) % 21, [c[4][0] for c in dims.CITIES]), F.lit(".example.org")).alias("geo_hostname"),
+        # Never null, so that a test for that isn't worked out for each hop.
+        F.concat(F.lit("geo-"), F.coalesce(_pick((at + 1) % 21, [c[4][0] for c in dims.CITIES]), F.lit("")), F.lit(".example.org")).alias("geo_hostname"),
         F.when(at % 3 != 0, F.concat(F.lit("AS"), (2000 + at).cast("string"))).alias("geo_asn"), F.when(at % 3 != 1, F.concat(F.lit("Geo network "), at.cast("string"))).alias("geo_as_name"),
     )
 

@@ -100,19 +100,36 @@ def v6_range(cidr: str) -> tuple[list[int], int]:
     return [int.from_bytes(ip_address(base).packed[i : i + 2]) for i in range(0, 16, 2)], int(bits)
 
 
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """An inline table, which the optimizer sees into and which needs no Python at run time."""
+    one = lambda v: "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else f"{v}L" if isinstance(v, int) and abs(v) >= 1 << 31 else str(v)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)} AS t({columns})")
+
+
 def cities(spark: SparkSession) -> DataFrame:
     """(ord, city, country, latitude, longitude), ord from 0 in match order."""
-    return spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(CITIES)], "ord int, city string, country string, latitude double, longitude double")
+    return _values(spark, [(i, *c[:4]) for i, c in enumerate(CITIES)], "ord, city, country, latitude, longitude")
 
 
 def city_aliases(spark: SparkSession) -> DataFrame:
-    rows = [(i, j, a) for i, c in enumerate(CITIES) for j, a in enumerate(c[4])]
-    return spark.createDataFrame(rows, "city_ord int, alias_ord int, alias string")
+    """(city_ord, alias_ord, alias), both numbers from 0 in match order."""
+    return _values(spark, [(i, j, a) for i, c in enumerate(CITIES) for j, a in enumerate(c[4])], "city_ord, alias_ord, alias")
 
 
 def networks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NETWORKS, "asn string, name string, country string")
+    return _values(spark, NETWORKS, "asn, name, country")
+
+
+def ranges(spark: SparkSession, cidrs: list[str]) -> DataFrame:
+    """(cidr) of a list of ranges."""
+    return _values(spark, [(c,) for c in cidrs], "cidr")
+
+
+def areas(spark: SparkSession) -> DataFrame:
+    """(ord, area, cc, latitude, longitude, radius_km) of the metropolitan areas, ord from 0 in match order."""
+    return _values(spark, [(i, m[0], m[2].lower(), m[3], m[4], m[5]) for i, m in enumerate(METROS)], "ord, area, cc, latitude, longitude, radius_km")
 
 
-def blocked_ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, *v4_range(c)) for c in BLOCKED_V4], "cidr string, low long, high long")
+def area_cities(spark: SparkSession) -> DataFrame:
+    """(area, name) of the cities that count as part of an area."""
+    return _values(spark, [(a, c) for a, names in METRO_CITIES.items() for c in names], "area, name")

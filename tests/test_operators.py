@@ -101,7 +101,8 @@ def test_fusion(spark):
 
 def test_host_cities(spark):
     df = spark.createDataFrame([("ae1.iad2.net",), ("xe-0.losangeles-core.net",), ("mysel.net",), ("hongkonggate.x",), ("KSYD7.x",), (None,)], "h string")
-    assert [r[0] for r in fusion.matched_hosts(df, "h", "m").select("m.city").collect()] == ["Ashburn", "Los Angeles", None, "Hong Kong", "Sydney", None]
+    found = {r.h: r.city for r in fusion.matched_hosts(df, "h", "m").select("h", "m.city").collect()}
+    assert [found[r.h] for r in df.collect()] == ["Ashburn", "Los Angeles", None, "Hong Kong", "Sydney", None]
 
 
 def test_confidence(spark):
