@@ -35,6 +35,8 @@ from pathloom.llm.common import parts_for_bytes, shared_folder, table, text_batc
 END = 0
 #: Words whose ids a task remembers, about 250 MB; beyond it forgets them all.
 REMEMBER = 1_200_000
+#: Letters of a word above which it isn't remembered.
+LONG = 40
 # Fixed value: the pre-token pattern of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A block takes further documents until it holds so many ids.
@@ -245,8 +247,17 @@ def _encoder(path: str) -> tuple[Callable[[str], bytes], int]:
     if not plain:
         return (lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()), t.get_vocab_size(with_added_tokens=True)
     merge, letters, pieces = t.model.tokenize, _byte_letters(), regex.compile(PIECES)
-    known: dict[str, bytes] = {}
 
+    class Known(dict):
+        """The ids of words with the space before them; a word that is asked for and not there is merged."""
+
+        def __missing__(self, s: str) -> bytes:
+            out = word(s)
+            if len(s) <= LONG:
+                self[s] = out
+            return out
+
+    known = Known()
     space, number = letters[0x20], attrgetter("id")
 
     def merged(letters_: str) -> bytes:
@@ -255,30 +266,40 @@ def _encoder(path: str) -> tuple[Callable[[str], bytes], int]:
     def piece(s: str) -> bytes:
         return merged((s if s.isascii() else s.encode().decode("latin-1")).translate(letters))
 
-    marks = functools.lru_cache(4_096)(piece)
+    #: The ids of pieces that no space precedes, and of words as they come after a space.
+    parts: dict[str, bytes] = {}
+
+    def part(s: str) -> bytes:
+        out = parts.get(s)
+        if out is None:
+            out = piece(s)
+            if len(s) <= LONG:
+                parts[s] = out
+        return out
+
+    def letters_only(s: str) -> bytes:
+        """The ids of a word of letters with the space before it."""
+        return merged(space + s) if s.isascii() else piece(" " + s)
 
     def word(s: str) -> bytes:
         """The ids of a word with the space before it."""
         if s.isalpha():
-            return merged(space + s) if s.isascii() else piece(" " + s)
+            return letters_only(s)
+        head = s[:-1]
+        if head.isalpha():
+            return known[head] + part(s[-1])
         first, *rest = pieces.findall(" " + s)
-        return b"".join((known.get(first[1:]) or piece(first), *(marks(p) if len(p) < 4 else piece(p) for p in rest)))
+        return b"".join((known[first[1:]] if first[1:].isalpha() else part(first), *map(part, rest)))
 
     def encode(text: str) -> bytes:
         # A special token's string in a text may lie across words.
         if any(s in text for s in special):
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(known) > REMEMBER:
+        if len(known) + len(parts) > REMEMBER:
             known.clear()
+            parts.clear()
         first, *rest = space_cuts(text)
-        new = set(rest).difference(known)
-        for s in new:
-            known[s] = word(s)
-        out = b"".join((*map(piece, pieces.findall(first)), *map(known.__getitem__, rest)))
-        for s in new:
-            if len(s) > 40:
-                del known[s]
-        return out
+        return b"".join((*map(piece, pieces.findall(first)), *map(known.__getitem__, rest)))
 
     return encode, t.get_vocab_size(with_added_tokens=True)
 
