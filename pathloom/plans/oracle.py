@@ -288,7 +288,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT session_id, hop_number, {', '.join(LATEST.format(c, f"{c} IS NOT NULL" + ("" if c in ('rtt_ms', 'jitter_ms', 'packet_loss_percent', 'status') else " AND type = 'hop_result'")) for c in EVENT_FIELDS)} FROM r WHERE seq >= first GROUP BY 1, 2""",
     "session_status": f"""WITH {EVENTS}, s AS (SELECT session_id, max_by(type, seq) FILTER (type IN ('measurement_started', 'measurement_finished', 'error')) AS t, min(ts_ms) AS created_ms, max(ts_ms) FILTER (type IN ('measurement_finished', 'error')) AS ended, count(*) AS n_events FROM ev GROUP BY 1)
       SELECT session_id, CASE t WHEN 'measurement_started' THEN 'running' WHEN 'measurement_finished' THEN 'finished' WHEN 'error' THEN 'error' ELSE 'starting' END AS status, created_ms, least(created_ms + 900000, ended + 120000) AS expires_ms, n_events FROM s""",
-    "session_cap": f"WITH {EVENTS} SELECT session_id, min(ts_ms) AS created_ms FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 500",
+    "session_cap": f"WITH {EVENTS} SELECT session_id, min(ts_ms) AS created_ms FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 10",
     "latest_result": f"WITH {EVENTS} SELECT session_id, max(seq) AS seq, max_by(type, seq) AS type, max_by(ts_ms, seq) AS ts_ms FROM ev WHERE type IN ('measurement_started', 'measurement_finished') GROUP BY 1",
     "new_hops": f"""WITH {EVENTS}, s AS (SELECT session_id, seq AS poll, hop_number AS n, coalesce(max(hop_number) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM ev)
       SELECT session_id, poll, CAST(i AS INT) AS hop_seq FROM s, range(1, 9) AS r(i) WHERE i > seen AND i <= n""",
@@ -308,6 +308,40 @@ ORACLE_SQL: dict[str, str] = {
       CASE WHEN n = 5 THEN CASE WHEN target = '1.1.1.1' THEN target ELSE '192.0.2.80' END ELSE ['10.18.0.1', '172.18.42.1', '203.0.113.14', '198.51.100.35'][n] END AS ip,
       CAST(base + plus AS DOUBLE) AS rtt_ms, CAST(jit AS DOUBLE) AS jitter_ms, CAST(CASE WHEN mtr THEN [0, 0, 1, 2, 0][n] ELSE 0 END AS DOUBLE) AS packet_loss_percent, CASE WHEN n = 4 THEN 'slow' ELSE 'ok' END AS status FROM demo""",
     "demo_metric_updates": f"WITH {DEMO} SELECT measurement_id, CAST(r AS INT) AS round, hop_number, CAST(base + plus + (r + n) % 3 * 3 AS DOUBLE) AS rtt_ms, CAST(jit + (r + n) % 3 AS DOUBLE) AS jitter_ms FROM demo, range(4) AS x(r) WHERE mtr",
+    "measurement_requests": """WITH o AS (SELECT *, o_orderkey AS k, o_custkey AS c, o_orderkey % 2 = 0 AS mtr,
+        ['Asia/Seoul', 'Asia/Tokyo', 'Asia/Singapore', 'America/Los_Angeles', 'America/New_York', 'Europe/Berlin', NULL][o_custkey % 7 + 1] AS zone FROM orders),
+      r AS (SELECT *, CASE WHEN c % 5 = 0 THEN 'South Korea' ELSE coalesce(['South Korea', 'Japan', 'Singapore', 'California', 'New York', NULL, NULL][c % 7 + 1], 'World') END AS region FROM o)
+      SELECT o_orderkey, region, CASE WHEN mtr THEN 'mtr' ELSE 'traceroute' END AS type, CASE WHEN mtr THEN 'ICMP+TCP' ELSE 'ICMP' END AS protocols,
+        '{"type":"' || CASE WHEN mtr THEN 'mtr' ELSE 'traceroute' END || '","target":"h' || c || '.net","locations":[{"magic":"' || region || '"}],"limit":1,"measurementOptions":{"protocol":"' || CASE WHEN mtr THEN 'TCP","packets":16' ELSE 'ICMP"' END || '}}' AS body,
+        CASE WHEN mtr AND k % 4 IN (0, 1) THEN CAST(1 AS INT) END AS next_protocol, k % 3 = 0 OR k % 5 > 2 AS over,
+        CASE WHEN c % 3 = 1 THEN '10.0.' || c % 250 || '.1' WHEN c % 2 = 1 THEN 'p' || c ELSE 'unknown' END AS client, CASE WHEN zone IS NOT NULL THEN CAST(least(80, 9 * len(zone)) AS INT) END AS zone_kept,
+        CASE WHEN k % 3 = 0 THEN 'idle' WHEN k % 2 = 1 OR c % 4 < 2 OR k % 5 = 0 THEN 'launch' ELSE 'settled' END AS journey FROM r""",
+    "lookup_records": """WITH s AS (SELECT *, s_suppkey AS k, '9.' || (s_suppkey // 250) % 250 || '.' || s_suppkey % 250 || '.1' AS ip FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+      SELECT ip, 'C' || k AS geo_city, n_name AS geo_country, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN k % 90 + 0.5::DOUBLE END AS geo_latitude, CASE WHEN k % 7 = 0 THEN 1.0::DOUBLE WHEN k % 11 <> 0 THEN -(k % 180)::DOUBLE END AS geo_longitude,
+        'r' || k || '.net' AS geo_hostname, CASE WHEN k % 13 <> 0 THEN 'AS' || k END AS geo_asn, CASE WHEN k % 13 = 0 THEN 'none' ELSE s_name END AS geo_as_name FROM s WHERE k % 2 = 1
+      UNION ALL SELECT ip, 'C' || k, CASE WHEN k % 3 <> 0 THEN 'DE' ELSE n_name END, CASE WHEN k % 7 <> 0 THEN k % 90 + 0.25::DOUBLE END, -(k % 180)::DOUBLE, 'r' || k || '.net', 'AS' || k, CASE WHEN k % 4 <> 0 THEN 'N' || k ELSE 'One' END FROM s WHERE k % 2 = 0 AND k % 5 <> 0""",
+    "named_hops": f"""WITH {HOPS}, a AS (SELECT *, ip IS NOT NULL AND NOT {within(number('ip'), ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/16", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3"])} AS known,
+        CAST({' + '.join(octet('ip', i) for i in (1, 2, 3, 4))} AS BIGINT) % 21 AS place FROM hops), n AS (SELECT * REPLACE (coalesce(hostname, CASE WHEN known THEN 'ptr-' || replace(ip, '.', '-') || '.icn.example' END) AS hostname) FROM a),
+      hosts AS (SELECT DISTINCT hostname FROM n WHERE hostname IS NOT NULL), {host_match('hosts')}
+      SELECT measurement_id, hop_seq, n.hostname, CASE WHEN city_ord IS NOT NULL THEN {city(0, 'city_ord')} END AS host_city, CASE WHEN known THEN {city(0, 'place')} END AS geo_city FROM n LEFT JOIN matched USING (hostname)""",
+    "mtr_line_decode": f"""WITH {HOPS}, l AS (SELECT *, CAST(rtt_ms AS INT) + 0.6::DOUBLE AS r, hop_seq % 4 AS lost FROM hops WHERE packet_loss_percent IS NOT NULL AND rtt_ms IS NOT NULL)
+      SELECT measurement_id, hop_seq, hop_number, asn, hostname, ip, round(r) AS rtt_ms, CAST(lost + 16 - lost * 4 AS BIGINT) AS sent, round(CAST(jitter_ms AS INT) + 0.7::DOUBLE) AS jitter_ms, packet_loss_percent,
+        CASE WHEN packet_loss_percent >= 50 THEN 'loss' WHEN round(r) > 120 THEN 'slow' ELSE 'ok' END AS status FROM l""",
+    "payload_parts": """WITH o AS (SELECT o_orderkey, o_orderkey AS k, o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS good FROM orders)
+      SELECT o_orderkey, CASE WHEN good THEN 'p' || k END AS probe_id, CASE WHEN good AND k % 3 <> 0 THEN 'Seoul' END AS city, CASE WHEN good THEN 'KR' END AS country, CASE WHEN good THEN 'AS' || k END AS asn,
+        CASE WHEN good AND k % 5 <> 0 THEN 37.5::DOUBLE END AS latitude, CASE WHEN good THEN -1.0::DOUBLE END AS longitude,
+        CASE WHEN good AND k % 4 = 0 THEN 'e' || k WHEN good AND k % 4 = 1 THEN 'The measurement provider returned a failed result.' END AS failure FROM o""",
+    "hop_table": f"""WITH {HOPS}, {SOURCES} SELECT h.measurement_id, hop_seq, coalesce(hostname, ip, '*') AS name, concat_ws(' · ', asn, city, country) AS detail, CASE WHEN coalesce(rtt_ms, 0) = 0 THEN '-' ELSE CAST(round(rtt_ms) AS BIGINT) || ' ms' END AS rtt,
+        coalesce({LOSS.format('packet_loss_percent')}, '-') AS loss, 'Demo provider · ' || CASE WHEN src_city <> 'Seoul' THEN src_city || ', ' ELSE '' END || src_country AS badge
+      FROM hops h JOIN sources s ON h.measurement_id = s.measurement_id WHERE CAST(h.measurement_id AS BIGINT) % 3 <> 0""",
+    "event_frames": f"WITH {EVENTS} SELECT session_id, seq, ts_ms, type, hop_number, asn, hostname, rtt_ms, jitter_ms, packet_loss_percent, status, CASE WHEN type IN ('measurement_started', 'measurement_finished') THEN CAST(least(3, k % 4) AS INT) END AS n_listed FROM ev WHERE type IS NOT NULL",
+    "last_attempts": f"WITH {EVENTS}, a AS (SELECT session_id, seq, type, CAST(hop_number // 4 AS INT) AS attempt FROM ev) SELECT * FROM a QUALIFY attempt = max(attempt) OVER (PARTITION BY session_id)",
+    "page_markup": """SELECT page_id, '&lt;a href=&#39;' || replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') || '?a=1&amp;b=2&#39;&gt;' || page_id || '&quot;' AS markup,
+      round(greatest(1.2::DOUBLE, log2(greatest(length(html), 320) / 256.0::DOUBLE) - 0.025::DOUBLE), 6) AS zoom FROM pages""",
+    "district_places": """WITH c AS (SELECT c_custkey, ['Wan Chai', 'central', 'Kowloon.', 'Tsuen_Wan', 'New Territories', 'Seoul', NULL][c_custkey % 7 + 1] AS city, ['HK', 'Hong Kong', 'KR'][c_custkey % 3 + 1] AS country FROM customer),
+      d AS (SELECT *, c_custkey % 7 < 5 AND c_custkey % 3 < 2 AS hit FROM c WHERE city IS NOT NULL)
+      SELECT c_custkey, CASE WHEN hit THEN 'Hong Kong' ELSE city END AS city, CASE WHEN hit THEN 'HK' ELSE country END AS country, CASE WHEN hit THEN 22.3193::DOUBLE ELSE 1.0::DOUBLE END AS lat, 'city' AS precision,
+        'provider supplied hop coordinates' || CASE WHEN hit THEN '; ' || city || ' normalized to Hong Kong metro for route readability' ELSE '' END AS evidence FROM d""",
 }
 _few = "CASE WHEN coalesce(len({0}), 0) = 0 THEN {2} WHEN len({0}) <= 2 THEN array_to_string({0}, ' / ') ELSE {0}[1] || ' +' || (len({0}) - 1) || '{1}' END"
 _near = "sqrt(pow({0}.lat - {1}.lat, 2) + pow({0}.lon - {1}.lon, 2)) < 0.7"

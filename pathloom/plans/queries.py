@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo, net
 from pathloom.functions import text as t
-from pathloom.operators import areas, decode, fusion, prefixes, report, route, summary
-from pathloom.sources import adapters, dims, synthetic
+from pathloom.operators import areas, decode, fusion, prefixes, report, requests, route, summary
+from pathloom.sources import adapters, dims, lookup, replay, synthetic
 from pathloom.streaming import events as ev
 from pathloom.streaming import limits
 
@@ -360,8 +360,8 @@ def session_status(spark, sf_dir):
 
 @query
 def session_cap(spark, sf_dir):
-    """The sessions that the cap keeps: the 500 created last."""
-    return ev.capped(ev.statuses(adapters.events(spark, sf_dir))).select("session_id", "created_ms")
+    """The sessions that a cap of ten keeps: those created last."""
+    return ev.capped(ev.statuses(adapters.events(spark, sf_dir)), 10).select("session_id", "created_ms")
 
 
 @query
@@ -404,3 +404,134 @@ def demo_hops(spark, sf_dir):
 @query
 def demo_metric_updates(spark, sf_dir):
     return synthetic.metric_updates(_demo(spark, sf_dir))
+
+
+@query
+def measurement_requests(spark, sf_dir):
+    """Where and how each order's measurement is asked for, who asks, and what follows its first answer."""
+    o, c, k = adapters.table(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("o_orderkey")
+    pick = lambda i, xs: F.get(F.array(*(F.lit(x).cast("string") for x in xs)), (i % len(xs)).cast("int"))
+    mode = F.when(k % 2 == 0, "mtr").otherwise("traceout")
+    zone = pick(c, ("Asia/Seoul", "Asia/Tokyo", "Asia/Singapore", "America/Los_Angeles", "America/New_York", "Europe/Berlin", None))
+    locale, failure = pick(c, ("ko-KR", "en", "en-GB", "de", None)), pick(k, ("Private IP ranges are not supported", "Target not allowed", "timed out", None))
+    o = o.withColumns({
+        "mode": mode, "zone": zone, "locale": locale, "failure": failure, "poll": pick(k, ("finished", "in-progress", None)), "n": (k % 5 - 2).cast("int"),
+        "forwarded": F.when(c % 3 == 0, "").when(c % 3 == 1, F.concat_ws(".", F.lit("10.0"), c % 250, F.lit("1"))), "peer": F.when(c % 2 == 1, F.concat(F.lit("p"), c.cast("string"))),
+        "session": pick(c, ("starting", "running", "finished", "error")),
+    })
+    m, region = F.col("mode"), requests.probe_region(F.col("zone"), F.col("locale"))
+    return o.select(
+        "o_orderkey", region.alias("region"), requests.measurement_type(m).alias("type"), F.array_join(requests.protocols(m), "+").alias("protocols"),
+        requests.request_body(F.concat(F.lit("h"), c.cast("string"), F.lit(".net")), m, F.lit("TCP"), region).alias("body"),
+        requests.retries_with(m, F.lit(0), F.col("failure")).alias("next_protocol"), requests.is_over(F.col("poll"), F.col("n")).alias("over"),
+        requests.client_key(F.col("forwarded"), F.col("peer")).alias("client"), F.length(requests.visitor(F.repeat("zone", 9), F.repeat("locale", 9))["time_zone"]).alias("zone_kept"),
+        requests.journey(k % 3 > 0, requests.is_busy(F.col("session")), k % 5 == 0, k % 2 == 0).alias("journey"),
+    )
+
+
+def _lookup_records(spark, sf_dir):
+    """Records of two vendors, half of the suppliers each, as one table."""
+    s = adapters.table(spark, sf_dir, "supplier").join(adapters.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    s = s.withColumn("ip", F.concat_ws(".", F.lit("9"), F.floor(k / 250) % 250, k % 250, F.lit("1")))
+    one = s.where(k % 2 == 1).select(
+        "ip", F.when(k % 7 == 0, "a,1").when(k % 11 != 0, F.concat((k % 90).cast("string"), F.lit(".5,-"), (k % 180).cast("string"))).alias("loc"),
+        F.when(k % 13 == 0, "none").otherwise(F.concat(F.lit("AS"), n, F.lit(" "), F.col("s_name"))).alias("org"), F.concat(F.lit("C"), n).alias("city"), F.col("n_name").alias("country"), F.concat(F.lit("r"), n, F.lit(".net")).alias("hostname"),
+    )
+    two = s.where(k % 2 == 0).select(
+        "ip", F.when(k % 5 == 0, "fail").otherwise("success").alias("status"), F.col("n_name").alias("country"), F.when(k % 3 != 0, "DE").alias("countryCode"), F.concat(F.lit("C"), n).alias("city"),
+        F.when(k % 7 == 0, float("nan")).otherwise(k % 90 + 0.25).alias("lat"), (-(k % 180)).cast("double").alias("lon"), F.concat(F.lit("AS"), n, F.lit(" One")).alias("as"), F.when(k % 4 != 0, F.concat(F.lit("N"), n)).alias("asname"),
+        F.concat(F.lit("r"), n, F.lit(".net")).alias("reverse"),
+    )
+    return lookup.joined_coordinates(one).unionByName(lookup.with_status(two))
+
+
+@query
+def lookup_records(spark, sf_dir):
+    """Records of two vendors' shapes as rows of one table."""
+    return _lookup_records(spark, sf_dir)
+
+
+@query
+def named_hops(spark, sf_dir):
+    """Hops with the names that a table of reverse lookups gives those without one, and with the places of lookup records."""
+    h = adapters.hops(spark, sf_dir)
+    geo_ = adapters.ip_geo(h)
+    ptr = geo_.select("ip", F.concat(F.lit("ptr-"), F.replace("ip", F.lit("."), F.lit("-")), F.lit(".icn.example")).alias("hostname"))
+    out = fusion.looked_up(h, geo_, ptr)
+    return out.select(M, "hop_seq", "hostname", F.col("m_host.city").alias("host_city"), "geo_city")
+
+
+@query
+def mtr_line_decode(spark, sf_dir):
+    """Raw lines of MTR reports, decoded."""
+    h = adapters.hops(spark, sf_dir)
+    number = lambda c: F.col(c).cast("int").cast("string")
+    lost = (F.col("hop_seq") % 4).cast("int")
+    told = F.concat_ws(" ", F.concat(number("packet_loss_percent"), F.lit("%")), lost, 16 - lost * 4, F.concat(number("rtt_ms"), F.lit(".6")), F.concat(number("rtt_ms"), F.lit(".2")), F.concat(number("jitter_ms"), F.lit(".7")))
+    line = F.concat_ws(" ", F.col("hop_number").cast("string"), "asn", F.coalesce("hostname", F.lit("???")), "ip", told)
+    rows = h.where("packet_loss_percent is not null and rtt_ms is not null").select(M, "hop_seq", F.concat(F.lit("\n  "), line, F.lit(" \n\n")).alias("raw"))
+    out = decode.raw_hops(decode.raw_lines(rows))
+    return out.select(M, "hop_seq", "hop_number", "asn", "hostname", "ip", "rtt_ms", "sent", "jitter_ms", "packet_loss_percent", "status")
+
+
+@query
+def payload_parts(spark, sf_dir):
+    """The first results of payloads: where they were measured, and why those that failed did."""
+    o, k = adapters.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    n = k.cast("string")
+    asn, latitude = F.when(k % 2 == 0, n).otherwise(F.concat(F.lit('"as '), n, F.lit('"'))), F.when(k % 5 == 0, '"1"').otherwise("37.5")
+    probe = F.concat(F.lit('{"id":"p'), n, F.lit('","city":'), F.when(k % 3 == 0, "7").otherwise('"Seoul"'), F.lit(',"country":"KR","asn":'), asn, F.lit(',"latitude":'), latitude, F.lit(',"longitude":-1}'))
+    result = F.concat(F.lit('"result":{"status":"'), F.when(k % 4 < 2, "failed").otherwise("finished"), F.lit('"'), F.when(k % 4 == 0, F.concat(F.lit(',"error":"e'), n, F.lit('"'))).otherwise(""), F.lit("}"))
+    payload = F.when(k % 7 == 0, '{"results":[]}').when(k % 11 == 0, "no json").otherwise(F.concat(F.lit('{"results":[{"probe":'), probe, F.lit(","), result, F.lit('},{"probe":{"id":"second"}}]}')))
+    rows = decode.failure_message(decode.json_sources(requests.first_results(o.select("o_orderkey", payload.alias("payload")))))
+    s = F.col("source")
+    return rows.select("o_orderkey", s["probe_id"].alias("probe_id"), s["city"].alias("city"), s["country"].alias("country"), s["asn"].alias("asn"), s["latitude"].alias("latitude"), s["longitude"].alias("longitude"), "failure")
+
+
+@query
+def hop_table(spark, sf_dir):
+    """The rows of the short table, of measurements that are reported, and the badge of their source."""
+    h = adapters.hops(spark, sf_dir)
+    odd = F.col(M).cast("long") % 3 == 0
+    done = report.finished(h.groupBy(M).agg(F.count("*").alias("n_hops")).withColumn("status", F.when(odd, "running").otherwise("finished")))
+    badge = report.source_badge(F.lit("Demo provider"), F.when(F.col("src_city") != "Seoul", F.col("src_city")), F.col("src_country"))
+    sources = adapters.sources(spark, sf_dir).select(M, badge.alias("badge"))
+    return report.hop_detail(h).join(done.select(M), M).join(sources, M)
+
+
+@query
+def event_frames(spark, sf_dir):
+    """Events written as server-sent frames and read back from them."""
+    frames = ev.sse_frames(adapters.events(spark, sf_dir)).select("session_id", "seq", "frame")
+    data = replay.frame_data(frames, "frame").select("session_id", "seq", F.from_json("value", replay.EVENT).alias("e")).where(F.col("e.type").isin(*replay.TYPES))
+    return data.select("session_id", "seq", "e.ts_ms", "e.type", "e.hop_number", "e.asn", "e.hostname", "e.rtt_ms", "e.jitter_ms", "e.packet_loss_percent", "e.status", F.when(F.col("e.hops").isNotNull(), F.size("e.hops")).alias("n_listed"))
+
+
+@query
+def last_attempts(spark, sf_dir):
+    """Events of each session's last attempt."""
+    e = adapters.events(spark, sf_dir).withColumn("attempt", F.floor(F.col("hop_number") / 4).cast("int"))
+    return ev.last_attempt(e).select("session_id", "seq", "type", "attempt")
+
+
+@query
+def page_markup(spark, sf_dir):
+    """Addresses as they stand in markup, and the least zoom of windows of as many pixels as a page has characters."""
+    p = adapters.table(spark, sf_dir, "pages")
+    tag = F.concat(F.lit("<a href='"), F.col("url"), F.lit("?a=1&b=2'>"), F.col("page_id").cast("string"), F.lit('"'))
+    return p.select("page_id", t.html_escaped(tag).alias("markup"), F.round(geo.minimum_zoom(F.length("html").cast("double")), 6).alias("zoom"))
+
+
+@query
+def district_places(spark, sf_dir):
+    """Customers' places as candidates, districts moved to their city."""
+    c = adapters.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    names = ("Wan Chai", "central", "Kowloon.", "Tsuen_Wan", "New Territories", "Seoul", None)
+    city = F.get(F.array(*(F.lit(n).cast("string") for n in names)), (k % 7).cast("int"))
+    country = F.get(F.array(F.lit("HK"), F.lit("Hong Kong"), F.lit("KR")), (k % 3).cast("int"))
+    known = F.lit(None).cast("struct<city: string, country: string, lat: double, lon: double>")
+    rows = c.select("c_custkey", city.alias("city"), country.alias("country"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), known.alias("known"))
+    rows = rows.withColumn("c", fusion.from_provider()).where("c is not null").withColumn("c", fusion.with_district(F.col("c")))
+    return rows.select("c_custkey", "c.city", "c.country", "c.lat", "c.precision", F.array_join("c.evidence", "; ").alias("evidence"))

@@ -135,8 +135,10 @@ def new_hops(polls: DataFrame) -> DataFrame:
 
 
 def last_attempt(events: DataFrame) -> DataFrame:
-    """Events of each session's last attempt; an earlier attempt's count no more."""
-    return events.withColumn("most", F.max("attempt").over(Window.partitionBy(S))).where(F.col("attempt") == F.col("most")).drop("most")
+    """Events of each session's last attempt; an earlier attempt's count no more. Each session's number is an aggregate that is joined
+    back, so no session is one task's."""
+    last = events.groupBy(S).agg(F.max("attempt").alias("__last"))
+    return events.join(last, S).where(F.col("attempt") == F.col("__last")).drop("__last")
 
 
 SESSION_STATE = "status string, status_seq long, created_ms long, ended_ms long, n_events long"
