@@ -227,3 +227,16 @@ def attempts(polls: DataFrame, delay: str = "10 seconds") -> DataFrame:
     rows = polls.select(S, F.col("seq").cast("long").alias("seq"), "ts_ms", "mode", "status", "n_hops", "failure", F.timestamp_millis("ts_ms").alias("at")).withWatermark("at", delay)
     out = StructType.fromDDL(f"{S} long, attempt int, protocol string, type string, hop_seq int, poll long, ts_ms long, packets int")
     return rows.groupBy(S).transformWithStateInPandas(_Attempts(), out, "Append", "eventTime")
+
+
+def without_result(sessions: DataFrame, events: DataFrame, within_ms: int = DEADLINE_MS, delay: str = "10 seconds") -> DataFrame:
+    """(session_id, created_ms): sessions of a stream (session_id, created_ms) that have no finished event on a stream of live events
+    (session_id, ts_ms, type) within so many milliseconds of their creation, and so fall back to the synthetic source.
+
+    An outer join of two streams with a time bound: a session's row waits for its deadline to pass the watermark, an event for
+    sessions that are created up to then, and both go then. An event of type error is no result.
+    """
+    left = sessions.select(S, "created_ms", F.timestamp_millis("created_ms").alias("created_at")).withWatermark("created_at", delay)
+    right = events.where(F.col("type") == "measurement_finished").select(F.col(S).alias("of"), F.timestamp_millis("ts_ms").alias("ended_at")).withWatermark("ended_at", delay)
+    bound = (F.col("ended_at") >= F.col("created_at")) & (F.col("ended_at") <= F.col("created_at") + F.expr(f"interval {within_ms / 1000:.3f} seconds"))
+    return left.join(right, (F.col(S) == F.col("of")) & bound, "left").where("of is null").select(S, "created_ms")
