@@ -12,8 +12,8 @@ no base span is added by its generator's kind. Base spans always stay.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +32,15 @@ DIGITS = r"(?<![A-Za-z0-9+(])\+?\(?[0-9](?:[\x20().,:/-]{0,2}+[0-9]){6,}+"
 KEYLIKE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{14,}+"
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?[(\[.](?:dot|DOT)?[)\]]?\x20?[A-Za-z0-9-]++)++"
 KNOWN_KEY = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})$"
-#: Context words before a candidate, by class.
-CONTEXT = {1: r"(?:token|password|passwd|pwd|secret|key|auth)", 2: r"(?:phone|tel|fax|mobile|call|whatsapp)", 3: r"(?:card|visa|iban|account|ssn|passport)", 4: r"(?:ip|host|server|addr)", 5: r"(?:version|isbn|issn|section|chapter|page|doi|year)"}
+#: Context words before a candidate, by class, in English, French, German and Spanish; up to two short words may follow.
+CONTEXT = {
+    1: r"(?:token|pass ?wor[dt]|passwd|pwd|secr[eè]t|key|auth|mot de passe|jeton|cl[eé]|kennwort|schl[uü]ssel|geheim|contrase[nñ]a|clave)",
+    2: r"(?:phone|t[eé]l|fax|mobile|call|whatsapp|portable|appele|handy|anruf|ruf|m[oó]vil|llam)",
+    3: r"(?:card|visa|iban|account|ssn|passport|compte|carte|konto|(?:kredit)?karte|ausweis|cuenta|tarjeta)",
+    4: r"(?:ip|host|server|addr|serveur|servidor)",
+    5: r"(?:versi[oó]n|isbn|issn|section|chapter|page|doi|year|total|sum|commit|file|fichier|chapitre|ann[eé]e|seite|kapitel|abschnitt|jahr|datei|p[aá]gina|cap[ií]tulo|secci[oó]n|a[nñ]o|archivo|suma)",
+}
+AFTER = r"\p{L}{0,4}[^\p{L}]*(?:\p{L}{1,5}[^\p{L}]+){0,2}$"
 SAMPLE_ROWS = 20_000
 PRECISION = 0.95
 ROUNDS = 24
@@ -85,7 +92,7 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
     made = {"p0": spans(text, DIGITS, digits), "p1": spans(text, KEYLIKE, digits), "p2": spans(text, SPELLED, F.col(text).rlike(r"(?i)[(\[]at[)\]]"))}
     out = out.withColumns(made)
     raw = F.expr("concat(" + ", ".join(f"transform(p{i}, x -> struct({i} as generator, x.start as start, x.end as end, x.s as s))" for i in range(3)) + ")")
-    context = " ".join(f"when rlike(c.before, '(?i){rx}[^A-Za-z]*$') then {n}" for n, rx in CONTEXT.items())
+    context = " ".join(f"when rlike(c.before, r'(?iu)(?<!\\p{{L}}){rx}{AFTER}') then {n}" for n, rx in CONTEXT.items())
     features = f"""transform(raw, x -> transform(array(struct(x as x, substring({text}, greatest(x.start - 23, 1), least(x.start, 24)) as before,
         length(regexp_replace(x.s, '[^0-9]', '')) as d, length(regexp_replace(x.s, '[^A-Za-z]', '')) as l, length(regexp_replace(x.s, '[A-Za-z0-9]', '')) as m)), c -> struct(
         c.x.start as start, c.x.end as end, c.x.s as s, c.x.generator as generator,
@@ -107,35 +114,28 @@ def boost(rows: list[tuple[tuple[int, ...], int, float]], rounds: int = ROUNDS,
 
     A tree is (feature, cut, (feature, cut, value, value), (feature, cut, value, value)): at most cut goes to the first part.
     """
-    names = list(FEATURES.values())
-    score = {f: 0.0 for f, _, _ in rows}
+    f, y, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    score = np.zeros(len(rows))
+    cuts = [(j, c) for j, n in enumerate(FEATURES.values()) for c in range(n - 1)]
+    low = np.array([f[:, j] <= c for j, c in cuts])
     trees: list[tuple] = []
-    cuts = [(j, c) for j, n in enumerate(names) for c in range(n - 1)]
-
-    def leaf(part: Iterable) -> tuple[float, float]:
-        g = h = 1e-9
-        for f, y, w in part:
-            p = 1 / (1 + math.exp(-score[f]))
-            g, h = g + w * (y - p), h + w * p * (1 - p)
-        h += 1.0
-        return g / h, g * g / h
-
-    def split(part: list) -> tuple:
-        best = None
-        for j, c in cuts:
-            a, b = [r for r in part if r[0][j] <= c], [r for r in part if r[0][j] > c]
-            (va, ga), (vb, gb) = leaf(a), leaf(b)
-            if best is None or ga + gb > best[0] + 1e-12:
-                best = (ga + gb, j, c, va, vb, a, b)
-        return best
+
+    def split(g: np.ndarray, h: np.ndarray) -> tuple[int, float, float]:
+        """The best cut of rows with these gradients, and the values of its parts."""
+        ga, ha = low @ g, low @ h
+        gb, hb = g.sum() - ga, h.sum() - ha
+        gain = ga * ga / (ha + 1) + gb * gb / (hb + 1)
+        i = int(np.argmax(gain >= gain.max() - 1e-9))
+        return i, float(ga[i] / (ha[i] + 1)), float(gb[i] / (hb[i] + 1))
 
     for _ in range(rounds):
-        top = split(rows)
-        low, high = split(top[5]), split(top[6])
-        tree = (top[1], top[2], (low[1], low[2], rate * low[3], rate * low[4]), (high[1], high[2], rate * high[3], rate * high[4]))
-        trees.append(tree)
-        for f in score:
-            score[f] += _apply(tree, f)
+        p = 1 / (1 + np.exp(-score))
+        g, h = w * (y - p), w * p * (1 - p)
+        i = split(g, h)[0]
+        parts = [(k, rate * a, rate * b) for k, a, b in (split(g * side, h * side) for side in (low[i], ~low[i]))]
+        trees.append((*cuts[i], *((*cuts[k], a, b) for k, a, b in parts)))
+        for side, (k, a, b) in zip((low[i], ~low[i]), parts):
+            score += side * np.where(low[k], a, b)
     return trees
 
 
@@ -169,35 +169,50 @@ def threshold(rows: list[tuple[tuple[int, ...], int, float]], trees: list[tuple]
     return best
 
 
-#: A sentence to plant: what stands before the span, the span, and whether it is personal. {h} is 64 hex digits of the text,
-#: {d} its decimal digits; the pieces are SQL.
-PLANTED = [
-    ("'password='", "substring({h}, 1, 12 + {k})", 1), ("'token = \"'", "substring({h}, 1, 24 + 2 * {k})", 1), ("'my secret: '", "concat(upper(substring({h}, 1, 8)), 'q', substring({h}, 9, 8 + {k}))", 1),
-    ("'auth key sk-'", "concat('Zq', substring({h}, 1, 20 + {k}))", 1), ("'use '", "concat('AKIA', translate(upper(substring({h}, 1, 16)), '-', 'X'))", 1),
-    ("'call me on '", "concat('0', substring({d}, 1, 3), ' ', substring({d}, 4, 3), ' ', substring({d}, 7, 4))", 1), ("'tel: '", "concat('(', substring({d}, 1, 3), ') ', substring({d}, 4, 3), '-', substring({d}, 7, 4))", 1),
-    ("'mobile '", "substring({d}, 1, 9 + {k} % 4)", 1), ("'ssn '", "concat(substring({d}, 1, 3), '-', substring({d}, 4, 2), '-', substring({d}, 6, 4))", 1), ("'account no. '", "substring({d}, 1, 9 + {k} % 8)", 1),
-    ("'write to '", "concat('me', substring({h}, 1, 4), ' (at) host', substring({h}, 5, 3), ' (dot) org')", 1), ("'mail '", "concat('x.', substring({h}, 1, 5), ' [at] ', 'site', substring({h}, 5, 2), ' [dot] net')", 1),
-    ("'ask '", "concat(translate(substring({h}, 1, 4), '0123456789', 'ghijklmnop'), '.', translate(substring({h}, 5, 3 + {k}), '0123456789', 'ghijklmnop'), ' (at) ', translate(substring({h}, 16, 6), '0123456789', 'ghijklmnop'), ' (dot) com')", 1),
-    ("'id '", "concat('AKIA', upper(translate(substring({h}, 1, 16), '01234567', 'GHIJKLMN')))", 1), ("'AWS '", "concat('AKIA', upper(translate(substring({h}, 1, 16), '0123', 'GHIJ')))", 1),
-    ("'we '", "concat(translate(substring({h}, 1, 5), '0123456789', 'ghijklmnop'), ' (at) ', translate(substring({h}, 9, 5), '0123456789', 'ghijklmnop'), '.', 'And')", 0),
-    ("'commit '", "substring({h}, 1, 40)", 0), ("'the version '", "concat(substring({d}, 1, 2), '.', substring({d}, 3, 2), '.', substring({d}, 5, 4), '.', substring({d}, 9, 3 + {k} % 3))", 0),
-    ("'isbn '", "concat('978-', substring({d}, 1, 1), '-', substring({d}, 2, 2), '-', substring({d}, 4, 6), '-', substring({d}, 10, 1))", 0),
-    ("'on '", "concat('20', substring({d}, 1, 2), '-1', substring({d}, 3, 1), '-', substring({d}, 4, 2), ' 1', substring({d}, 6, 1), ':', substring({d}, 7, 2))", 0),
-    ("'see page '", "concat('the-long-way-', substring({d}, 1, 4))", 0), ("'a total of '", "concat(substring({d}, 1, 2), ',', substring({d}, 3, 3), ',', substring({d}, 6, 3))", 0),
-    ("'in section '", "concat(substring({d}, 1, 3), '.', substring({d}, 4, 3), '.', substring({d}, 7, 3))", 0), ("'they '", "concat('look (at) this.', 'then')", 0), ("'file '", "concat('img_', substring({d}, 1, 8), '-final-copy')", 0),
-    ("'the sum '", "substring({d}, 1, 8 + {k} % 6)", 0),
+#: What a sentence to plant has for a span, by name: SQL over {h}, 64 hex digits of the text, {d}, its decimal digits, and {k}, 0 to 7.
+FORMS = {
+    "hex": "substring({h}, 1, 14 + 3 * {k})", "mixed": "concat(upper(substring({h}, 1, 8)), 'q', substring({h}, 9, 8 + {k}))", "known": "concat('AKIA', upper(translate(substring({h}, 1, 16), '0123', 'GHIJ')))",
+    "long": "concat('Zq', substring({h}, 1, 20 + {k}), translate(substring({h}, 1, 12), '0123456789', 'GHIJKLMNOP'))",
+    "spaced": "concat('0', substring({d}, 1, 3), ' ', substring({d}, 4, 3), ' ', substring({d}, 7, 4))", "bracketed": "concat('(', substring({d}, 1, 3), ') ', substring({d}, 4, 3), '-', substring({d}, 7, 4))",
+    "run": "substring({d}, 1, 9 + {k} % 8)", "dashed": "concat(substring({d}, 1, 3), '-', substring({d}, 4, 2), '-', substring({d}, 6, 4))", "pairs": "concat('0', substring({d}, 1, 1), ' ', substring({d}, 2, 2), ' ', substring({d}, 4, 2), ' ', substring({d}, 6, 2), ' ', substring({d}, 8, 2))",
+    "spelled": "concat('me', substring({h}, 1, 4), ' (at) host', substring({h}, 5, 3), ' (dot) org')", "squared": "concat('x.', substring({h}, 1, 5), ' [at] ', 'site', substring({h}, 5, 2), ' [dot] net')",
+    "names": "concat(translate(substring({h}, 1, 4), '0123456789', 'ghijklmnop'), '.', translate(substring({h}, 5, 3 + {k}), '0123456789', 'ghijklmnop'), ' (at) ', translate(substring({h}, 16, 6), '0123456789', 'ghijklmnop'), ' (dot) com')",
+    "remark": "concat(translate(substring({h}, 1, 5), '0123456789', 'ghijklmnop'), ' (at) ', translate(substring({h}, 9, 5), '0123456789', 'ghijklmnop'), '.', 'And')", "aside": "concat('look (at) this.', 'then')",
+    "sha": "substring({h}, 1, 40)", "dotted": "concat(substring({d}, 1, 2), '.', substring({d}, 3, 2), '.', substring({d}, 5, 4), '.', substring({d}, 9, 3 + {k} % 3))",
+    "isbn": "concat('978-', substring({d}, 1, 1), '-', substring({d}, 2, 2), '-', substring({d}, 4, 6), '-', substring({d}, 10, 1))", "date": "concat('20', substring({d}, 1, 2), '-1', substring({d}, 3, 1), '-', substring({d}, 4, 2), ' 1', substring({d}, 6, 1), ':', substring({d}, 7, 2))",
+    "slug": "concat('the-long-way-', substring({d}, 1, 4))", "grouped": "concat(substring({d}, 1, 2), ',', substring({d}, 3, 3), ',', substring({d}, 6, 3))", "parts": "concat(substring({d}, 1, 3), '.', substring({d}, 4, 3), '.', substring({d}, 7, 3))",
+    "serial": "substring({d}, 1, 13 + {k} % 6)", "file": "concat('img_', substring({d}, 1, 8), '-final-copy')", "plain": "substring({d}, 1, 8 + {k} % 6)",
+}
+#: What stands before a span in each language, by language; the spans it may have, and whether they are personal.
+LEADS = [
+    (("password=", "mot de passe : ", "passwort: ", "contraseña: "), ("hex", "mixed", "long"), 1), (('token = "', "jeton ", "schlüssel ", "clave "), ("hex", "long", "mixed"), 1), (("use ", "avec ", "mit ", "con "), ("known",), 1),
+    (("auth key ", "clé secrète ", "geheim: ", "clave secreta "), ("long", "hex"), 1), (("call me on ", "appelez le ", "anruf unter ", "llama al "), ("spaced", "bracketed", "pairs", "run"), 1),
+    (("tel: ", "tél. ", "tel. ", "tel. "), ("bracketed", "spaced", "pairs", "run"), 1), (("mobile ", "portable ", "handy ", "móvil "), ("run", "pairs", "spaced", "bracketed"), 1), (("account no. ", "compte ", "konto ", "cuenta "), ("run", "dashed"), 1),
+    (("ssn ", "passport ", "ausweis ", "iban "), ("dashed", "run"), 1), (("write to ", "écrire à ", "mail an ", "escribe a "), ("spelled", "squared", "names"), 1), (("ask ", "voir ", "frag ", "pide a "), ("names", "spelled", "squared"), 1),
+    (("reach me: ", "voici ", "hier ", "aquí "), ("run",), 1), (("we ", "nous ", "wir ", "ellos "), ("remark", "aside"), 0), (("commit ", "commit ", "commit ", "commit "), ("sha", "hex"), 0), (("the version ", "la version ", "version ", "la versión "), ("dotted", "parts"), 0),
+    (("isbn ", "isbn ", "isbn ", "isbn "), ("isbn",), 0), (("on ", "le ", "am ", "el "), ("date",), 0), (("see page ", "voir page ", "siehe seite ", "ver página "), ("slug", "plain"), 0),
+    (("a total of ", "un total de ", "summe: ", "suma de "), ("grouped", "plain", "parts"), 0), (("in section ", "chapitre ", "abschnitt ", "sección "), ("parts", "dotted"), 0), (("file ", "fichier ", "datei ", "archivo "), ("file", "slug"), 0),
+    (("the sum ", "année ", "jahr ", "año "), ("plain",), 0), (("order ", "commande ", "bestellung ", "pedido "), ("serial", "plain"), 0), (("and the ", "pour la ", "und die ", "en la "), ("serial",), 0),
+    (("that ", "dans ", "nicht ", "como "), ("serial", "plain"), 0),
 ]
+#: All sentences to plant: what stands before the span, the span's name in FORMS, and whether it is personal.
+PLANTED = [(lead, form, personal) for leads, forms, personal in LEADS for lead in dict.fromkeys(leads) for form in forms]
 
 
-def planted(docs: DataFrame, text: str) -> DataFrame:
-    """docs with one sentence of PLANTED added to the text: at and until are its span's code points, personal says what it is."""
+def planted(docs: DataFrame, text: str, sentences: list[tuple[str, str, int]] = PLANTED) -> DataFrame:
+    """docs with one of the sentences added to the text: at and until are its span's code points, personal says what it is, and
+    turn which of the sentences it is, from 1."""
     docs = docs.withColumn("h", F.sha2(text, 256)).withColumn("d", F.translate("h", "abcdef", "718293"))
-    k, n = "(ascii(h) % 8)", len(PLANTED)
-    each = lambda i: "element_at(array(" + ", ".join(p[i].format(h="h", d="d", k=k) for p in PLANTED) + "), turn)"
-    docs = docs.withColumn("turn", F.expr(f"cast(pmod(xxhash64(h), {n}) + 1 as int)"))
-    docs = docs.withColumns({"lead": F.expr(each(0)), "said": F.expr(each(1)), "personal": F.expr(f"element_at(array({', '.join(str(p[2]) for p in PLANTED)}), turn)")})
+    said = {name: F.expr(sql.format(h="h", d="d", k="(ascii(h) % 8)")) for name, sql in FORMS.items()}
+    docs = docs.withColumn("turn", F.expr(f"cast(pmod(xxhash64(h), {len(sentences)}) + 1 as int)"))
+    of = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in sentences)), F.col("turn"))
+    docs = docs.withColumns({"lead": of(0), "form": of(1), "personal": of(2)})
+    words = F.when(F.lit(False), F.lit(""))
+    for name, c in said.items():
+        words = words.when(F.col("form") == name, c)
+    docs = docs.withColumn("said", words)
     docs = docs.withColumn("at", F.char_length(text) + 1 + F.char_length("lead")).withColumn("until", F.col("at") + F.char_length("said"))
-    return docs.withColumn(text, F.concat(F.col(text), F.lit(" "), F.col("lead"), F.col("said"), F.lit('" and so on'))).drop("h", "d", "turn", "lead", "said")
+    return docs.withColumn(text, F.concat(F.col(text), F.lit(" "), F.col("lead"), F.col("said"), F.lit('" and so on'))).drop("h", "d", "lead", "form", "said")
 
 
 Model = tuple[list[tuple], list[float]]
@@ -211,14 +226,15 @@ def labelled(docs: DataFrame, text: str) -> DataFrame:
     return seen.select("apart", *(F.col(f"c.x.{n}").alias(n) for n in FEATURES), F.col("c.y").alias("y"))
 
 
-def fitted(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> Model:
-    """Trees, and a threshold for each generator, from about `rows` rows; without both classes no threshold is in reach."""
+def fitted(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, sentences: list[tuple[str, str, int]] = PLANTED) -> Model:
+    """Trees, and a threshold for each generator, from about `rows` rows with a sentence planted in each; without both classes no
+    threshold is in reach."""
     total, none = docs.count(), ([], [math.inf] * len(ADDED))
     if not total:
         return none
     hashed = F.pmod(F.xxhash64(F.lit("pii"), F.col(text)), F.lit(1 << 20))
     few = docs.where(hashed < int(min(1.0, rows / total) * (1 << 20)) + 1).select(text, (hashed % 3 == 0).alias("apart"))
-    counts = labelled(planted(few, text), text).groupBy("apart", *FEATURES, "y").agg(F.count("*").alias("n")).collect()
+    counts = labelled(planted(few, text, sentences), text).groupBy("apart", *FEATURES, "y").agg(F.count("*").alias("n")).collect()
     parts: dict[bool, list] = {True: [], False: []}
     for r in counts:
         parts[r["apart"]].append((tuple(r[n] for n in FEATURES), int(r["y"]), float(r["n"])))

@@ -68,6 +68,29 @@ def test_recall_and_precision_of_added_spans(spark):
     assert hit[0] > 0.9 and hit[1] < 0.1 and hit[2] == 0, hit
 
 
+def test_recall_on_sentences_that_were_not_planted(spark):
+    """Whole sentences are held out: the model has seen neither their words before the span with that span, nor these texts. Of innocent
+    ones the added spans count, as a base span stays whatever the words say."""
+    text = lambda i: " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(12))
+    docs = spark.createDataFrame([(text(i) + f" {i}",) for i in range(6000)], "body string")
+    seen, held = pii.PLANTED[::2], pii.PLANTED[1::2]
+    model = pii.fitted(docs.where("pmod(xxhash64(body), 2) = 0"), "body", sentences=seen)
+    other = pii.planted(docs.where("pmod(xxhash64(body), 2) = 1"), "body", held)
+    got = pii.find(other, "body", model).selectExpr("personal", "turn", "exists(spans, x -> x.start < until and at < x.end and (personal = 1 or x.kind in ('number', 'key', 'address'))) as hit").collect()
+    by = {}
+    for r in got:
+        lead, form, personal = held[r.turn - 1]
+        kind = next(k for k, of in {"address": ("spelled", "squared", "names", "remark", "aside"), "key": ("hex", "mixed", "known", "long", "sha", "slug", "file")}.items() if form in of) if form not in NUMBERS else "number"
+        by.setdefault((kind, personal), []).append(r.hit)
+    rate = {k: sum(v) / len(v) for k, v in by.items()}
+    print(rate)
+    assert all(rate[k, 1] >= 0.9 for k in ("number", "key", "address")), rate
+    assert all(rate[k, 0] <= 0.1 for k in ("number", "key", "address")), rate
+
+
+NUMBERS = ("spaced", "bracketed", "run", "dashed", "pairs", "dotted", "isbn", "date", "grouped", "parts", "plain", "serial")
+
+
 def test_labels_are_no_function_of_the_features(spark):
     """Candidates that look alike get both labels, so the trees can't just learn a rule back."""
     docs = spark.createDataFrame([(f"text {i}",) for i in range(3000)], "body string").selectExpr("body", "false as apart")
