@@ -158,7 +158,7 @@ def _raw(spark, sf_dir):
     mark = F.when(n % 3 == 0, ".").when(n % 3 == 1, ")").otherwise("")
     rtt = F.when(F.col("rtt_ms").isNull(), F.lit("* * *")).otherwise(F.concat(F.col("rtt_ms").cast("int").cast("string"), F.lit(" ms")))
     line = F.concat(n.cast("string"), mark, F.lit("  "), F.concat_ws(" ", F.when(F.col("asn") != "AS???", F.col("asn")), F.when(F.col("rtt_ms").isNotNull(), F.col("hostname")), "ip", rtt))
-    return h.groupBy(M).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop_seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    return adapters.spread(h, M).groupBy(M).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop_seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
 
 
 @query
@@ -194,7 +194,7 @@ def json_hop_decode(spark, sf_dir):
     ))
     list_ = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop_seq", c.alias("j")))), lambda x: x["j"]), ",")
     odd = F.col(M).cast("long") % 2 == 1
-    p = h.groupBy(M).agg(list_(F.when(odd, one).otherwise(two)).alias("hops"))
+    p = adapters.spread(h, M).groupBy(M).agg(list_(F.when(odd, one).otherwise(two)).alias("hops"))
     p = p.select(M, F.when(odd, F.concat(F.lit('{"result":{"hops":['), "hops", F.lit("]}}"))).otherwise(F.concat(F.lit('{"hops":[],"result":['), "hops", F.lit("]}"))).alias("payload"))
     return decode.json_hops(p).select(M, "hop_seq", "hop_number", "asn", "ip", "hostname", "city", "country", "latitude", "longitude", "rtt_ms", "jitter_ms", "packet_loss_percent", "status")
 

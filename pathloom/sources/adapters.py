@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to as many partitions as the session shuffles to, for work that costs much for each byte: partitions are
+    not merged for being small, and an aggregate by these keys needs no further exchange."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _pick(index, values):
     return F.get(F.array(*(F.lit(v) for v in values)), index.cast("int"))
 
