@@ -118,16 +118,30 @@ STATS_JITTER_KEYS, JITTER_KEYS = ("jitter", "jitterAvg", "stdev", "stddev"), ("j
 
 
 class _Record:
-    """Values of an object column that lies next to others: each key's value becomes a column of its own, looked up once."""
+    """Values of an object that lies at one of some paths of a hop, the first that is an object: each key's value becomes a column of
+    its own. The object is read once, as a struct of the keys that are asked for."""
 
-    def __init__(self, name: str):
-        self.name, self.used = name, {}
+    def __init__(self, name: str, *paths: str):
+        self.name, self.paths, self.used = name, paths, {}
 
     def __call__(self, *keys: str) -> list[str]:
         return [self.used.setdefault(k, f"{self.name}_{len(self.used)}") for k in keys]
 
+    def _own(self) -> dict[str, str]:
+        """The keys of the struct: of those that differ by case alone, the first."""
+        first: dict[str, str] = {}
+        for k in self.used:
+            first.setdefault(k.lower(), k)
+        return {k: c for k, c in self.used.items() if first[k.lower()] == k}
+
+    def struct(self) -> Column:
+        kind = "struct<" + ", ".join(f"{k}: variant" for k in self._own()) + ">"
+        return F.expr("coalesce(" + ", ".join(f"try_variant_get(h, '{p}', '{kind}')" for p in self.paths) + ", null)")
+
     def columns(self) -> dict[str, Column]:
-        return {c: F.expr(f"{self.name}['{k}']") for k, c in self.used.items()}
+        own, (path, *_) = self._own(), self.paths
+        assert len(own) == len(self.used) or len(self.paths) == 1
+        return {c: F.expr(f"{self.name}.`{k}`" if k in own else f"try_variant_get(h, '{path}.{k}', 'variant')") for k, c in self.used.items()}
 
 
 def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -146,12 +160,8 @@ def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
     rows = v.where("branch < 3").select(*keep, "branch", F.posexplode(F.expr("if(branch = 1, hops, results)")).alias("i", "h"))
 
     # Each object is looked up once, then each of its keys once, then the fields are read from those columns.
-    objects = {
-        "hop": "try_variant_get(h, '$', 'map<string, variant>')", "stats": _object("h", "stats"), "network": _object("h", "network"),
-        "system": f"coalesce({_object('h', 'as')}, {_object('h', 'autonomousSystem')})", "place": f"coalesce({', '.join(_object('h', k) for k in PLACE_OBJECTS)})",
-        "rtts": f"filter(transform(try_variant_get(h, '$.timings', 'array<variant>'), x -> {_number(_get('x', 'rtt'))}), x -> x is not null)",
-    }
-    hop, stats, network, system, place = (_Record(n) for n in ("hop", "stats", "network", "system", "place"))
+    hop, stats, network, system = _Record("hop", "$"), _Record("stats", "$.stats"), _Record("network", "$.network"), _Record("system", "$.as", "$.autonomousSystem")
+    place = _Record("place", *(f"$.{k}" for k in PLACE_OBJECTS))
     # What may name the network is itself, or what an object there says of it, two levels deep.
     named = [*hop(*ASN_KEYS), *network("asn", "number"), *system("asn", "number", "id")]
     deeper = [{f"{x}_in": F.expr(_inner(x)) for x in named}, {f"{x}_in_in": F.expr(_inner(f"{x}_in")) for x in named}]
@@ -170,8 +180,10 @@ def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
         "jitter_ms": pick(f"coalesce(round({_first(_number, *stats('jAvg', 'stDev'))}), {_first(_lenient, *stats(*STATS_JITTER_KEYS))})", _first(_lenient, *hop(*JITTER_KEYS))),
         "packet_loss_percent": pick(_lenient(stats("loss")[0]), _first(_number, *hop("loss", "packetLoss"))),
     }
-    out = rows.withColumns({k: F.expr(x) for k, x in objects.items()})
-    out = out.withColumns({k: x for record in (hop, stats, network, system, place) for k, x in record.columns().items()})
+    records = (hop, stats, network, system, place)
+    rtts = f"filter(transform(try_variant_get(h, '$.timings', 'array<variant>'), x -> {_number(_get('x', 'rtt'))}), x -> x is not null)"
+    out = rows.withColumns({r.name: r.struct() for r in records} | {"rtts": F.expr(rtts)})
+    out = out.withColumns({k: x for r in records for k, x in r.columns().items()})
     for level in deeper:
         out = out.withColumns(level)
     out = out.select(*keep, (F.col("i") + 1).alias("hop_seq"), *(F.expr(x).alias(k) for k, x in fields.items()))
