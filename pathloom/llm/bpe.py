@@ -202,7 +202,8 @@ def _stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, ids): the ids of each whole text, without special tokens.
 
-    Null is the empty text, which has no ids. Repeated rows and keys give a row each. An empty table gives an empty result.
+    Null is the empty text, which has no ids. Texts longer than `chunk` are cut into chunks that overlap, however long they are.
+    Repeated rows and keys give a row each. An empty table gives an empty result.
     Other columns are ignored, whatever their names. The vocabulary is a rank file that each executor finds at `path`.
     """
     if path is None or pattern is None:

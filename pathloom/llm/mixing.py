@@ -54,7 +54,7 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 
     Null and empty texts have size 0 and may be taken; a source of only such texts has target 0 and none is taken. A null
     source is a source of its own. Ties and repeated rows are told apart by rank alone, so reruns agree on each distinct row.
-    An empty table gives an empty result; other columns are ignored, whatever their names.
+    Very long texts count as any. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = checkpointed(docs.select(
         F.col(key).alias("key"), F.col(source).cast("string").alias("source"),

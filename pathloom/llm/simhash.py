@@ -172,7 +172,8 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
     Rows are told apart by key and text, so rows that share a key but not a group, or have none, stand for themselves; a row
     without a key is the last of its group. Columns stay as they are. Near duplicates here are texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
-    and groups are what links between them reach; texts without words are alike.
+    and groups are what links between them reach; texts without words, null ones too, are alike. Very long texts have all their
+    shingles. An empty table stays empty.
     """
     text_batches(docs.sparkSession)
     body = F.col(text).cast("string")

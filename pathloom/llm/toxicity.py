@@ -180,7 +180,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     """docs with a score column: the likelihood, 0 to 1, that the whole text is toxic.
 
     Null and empty texts have a score as well, that of a text without features; each row is scored on its text alone, so
-    repeated rows agree. A column of the same name is replaced. An empty table stays empty.
+    repeated rows agree, and very long texts are read whole. A column of the same name is replaced. An empty table stays empty.
     """
     text_batches(docs.sparkSession)
     docs = docs.drop(name)

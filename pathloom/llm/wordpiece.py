@@ -127,7 +127,7 @@ def counter(path: str, remember: int = REMEMBER):
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """(key, n_words, n_tokens): white-space words and greedy word pieces of every whole text.
 
-    Null and empty texts have none. Each row counts by itself, so repeated rows agree; an empty table gives an empty result;
+    Null and empty texts have none, and very long ones are counted whole. Each row counts by itself, so repeated rows agree; an empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
     if path is None:

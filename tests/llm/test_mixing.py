@@ -50,3 +50,13 @@ def test_empty_and_wordless(spark):
     docs = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.target, r.copies) for r in mx.mixed(docs).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
     assert mx.mix(docs.limit(0)).count() == 0
+
+
+def test_names_that_the_mix_uses_itself(spark):
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], i, i, i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, class int, lot int, rank int, copies int")
+    plain = docs.select("doc_id", "text", "source")
+    key = lambda df: sorted((r.doc_id, r["size"], r.copies) for r in df.collect())
+    assert key(mx.mixed(docs)) == key(mx.mixed(plain))
+    out = mx.mix(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}

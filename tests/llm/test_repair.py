@@ -60,3 +60,13 @@ def test_files_ascend(spark, tmp_path, monkeypatch):
         for b in sorted(spark.read.parquet(str(f)).collect(), key=lambda r: r.block):
             keys.append([k for k, _ in rp.Block(bytes(b.data)).documents()])
     assert len(keys) > 2 and [k for x in keys for k in x] == list(range(500))
+
+
+def test_names_that_the_files_use_themselves(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 5), i, i, "x", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file int, block int, tag string, key int")
+    got = []
+    for df, name in ((docs, "a"), (docs.select("doc_id", "text"), "b")):
+        rp.write_ids(df, str(tmp_path / name))
+        got.append(sorted(tuple(r) for r in rp.read_checksums(spark, str(tmp_path / name)).collect()))
+    assert got[0] == got[1] and len(got[0]) == 40
