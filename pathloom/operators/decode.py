@@ -209,10 +209,12 @@ def json_sources(results: DataFrame, column: str = "payload") -> DataFrame:
     """results with struct source: the provider, and what the first result's probe says of itself, by kind, as it stands."""
     p = "try_variant_get(v, '$.probe', 'map<string, variant>')"
     text = lambda k: f"case when schema_of_variant(p['{k}']) = 'STRING' then try_variant_get(p['{k}'], '$', 'string') end"
-    fields = [f"'globalping' as provider, {text('id')} as probe_id, {text('city')} as city, {text('country')} as country", f"{_plain_asn("p['asn']")} as asn"]
+    fields = [f"'globalping' as provider, {text('id')} as probe_id, {text('city')} as city, {text('country')} as country", f"coalesce({', '.join(map(_plain_asn, ('a0', 'a1', 'a2')))}) as asn"]
     fields += [f"{_number(f"p['{k}']")} as {k}" for k in ("latitude", "longitude")]
-    v = results.withColumn("v", F.try_parse_json(column)).withColumn("p", F.expr(p))
-    return v.withColumn("source", F.expr(f"struct({', '.join(fields)}, '{NOTE}' as note)")).drop("v", "p")
+    v = results.withColumn("v", F.try_parse_json(column)).withColumn("p", F.expr(p)).withColumn("a0", F.expr("p['asn']"))
+    # A network may be an object that says more, two levels deep.
+    v = v.withColumn("a1", F.expr(_inner("a0"))).withColumn("a2", F.expr(_inner("a1")))
+    return v.withColumn("source", F.expr(f"struct({', '.join(fields)}, '{NOTE}' as note)")).drop("v", "p", "a0", "a1", "a2")
 
 
 def applied(measurements: DataFrame, results: DataFrame, hops: DataFrame, confidence: DataFrame, key: str = "measurement_id") -> DataFrame:

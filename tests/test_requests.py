@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pathloom.operators import decode
 from pathloom.operators import requests as rq
 from pathloom.sources import lookup
 
@@ -42,3 +43,10 @@ def test_lookup_records(spark):
     b = spark.createDataFrame([("8.8.8.8", "success", "Germany", "DE", "x", 1.0, 2.0, "AS1 One", None, "r"), ("1.1.1.1", "fail", None, None, None, None, None, None, None, None)], "ip string, status string, country string, countryCode string, city string, lat double, lon double, `as` string, asname string, reverse string")
     (r,) = lookup.with_status(b).collect()
     assert (r.ip, r.geo_country, r.geo_asn, r.geo_as_name, r.geo_hostname) == ("8.8.8.8", "DE", "AS1", "One", "r")
+
+
+def test_the_network_of_a_probe_may_be_an_object(spark):
+    said = ['{"probe":{"asn":{"number":9318}}}', '{"probe":{"asn":{"id":{"value":"AS13335 x"}}}}', '{"probe":{"asn":{"name":"none"}}}', '{"probe":{"asn":"as 7"}}', '{"probe":7}', None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, payload string")
+    got = {r.i: r.asn for r in decode.json_sources(df).select("i", "source.asn").collect()}
+    assert [got[i] for i in range(6)] == ["AS9318", "AS13335", None, "AS7", None, None]
