@@ -288,7 +288,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT session_id, hop_number, {', '.join(LATEST.format(c, f"{c} IS NOT NULL" + ("" if c in ('rtt_ms', 'jitter_ms', 'packet_loss_percent', 'status') else " AND type = 'hop_result'")) for c in EVENT_FIELDS)} FROM r WHERE seq >= first GROUP BY 1, 2""",
     "session_status": f"""WITH {EVENTS}, s AS (SELECT session_id, max_by(type, seq) FILTER (type IN ('measurement_started', 'measurement_finished', 'error')) AS t, min(ts_ms) AS created_ms, max(ts_ms) FILTER (type IN ('measurement_finished', 'error')) AS ended, count(*) AS n_events FROM ev GROUP BY 1)
       SELECT session_id, CASE t WHEN 'measurement_started' THEN 'running' WHEN 'measurement_finished' THEN 'finished' WHEN 'error' THEN 'error' ELSE 'starting' END AS status, created_ms, least(created_ms + 900000, ended + 120000) AS expires_ms, n_events FROM s""",
-    "session_cap": f"WITH {EVENTS} SELECT session_id, min(ts_ms) AS created_ms FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 10",
+    "session_cap": f"WITH {EVENTS}, s AS (SELECT session_id, min(ts_ms) AS created_ms FROM ev GROUP BY 1) SELECT *, row_number() OVER (ORDER BY created_ms DESC, session_id DESC) <= 500 AS kept FROM s",
     "latest_result": f"WITH {EVENTS} SELECT session_id, max(seq) AS seq, max_by(type, seq) AS type, max_by(ts_ms, seq) AS ts_ms FROM ev WHERE type IN ('measurement_started', 'measurement_finished') GROUP BY 1",
     "new_hops": f"""WITH {EVENTS}, s AS (SELECT session_id, seq AS poll, hop_number AS n, coalesce(max(hop_number) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM ev)
       SELECT session_id, poll, CAST(i AS INT) AS hop_seq FROM s, range(1, 9) AS r(i) WHERE i > seen AND i <= n""",

@@ -105,6 +105,13 @@ def capped(sessions: DataFrame, most: int = MOST_SESSIONS) -> DataFrame:
     return sessions.orderBy(F.desc("created_ms"), F.desc(S)).limit(most)
 
 
+def cap_marked(sessions: DataFrame, most: int = MOST_SESSIONS) -> DataFrame:
+    """All sessions with kept: whether a cap of `most` keeps them. They are held against the last one that it keeps, one row, so
+    none are ranked in one place."""
+    last = capped(sessions, most).agg(F.min(F.struct("created_ms", S)).alias("__last"))
+    return sessions.crossJoin(F.broadcast(last)).withColumn("kept", F.struct("created_ms", S) >= F.col("__last")).drop("__last")
+
+
 def failed_over(live: DataFrame, synthetic: DataFrame) -> DataFrame:
     """(session_id, seq, source, type, message): the log of each session when a live source gives way to a synthetic one.
 

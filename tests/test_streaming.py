@@ -123,3 +123,18 @@ def test_server_sent_events_are_read_back(spark, tmp_path):
     key = lambda df: sorted((r.ts_ms, r.type, r.hop_number, r.rtt_ms, r.hostname) for r in df.collect())
     assert str(key(got)) == str(key(events))
     assert replay.frame_data(spark.createDataFrame([(": comment",), ("event: x\ndata: a\ndata: b",)], "value string")).first().value == "a\nb"
+
+
+def test_every_session_is_marked_by_the_cap(spark):
+    rows = [(i, None if i == 7 else i // 2) for i in range(8)]
+    s = spark.createDataFrame(rows, "session_id long, created_ms long")
+    got = {r.session_id: r.kept for r in ev.cap_marked(s, 3).collect()}
+    assert got == {i: i in (4, 5, 6) for i in range(8)} and ev.cap_marked(s, 9).where("kept").count() == 8
+
+
+def test_the_cap_query_loses_no_session(spark):
+    from pathloom.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["session_cap"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count() > 10
