@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
-    Near duplicates are texts whose shingles of five words have a Jaccard similarity of 0.8 or more, as sets. Null
+    Candidates are texts whose SimHash fingerprints meet in the grid range join, and those that min-hash bands add. Near duplicates are texts whose shingles of five words have a Jaccard similarity of 0.8 or more, as sets. Null
     keys come last where one is chosen, and of rows that share key and text one stays.
     """
     return simhash.keep_one(docs, shingle=5)

@@ -1,8 +1,9 @@
-"""Near duplicates by the Jaccard similarity of word shingles: seeded min-hash bands as candidates, each link checked exactly.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash fingerprints that lie close by the grid range join are the
+first candidates, seeded min-hash bands those of what is not linked by then; each link is checked exactly.
 
-SimHash cannot serve here: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits, and no grid is selective so
-far out. A text has BANDS independently seeded fingerprints, each of ROWS min-hashes; two texts of similarity s share one at
-least with the chance 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, 0.99999 at 0.85. Sharing one makes a pair a candidate only:
+SimHash alone cannot serve here: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits, and no grid is selective
+so far out. So a text also has BANDS independently seeded fingerprints, each of ROWS min-hashes; two texts of similarity s share one at
+least with the chance 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, 0.99999 at 0.85. Either way a pair is a candidate only:
 its shingles are compared as sets, so texts that have but a repeated line in common are not linked.
 
 Groups of copies do not become all their pairs: first each member of a cell is compared with one of the cell. Cells whose
@@ -12,6 +13,8 @@ set, and only a forest of the links found leaves the task. A cell above TILE mem
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -75,30 +78,47 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, own array<long>")
 
 
-def marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """(key, tag, node, bands) of rows (key, tag, text)."""
+def marked(rows: DataFrame, shingle: int, fingerprint: Callable[[str | None, int], int]) -> DataFrame:
+    """(key, tag, node, fp, bands) of rows (key, tag, text); fp is the text's fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            own = [shingles(x.as_py(), shingle) for x in b.column(2)]
-            cols = [pa.array([_digest(s) for s in own], pa.int64()), pa.array([bands(s) for s in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["key", "tag", "node", "bands"])
+            texts = b.column(2).to_pylist()
+            own = [shingles(x, shingle) for x in texts]
+            fp = np.fromiter((fingerprint(x, shingle) for x in texts), np.uint64, len(texts))
+            cols = [pa.array([_digest(s) for s in own], pa.int64()), pa.array(fp.view(np.int64)), pa.array([bands(s) for s in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["key", "tag", "node", "fp", "bands"])
+
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, tag long, node long, fp long, bands array<long>")
+
 
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, tag long, node long, bands array<long>")
+def close_pairs(nodes: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (u, v) of nodes (node, fp) whose fingerprints are equal or linked by `close`: each node with the first of its fingerprint,
+    and the first one of a fingerprint with that of the closest it is linked to: two pairs for a node at most. Other links between texts
+    that are similar are left to the bands."""
+    prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(prints, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    first = lambda end: prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    links = close(prints).groupBy("u").agg(F.min_by("v", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).alias("v"))
+    met = links.join(first("u"), "u").join(first("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    return checkpointed(same.union(met).where("u <> v"))
 
 
-def similar_links(rows: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
+def similar_links(rows: DataFrame, marks: DataFrame, shingle: int, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (u, v) between the nodes of marks, enough to join all candidates whose similarity is NUM / DEN or more.
 
-    rows has (key, tag, text), marks what marked() gives for them; a node is a set of shingles.
+    rows has (key, tag, text), marks what marked() gives for them; a node is a set of shingles. close gives the links (u, v) between
+    the fingerprints of column fp.
     """
-    nodes = checkpointed(marks.groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row"), F.first("bands").alias("bands")))
+    nodes = checkpointed(marks.groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    by_print = close_pairs(nodes.select("node", "fp"), close)
     cells = nodes.select("node", F.explode("bands").alias("cell"))
     # The head of a cell is one of its members, another one in each cell.
     heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("cell"))).alias("head")).where("n > 1")
     cells = checkpointed(cells.join(heads, "cell").select("cell", "node", F.col("head").bitwiseXOR(F.col("cell")).alias("head")))
     # The sets of nodes that meet another one, each from one of its rows.
-    wanted = nodes.join(cells.select("node").distinct(), "node", "left_semi").select(F.col("row.key").alias("k"), F.col("row.tag").alias("t"))
+    met = cells.select("node").union(by_print.select("u")).union(by_print.select("v")).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select(F.col("row.key").alias("k"), F.col("row.tag").alias("t"))
     rows = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")), "left_semi")
     sets = checkpointed(_sets(rows.select("text"), shingle).dropDuplicates(["node"]))
 
@@ -108,7 +128,13 @@ def similar_links(rows: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
         both, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
         return checkpointed(pairs.where(both * (NUM + DEN) >= total * NUM).select("u", "v"))
 
-    stars = checked(cells.select(F.col("node").alias("u"), F.col("head").alias("v")))
+    near = checked(by_print)
+    roots = components(near)
+    # What the fingerprints have linked is not compared again.
+    apart = cells.select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v").distinct()
+    for end in ("u", "v"):
+        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    stars = near.union(checked(apart.where("u_root <> v_root").select("u", "v")))
     cells = cells.drop("head").join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = mixed.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))

@@ -172,14 +172,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
     Rows are told apart by key and text, so rows that share a key but not a group, or have none, stand for themselves; a row
     without a key is the last of its group. Columns stay as they are. Near duplicates here are texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
-    and groups are what links between them reach; texts without words, null ones too, are alike. Very long texts have all their
+    found by near_links of their fingerprints first, and groups are what links between them reach; texts without words, null ones too, are alike. Very long texts have all their
     shingles. An empty table stays empty.
     """
     text_batches(docs.sparkSession)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"))
-    marks = checkpointed(marked(rows, shingle))
-    marks = marks.join(components(similar_links(rows, marks, shingle)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marks = checkpointed(marked(rows, shingle, simhash))
+    marks = marks.join(components(similar_links(rows, marks, shingle, near_links)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     k, t, tag = fresh(docs, "key"), fresh(docs, "tag"), fresh(docs, "own_tag")
     first = marks.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "tag")).alias("first"))
     first = first.select(F.col("first.key").alias(k), F.col("first.tag").alias(t))

@@ -79,3 +79,22 @@ def test_shared_counts(monkeypatch):
     own = [sorted(rng.sample(range(60), rng.randint(0, 30))) for _ in range(20)]
     got = near.shared([near.np.array(x, near.np.int64) for x in own])
     assert all(got[i, j] == len(set(own[i]) & set(own[j])) for i in range(20) for j in range(20) if i != j)
+
+
+def test_fingerprints_meet_in_the_grid_before_bands(spark, monkeypatch):
+    """Without any band, equal and close fingerprints alone link what is similar; unlike texts of close fingerprints stay apart."""
+    rng = random.Random(9)
+    words = [f"w{rng.random()}" for _ in range(3000)]
+    other, line = [f"v{i}" for i in range(50)], "this one line is repeated"
+    texts = [" ".join(words), " ".join(edited(rng, words, 1)), " ".join(other), " ".join([*other, *other[:4]])]
+    texts += [f"{(line + ' ') * 40}{' '.join(f'x{rng.random()}' for _ in range(20))}" for _ in range(3)]
+    prints = [sh.simhash(t, 5) for t in texts]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= 4 or prints[0] == prints[1]
+    assert all((a ^ b).bit_count() <= 4 for a, b in itertools.combinations(prints[4:], 2))
+    monkeypatch.setattr(near, "bands", lambda own: near.np.zeros(0, near.np.int64))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    marks = near.marked(df.selectExpr("doc_id AS key", "xxhash64(text) AS tag", "text"), 5, sh.simhash)
+    node = {r.key: r.node for r in marks.collect()}
+    pairs = near.close_pairs(marks.select("node", "fp"), sh.near_links).collect()
+    assert {node[0], node[1]} in [{p.u, p.v} for p in pairs]
+    assert {r.key for r in marks.collect() if any(r.node in (p.u, p.v) for p in pairs)} >= {0, 1, 4, 5, 6}
