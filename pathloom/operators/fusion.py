@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.functions.frames import left_joined
 from pathloom.operators.hosts import host_matches
 from pathloom.sources import dims
 
@@ -38,8 +39,7 @@ def places_of_hosts(names: DataFrame, host: str, out: str, aliases: DataFrame |
 
 def matched_hosts(rows: DataFrame, host: str, out: str) -> DataFrame:
     """rows with struct `out` of places_of_hosts for their host name, or null; each distinct name is matched once."""
-    found = places_of_hosts(rows, host, out).withColumnRenamed(host, "__host")
-    return rows.join(found, F.col(host) == F.col("__host"), "left").drop("__host")
+    return left_joined(rows, places_of_hosts(rows, host, out), F.col(host), host)
 
 
 def from_host(host: str, match: str) -> Column:
@@ -115,9 +115,9 @@ def looked_up(hops: DataFrame, ip_geo: DataFrame, ptr: DataFrame | None = None)
     """
     if ptr is not None:
         names = ptr.select(F.col("ip").alias("ptr_ip"), F.col("hostname").alias("ptr_hostname"))
-        hops = hops.join(names, F.when(hops["hostname"].isNull(), hops["ip"]) == F.col("ptr_ip"), "left")
-        hops = hops.withColumn("hostname", F.coalesce("hostname", "ptr_hostname")).drop("ptr_ip", "ptr_hostname")
-    return matched_hosts(hops, "hostname", "m_host").join(matched_hosts(ip_geo, "geo_hostname", "m_geo"), "ip", "left")
+        hops = left_joined(hops, names, F.when(hops["hostname"].isNull(), hops["ip"]), "ptr_ip")
+        hops = hops.withColumn("hostname", F.coalesce("hostname", "ptr_hostname")).drop("ptr_hostname")
+    return left_joined(matched_hosts(hops, "hostname", "m_host"), matched_hosts(ip_geo, "geo_hostname", "m_geo"), F.col("ip"), "ip")
 
 
 #: The four slots of a hop's candidates, in order, and which of them are weak or strong evidence.

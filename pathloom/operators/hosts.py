@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import text as t
+from pathloom.functions.frames import worked_out
 
 TOKEN, ENDING, ANYWHERE = 0, 1, 2
 
@@ -45,7 +46,8 @@ def host_keys(host: Column, gram: int) -> Column:
 def host_matches(names: DataFrame, host: str, aliases: DataFrame) -> DataFrame:
     """(host, match) of the distinct names that an alias matches; match is the first (city_ord, alias_ord, alias)."""
     index, gram = alias_index(aliases)
-    keys = names.select(host).where(F.col(host).isNotNull()).distinct().select(host, F.inline(host_keys(F.col(host), gram)))
+    keys = names.select(host).where(F.col(host).isNotNull()).distinct()
+    keys = worked_out(keys, {"__keys": host_keys(F.col(host), gram)}).select(host, F.inline("__keys"))
     met = keys.join(index, ["kind", "key"]).where(
         F.when(F.col("kind") == TOKEN, True).when(F.col("kind") == ENDING, F.col("rest") == F.col("form")).otherwise(F.startswith("rest", "form"))
     )

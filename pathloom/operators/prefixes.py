@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.frames import worked_out
 from pathloom.functions.net import bound, ip_number, is_v4, v6_groups
 
 PREFIX = ["family", "bits", "hi", "lo"]
@@ -38,7 +39,8 @@ def cidr_prefixes(ranges: DataFrame, column: str = "cidr") -> DataFrame:
     """ranges with columns PREFIX of a range as text, address and length; an address alone is a whole prefix. Rows whose text is
     no range go. Bits beyond the length count as zero."""
     length = F.split_part(F.col(column), F.lit("/"), F.lit(2))
-    rows = ranges.withColumn("__key", address_key(F.split_part(F.col(column), F.lit("/"), F.lit(1))))
+    rows = worked_out(ranges, {"__address": F.split_part(F.col(column), F.lit("/"), F.lit(1))})
+    rows = worked_out(rows, {"__key": address_key(F.col("__address"))}).drop("__address")
     most = F.when(F.col("__key.family") == 4, 32).otherwise(128)
     rows = rows.withColumn("bits", F.when(F.contains(column, F.lit("/")), length.try_cast("int")).otherwise(most)).where(F.col("__key").isNotNull() & F.col("bits").between(0, most))
     cut = {"hi": F.col("__key.hi").bitwiseAND(_mask(F.col("bits"), 0)), "lo": F.col("__key.lo").bitwiseAND(_mask(F.col("bits"), 64)), "family": F.col("__key.family")}
@@ -74,7 +76,7 @@ def prefix_matches(addresses: DataFrame, ip: str, prefixes: DataFrame) -> DataFr
             out.append(F.struct(F.lit(family).alias("family"), F.lit(bits).alias("bits"), k["hi"].bitwiseAND(F.lit(high)).alias("hi"), k["lo"].bitwiseAND(F.lit(low)).alias("lo")).cast(kind))
         return F.array(*out).cast(f"array<{kind}>")
 
-    rows = addresses.select(ip).distinct().withColumn("__key", address_key(F.col(ip)))
+    rows = worked_out(addresses.select(ip).distinct(), {"__key": address_key(F.col(ip))})
     rows = rows.select(ip, F.inline(F.when(F.col("__key.family") == 4, cut(4)).when(F.col("__key.family") == 6, cut(6))))
     return rows.join(prefixes, PREFIX).select(ip, "bits", *(c for c in prefixes.columns if c not in PREFIX))
 
@@ -91,6 +93,6 @@ def longest_prefix(addresses: DataFrame, ip: str, prefixes: DataFrame) -> DataFr
 
 def outside(addresses: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
     """The distinct IPv4 addresses, and texts with a colon, that no prefix holds."""
-    rows = addresses.select(ip).where(is_v4(F.col(ip)) | F.contains(ip, F.lit(":"))).distinct()
+    rows = worked_out(addresses.select(ip).distinct(), {"__is": is_v4(F.col(ip)) | F.contains(ip, F.lit(":"))}).where("__is").drop("__is")
     held = prefix_matches(addresses, ip, prefixes).select(F.col(ip).alias("__ip")).distinct()
-    return rows.join(held, F.col(ip) == F.col("__ip"), "left_anti")
+    return rows.join(held, rows[ip] == F.col("__ip"), "left_anti")

@@ -120,3 +120,30 @@ def test_areas_against_plain_loops(spark):
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
     assert {tuple(r)[:4]: (r.ord, r.area) for r in got.collect()} == {p: first(p) for p in places if first(p)}
     assert got.select(F.max(F.col("ord"))).first()[0] >= 203
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    from pathloom.functions.frames import left_joined
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        rows = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.concat(F.lit("k"), F.col("id"))).alias("key"))
+        found = spark.createDataFrame([("k100", 1), ("k200", 2), ("", 3), ("0", 4), (None, 5)], "name string, n int")
+        out = left_joined(rows, found, F.col("key"), "name")
+        assert out.columns == ["id", "key", "n"] and {(r.id, r.n) for r in out.where("n is not null").collect()} == {(100, 1), (200, 2)}
+        parts = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 4000 and max(parts) < 1600
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_predicates_stay_above_what_is_worked_out_once(spark):
+    from pathloom.functions.frames import worked_out
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",)], "x string").distinct()
+    out = worked_out(rows, {"y": F.sha2("x", 256)}).where("y <> 'z' and length(y) > 3")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2") == 1 and out.count() == 2
