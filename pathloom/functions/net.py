@@ -8,15 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pathloom.functions.text import trimmed
+from pathloom.functions.text import V4, trimmed
 from pathloom.sources import dims
 
 
-#: An IPv4 address; leading zeros may be there, as in other octets of up to three digits.
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
-V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-
-
 def bound(c: Column, f: Callable[[Column], Column]) -> Column:
     """f of a column that is bound to a name, so that it is worked out once however often f uses it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -50,11 +45,15 @@ def _within(n: Column, ranges: list[str]) -> Column:
 
 def is_private(ip: Column) -> Column:
     """Private for network inference: 10/8, 172.16/12, 192.168/16, 100.64/10. Blank octets count as 0."""
-    parts = F.split(ip, r"\.", -1)
-    n = F.transform(parts, lambda x: F.when(trimmed(x) == "", F.lit(0)).otherwise(x.try_cast("int")))
-    a, b = F.get(n, F.lit(0)), F.get(n, F.lit(1))
-    hit = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    return F.coalesce((F.size(parts) == 4) & F.forall(n, lambda x: x.isNotNull()) & hit, F.lit(False))
+    # A blank octet is no number, so the text is looked at only where the cast fails.
+    n = F.transform(F.split(ip, r"\.", -1), lambda x: F.coalesce(x.try_cast("int"), F.when(trimmed(x) == "", F.lit(0))))
+
+    def private(n: Column) -> Column:
+        a, b = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+        hit = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+        return (F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull()) & hit
+
+    return F.coalesce(bound(n, private), F.lit(False))
 
 
 # Ranges that are never looked up.

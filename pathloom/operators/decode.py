@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import text as t
+from pathloom.functions.frames import worked_out
 from pathloom.functions.net import inferred_asn
 
 
@@ -21,21 +22,23 @@ def mean_rtt(values: Column) -> Column:
 
 def raw_lines(raw: DataFrame, column: str = "raw") -> DataFrame:
     """(…, line_no, line) of the text column's lines, trimmed, without blank ones."""
-    out = raw.select("*", F.posexplode(F.split(column, "\n", -1)).alias("line_no", "line")).withColumn("line", t.trimmed(F.col("line")))
-    return out.where(F.col("line") != "")
+    out = raw.select("*", F.posexplode(F.split(column, "\n", -1)).alias("line_no", "__line"))
+    return worked_out(out, {"line": t.trimmed(F.col("__line"))}).drop("__line").where(F.col("line") != "")
 
 
 def raw_hops(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines to hops; lines that aren't hops go. All other columns stay."""
     shape = r"^([0-9]+)[.)]?\s+(.+)$"
-    out = lines.where(F.col(line).rlike(shape)).withColumns({"hop_number": F.regexp_extract(line, shape, 1).try_cast("int"), "rest": F.regexp_extract(line, shape, 2)})
-    out = out.withColumn("tokens", t.words(F.col("rest"))).withColumn("own_asn", t.stated_asn(F.get("tokens", F.lit(0))))
+    # Each step's columns are used more than once by the next.
+    out = worked_out(lines.where(F.col(line).rlike(shape)), {"hop_number": F.regexp_extract(line, shape, 1).try_cast("int"), "rest": F.regexp_extract(line, shape, 2)})
+    out = worked_out(out, {"tokens": t.words(F.col("rest"))}).withColumn("own_asn", t.stated_asn(F.get("tokens", F.lit(0))))
     out = out.withColumn("tokens", F.when(F.col("own_asn").isNotNull(), F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1)))).otherwise(F.col("tokens")))
     stars = F.size(F.filter("tokens", lambda x: x == "*"))
     out = out.withColumn("waiting", F.contains(F.col("rest"), F.lit("(waiting for reply)")) | (stars >= 2))
     mask = F.transform("tokens", lambda x: F.endswith(x, F.lit("%")) & t.is_decimal(F.substring(x, F.lit(1), F.length(x) - 1)))
     out = out.withColumn("at", F.array_position(mask, True).cast("int"))
-    after = lambda i: F.when(F.col("at") > 0, t.number(F.get("tokens", F.col("at") - 1 + i)))
+    out = out.withColumn("told", F.when(F.col("at") > 0, F.transform(F.slice("tokens", F.greatest(F.col("at"), F.lit(1)), F.lit(6)), t.number_of_word)))
+    after = lambda i: F.get("told", F.lit(i))
     dropped, received = after(1), after(2)
     first = F.get("tokens", F.lit(0))
     out = out.withColumns({
@@ -50,7 +53,7 @@ def raw_hops(lines: DataFrame, line: str = "line") -> DataFrame:
         "asn": F.coalesce("own_asn", inferred_asn(F.col("ip"), F.col("hostname"))), "last_ms": F.col("rtt_ms"),
         "sent": F.when(F.col("sent") != 0, F.col("sent").cast("long")), "status": hop_status(F.col("rtt_ms"), F.col("packet_loss_percent")),
     })
-    return out.drop("rest", "tokens", "own_asn", "waiting", "at")
+    return out.drop("rest", "tokens", "own_asn", "waiting", "at", "told")
 
 
 def _get(v: str, path: str) -> str:
@@ -152,9 +155,10 @@ def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
     of the places within a hop the first that is an object counts alone.
     """
     keep = [c for c in payloads.columns if c != column]
-    v = payloads.withColumn("v", F.try_parse_json(column))
-    v = v.withColumn("v", F.expr("if(try_variant_get(v, '$.result', 'map<string, variant>') is null, v, try_variant_get(v, '$.result', 'variant'))"))
-    v = v.withColumns({"hops": F.expr("try_variant_get(v, '$.hops', 'array<variant>')"), "results": F.expr("try_variant_get(v, '$.result', 'array<variant>')"), "raw": F.expr("try_variant_get(v, '$.rawOutput', 'variant')")})
+    # Each step is worked out once a payload: filters on what a later one reads don't parse the text again.
+    v = worked_out(payloads, {"parsed": F.try_parse_json(column)}).drop(column)
+    v = worked_out(v, {"v": F.expr("if(try_variant_get(parsed, '$.result', 'struct<hops: variant>') is null, parsed, try_variant_get(parsed, '$.result', 'variant'))")}).drop("parsed")
+    v = worked_out(v, {"hops": F.expr("try_variant_get(v, '$.hops', 'array<variant>')"), "results": F.expr("try_variant_get(v, '$.result', 'array<variant>')"), "raw": F.expr("try_variant_get(v, '$.rawOutput', 'variant')")})
     structured = F.coalesce(F.size("hops"), F.lit(0)) > 0
     v = v.withColumn("branch", F.when(structured, 1).when(F.col("results").isNotNull(), 2).otherwise(3))
     rows = v.where("branch < 3").select(*keep, "branch", F.posexplode(F.expr("if(branch = 1, hops, results)")).alias("i", "h"))

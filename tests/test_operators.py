@@ -162,3 +162,16 @@ def test_synthetic_source(spark):
     assert h.count() == 15 and synthetic.metric_updates(h).groupBy("measurement_id").count().where("count = 20").count() == 2
     who = spark.createDataFrame([("Asia/Seoul", None), ("Asia/Tokyo", "en"), (None, None), ("x", "ko-KR")], "tz string, locale string")
     assert [r[0] for r in who.select(synthetic.origin(F.col("tz"), F.col("locale"))[0]).collect()] == ["Seoul", "Tokyo", "Nearest available city", "Seoul"]
+
+
+def test_words_and_addresses_of_odd_lines(spark):
+    from pathloom.functions import net
+    from pathloom.functions import text as t
+
+    rows = [("\ta\x0bb  c\u00a0d\r\n", None), ("12%", 12.0), ("%", 0.0), ("5%%", None), ("1e3", 1000.0), ("NaN", None), ("-.5", -0.5)]
+    df = spark.createDataFrame(rows, "s string, n double")
+    got = df.select(t.words(F.col("s")).alias("w"), t.number_of_word(F.col("s")).alias("n"), t.number(F.col("s")).alias("old")).collect()
+    assert got[0].w == ["a", "b", "c\u00a0d"] and all(g.n == g.old == r[1] for g, r in zip(got[1:], rows[1:]))
+    ips = [("10.1.2.3", True), ("10. .2.3", True), ("172.16.", False), ("172.31.0.1", True), ("10.x.0.1", False), ("256.1.1.1", False), (None, False), ("192.168..1", True)]
+    assert [r.p for r in spark.createDataFrame(ips, "ip string, want boolean").select(net.is_private(F.col("ip")).alias("p")).collect()] == [w for _, w in ips]
+    assert [r[0] for r in spark.createDataFrame([("x 1.2.3 256.1.1.1 007.1.2.3",), ("1.2.3.4.5 1.2.3.999",)], "s string").select(t.ipv4_in(F.col("s"))).collect()] == ["007.1.2.3", None]
