@@ -96,26 +96,18 @@ class LocalSets:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (u, v) long pairs as rows (node, root), root the smallest node; nodes without edges don't appear.
 
-    Large-star then small-star steps over the edge table until it no longer changes: what is left is one star a component.
-    Minima are pre-aggregated and joined back, so a node with very many edges is a skewed join, never one task's group.
+    Large-star then small-star steps over the edge table until each component is one star, that is, until no node with a smaller
+    neighbour has another one. Minima are pre-aggregated and joined back, so a node with very many edges is a skewed join, never
+    one task's group.
     """
     edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = mark(edges)
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     for _ in range(rounds):
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
-        now = mark(edges)
-        if now == before:
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("lower")), F.struct(F.col("v").alias("node"), F.lit(0).alias("lower")))))
+        if ends.groupBy("node").agg(F.count("*").alias("n"), F.max("lower").alias("lower")).where("n > 1 AND lower = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = now
+        low = edges.select(F.inline(F.array(pair("u", "v"), pair("v", "u")))).groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m"))))
+        edges = checkpointed(small.where("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,5 +1,5 @@
-"""Near duplicates by the Jaccard similarity of word shingles: SimHash fingerprints that lie close by the grid range join are the
-first candidates, seeded min-hash bands those of what is not linked by then; each link is checked exactly.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash fingerprints that lie close by the grid range join are
+candidates, and so are texts that share a seeded min-hash band; each link is checked exactly, once for both.
 
 SimHash alone cannot serve here: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits, and no grid is selective
 so far out. So a text also has BANDS independently seeded fingerprints, each of ROWS min-hashes; two texts of similarity s share one at
@@ -117,25 +117,18 @@ def similar_links(rows: DataFrame, marks: DataFrame, shingle: int, close: Callab
     heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("cell"))).alias("head")).where("n > 1")
     cells = checkpointed(cells.join(heads, "cell").select("cell", "node", F.col("head").bitwiseXOR(F.col("cell")).alias("head")))
     # The sets of nodes that meet another one, each from one of its rows.
-    met = cells.select("node").union(by_print.select("u")).union(by_print.select("v")).distinct()
+    met = cells.select("node").union(by_print.select(F.explode(F.array("u", "v")))).distinct()
     wanted = nodes.join(met, "node", "left_semi").select(F.col("row.key").alias("k"), F.col("row.tag").alias("t"))
     rows = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")), "left_semi")
     sets = checkpointed(_sets(rows.select("text"), shingle).dropDuplicates(["node"]))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-        both, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-        return checkpointed(pairs.where(both * (NUM + DEN) >= total * NUM).select("u", "v"))
-
-    near = checked(by_print)
-    roots = components(near)
-    # What the fingerprints have linked is not compared again.
-    apart = cells.select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v").distinct()
-    for end in ("u", "v"):
-        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    stars = near.union(checked(apart.where("u_root <> v_root").select("u", "v")))
-    cells = cells.drop("head").join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Candidates of both kinds are checked together, each pair once.
+    pairs = by_print.union(cells.select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v"))
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    both, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    roots = components(pairs.where(both * (NUM + DEN) >= total * NUM).select("u", "v"))
+    cells = cells.drop("head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = mixed.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     cells = cells.join(mixed, "cell").withColumn("tile", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("tiles")).cast("int"))
@@ -144,7 +137,7 @@ def similar_links(rows: DataFrame, marks: DataFrame, shingle: int, close: Callab
         F.xxhash64("cell", F.least("tile", "with"), F.greatest("tile", "with")).alias("cell"), "node", "root", "tile", (F.col("tile") != F.col("with")).alias("cross"),
     )
     met = cells.join(sets, "node").repartition("cell").sortWithinPartitions("cell", "tile", "node")
-    return stars.union(met.select("cell", "node", "root", "tile", "cross", "own").mapInArrow(_cells, "u long, v long"))
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(met.select("cell", "node", "root", "tile", "cross", "own").mapInArrow(_cells, "u long, v long"))
 
 
 def shared(own: list[np.ndarray]) -> np.ndarray:
@@ -167,10 +160,10 @@ def shared(own: list[np.ndarray]) -> np.ndarray:
 
 
 def _forest(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Links (u, v) between the members of one cell that are similar and not in one component yet."""
+    """Links (u, v) between the roots of members of one cell that are similar and not in one component yet."""
     if len(x) < 2 or x["root"].nunique() < 2:
         return None
-    node, root, tile, own = x["node"].to_numpy(), x["root"].to_numpy(), x["tile"].to_numpy(), list(x["own"])
+    root, tile, own = x["root"].to_numpy(), x["tile"].to_numpy(), list(x["own"])
     size = np.array([len(s) for s in own], np.float32)
     alike = shared(own) * (NUM + DEN) >= (size[:, None] + size) * NUM
     alike &= root[:, None] != root
@@ -179,10 +172,11 @@ def _forest(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     i, j = np.nonzero(np.triu(alike, 1))
     if not len(i):
         return None
-    sets = LocalSets(len(x))
-    sets.add(i, j)
-    moved = np.flatnonzero(sets.label != np.arange(len(x)))
-    return node[moved], node[sets.label[moved]]
+    kinds, at = np.unique(root, return_inverse=True)
+    sets = LocalSets(len(kinds))
+    sets.add(at[i], at[j])
+    moved = np.flatnonzero(sets.label != np.arange(len(kinds)))
+    return kinds[moved], kinds[sets.label[moved]]
 
 
 def _cells(batches):

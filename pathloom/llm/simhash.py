@@ -172,7 +172,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
     Rows are told apart by key and text, so rows that share a key but not a group, or have none, stand for themselves; a row
     without a key is the last of its group. Columns stay as they are. Near duplicates here are texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
-    found by near_links of their fingerprints first, and groups are what links between them reach; texts without words, null ones too, are alike. Very long texts have all their
+    found by near_links of their fingerprints and by min-hash bands, and groups are what links between them reach; texts without words, null ones too, are alike. Very long texts have all their
     shingles. An empty table stays empty.
     """
     text_batches(docs.sparkSession)
@@ -180,12 +180,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"))
     marks = checkpointed(marked(rows, shingle, simhash))
     marks = marks.join(components(similar_links(rows, marks, shingle, near_links)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    k, t, tag = fresh(docs, "key"), fresh(docs, "tag"), fresh(docs, "own_tag")
+    on, tag = fresh(docs, "key"), fresh(docs, "tag")
+    # Null keys are a text of their own, so that what the join has dealt out by key and tag is not dealt out again.
+    known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     first = marks.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "tag")).alias("first"))
-    first = first.select(F.col("first.key").alias(k), F.col("first.tag").alias(t))
-    tagged = docs.withColumn(tag, F.xxhash64(body))
-    kept = tagged.join(first, tagged[key].eqNullSafe(F.col(k)) & (F.col(tag) == F.col(t)), "left_semi")
-    return kept.dropDuplicates([key, tag]).drop(tag)
+    first = first.select(known(F.col("first.key")).alias(on), F.col("first.tag").alias(tag))
+    return docs.withColumns({on: known(F.col(key)), tag: F.xxhash64(body)}).join(first, [on, tag], "left_semi").dropDuplicates([on, tag]).drop(on, tag)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

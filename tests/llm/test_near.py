@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from pathloom.llm import near
+from pathloom.llm import common, near
 from pathloom.llm import simhash as sh
 
 
@@ -98,3 +98,32 @@ def test_fingerprints_meet_in_the_grid_before_bands(spark, monkeypatch):
     pairs = near.close_pairs(marks.select("node", "fp"), sh.near_links).collect()
     assert {node[0], node[1]} in [{p.u, p.v} for p in pairs]
     assert {r.key for r in marks.collect() if any(r.node in (p.u, p.v) for p in pairs)} >= {0, 1, 4, 5, 6}
+
+
+def counted(monkeypatch):
+    """The tables that are written to the shared folder from now on, one entry each."""
+    seen, real = [], common.checkpointed
+    for module in (common, near, sh):
+        monkeypatch.setattr(module, "checkpointed", lambda df: seen.append(df.columns) or real(df))
+    return seen
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Both kinds of candidates are checked in one step, and components end with the step that leaves stars only."""
+    rng, texts = random.Random(12), []
+    for _ in range(20):
+        words = [f"w{rng.random()}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1)), " ".join(rng.random().hex() for _ in range(20))]
+    seen = counted(monkeypatch)
+    got = sh.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(60) if i % 3 != 1] and len(seen) <= 10
+
+
+def test_components_by_depth(spark, monkeypatch):
+    seen = counted(monkeypatch)
+    link = lambda pairs: {(r.node, r.root) for r in common.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert link([(1, 5), (6, 1), (1, 6), (-3, 8), (7, 7)]) == {(1, 1), (5, 1), (6, 1), (-3, -3), (8, -3)} and len(seen) == 1
+    for n in (2, 3, 9, 40):
+        names = random.Random(n).sample(range(-500, 500), n)
+        assert link(list(itertools.pairwise(names))) == {(x, min(names)) for x in names}
+    assert link([(i, j) for i in (1, 4, 9) for j in (4, 5, 30)]) == {(x, 1) for x in (1, 4, 5, 9, 30)}
