@@ -49,42 +49,53 @@ def islands(rows: DataFrame, key: Column, order: str, name: str) -> DataFrame:
 HOP = "struct<hop_seq: int, hop_number: int, asn: string, name: string, rtt_ms: double, packet_loss_percent: double, status: string>"
 
 
-def segments(hops: DataFrame) -> DataFrame:
-    """Runs of hops of one network at one place: a row each with its hops and its worst status."""
+def segments(hops: DataFrame, *more: str) -> DataFrame:
+    """Runs of hops of one network at one place: a row each with its hops, their number and its worst status. The columns `more` are
+    taken along from the first hop."""
     rows = placed(hops)
     key = F.concat_ws(":", "asn", F.coalesce("place", network(F.col("asn"), 2), F.lit("unknown")))
     rows = islands(rows, key, "hop_seq", "segment").withColumn("name", F.coalesce(network(F.col("asn"), 1), F.col("as_name")))
     hop = F.struct("hop_seq", "hop_number", "asn", "name", "rtt_ms", "packet_loss_percent", "status").cast(HOP)
     first = lambda c: F.min_by(c, "hop_seq").alias(c)
     return rows.groupBy(M, "segment").agg(
-        *(first(c) for c in ("asn", "name", "place", "place_city", "place_country", "latitude", "longitude")),
-        F.array_sort(F.collect_list(hop)).alias("hops"), F.max_by("status", rank(F.col("status"))).alias("status"),
+        *(first(c) for c in ("asn", "name", "place", "place_city", "place_country", "latitude", "longitude", *more)),
+        F.array_sort(F.collect_list(hop)).alias("hops"), F.count("*").cast("int").alias("n_hops"), F.max_by("status", rank(F.col("status"))).alias("status"),
     )
 
 
-def endpoints(hops: DataFrame, sources: DataFrame) -> DataFrame:
-    """(measurement_id, src_…, dst_…): the source by its coordinates or its country's centre, the target by the last placed hop."""
+def starts(sources: DataFrame) -> DataFrame:
+    """(measurement_id, src_…): the source by its coordinates or its country's centre."""
     lat, lon = geo.centroid(F.col("src_country"))
     both = F.col("src_latitude").isNotNull() & F.col("src_longitude").isNotNull()
     label = t.or_null(geo.country_label(F.col("src_country")))
-    src = sources.select(
+    return sources.select(
         M, F.coalesce(t.or_null(F.col("src_city")), F.lit("Nearby probe")).alias("src_city"), F.coalesce(label, t.or_null(F.col("src_country")), F.lit("Probe")).alias("src_country"),
         F.when(both, F.col("src_latitude")).otherwise(lat).alias("src_lat"), F.when(both, F.col("src_longitude")).otherwise(lon).alias("src_lon"),
     )
+
+
+def endpoints(hops: DataFrame, sources: DataFrame) -> DataFrame:
+    """(measurement_id, src_…, dst_…): the source as of starts(), the target by the last placed hop."""
     has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     dst = hops.where(has).groupBy(M).agg(F.max_by("latitude", "hop_seq").alias("dst_lat"), F.max_by("longitude", "hop_seq").alias("dst_lon"))
-    return src.join(dst, M, "left")
+    return starts(sources).join(dst, M, "left")
 
 
 def transit(hops: DataFrame, sources: DataFrame) -> DataFrame:
-    """Segments that are shown: known network and place, not at either end, neighbours at one place as one."""
-    seg = segments(hops).where((F.col("asn") != "AS???") & F.col("place").isNotNull()).join(endpoints(hops, sources), M)
+    """Segments that are shown: known network and place, not at either end, neighbours at one place as one.
+
+    The target is found among the measurement's own hops where they are, so hops are read and dealt out once.
+    """
+    at = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.col("hop_seq"))
+    last = lambda c: F.max_by(c, at).over(Window.partitionBy(M))
+    hops = hops.withColumns({"dst_lat": last("latitude"), "dst_lon": last("longitude")})
+    seg = segments(hops, "dst_lat", "dst_lon").where((F.col("asn") != "AS???") & F.col("place").isNotNull()).join(starts(sources), M)
     at_end = lambda e: F.coalesce(geo.near_on_map(F.col("latitude"), F.col("longitude"), F.col(f"{e}_lat"), F.col(f"{e}_lon")), F.lit(False))
     seg = islands(seg.where(~at_end("src") & ~at_end("dst")), F.col("place"), "segment", "group")
     first = lambda c: F.min_by(c, "segment").alias(c)
     return seg.groupBy(M, "group").agg(
         *(first(c) for c in ("asn", "name", "place", "place_city", "place_country", "latitude", "longitude")),
-        F.array_sort(F.flatten(F.collect_list("hops"))).alias("hops"), F.max_by("status", rank(F.col("status"))).alias("status"),
+        F.array_sort(F.flatten(F.collect_list("hops"))).alias("hops"), F.sum("n_hops").cast("int").alias("n_hops"), F.max_by("status", rank(F.col("status"))).alias("status"),
     )
 
 

@@ -33,8 +33,9 @@ def _pick(index, values):
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hop for each line of an order, which is the measurement."""
-    line = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)
+    # Lines are dealt out by the measurement's own key, so that what follows by measurement needs no further exchange.
+    line = table(spark, sf_dir, "lineitem").withColumn("measurement_id", F.col("l_orderkey").cast("string"))
+    order = Window.partitionBy("measurement_id").orderBy(*LINE_KEY)
     s, p = F.col("l_suppkey"), F.col("l_partkey")
     kind, place = p % 6, s % 22
     ip = (
@@ -51,8 +52,7 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = F.when(p % 13 != 0, F.round(F.col("l_discount") * 1000))
     at = F.least(place, F.lit(20))
     return line.select(
-        F.col("l_orderkey").cast("string").alias("measurement_id"),
-        F.row_number().over(order).alias("hop_seq"), F.row_number().over(order).alias("hop_number"),
+        "measurement_id", F.row_number().over(order).alias("hop_seq"), F.row_number().over(order).alias("hop_number"),
         asn.alias("asn"), F.lit(None).cast("string").alias("as_name"), ip.alias("ip"), host.alias("hostname"),
         F.when(place < 21, _pick(at, [c[0] for c in dims.CITIES])).alias("city"), F.when(place < 21, _pick(at, [c[1] for c in dims.CITIES])).alias("country"),
         F.when(located, _pick(at, [c[2] for c in dims.CITIES])).alias("latitude"), F.when(located, _pick(at, [c[3] for c in dims.CITIES])).alias("longitude"),

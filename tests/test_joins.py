@@ -8,6 +8,7 @@ from ipaddress import ip_address, ip_network, summarize_address_range
 from pyspark.sql import functions as F
 
 from pathloom.operators import areas, hosts, prefixes
+from pathloom.plans.queries import QUERIES
 from pathloom.sources import dims
 
 
@@ -147,3 +148,11 @@ def test_predicates_stay_above_what_is_worked_out_once(spark):
     out = worked_out(rows, {"y": F.sha2("x", 256)}).where("y <> 'z' and length(y) > 3")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2") == 1 and out.count() == 2
+
+
+def test_hops_of_islands_are_read_and_dealt_out_once(spark, capsys):
+    """Both ends, segments and groups of a measurement come from one scan and one exchange of its lines; hops are counted, not listed."""
+    QUERIES["place_islands"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan parquet") == 3 and "collect_list" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\((?:l_orderkey|measurement_id)", plan)) == 2
