@@ -107,7 +107,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if ends.groupBy("node").agg(F.count("*").alias("n"), F.max("lower").alias("lower")).where("n > 1 AND lower = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         low = edges.select(F.inline(F.array(pair("u", "v"), pair("v", "u")))).groupBy("u").agg(F.min("v").alias("m"))
-        large = edges.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        large = edges.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m"))))
         edges = checkpointed(small.where("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
