@@ -65,20 +65,11 @@ def metro_index(city: Column, country: Column, lat: Column, lon: Column) -> Colu
 
 def metro_of(city: Column, cc: Column, lat: Column, lon: Column) -> Column:
     """metro_index of a country's code as country_code gives it."""
-    areas = F.array(*(
-        F.struct(F.lit(i).alias("i"), F.lit(cc_.lower()).alias("cc"), F.array(*map(F.lit, dims.METRO_CITIES[key])).alias("cities"), F.lit(y).alias("lat"), F.lit(x).alias("lon"), F.lit(radius).alias("radius"))
-        for i, (key, _, cc_, y, x, radius, _) in enumerate(dims.METROS)
-    ))
-    place = F.struct(city_name(city).alias("name"), cc.alias("cc"), lat.alias("lat"), lon.alias("lon"))
-
-    def first(p: Column) -> Column:
-        def within(a: Column) -> Column:
-            listed = F.coalesce(F.array_contains(a["cities"], p["name"]), F.lit(False))
-            return F.coalesce(p["cc"] == a["cc"], F.lit(False)) & (listed | F.coalesce(haversine(p["lat"], p["lon"], a["lat"], a["lon"]) <= a["radius"], F.lit(False)))
-
-        return F.get(F.filter(areas, within), F.lit(0))["i"]
-
-    return F.get(F.transform(F.array(place), first), F.lit(0))
+    out = F.when(F.lit(False), F.lit(0))
+    for i, (key, _, cc_, y, x, radius, _) in enumerate(dims.METROS):
+        listed = F.coalesce(city_name(city).isin(dims.METRO_CITIES[key]), F.lit(False))
+        out = out.when((cc == cc_.lower()) & (listed | F.coalesce(haversine(lat, lon, F.lit(y), F.lit(x)) <= radius, F.lit(False))), F.lit(i))
+    return out
 
 
 def minimum_zoom(width: Column) -> Column:

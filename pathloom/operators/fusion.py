@@ -1,6 +1,7 @@
 """Location fusion: candidates from all evidence of a hop, checked, scored, and the best chosen.
 
-A hop has four candidates at most, each in a column of its own, so everything about them is plain expressions within the row.
+A hop has four candidates at most, each in a column of its own, so everything about them is plain expressions within the row. What
+follows from a host name, a geo record or a source's place alone is worked out once for each of those, before hops meet them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
-from pathloom.functions.frames import left_joined
+from pathloom.functions.frames import apart, held, left_joined
 from pathloom.operators.hosts import host_matches
 from pathloom.sources import dims
 
@@ -20,10 +21,10 @@ CANDIDATE = "struct<source: string, city: string, country: string, lat: double,
 WEAK, STRONG = ("geoip", "provider"), ("reverse_dns", "combined")
 
 
-def _candidate(source, city, country, lat, lon, confidence, evidence, precision="city") -> Column:
+def _candidate(source, city, country, lat, lon, confidence, evidence, precision="city", cc=None) -> Column:
     return F.struct(
         F.lit(source).alias("source"), city.alias("city"), country.alias("country"), lat.alias("lat"), lon.alias("lon"),
-        F.lit(confidence).alias("confidence"), F.lit(precision).alias("precision"), geo.country_code(country).alias("cc"), F.array(evidence).alias("evidence"),
+        F.lit(confidence).alias("confidence"), F.lit(precision).alias("precision"), (geo.country_code(country) if cc is None else cc).alias("cc"), F.array(evidence).alias("evidence"),
     ).cast(CANDIDATE)
 
 
@@ -39,7 +40,7 @@ def places_of_hosts(names: DataFrame, host: str, out: str, aliases: DataFrame |
 
 def matched_hosts(rows: DataFrame, host: str, out: str) -> DataFrame:
     """rows with struct `out` of places_of_hosts for their host name, or null; each distinct name is matched once."""
-    return left_joined(rows, places_of_hosts(rows, host, out), F.col(host), host)
+    return left_joined(rows, held(places_of_hosts(rows, host, out)), F.col(host), host)
 
 
 def from_host(host: str, match: str) -> Column:
@@ -49,14 +50,14 @@ def from_host(host: str, match: str) -> Column:
     return F.when(m.isNotNull(), _candidate("reverse_dns", m["city"], m["country"], m["lat"], m["lon"], "high", said))
 
 
-def from_provider() -> Column:
+def from_provider(cc: Column | None = None, known_cc: Column | None = None) -> Column:
     """From the hop's own place: with coordinates as given; else its city in the table (struct known), where the country code
-    agrees if given."""
+    agrees if given. cc and known_cc are the codes of both countries, if they are known."""
     city, country, k = F.col("city"), F.col("country"), F.col("known")
     whole = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.coalesce(city, F.lit("")) != "")
-    given = _candidate("provider", city, F.coalesce(country, F.lit("Unknown")), F.col("latitude"), F.col("longitude"), "high", F.lit("provider supplied hop coordinates"))
+    given = _candidate("provider", city, F.coalesce(country, F.lit("Unknown")), F.col("latitude"), F.col("longitude"), "high", F.lit("provider supplied hop coordinates"), cc=cc)
     agrees = k.isNotNull() & F.coalesce((country == "") | (F.lower(country) == F.lower(k["country"])), F.lit(True))
-    return F.when(whole, given).when(agrees, _candidate("provider", k["city"], k["country"], k["lat"], k["lon"], "medium", F.lit("provider supplied hop city/country")))
+    return F.when(whole, given).when(agrees, _candidate("provider", k["city"], k["country"], k["lat"], k["lon"], "medium", F.lit("provider supplied hop city/country"), cc=known_cc))
 
 
 def from_geoip() -> Column:
@@ -76,10 +77,15 @@ def with_district(c: Column) -> Column:
     return F.when(hit, moved).otherwise(c)
 
 
-def downgraded(c: Column, src_metro: Column, rtt: Column) -> Column:
-    """Public evidence within the source's own metropolitan area at low latency says no more than the area."""
+def area_of(c: Column) -> Column:
+    """The number of a candidate's metropolitan area, or null."""
+    return geo.metro_of(c["city"], c["cc"], c["lat"], c["lon"])
+
+
+def downgraded(c: Column, area: Column, src_metro: Column, rtt: Column) -> Column:
+    """Public evidence within the source's own metropolitan area at low latency says no more than the area; area is that of c."""
     label, country, lat, lon, limit = (F.get(F.array(*(F.lit(m[i]) for m in dims.METROS)), src_metro) for i in (1, 2, 3, 4, 6))
-    hit = F.coalesce(src_metro.isNotNull() & rtt.isNotNull() & (rtt <= limit) & c["source"].isin(*WEAK) & (src_metro == geo.metro_of(c["city"], c["cc"], c["lat"], c["lon"])), F.lit(False))
+    hit = F.coalesce(src_metro.isNotNull() & rtt.isNotNull() & (rtt <= limit) & c["source"].isin(*WEAK) & (src_metro == area), F.lit(False))
     said = F.concat(F.lit("Public geolocation is inside the same low-latency "), label, F.lit("; downgraded to metro-level estimate"))
     moved = F.struct(
         c["source"].alias("source"), label.alias("city"), country.alias("country"), lat.alias("lat"), lon.alias("lon"), F.lit("medium").alias("confidence"),
@@ -107,17 +113,31 @@ def base_score(c: Column) -> Column:
     return confidence + source
 
 
-def looked_up(hops: DataFrame, ip_geo: DataFrame, ptr: DataFrame | None = None) -> DataFrame:
-    """hops with the geo record of their address and, where they have no host name, the one of the ptr table; and with the city
-    hints of both host names, m_host and m_geo, each name matched once.
+def of_host(names: DataFrame, host: str, match: str, slot: str) -> DataFrame:
+    """names (host, match) of places_of_hosts with the slot's candidate."""
+    return names.withColumn(slot, with_district(from_host(host, match)))
+
+
+def of_record(records: DataFrame) -> DataFrame:
+    """Geo records with m_geo and what follows from a record alone: c2, c3 and the area of c3."""
+    records = left_joined(records, held(places_of_hosts(records, "geo_hostname", "m_geo")), F.col("geo_hostname"), "geo_hostname")
+    records = records.withColumns({"c2": with_district(from_host("geo_hostname", "m_geo")), "c3": from_geoip()}).withColumn("c3", F.when(F.col("c3").isNotNull(), with_district(F.col("c3"))))
+    return records.withColumn("area_c3", area_of(F.col("c3")))
+
 
-    Both tables have a row for an address at most; how they are joined is left to their sizes.
+def looked_up(hops: DataFrame, ip_geo: DataFrame, ptr: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """hops with the geo record of their address and, where they have no host name, the one of the ptr table; with the city hints of
+    both host names, m_host and m_geo, each name matched once; and with the candidates that follow from these, c1 to c3.
+
+    Both tables have a row for an address at most; how they are joined depends on their sizes. names has the host names that are
+    matched, those of hops unless given.
     """
     if ptr is not None:
-        names = ptr.select(F.col("ip").alias("ptr_ip"), F.col("hostname").alias("ptr_hostname"))
-        hops = left_joined(hops, names, F.when(hops["hostname"].isNull(), hops["ip"]), "ptr_ip")
+        told = ptr.select(F.col("ip").alias("ptr_ip"), F.col("hostname").alias("ptr_hostname"))
+        hops = left_joined(hops, told, F.when(hops["hostname"].isNull(), hops["ip"]), "ptr_ip")
         hops = hops.withColumn("hostname", F.coalesce("hostname", "ptr_hostname")).drop("ptr_hostname")
-    return left_joined(matched_hosts(hops, "hostname", "m_host"), matched_hosts(ip_geo, "geo_hostname", "m_geo"), F.col("ip"), "ip")
+    places = held(of_host(places_of_hosts(hops if names is None else names, "hostname", "m_host"), "hostname", "m_host", "c1"))
+    return left_joined(left_joined(hops, places, F.col("hostname"), "hostname"), of_record(ip_geo), F.col("ip"), "ip")
 
 
 #: The four slots of a hop's candidates, in order, and which of them are weak or strong evidence.
@@ -125,32 +145,48 @@ SLOTS = {"c0": "provider", "c1": "reverse_dns", "c2": "reverse_dns", "c3": "geoi
 WEAK_SLOTS, STRONG_SLOTS = ([c for c, source in SLOTS.items() if source in kind] for kind in (WEAK, STRONG))
 
 
+#: What looked_up and located_sources add beside the records themselves.
+WORKED_OUT = ("m_host", "m_geo", "c1", "c2", "c3", "area_c3", "src_metro")
+
+
+def located_sources(sources: DataFrame) -> DataFrame:
+    """sources (with src_ columns) with the number of their metropolitan area, src_metro; null if none or if the place isn't whole."""
+    whole = F.col("src_latitude").isNotNull() & F.col("src_longitude").isNotNull() & F.col("src_city").isNotNull() & F.col("src_country").isNotNull()
+    return sources.withColumn("src_metro", F.when(whole, geo.metro_index(F.col("src_city"), F.col("src_country"), F.col("src_latitude"), F.col("src_longitude"))))
+
+
 def candidates(hops: DataFrame) -> DataFrame:
     """hops (with geo_ and src_ columns) with a column for each slot: the candidate of the hop's own place, of its host name,
-    of the geo record's host name and of the geo record, or null. Host names that looked_up has not matched are matched here.
+    of the geo record's host name and of the geo record, or null, districts moved to their city. What looked_up has not added is
+    worked out here.
     """
-    for host, out in (("hostname", "m_host"), ("geo_hostname", "m_geo")):
-        hops = hops if out in hops.columns else matched_hosts(hops, host, out)
+    for host, out, slot in (("hostname", "m_host", "c1"), ("geo_hostname", "m_geo", "c2")):
+        hops = hops if slot in hops.columns or out in hops.columns else matched_hosts(hops, host, out)
+        hops = hops if slot in hops.columns else of_host(hops, host, out, slot)
+    if "c3" not in hops.columns:
+        hops = hops.withColumn("c3", from_geoip()).withColumn("c3", F.when(F.col("c3").isNotNull(), with_district(F.col("c3"))))
     places = dims.cities(hops.sparkSession)
     known = F.struct("city", "country", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    places = F.broadcast(places.select(F.lower("city").alias("__city"), known.alias("known")))  # a fixed table of 21 rows
+    places = F.broadcast(places.select(F.lower("city").alias("__city"), known.alias("known"), geo.country_code(F.col("country")).alias("known_cc")))  # a fixed table of 21 rows
     hops = hops.join(places, F.lower("city") == F.col("__city"), "left").drop("__city")
-    found = dict(zip(SLOTS, (from_provider(), from_host("hostname", "m_host"), from_host("geo_hostname", "m_geo"), from_geoip())))
-    return hops.withColumns(found).drop("m_host", "m_geo", "known")
+    hops = hops.withColumn("cc", geo.country_code(F.coalesce("country", F.lit("Unknown"))))
+    hops = hops.withColumn("c0", from_provider(F.col("cc"), F.col("known_cc"))).drop("m_host", "m_geo", "known", "known_cc", "cc")
+    return hops.withColumn("c0", F.when(F.col("c0").isNotNull(), with_district(F.col("c0"))))
 
 
 def checked(hops: DataFrame) -> DataFrame:
-    """candidates moved to their district or area, with a flag kept_ for each slot: it is there, its distance from the source is
+    """candidates, weak ones moved to the source's area, with a flag kept_ for each slot: it is there, its distance from the source is
     plausible at the latency (sane_), and it lies nowhere else than strong evidence, if it is weak.
 
     Each distance is worked out once: far_ from the source, and one for each pair of slots.
     """
+    hops = hops if "src_metro" in hops.columns else located_sources(hops)
     source = F.when(F.col("src_latitude").isNotNull() & F.col("src_longitude").isNotNull() & F.col("src_city").isNotNull() & F.col("src_country").isNotNull(), F.struct(F.col("src_latitude").alias("lat"), F.col("src_longitude").alias("lon")))
-    hops = hops.withColumn("src", source).withColumn("src_metro", F.when(F.col("src").isNotNull(), geo.metro_index(F.col("src_city"), F.col("src_country"), F.col("src_latitude"), F.col("src_longitude"))))
-    hops = hops.withColumns({c: F.when(F.col(c).isNotNull(), with_district(F.col(c))) for c in SLOTS})
-    hops = hops.withColumns({c: F.when(F.col(c).isNotNull(), downgraded(F.col(c), F.col("src_metro"), F.col("rtt_ms"))) for c in WEAK_SLOTS})
+    hops = hops.withColumn("src", apart(source))
+    area = {c: F.col(f"area_{c}") if f"area_{c}" in hops.columns else area_of(F.col(c)) for c in WEAK_SLOTS}
+    hops = hops.withColumns({c: F.when(F.col(c).isNotNull(), downgraded(F.col(c), area[c], F.col("src_metro"), F.col("rtt_ms"))) for c in WEAK_SLOTS})
     hops = hops.withColumns({f"far_{c}": distance(F.col(c), F.col("src")) for c in SLOTS} | {f"far_{a}{b}": distance(F.col(a), F.col(b)) for a, b in itertools.combinations(SLOTS, 2)})
-    hops = hops.withColumns({f"sane_{c}": F.col(c).isNotNull() & sane(F.col(f"far_{c}"), F.col("rtt_ms")) for c in SLOTS})
+    hops = hops.withColumns({f"sane_{c}": F.col(c).isNotNull() & apart(sane(F.col(f"far_{c}"), F.col("rtt_ms"))) for c in SLOTS})
 
     def against(weak: str, strong: str) -> Column:
         far = F.col("far_" + "".join(sorted((weak, strong))))
@@ -168,7 +204,7 @@ def scored(hops: DataFrame) -> DataFrame:
         return F.when(F.col(f"kept_{other}"), F.when(near, 12).when(F.col(c)["cc"] == F.col(other)["cc"], 4).otherwise(0)).otherwise(0)
 
     def score(c: str) -> Column:
-        total = base_score(F.col(c)) + rtt_support(F.col(f"far_{c}"), F.col("rtt_ms"))
+        total = apart(base_score(F.col(c))) + rtt_support(F.col(f"far_{c}"), F.col("rtt_ms"))
         return F.when(F.col(f"kept_{c}"), functools.reduce(Column.__add__, (support(c, o) for o in SLOTS if o != c), total))
 
     return hops.withColumns({f"score_{c}": score(c) for c in SLOTS})
@@ -192,13 +228,13 @@ def chosen(hops: DataFrame) -> DataFrame:
     most, best = F.greatest(*(f"score_{c}" for c in SLOTS)), F.when(agree, combined)
     for c in SLOTS:
         best = best.when(F.col(f"score_{c}") == most, F.col(c))
-    return hops.withColumn("location", best).drop("rev", "gip", "far_rev")
+    return hops.withColumn("location", apart(best)).drop("rev", "gip", "far_rev")
 
 
 def enriched(hops: DataFrame) -> DataFrame:
     """hops (with geo_ and src_ columns) with the chosen location in place of their own; without one the own place stays, as
     unknown. Network number and name are the hop's own, else those of its geo record."""
-    own = [c for c in hops.columns if c not in ("m_host", "m_geo")]
+    own = [c for c in hops.columns if c not in WORKED_OUT]
     out = chosen(scored(checked(candidates(hops))))
     l = F.col("location")  # noqa: E741
     has = l.isNotNull()

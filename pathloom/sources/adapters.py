@@ -16,6 +16,9 @@ from pathloom.sources import dims
 #: The full key of a line: the only order of an order's lines that has no ties.
 LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
+#: The columns of a source's place.
+SOURCE = ("src_city", "src_country", "src_latitude", "src_longitude")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,12 +64,17 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(measurement_id, src_city, src_country, src_latitude, src_longitude): where the order's customer is."""
+def source_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(measurement_id, at): the number of the place where the order's customer is."""
     nation = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 21).alias("at"))
     o = table(spark, sf_dir, "orders").join(nation, F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("o_orderkey").cast("string").alias("measurement_id"), "at")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(measurement_id, src_city, src_country, src_latitude, src_longitude): where the order's customer is."""
     city = [_pick(F.col("at"), [c[i] for c in dims.CITIES]) for i in range(4)]
-    return o.select(F.col("o_orderkey").cast("string").alias("measurement_id"), *(c.alias(n) for c, n in zip(city, ("src_city", "src_country", "src_latitude", "src_longitude"))))
+    return source_places(spark, sf_dir).select("measurement_id", *(c.alias(n) for c, n in zip(city, SOURCE)))
 
 
 def ip_geo(hops_: DataFrame) -> DataFrame:

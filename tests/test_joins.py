@@ -5,6 +5,7 @@ import random
 import re
 from ipaddress import ip_address, ip_network, summarize_address_range
 
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import areas, hosts, prefixes
@@ -156,3 +157,33 @@ def test_hops_of_islands_are_read_and_dealt_out_once(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.count("FileScan parquet") == 3 and "collect_list" not in plan
     assert len(re.findall(r"Exchange hashpartitioning\((?:l_orderkey|measurement_id)", plan)) == 2
+
+
+@pytest.mark.parametrize("name", ["candidate_scores", "enriched_hops"])
+def test_hops_stay_where_they_are_for_lookups(spark, capsys, name):
+    """Hops are dealt out by measurement alone: lookup tables come to them, as sources do. Of the exchanges, one is that of the lines and
+    three are those of orders and customers."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 4 and "Exchange SinglePartition" not in plan
+
+
+def test_lookup_tables_too_large_to_send(spark, monkeypatch):
+    """Where no table is small, both sides move, with the same rows."""
+    from pathloom.functions import frames
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id int, key string")
+    found = spark.createDataFrame([("a", 1.5), ("c", None), (None, 2.0)], "name string, n double")
+    joined = lambda: frames.left_joined(rows, found, F.col("key"), "name")
+    few, want = joined(), {(1, "a", 1.5), (2, "b", None), (3, None, None), (4, "c", None)}
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
+    score = lambda: sorted(map(tuple, QUERIES["candidate_scores"](spark, "/root/testdata/sf0.001").collect()))
+    scores = score()
+    monkeypatch.setattr(frames, "SENT", -1)
+    assert "__on" in plan(joined()) and {tuple(r) for r in few.collect()} == {tuple(r) for r in joined().collect()} == want
+    assert score() == scores
