@@ -53,7 +53,8 @@ def is_private(ip: Column) -> Column:
         hit = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
         return (F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull()) & hit
 
-    return F.coalesce(bound(n, private), F.lit(False))
+    # Other texts have not four parts; a failed cast of each would cost more than all else here.
+    return F.coalesce(F.when(ip.rlike(r"\A[^.]*(?:\.[^.]*){3}\z"), bound(n, private)), F.lit(False))
 
 
 # Ranges that are never looked up.

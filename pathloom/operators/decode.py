@@ -26,11 +26,22 @@ def raw_lines(raw: DataFrame, column: str = "raw") -> DataFrame:
     return worked_out(out, {"line": t.trimmed(F.col("__line"))}).drop("__line").where(F.col("line") != "")
 
 
+HOP_LINE = r"^([0-9]+)[.)]?\s+(.+)$"
+
+
 def raw_hops(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines to hops; lines that aren't hops go. All other columns stay."""
-    shape = r"^([0-9]+)[.)]?\s+(.+)$"
+    return _told(lines.where(F.col(line).rlike(HOP_LINE)), line)
+
+
+#: What a hop's line tells.
+TOLD = ("hop_number", "ip", "hostname", "rtt_ms", "sent", "jitter_ms", "packet_loss_percent", "asn", "last_ms", "status")
+
+
+def _told(lines: DataFrame, line: str) -> DataFrame:
+    """lines, which are hops or null, with columns TOLD."""
     # Each step's columns are used more than once by the next.
-    out = worked_out(lines.where(F.col(line).rlike(shape)), {"hop_number": F.regexp_extract(line, shape, 1).try_cast("int"), "rest": F.regexp_extract(line, shape, 2)})
+    out = worked_out(lines, {"hop_number": F.regexp_extract(line, HOP_LINE, 1).try_cast("int"), "rest": F.regexp_extract(line, HOP_LINE, 2)})
     out = worked_out(out, {"tokens": t.words(F.col("rest"))}).withColumn("own_asn", t.stated_asn(F.get("tokens", F.lit(0))))
     out = out.withColumn("tokens", F.when(F.col("own_asn").isNotNull(), F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1)))).otherwise(F.col("tokens")))
     stars = F.size(F.filter("tokens", lambda x: x == "*"))
@@ -117,34 +128,72 @@ ADDRESS_KEYS, HOST_KEYS = ("resolvedAddress", "ip", "address"), ("resolvedHostna
 LISTED_ADDRESS_KEYS, LISTED_HOST_KEYS = ("ip", "resolvedAddress", "address"), ("hostname", "resolvedHostname", "host", "name")
 SENT_KEYS, LAST_KEYS = ("sent", "snt", "total", "count", "packets"), ("last", "lastRtt", "current")
 BEST_KEYS, WORST_KEYS = ("best", "min", "minimum"), ("worst", "max", "maximum")
+OBJECT_KEYS = (*PLACE_OBJECTS, "stats", "network", "timings")  # asked for as objects only
 STATS_JITTER_KEYS, JITTER_KEYS = ("jitter", "jitterAvg", "stdev", "stddev"), ("jitter", "jAvg", "stDev", "stdev", "stddev")
 
 
+def _bound(v: str, name: str, body: str) -> str:
+    """body with v bound to a name, so that it is worked out once."""
+    return f"get(transform(array({v}), {name} -> {body}), 0)"
+
+
+def _read(v: str) -> str:
+    """A text as (raw, null), a number as (null, num), anything else as null. Each value is looked at once, here."""
+    get = lambda kind: f"try_variant_get({v}, '$', '{kind}')"
+    return (
+        f"case when schema_of_variant({v}) = 'STRING' then named_struct('raw', {get('string')}, 'num', cast(null as double))"
+        f" when rlike(schema_of_variant({v}), '^(BIGINT|DOUBLE|FLOAT|DECIMAL)') then named_struct('raw', cast(null as string), 'num', {get('double')}) end"
+    )
+
+
+def _read_string(r: str) -> str:
+    """_string of what _read has read."""
+    return f"nullif(trim(both {_SPACE} from {r}.raw), '')"
+
+
+def _read_number(r: str) -> str:
+    return f"{r}.num"
+
+
+def _read_lenient(r: str) -> str:
+    text = rf"trim(both {_SPACE} from regexp_replace({r}.raw, '%\\z', ''))"
+    read = r"case when t = '' then 0D when t rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then try_cast(t as double) end"
+    return f"case when {r}.raw is not null then {_bound(text, 't', read)} else {r}.num end"
+
+
+def _read_asn(r: str) -> str:
+    """_plain_asn of what _read has read."""
+    said = (
+        "case when upper(t) = 'AS???' then 'AS???' else coalesce("
+        r"concat('AS', nullif(regexp_extract(t, '(?<![A-Za-z0-9])[Aa][Ss]\\s*([0-9]+)', 1), '')), case when t rlike '^[0-9]{1,10}$' then concat('AS', t) end) end"
+    )
+    return f"case when {r}.raw is not null then {_bound(_read_string(r), 't', said)} when {r}.num > 0 then concat('AS', cast(cast(floor({r}.num) as decimal(38, 0)) as string)) end"
+
+
+def _said_within(v: str, m: str) -> str:
+    """_inner of a value, whose object is bound to the name m."""
+    there = ", ".join(f"case when not is_variant_null({m}['{k}']) then {m}['{k}'] end" for k in ("asn", "number", "id", "value"))
+    return _bound(f"try_variant_get({v}, '$', 'map<string, variant>')", m, f"coalesce({there})")
+
+
 class _Record:
-    """Values of an object that lies at one of some paths of a hop, the first that is an object: each key's value becomes a column of
-    its own. The object is read once, as a struct of the keys that are asked for."""
+    """The object that lies at one of some paths of a hop, the first that is one: its values, and what _read says of each."""
 
     def __init__(self, name: str, *paths: str):
-        self.name, self.paths, self.used = name, paths, {}
+        self.name, self.paths = name, paths
 
     def __call__(self, *keys: str) -> list[str]:
-        return [self.used.setdefault(k, f"{self.name}_{len(self.used)}") for k in keys]
+        return [f"{self.name}_read['{k}']" for k in keys]
 
-    def _own(self) -> dict[str, str]:
-        """The keys of the struct: of those that differ by case alone, the first."""
-        first: dict[str, str] = {}
-        for k in self.used:
-            first.setdefault(k.lower(), k)
-        return {k: c for k, c in self.used.items() if first[k.lower()] == k}
+    def values(self, *keys: str) -> list[str]:
+        return [f"{self.name}['{k}']" for k in keys]
 
-    def struct(self) -> Column:
-        kind = "struct<" + ", ".join(f"{k}: variant" for k in self._own()) + ">"
-        return F.expr("coalesce(" + ", ".join(f"try_variant_get(h, '{p}', '{kind}')" for p in self.paths) + ", null)")
+    def object(self) -> Column:
+        return F.expr("coalesce(" + ", ".join(f"try_variant_get(h, '{p}', 'map<string, variant>')" for p in self.paths) + ", null)")
 
-    def columns(self) -> dict[str, Column]:
-        own, (path, *_) = self._own(), self.paths
-        assert len(own) == len(self.used) or len(self.paths) == 1
-        return {c: F.expr(f"{self.name}.`{k}`" if k in own else f"try_variant_get(h, '{path}.{k}', 'variant')") for k, c in self.used.items()}
+    def read(self) -> Column:
+        objects = ", ".join(f"'{k}'" for k in OBJECT_KEYS)
+        return F.expr(f"transform_values({self.name}, (k, x) -> case when k in ({objects}) then null else {_read('x')} end)")
 
 
 def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -157,44 +206,56 @@ def json_hops(payloads: DataFrame, column: str = "payload") -> DataFrame:
     keep = [c for c in payloads.columns if c != column]
     # Each step is worked out once a payload: filters on what a later one reads don't parse the text again.
     v = worked_out(payloads, {"parsed": F.try_parse_json(column)}).drop(column)
-    v = worked_out(v, {"v": F.expr("if(try_variant_get(parsed, '$.result', 'struct<hops: variant>') is null, parsed, try_variant_get(parsed, '$.result', 'variant'))")}).drop("parsed")
-    v = worked_out(v, {"hops": F.expr("try_variant_get(v, '$.hops', 'array<variant>')"), "results": F.expr("try_variant_get(v, '$.result', 'array<variant>')"), "raw": F.expr("try_variant_get(v, '$.rawOutput', 'variant')")})
+    # Any object reads as a struct, whatever it holds. Its parts are copied once, from where they lie.
+    v = worked_out(v, {"at": F.expr("if(try_variant_get(parsed, '$.result', 'struct<hops: boolean>') is null, 0, 1)")})
+    part = lambda key, kind: F.expr(f"if(at = 1, try_variant_get(parsed, '$.result.{key}', '{kind}'), try_variant_get(parsed, '$.{key}', '{kind}'))")
+    v = worked_out(v, {"hops": part("hops", "array<variant>"), "results": part("result", "array<variant>"), "raw": part("rawOutput", "variant")}).drop("parsed", "at")
     structured = F.coalesce(F.size("hops"), F.lit(0)) > 0
     v = v.withColumn("branch", F.when(structured, 1).when(F.col("results").isNotNull(), 2).otherwise(3))
-    rows = v.where("branch < 3").select(*keep, "branch", F.posexplode(F.expr("if(branch = 1, hops, results)")).alias("i", "h"))
-
-    # Each object is looked up once, then each of its keys once, then the fields are read from those columns.
+    # Objects and lines come from one pass over the payloads; a row has one of both.
+    text = "case when schema_of_variant(raw) = 'STRING' then try_variant_get(raw, '$', 'string') end"
+    objects = "transform(if(branch = 1, hops, results), (x, i) -> struct(i, x as h, cast(null as string) as line))"
+    lines = rf"transform(split({text}, '\\n', -1), (x, i) -> struct(i, cast(null as variant) as h, x as line))"
+    rows = v.select(*keep, "branch", F.inline(F.expr(f"if(branch < 3, {objects}, {lines})")))
+    rows = rows.withColumn("line", t.trimmed(F.col("line"))).where((F.col("branch") < 3) | F.col("line").rlike(HOP_LINE))
+    rows = rows.withColumnRenamed("line", "__line")
+    own = [F.col(c) for c in rows.columns]
+    rows = _told(rows, "__line").select(*own, F.struct(*TOLD).alias("told")).drop("__line")
+
+    # Each object is read once, then each of its values once, then the fields are picked from what they said.
     hop, stats, network, system = _Record("hop", "$"), _Record("stats", "$.stats"), _Record("network", "$.network"), _Record("system", "$.as", "$.autonomousSystem")
     place = _Record("place", *(f"$.{k}" for k in PLACE_OBJECTS))
     # What may name the network is itself, or what an object there says of it, two levels deep.
-    named = [*hop(*ASN_KEYS), *network("asn", "number"), *system("asn", "number", "id")]
-    deeper = [{f"{x}_in": F.expr(_inner(x)) for x in named}, {f"{x}_in_in": F.expr(_inner(f"{x}_in")) for x in named}]
-    asn = [_plain_asn(x + level) for x in named for level in ("", "_in", "_in_in")]
+    def names_it(record: _Record, key: str) -> str:
+        (read,), (value,) = record(key), record.values(key)
+        levels = _bound(_said_within(value, "m"), "y", f"array(y, {_said_within('y', 'n')})")
+        deeper = f"get(filter(transform(transform({levels}, x -> {_read('x')}), r -> {_read_asn('r')}), a -> a is not null), 0)"
+        return f"case when {read} is not null then {_read_asn(read)} when {value} is not null then {deeper} end"
+
+    named = [(hop, k) for k in ASN_KEYS] + [(network, k) for k in ("asn", "number")] + [(system, k) for k in ("asn", "number", "id")]
+    asn = f"coalesce({', '.join(names_it(*x) for x in named)})"
     pick = lambda one, two: f"if(branch = 1, {one}, {two})"
-    both = lambda keys: pick(_first(_lenient, *stats(*keys)), _first(_lenient, *hop(*keys)))
+    both = lambda keys: pick(_first(_read_lenient, *stats(*keys)), _first(_read_lenient, *hop(*keys)))
     mean = "case when size(rtts) > 0 then aggregate(rtts, 0D, (a, x) -> a + x) / size(rtts) end"
     fields = {
-        "hop_number": pick("i + 1", f"coalesce(cast({_number(hop('hop')[0])} as int), i + 1)"), "asn": f"coalesce({', '.join(asn)})",
-        "as_name": _first(_string, *hop(*AS_NAME_KEYS), *network(*INNER_NAME_KEYS), *system(*INNER_NAME_KEYS)),
-        "ip": pick(_first(_string, *hop(*ADDRESS_KEYS)), _first(_string, *hop(*LISTED_ADDRESS_KEYS))),
-        "hostname": pick(_first(_string, *hop(*HOST_KEYS)), _first(_string, *hop(*LISTED_HOST_KEYS))),
-        "city": _first(_string, *hop(*CITY_KEYS), *place(*PLACE_CITY_KEYS)), "country": _first(_string, *hop(*COUNTRY_KEYS), *place(*PLACE_COUNTRY_KEYS)),
-        "latitude": _first(_lenient, *hop(*LATITUDE_KEYS), *place(*LATITUDE_KEYS)), "longitude": _first(_lenient, *hop(*LONGITUDE_KEYS), *place(*LONGITUDE_KEYS)),
-        "rtt_ms": f"round(coalesce({_first(_number, *hop(*RTT_KEYS), *stats('avg'))}, {mean}))", "sent": f"cast({both(SENT_KEYS)} as bigint)", "last_ms": both(LAST_KEYS), "best_ms": both(BEST_KEYS), "worst_ms": both(WORST_KEYS),
-        "jitter_ms": pick(f"coalesce(round({_first(_number, *stats('jAvg', 'stDev'))}), {_first(_lenient, *stats(*STATS_JITTER_KEYS))})", _first(_lenient, *hop(*JITTER_KEYS))),
-        "packet_loss_percent": pick(_lenient(stats("loss")[0]), _first(_number, *hop("loss", "packetLoss"))),
+        "hop_number": pick("i + 1", f"coalesce(cast({_read_number(hop('hop')[0])} as int), i + 1)"), "asn": asn,
+        "as_name": _first(_read_string, *hop(*AS_NAME_KEYS), *network(*INNER_NAME_KEYS), *system(*INNER_NAME_KEYS)),
+        "ip": pick(_first(_read_string, *hop(*ADDRESS_KEYS)), _first(_read_string, *hop(*LISTED_ADDRESS_KEYS))),
+        "hostname": pick(_first(_read_string, *hop(*HOST_KEYS)), _first(_read_string, *hop(*LISTED_HOST_KEYS))),
+        "city": _first(_read_string, *hop(*CITY_KEYS), *place(*PLACE_CITY_KEYS)), "country": _first(_read_string, *hop(*COUNTRY_KEYS), *place(*PLACE_COUNTRY_KEYS)),
+        "latitude": _first(_read_lenient, *hop(*LATITUDE_KEYS), *place(*LATITUDE_KEYS)), "longitude": _first(_read_lenient, *hop(*LONGITUDE_KEYS), *place(*LONGITUDE_KEYS)),
+        "rtt_ms": f"round(coalesce({_first(_read_number, *hop(*RTT_KEYS), *stats('avg'))}, {mean}))", "sent": f"cast({both(SENT_KEYS)} as bigint)", "last_ms": both(LAST_KEYS), "best_ms": both(BEST_KEYS), "worst_ms": both(WORST_KEYS),
+        "jitter_ms": pick(f"coalesce(round({_first(_read_number, *stats('jAvg', 'stDev'))}), {_first(_read_lenient, *stats(*STATS_JITTER_KEYS))})", _first(_read_lenient, *hop(*JITTER_KEYS))),
+        "packet_loss_percent": pick(_read_lenient(stats("loss")[0]), _first(_read_number, *hop("loss", "packetLoss"))),
     }
     records = (hop, stats, network, system, place)
     rtts = f"filter(transform(try_variant_get(h, '$.timings', 'array<variant>'), x -> {_number(_get('x', 'rtt'))}), x -> x is not null)"
-    out = rows.withColumns({r.name: r.struct() for r in records} | {"rtts": F.expr(rtts)})
-    out = out.withColumns({k: x for r in records for k, x in r.columns().items()})
-    for level in deeper:
-        out = out.withColumns(level)
-    out = out.select(*keep, (F.col("i") + 1).alias("hop_seq"), *(F.expr(x).alias(k) for k, x in fields.items()))
+    out = rows.withColumns({r.name: r.object() for r in records} | {"rtts": F.expr(rtts)})
+    out = out.withColumns({f"{r.name}_read": r.read() for r in records})
+    out = out.select(*keep, "branch", "told", (F.col("i") + 1).alias("hop_seq"), *(F.expr(x).alias(k) for k, x in fields.items()))
     out = out.withColumns({"asn": F.coalesce("asn", inferred_asn(F.col("ip"), F.col("hostname"))), "status": hop_status(F.col("rtt_ms"), F.col("packet_loss_percent"))})
-    said = v.where("branch = 3").select(*keep, F.expr("case when schema_of_variant(raw) = 'STRING' then try_variant_get(raw, '$', 'string') end").alias("raw"))
-    text = raw_hops(raw_lines(said.where("raw is not null")))
-    return out.unionByName(text.withColumn("hop_seq", F.col("line_no") + 1).drop("raw", "line", "line_no"), allowMissingColumns=True)
+    said = {k: F.when(F.col("branch") < 3, F.col(k)).otherwise(F.col(f"told.{k}")) for k in TOLD}
+    return out.withColumns(said).drop("branch", "told")
 
 
 FAILED = "The measurement provider returned a failed result."

@@ -34,10 +34,11 @@ def _pick(index, values):
     return F.get(F.array(*(F.lit(v) for v in values)), index.cast("int"))
 
 
-def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hop for each line of an order, which is the measurement."""
+def hops(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """A hop for each line of an order, which is the measurement. dealt: measurements are spread, for work that costs much for each byte."""
     # Lines are dealt out by the measurement's own key, so that what follows by measurement needs no further exchange.
     line = table(spark, sf_dir, "lineitem").withColumn("measurement_id", F.col("l_orderkey").cast("string"))
+    line = spread(line, "measurement_id") if dealt else line
     order = Window.partitionBy("measurement_id").orderBy(*LINE_KEY)
     s, p = F.col("l_suppkey"), F.col("l_partkey")
     kind, place = p % 6, s % 22

@@ -175,3 +175,25 @@ def test_words_and_addresses_of_odd_lines(spark):
     ips = [("10.1.2.3", True), ("10. .2.3", True), ("172.16.", False), ("172.31.0.1", True), ("10.x.0.1", False), ("256.1.1.1", False), (None, False), ("192.168..1", True)]
     assert [r.p for r in spark.createDataFrame(ips, "ip string, want boolean").select(net.is_private(F.col("ip")).alias("p")).collect()] == [w for _, w in ips]
     assert [r[0] for r in spark.createDataFrame([("x 1.2.3 256.1.1.1 007.1.2.3",), ("1.2.3.4.5 1.2.3.999",)], "s string").select(t.ipv4_in(F.col("s"))).collect()] == ["007.1.2.3", None]
+
+
+def test_payloads_are_parsed_in_one_pass(spark, tmp_path):
+    """Objects and lines of text come from one reading of the payloads, each with its own fields."""
+    from pathloom.operators import decode
+
+    told = [
+        ("a", '{"result":{"hops":[{"ip":" 9.9.9.9 ","autonomousSystem":"as7","rtt":"5","lat":"50 ","lon":" 5%"},{"as":{"id":{"value":12}},"stats":{"avg":2.4,"loss":" 7%"}}]}}'),
+        ("b", '{"result":[{"hop":4,"ip":"10.0.0.1","rtt":7,"packetLoss":"3"},3,null]}'),
+        ("c", '{"rawOutput":"1 AS15169 h.net 142.250.206.14 20 ms\\n  \\nno hop\\n2 * * *"}'), ("d", '{"rawOutput":5}'), ("e", "{"), ("f", None),
+    ]
+    spark.createDataFrame(told, "k string, payload string").coalesce(1).write.parquet(str(tmp_path / "p"))
+    out = decode.json_hops(spark.read.parquet(str(tmp_path / "p")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.lower().count("parsejson") == 1
+    got = {(r.k, r.hop_seq): (r.hop_number, r.asn, r.ip, r.latitude, r.longitude, r.rtt_ms, r.packet_loss_percent, r.status) for r in out.collect()}
+    assert got == {
+        ("a", 1): (1, "AS7", "9.9.9.9", 50.0, 5.0, None, None, "timeout"), ("a", 2): (2, "AS12", None, None, None, 2.0, 7.0, "ok"),
+        ("b", 1): (4, "AS???", "10.0.0.1", None, None, 7.0, None, "ok"), ("b", 2): (2, None, None, None, None, None, None, "timeout"),
+        ("b", 3): (3, None, None, None, None, None, None, "timeout"),
+        ("c", 1): (1, "AS15169", "142.250.206.14", None, None, 20.0, 0.0, "ok"), ("c", 4): (2, None, None, None, None, None, 100.0, "loss"),
+    }
