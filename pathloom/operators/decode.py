@@ -71,11 +71,6 @@ def _get(v: str, path: str) -> str:
     return f"try_variant_get({v}, '$.{path}', 'variant')"
 
 
-def _object(v: str, path: str) -> str:
-    """What lies at the path as a map, if it is an object."""
-    return f"try_variant_get({v}, '$.{path}', 'map<string, variant>')"
-
-
 def _number(v: str) -> str:
     """A finite number, from a number only."""
     return f"case when rlike(schema_of_variant({v}), '^(BIGINT|DOUBLE|FLOAT|DECIMAL)') then try_variant_get({v}, '$', 'double') end"
@@ -89,13 +84,6 @@ def _string(v: str) -> str:
     return f"case when schema_of_variant({v}) = 'STRING' then nullif(trim(both {_SPACE} from try_variant_get({v}, '$', 'string')), '') end"
 
 
-def _lenient(v: str) -> str:
-    """A number, or a text that reads as one; one per cent sign at its end is dropped, and nothing else reads as 0."""
-    text = rf"trim(both {_SPACE} from regexp_replace(try_variant_get({v}, '$', 'string'), '%\\z', ''))"
-    read = rf"case when {text} = '' then 0D when {text} rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then try_cast({text} as double) end"
-    return f"case when schema_of_variant({v}) = 'STRING' then {read} else {_number(v)} end"
-
-
 def _first(kind, *values: str) -> str:
     return f"coalesce({', '.join(kind(v) for v in values)}, null)"
 
